@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, mixing, sharding
+from drift_engine.llm import fingerprint, mixing, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert)}
+def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
+
+
+QUERIES = {f.__name__: f for f in (op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op10_quality_lines)}
 
 ORACLES: dict[str, str] = {}
