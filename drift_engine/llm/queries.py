@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, mixing, quality_rules, sharding
+from drift_engine.llm import fingerprint, mixing, packing, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op10_quality_lines)}
+QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op10_quality_lines)}
 
 ORACLES: dict[str, str] = {}
