@@ -1,0 +1,37 @@
+"""Connected components of large edge tables by repeated contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from drift_engine.llm.common import materialise
+
+
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) of every node with an edge; component is the smallest node of its part.
+
+    edges: (a, b) longs, undirected. In each round every node points to its smallest
+    neighbour and that one's pointer in turn, and the edges are drawn between what they
+    point to; rounds go on until no edge is left, some log of the longest path. Each
+    round's tables are written to the shared folder; nothing comes to the driver but
+    the number of edges left.
+    """
+    edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
+    while True:
+        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+        points = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+        ahead = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        points = materialise(points.join(ahead, "to").select("node", F.col("next").alias("to")), f"{name}-points")
+        if labels is None:
+            labels = points.select("node", F.col("to").alias("component"))
+        else:
+            moved = points.select(F.col("node").alias("component"), "to")
+            labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels = materialise(labels, f"{name}-labels")
+        pa, pb = points.select(F.col("node").alias("a"), F.col("to").alias("ta")), points.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        edges = edges.join(pa, "a").join(pb, "b").filter("ta <> tb")
+        edges = materialise(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        if edges.isEmpty():
+            return labels
