@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, mixing, near_dedup, packing, quality_rules, sharding
+from drift_engine.llm import fingerprint, mixing, near_dedup, packing, quality_rules, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,15 @@ def op8_near_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op10_quality_lines)}
+QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
 
 ORACLES: dict[str, str] = {}
