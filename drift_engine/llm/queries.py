@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, mixing, near_dedup, packing, quality_rules, sharding, toxicity
+from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_rules, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_fingerprint_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("part")).alias("taken"))
@@ -43,6 +47,6 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
+QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
 
 ORACLES: dict[str, str] = {}
