@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_rules, sharding, toxicity
+from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_pack_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_tokens_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,6 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_patterns, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
+QUERIES = {f.__name__: f for f in (op1_pack_patterns, op2_quality_bayes, op3_tokens_by_section, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
 
 ORACLES: dict[str, str] = {}
