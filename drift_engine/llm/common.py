@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drift_engine.session import ship_package
+
 #: A side is broadcast only when its counted rows stay under this.
 BROADCAST_ROWS = 200_000
 
@@ -19,6 +21,7 @@ _own_dir: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
+    ship_package(spark)
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")

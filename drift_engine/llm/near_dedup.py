@@ -173,6 +173,14 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(node)], names=["band", "node"])
 
 
+def _whole_sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_key, hashes) of the wanted keys, made anew from the texts of the documents that represent them."""
+    wanted = keys.join(nodes, "set_key").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(_sets, "set_key binary, hashes binary")
+    return materialise(sets.join(keys, "set_key", "left_semi").dropDuplicates(["set_key"]), "near-sets")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of node ids whose whole shingle sets meet the threshold, by estimate first and then exactly."""
 
@@ -195,45 +203,83 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("set_key").alias(f"k{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     good = materialise(sized.filter(worth("ra", "rb", "na", "nb")).select("a", "b", "ka", "kb"), "near-pairs")
-    wanted = good.select(F.col("a").alias("node")).union(good.select("b")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(_sets, "set_key binary, hashes binary")
-    keys = good.select(F.col("ka").alias("set_key")).union(good.select("kb")).distinct()
-    sets = materialise(sets.join(keys, "set_key", "left_semi").dropDuplicates(["set_key"]), "near-sets")
+    sets = _whole_sets(good.select(F.col("ka").alias("set_key")).union(good.select("kb")).distinct(), nodes, docs)
     one, two = sets.select(F.col("set_key").alias("ka"), F.col("hashes").alias("ha")), sets.select(F.col("set_key").alias("kb"), F.col("hashes").alias("hb"))
     return materialise(good.join(one, "ka").join(two, "kb").filter(linked("ha", "hb")).select("a", "b"), "near-links")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket but not yet a component, and whose registers allow a link.
+def _tile_candidates(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a tile whose registers allow a link to a row of another component."""
+    comp, n, part, node = (pdf[c].to_numpy() for c in ("component", "n_shingles", "part", "node"))
+    values = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    found = np.zeros(len(pdf), bool)
+    for x in left:
+        others = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
+        if len(others):
+            others = others[may_link((values[others] == values[x]).sum(1), n[others], np.full(len(others), n[x]), percent)]
+            found[others] = True
+            found[x] |= len(others) > 0
+    return pdf.loc[found, ["band", "i", "j", "part", "node", "component", "set_key"]]
+
+
+def _tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join components of a tile's rows, by whole sets; a pair already joined is not looked at."""
+    comp, part, node = (pdf[c].to_numpy() for c in ("component", "part", "node"))
+    sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+    size = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(number, starts[1:])
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    group = np.unique(comp, return_inverse=True)[1]
+    left = np.flatnonzero(part == i)
+    right = part == j
+    flags = np.zeros(number.max() + 1, np.int64)
+    found = []
+    for x in left:
+        others = right & (group != group[x])
+        if not others.any():
+            continue
+        flags[own[x]] = 1
+        shared = np.add.reduceat(flags[number], starts)
+        flags[own[x]] = 0
+        for y in np.flatnonzero(others & (100 * shared >= percent * (size + size[x] - shared))):
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _rest(rows: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that join components whose members share a bucket.
 
     Buckets with one component are done. The others are compared within one task each,
-    or block by block where they are larger than BLOCK; only pairs that pass come out.
+    or block by block where they are larger than BLOCK; a task first drops the rows that
+    registers rule out, then takes whole sets. Only links that join two components come
+    out, so the result has fewer rows than the buckets, whatever the number of pairs.
     """
     labelled = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "n")
-    labelled = labelled.join(open_, "band").join(nodes.select("node", "n_shingles", "registers"), "node")
+    labelled = labelled.join(open_, "band").join(nodes.select("node", "n_shingles", "registers", "set_key"), "node")
     blocks = F.ceil(F.col("n") / BLOCK)
     labelled = labelled.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     # Each row meets every other block once: in the tile (smaller part, larger part).
     tiles = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    tiled = labelled.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "part", "node", "component", "n_shingles", "registers")
+    tiled = labelled.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "part", "node", "component", "n_shingles", "registers", "set_key")
+    tile = ["band", "i", "j"]
+
+    def allowed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tile_candidates(pdf, percent)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, comp, n, part = (pdf[c].to_numpy() for c in ("node", "component", "n_shingles", "part"))
-        values = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found = []
-        for x in left:
-            others = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-            if len(others):
-                ok = others[may_link((values[others] == values[x]).sum(1), n[others], np.full(len(others), n[x]), percent)]
-                found.append(np.stack([np.minimum(node[x], node[ok]), np.maximum(node[x], node[ok])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tile_links(pdf, percent)
 
-    return tiled.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    candidates = tiled.groupBy(tile).applyInPandas(allowed, "band long, i int, j int, part int, node long, component long, set_key binary")
+    candidates = materialise(candidates, "near-candidates")
+    sets = _whole_sets(candidates.select("set_key").distinct(), nodes, docs)
+    return candidates.join(sets, "set_key").drop("set_key").groupBy(tile).applyInPandas(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: str | None = None) -> DataFrame:
@@ -261,8 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: str | None =
     pairs = materialise(rows.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
     links = _verified(pairs, nodes, docs, percent)
     labels = connected_components(links, "near")
-    rest = _rest(rows.select("band", "node"), nodes, labels, percent).join(pairs, ["a", "b"], "left_anti")
-    more = _verified(materialise(rest, "near-rest"), nodes, docs, percent)
+    more = materialise(_rest(rows.select("band", "node"), nodes, labels, docs, percent), "near-rest")
     if not more.isEmpty():
         labels = connected_components(links.union(more), "near-again")
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
