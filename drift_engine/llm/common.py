@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(_doc: the row as a struct, _file, _at): each row's key is its file and place there, the same on every scan.
+
+    Where docs does not come straight from files it is stored first.
+    """
+
+    def select(df: DataFrame, doc) -> DataFrame:
+        return df.select(doc.alias("_doc"), F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+    if "_metadata" not in docs.columns:
+        with contextlib.suppress(AnalysisException):
+            found = select(docs, F.struct("*"))
+            found.schema  # noqa: B018  resolves the plan
+            return found
+    return select(materialise(docs.select(F.struct("*").alias("_doc")), "keyed"), F.col("_doc"))
+
+
 def global_rank(df: DataFrame, order: list, rank: str = "rank", name: str = "ranked") -> DataFrame:
     """df with its 0-based position in the total order, without a single-task window.
 

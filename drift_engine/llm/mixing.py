@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drift_engine.llm.common import materialise, small, source_key, with_word_count
+from drift_engine.llm.common import keyed, materialise, small, source_key, with_word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -70,44 +70,72 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     return taken(sized, weights, share, max_epochs, seed)
 
 
-def taken(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """As mix(), of a stored table with doc_id, _key and size."""
+def _passes(sized: DataFrame, weights, share: float, max_epochs: int) -> DataFrame:
+    """Per source: source_size, target, whole passes, and `rest`, the words of the last, partial pass."""
     sources = source_targets(sized, "_key", weights, share, max_epochs)
-    sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = sources.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    sources = sources.drop("weight", "cap")
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sized.withColumn("_place", place).withColumn("_bucket", F.shiftrightunsigned("_place", 54))
-    # A hot source spreads over BUCKETS groups; only their sums meet, at most BUCKETS rows a source.
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    sources = sources.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    return sources.drop("weight", "cap")
+
+
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with their seeded place in the order of the partial pass, and the bucket of that place."""
+    return rows.withColumn("_place", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_bucket", F.shiftrightunsigned("_place", 54))
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """(_key, _bucket, _sum, _before): words of each bucket, and of those before it. A hot source spreads over BUCKETS groups; only their sums meet."""
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).join(sources, "_key").drop("_sum")
+    return sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+
+
+def _parts(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """rows with `part`, the words that the partial pass takes. sums: _before, rest and more of each bucket."""
     within = Window.partitionBy("_key", "_bucket").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("size").over(within)).join(sums, ["_key", "_bucket"])
-    before = F.col("_before") + F.col("_upto") - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return rows.withColumn("part", part.cast("long")).drop("_place", "_bucket", "_upto", "_before", "rest")
+    left = F.col("rest") - (F.col("_before") + F.col("_upto") - F.col("size"))
+    return rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")).drop("_place", "_bucket", "_upto", "_before", "rest")
+
+
+def taken(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """As mix(), of a stored table with doc_id, _key and size."""
+    rows = _placed(sized, seed)
+    sums = _before(rows).join(_passes(sized, weights, share, max_epochs), "_key").drop("_sum")
+    return _parts(rows, sums)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: docs' own columns, a row for each pass that takes the document.
 
-    A part pass keeps the document's first `part` words, with the white space
-    between them. At most one document of each source is cut.
+    A part pass keeps the document's first `part` words, with the white space between
+    them; at most one document of each source is cut. Texts are not shuffled: whether a
+    document is in the partial pass follows from its bucket and its source's row, but
+    for the one bucket of each source in which the target falls; that one's documents
+    are joined by their key.
     """
 
     @F.pandas_udf(T.StringType())
     def first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else t[: [m.end() for m in itertools.islice(WORD.finditer(t), int(n))][-1]] for t, n in zip(texts, words)], dtype=object)
 
-    # A row's key is its place in the stored table, the same on each reading.
-    stored = materialise(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-docs")
-    keyed = stored.select(F.col("_doc.doc_id").alias("doc_id"), source_key("_doc.source").alias("_key"), F.col("_doc.text").alias("text"), "_row")
-    plan = taken(materialise(with_word_count(keyed).drop("text"), "mix-sizes"), **options)
-    plan = plan.filter("whole > 0 or part > 0").select("_row", "size", "whole", "part")
+    places = keyed(docs)
+    rows = _placed(with_word_count(places.withColumn("doc_id", F.col("_doc.doc_id")).withColumn("_key", source_key("_doc.source")), "_doc.text"), seed)
+    stored = materialise(rows.select("_file", "_at", "doc_id", "_key", "size", "_place", "_bucket"), "mix-sizes")
+    sums = materialise(_before(stored).join(_passes(stored, weights, share, max_epochs), "_key"), "mix-buckets")
+    # the first bucket that the partial pass does not take whole
+    sources = sums.groupBy("_key", "whole").agg(F.min(F.when(F.col("_before") + F.col("_sum") > F.col("rest"), F.col("_bucket"))).alias("_cut"))
+    edge = sources.filter("_cut is not null").select("_key", F.col("_cut").alias("_bucket"))
+    at_edge = stored.join(small(edge, edge.count()), ["_key", "_bucket"])
+    parts = _parts(at_edge, sums.drop("_sum", "source_size", "target", "whole")).filter("part > 0").select("_file", "_at", F.col("part").alias("_part"))
+    parts = materialise(parts, "mix-edge")
+    rows = rows.join(small(sources, sources.count()), "_key").join(small(parts, parts.count()), ["_file", "_at"], "left")
+    part = F.when(F.col("_bucket") < F.coalesce("_cut", F.lit(BUCKETS)), F.col("size")).when(F.col("_bucket") == F.col("_cut"), F.coalesce("_part", F.lit(0))).otherwise(0)
+    rows = rows.withColumn("part", part.cast("long")).filter("whole > 0 or part > 0")
     passes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda i: F.when(i < F.col("whole"), F.col("size")).otherwise(F.col("part")))
-    rows = stored.join(plan, "_row").withColumn("_take", F.explode(F.filter(passes, lambda n: n > 0)))
+    rows = rows.withColumn("_take", F.explode(F.filter(passes, lambda n: n > 0)))
     short = F.col("_take") < F.col("size")
     cut = first_words(F.when(short, F.col("_doc.text").cast("string")), F.col("_take"))
     text = F.when(short, cut).otherwise(F.col("_doc.text"))
-    return rows.select(*[(text if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    out = {"text": text} | ({"n_chars": F.when(short, F.length(cut)).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[out.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.llm.common import materialise
+from drift_engine.llm.common import keyed, materialise, small
 from drift_engine.llm.components import connected_components
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def _set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary()), ("_carry", pa.int64())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary()), ("_carry", pa.int64()), ("_carry2", pa.int64())])
 
 
 def _sign(batches):
@@ -148,7 +148,7 @@ def _sign(batches):
             n.append(len(hashes))
             keys.append(_set_key(hashes) if len(hashes) else None)
             regs.append(registers(hashes).tobytes() if len(hashes) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip((n, keys, regs), list(_SIGNED)[1:])], batch.column(2)], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip((n, keys, regs), list(_SIGNED)[1:4])], batch.column(2), batch.column(3)], schema=_SIGNED)
 
 
 def _sets(batches):
@@ -282,7 +282,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame,
     return candidates.join(sets, "set_key").drop("set_key").groupBy(tile).applyInPandas(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: tuple[str, str] | None = None) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept, component (an inner number of the group).
 
     Texts with the same shingle set are one class, represented once. Representatives
@@ -294,10 +294,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: str | None =
     Null and empty texts: no shingles, each its own component. Repeated rows fall in one
     component. Null doc_id: its own doc_id is no component id; a component of only such
     rows has id null. An empty table gives no rows. Other columns are not read;
-    carry: a long column to carry along.
+    carry: two long columns to carry along.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(carry) if carry else F.lit(0).cast("long"))
-    signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, registers binary, _carry long").withColumn("_row", F.monotonically_increasing_id()), "near-signed")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[(F.col(c) if carry else F.lit(0).cast("long")).alias(f"_carry{k}") for k, c in enumerate(carry or "ab")])
+    signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, registers binary, _carry long, _carry2 long").withColumn("_row", F.monotonically_increasing_id()), "near-signed")
     classes = materialise(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("label")), "near-classes")
     chosen = signed.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi")
     nodes = materialise(chosen.select(F.col("_row").alias("node"), "doc_id", "n_shingles", "set_key", "registers"), "near-nodes")
@@ -315,14 +315,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: str | None =
     named = named.join(ids, "component").select("set_key", "component_id", "component")
     rows = signed.drop("registers").join(named, "set_key", "left")
     rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "component", *([F.col("_carry").alias(carry)] if carry else []))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "component", *([F.col("_carry").alias(carry[0]), F.col("_carry2").alias(carry[1])] if carry else []))
 
 
 def first_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' own columns, one row of each component: that of the smallest doc_id, and of equal ids one of them. Rows without words all stay."""
-    stored = materialise(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_at")), "near-docs")
-    found = near_duplicates(stored.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_at"), carry="_at", **options)
-    found = materialise(found.select("doc_id", "n_shingles", "component", "_at"), "near-found")
+    """docs' own columns, one row of each component: that of the smallest doc_id, and of equal ids one of them. Rows without words all stay.
+
+    The other rows' keys are taken out by an anti join; where their counted number is
+    small they go to every task, and texts are not shuffled.
+    """
+    places = keyed(docs)
+    found = near_duplicates(places.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_file", "_at"), carry=("_file", "_at"), **options)
+    found = materialise(found.filter("n_shingles > 0").select("doc_id", "component", "_file", "_at"), "near-found")
     # Hot components meet as partial minima, one row a task.
-    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at"))["_at"].alias("_at")).select("_at")
-    return stored.join(first.union(found.filter("n_shingles = 0").select("_at")), "_at", "left_semi").select("_doc.*")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_at")).alias("x")).select("x._file", "x._at")
+    others = materialise(found.select("_file", "_at").join(first, ["_file", "_at"], "left_anti"), "near-others")
+    return places.join(small(others, others.count()), ["_file", "_at"], "left_anti").select("_doc.*")

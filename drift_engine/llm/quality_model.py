@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drift_engine.llm.common import materialise, small, source_key
 
@@ -142,7 +143,53 @@ def pseudo_count(sites: DataFrame, parent: Column) -> float:
     return float(min(MOST_COUNT, max(LEAST_COUNT, (1 - ratio) / ratio))) if ratio > 0 else MOST_COUNT
 
 
-def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Classifier | None = None, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+def log_odds(model: Classifier, text: Column) -> Column:
+    """The classifier's log odds of good quality, from the text alone."""
+
+    @F.arrow_udf(T.DoubleType())
+    def judge(texts: pa.Array) -> pa.Array:
+        x = np.array([features(t.as_py() or "") for t in texts]).reshape(-1, WIDTH)
+        return pa.array(model.log_odds(x), pa.float64())
+
+    return judge(text.cast("string"))
+
+
+@dataclass
+class Rates:
+    """Site sums (host, path, n, s, host_n, host_s), the global rate, and the pseudo-counts of host and path."""
+
+    sites: DataFrame
+    prior: float
+    host_count: float
+    path_count: float
+
+
+def site_rates(rows: DataFrame) -> Rates:
+    """From a table with host, path and odds. Probabilities are summed by path, then by host; partial sums come first."""
+    p = 1 / (1 + F.exp(-F.col("odds")))
+    paths = materialise(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality-paths")
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    prior = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    host_count = pseudo_count(hosts, F.lit(prior))
+    drawn = ((F.col("s") + host_count * prior) / (F.col("n") + host_count)).alias("p_host")
+    sites = materialise(paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), drawn), "host"), "quality-sites")
+    return Rates(sites, prior, host_count, pseudo_count(sites, F.col("p_host")))
+
+
+def with_posterior(rows: DataFrame, rates: Rates) -> DataFrame:
+    """rows (host, path, odds) with p_document, p_host, p_path and posterior; each document is left out of its own site's sums."""
+    sites = rates.sites.drop("p_host")
+    p, a, b = F.col("p_document"), rates.host_count, rates.path_count
+    out = rows.join(small(sites, sites.count()), ["host", "path"]).withColumn("p_document", 1 / (1 + F.exp(-F.col("odds"))))
+    out = out.withColumn("p_host", (F.col("host_s") - p + a * rates.prior) / (F.col("host_n") - 1 + a))
+    out = out.withColumn("p_path", (F.col("s") - p + b * F.col("p_host")) / (F.col("n") - 1 + b))
+    inside = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("p_path")))
+    shift = F.log(inside / (1 - inside)) - float(np.log(rates.prior / (1 - rates.prior)))
+    return out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("odds") + shift)))).drop("n", "s", "host_n", "host_s")
+
+
+def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Classifier | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, host, path, p_document, p_host, p_path, posterior, kept.
 
     p_document is the classifier's probability from the text alone. Probabilities are
@@ -153,45 +200,26 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     path's odds in place of the global ones. kept: posterior at least the threshold.
 
     Null text: no evidence but the empty text's own features. Null host or path: a site of
-    its own. host and path are keys like source_key()'s. Repeated rows are assessed alike. Empty tables give no rows; without labels
-    the classifier gives every document one half. row: a unique key to carry along.
+    its own. host and path are keys like source_key()'s. Repeated rows are assessed alike.
+    Empty tables give no rows; without labels the classifier gives every document one half.
     """
     model = model or fit(docs, labels)
     host = source_key("source") if host is None else host
     path = source_key("lang") if path is None else path
-
-    def judge(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("odds", pa.float64())])
-        for batch in batches:
-            x = np.array([features(t.as_py() or "") for t in batch.column(3)]).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(model.log_odds(x))], schema=schema)
-
-    key = F.col(row) if row else F.col("doc_id").cast("long")
-    rows = docs.select(key.alias("doc_id"), host.alias("host"), path.alias("path"), F.col("text").cast("string").alias("text"))
-    rows = materialise(rows.mapInArrow(judge, "doc_id long, host string, path string, odds double"), "quality-odds")
-    p = 1 / (1 + F.exp(-F.col("odds")))
-    paths = materialise(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "quality-paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    prior = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    host_count = pseudo_count(hosts, F.lit(prior))
-    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + host_count * prior) / (F.col("n") + host_count)).alias("p_host"))
-    sites = materialise(paths.join(hosts, "host"), "quality-sites")
-    path_count = pseudo_count(sites, F.col("p_host"))
-    out = rows.join(small(sites, sites.count()), ["host", "path"]).withColumn("p_document", p)
-    others_host = (F.col("host_s") - F.col("p_document") + host_count * prior) / (F.col("host_n") - 1 + host_count)
-    out = out.withColumn("p_host", others_host)
-    out = out.withColumn("p_path", (F.col("s") - F.col("p_document") + path_count * F.col("p_host")) / (F.col("n") - 1 + path_count))
-    inside = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
-    shift = F.log(inside(F.col("p_path")) / (1 - inside(F.col("p_path")))) - float(np.log(prior / (1 - prior)))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("odds") + shift))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), log_odds(model, F.col("text")).alias("odds"))
+    rows = materialise(rows, "quality-odds")
+    out = with_posterior(rows, site_rates(rows))
     named = lambda c: F.when(F.substring(c, 1, 1) == "0", F.substring(c, 2, 2**30)).alias(c)  # noqa: E731  the key's first letter only orders nulls last
     return out.select("doc_id", named("host"), named("path"), "p_document", "p_host", "p_path", "posterior", (F.col("posterior") >= threshold).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs' own columns and rows, without the rejected documents."""
-    stored = materialise(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "quality-docs")
-    keyed = stored.select(*[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "text", "source", "lang")], "_row")
-    passed = assess(keyed, labels, row="_row", **options).filter("kept").select(F.col("doc_id").alias("_row"))
-    return stored.join(passed, "_row", "left_semi").select("_doc.*")
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' own columns and rows, without the rejected documents.
+
+    Texts are read and measured a second time rather than shuffled: the first pass keeps
+    two keys and a number a row, and only site sums are joined to the second.
+    """
+    model = fit(docs, labels)
+    rows = docs.select(F.struct("*").alias("_doc"), source_key("source").alias("host"), source_key("lang").alias("path"), log_odds(model, F.col("text")).alias("odds"))
+    rates = site_rates(materialise(rows.select("host", "path", "odds"), "quality-odds"))
+    return with_posterior(rows, rates).filter(F.col("posterior") >= threshold).select("_doc.*")

@@ -52,7 +52,7 @@ def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("removed_at")
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pack_patterns, op2_quality_bayes, op3_tokens_by_section, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
