@@ -28,33 +28,23 @@ SUPER = 4096
 PHRASE_END = r"(?<=[^a-zA-Z0-9 \t\x0B\f\r]|[bcghiklmprsuvwxyzBCGHIKLMPRSUVWXYZ02468])[ \t\x0B\f\r]+|\n"
 
 
-def _add_up(values: Column, term) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, h: (a + term(h)).bitwiseAND(F.lit(LOW)))
-
-
-def _hashed(lines: str, seed: int) -> Column:
-    return F.transform(lines, lambda p: F.xxhash64(F.lit(seed), p))
-
-
-def _bits_set(hashes: str, j: int) -> Column:
-    """How many hashes have bit j, and bit j + 32: two counters in a long. A text has under 2 ** 31 phrases, so neither runs over."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftright(h, j).bitwiseAND(F.lit(1 | 1 << 32)))
-
-
-def with_fingerprint(df: DataFrame, text: str, name: str, keep: bool = True) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with `name`, the fingerprint (array of longs) of its column `text`. Null text is empty: all zeros."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     filled = lambda parts: F.filter(parts, lambda p: p != "")
     df = df.withColumn("_lines", filled(F.split(whole, "\n"))).withColumn("_phrases", F.transform(filled(F.split(whole, PHRASE_END)), lambda p: F.xxhash64(p)))
-    for k in range(EQUAL // 2):
-        df = df.withColumn(f"_h{k}", _hashed("_lines", k))
-    lanes = []
-    for k in range(EQUAL // 2):
-        lanes += [_add_up(F.col(f"_h{k}"), lambda h: h.bitwiseAND(F.lit(LOW))), _add_up(F.col(f"_h{k}"), lambda h: F.shiftrightunsigned(h, 32))]
-    lanes.append(F.size("_phrases").cast("long"))
-    lanes += [_bits_set("_phrases", j) for j in range(LIKE)]
-    out = df.withColumn(name, F.array(*lanes))
-    return out.drop("_lines", "_phrases", *[f"_h{k}" for k in range(EQUAL // 2)])
+    zero, low = F.lit(0).cast("long"), F.lit(LOW)
+    none = F.struct(zero.alias("lo"), zero.alias("hi"))
+
+    def add(a: Column, h: Column) -> Column:
+        return F.struct((a["lo"] + h.bitwiseAND(low)).bitwiseAND(low).alias("lo"), (a["hi"] + F.shiftrightunsigned(h, 32)).bitwiseAND(low).alias("hi"))
+
+    # A hash of each line per seed, its halves added up modulo 2 ** 32.
+    sums = F.transform(F.sequence(F.lit(1), F.lit(EQUAL // 2)), lambda k: F.aggregate(F.transform("_lines", lambda p: F.xxhash64(k, p)), none, add, lambda s: F.array(s["lo"], s["hi"])))
+    # How many hashes have bit j, and bit j + 32: two counters in a long. A text has under 2 ** 31 phrases, so neither runs over.
+    pair = F.lit(1 | 1 << 32)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(LIKE - 1)), lambda j: F.aggregate("_phrases", zero, lambda a, h: a + F.call_function("shiftright", h, j).bitwiseAND(pair)))
+    return df.withColumn(name, F.concat(F.flatten(sums), F.array(F.size("_phrases").cast("long")), bits)).drop("_lines", "_phrases")
 
 
 def merged(a: Column, b: Column, sign: int = 1) -> Column:
@@ -69,9 +59,8 @@ def merged(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Lowercase hexadecimal, 8 digits for each EQUAL lane and the count, 16 for each LIKE long."""
-    digits = [F.lpad(F.lower(F.hex(fingerprint[i])), 8 if i <= EQUAL else 16, "0") for i in range(EQUAL + 1 + LIKE)]
-    return F.concat(*digits)
+    """16 lowercase hexadecimal digits for each long."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
