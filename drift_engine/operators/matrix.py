@@ -85,7 +85,9 @@ def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool =
     merged = merged.withColumn("a", F.last("o", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("o", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     merged = merged.filter("_target = 1")
     start = F.struct(F.lit("exact").alias("status"), F.col("from.x").alias("x"), F.col("from.y").alias("y"))
-    return merged.select(*ids, "k", start.alias("start"), _located(F.col("t"), "a", "b", geographic, max_gap).alias("end"))
+    # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
+    end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
+    return merged.select(*ids, "k", start.alias("start"), end.alias("end"))
 
 
 def segments(tracks: DataFrame, lag: float, mode: str = "non_overlapping", geographic: bool = False, max_gap: float | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ ORACLES["san_diagnostics"] = text(
 ORACLES["san_identity"] = """SELECT event_id, '["a/b", "' || user_id || '"]' AS identity FROM events"""
 _WRAP = (
     POINTS.replace("tracks AS (SELECT trajectory, t - t0 AS t, x, y FROM counted", "tracks AS (SELECT trajectory, t - t0 AS t, x * 3.0 - 360 * floor(x * 3.0 / 360) - 180 AS x, y * 0.5 - 80.0 AS y FROM counted")
-    .replace("px + (tt - pt) / (qt - pt) * (qx - px)", "px + (tt - pt) / (qt - pt) * (CASE WHEN qx - px = 180 THEN 180 ELSE qx - px + 180 - 360 * floor((qx - px + 180) / 360) - 180 END)")
+    .replace("px + (tt - pt) / (qt - pt) * (qx - px)", "px + (tt - pt) / (qt - pt) * (CASE WHEN qx - px > 180 THEN qx - px - 360 WHEN qx - px < -180 THEN qx - px + 360 ELSE qx - px END)")
     + """, placed AS (SELECT sx + 180 - 360 * floor((sx + 180) / 360) AS a, sy AS b, ex + 180 - 360 * floor((ex + 180) / 360) AS c, ey AS d FROM segs),
 wrapped AS (SELECT CAST(floor(a / 10.0) AS BIGINT) AS start_x_bin, CAST(floor((b + 80) / 5.0) AS BIGINT) AS start_y_bin, CAST(floor(c / 10.0) AS BIGINT) AS end_x_bin, CAST(floor((d + 80) / 5.0) AS BIGINT) AS end_y_bin FROM placed WHERE b >= -80 AND b < -30 AND d >= -80 AND d < -30)"""
 )
