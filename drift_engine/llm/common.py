@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,31 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drift_engine import storage
 from drift_engine.session import ship_package
 
 #: A side is broadcast only when its counted rows stay under this.
 BROADCAST_ROWS = 200_000
 
-_own_dir: dict[str, str] = {}
+#: Rows of texts and bytes that go to a Python worker at once.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
-    ship_package(spark)
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="drift_engine_shared_")
-    return _own_dir[app]
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """storage.materialise, after small_batches()."""
+    small_batches(df.sparkSession)
+    return storage.materialise(df, name)
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches fit for whole texts, where the session has Spark's own defaults."""
+    ship_package(spark)
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

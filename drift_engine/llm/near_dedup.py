@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.llm.common import keyed, materialise, small
-from drift_engine.llm.components import connected_components
+from drift_engine.operators.graph import connected_components
 
 SHINGLE = 5
 PERCENT = 85
@@ -35,7 +35,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered within a worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.llm import tokenise
+from drift_engine.llm.common import small_batches
 
 _SECTIONS = pa.schema([("doc_id", pa.int64()), ("section", pa.string()), ("place", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("n_tokens", pa.int64()), ("crossing_tokens", pa.int64())])
 _SECTIONS_DDL = "doc_id long, section string, place int, char_start long, char_end long, n_tokens long, crossing_tokens long"
@@ -61,6 +62,7 @@ def section_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     columns are not read. Whole documents stay in one worker; nothing is shuffled.
     """
     tokenizer = tokenizer or tokenise.default_path()
+    small_batches(docs.sparkSession)
 
     def count(batches):
         for batch in batches:
@@ -83,6 +85,7 @@ def field_counts(rows: DataFrame, key: str, fields: list[str], tokenizer: str |
     Null fields are empty. The result's doc_id is the key, its section the field's name.
     """
     tokenizer = tokenizer or tokenise.default_path()
+    small_batches(rows.sparkSession)
 
     def count(batches):
         for batch in batches:

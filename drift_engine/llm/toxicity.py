@@ -53,7 +53,7 @@ class _Lookup(dict):
         self.places = {t: i for i, t in enumerate(vocabulary)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = tuple(self.places[t] for t in terms_of(word) if t in self.places)
         return value
