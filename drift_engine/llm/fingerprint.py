@@ -24,6 +24,8 @@ LOW = (1 << 32) - 1
 #: Documents in one block of neighbouring ids.
 BLOCK_ROWS = 512
 SUPER = 4096
+#: An output task gets so many documents at least, so that small tables don't end in hundreds of files.
+TASK_ROWS = 8192
 #: A phrase ends at a line's end, or at white space after a mark or one of these letters, which about half of all words end with.
 PHRASE_END = r"(?<=[^a-zA-Z0-9 \t\x0B\f\r]|[bcghiklmprsuvwxyzBCGHIKLMPRSUVWXYZ02468])[ \t\x0B\f\r]+|\n"
 
@@ -123,7 +125,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     head = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut).cast("int"))
     rows = rows.withColumn("edited", F.concat(head, F.substring(F.col("next_text"), F.lit(1), cut))).drop("text", "next_text")
     rows = with_fingerprint(rows, "edited", "fp2")
-    return rows.select(
+    out = rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -132,3 +134,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("fp"), F.col("fp2")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
+    # With more partitions than this, coalesce() changes nothing.
+    return out.coalesce(max(1, -(-docs.count() // TASK_ROWS)))
