@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import number
 from drift_engine.functions.geodesy import Grid, Space
-from drift_engine.operators import cellstats, matrix, tracks
+from drift_engine.operators import cellstats, directional, flux, matrix, sections, tracks
+from drift_engine.storage import materialise
 
 GRID_E = Grid(0.0, 120.0, 0.0, 100.0, 10.0, 10.0)
 GRID_G = Grid(-180.0, 180.0, -80.0, -30.0, 10.0, 5.0, True)
@@ -64,3 +65,30 @@ def links_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellstats.cell_statistics(links_e(spark, sf_dir), GRID_E, DAY)
+
+
+#: Directional limits for these data, which are less concentrated than the defaults ask for.
+LIMITS = {"p_move": 0.5, "r1": 0.5, "strength": 0.4}
+SECTIONS = sections.SectionConfig()
+
+
+def cells_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(cells_e(spark, sf_dir), "cells-e")
+
+
+def supported_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_stored(spark, sf_dir).filter(F.col("N_out_move") >= MIN_SUPPORT)
+
+
+def flux_cores_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flux.cores(cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT)
+
+
+def directional_cores_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directional.cores(cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT, **LIMITS)
+
+
+def flux_sections_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cells_stored(spark, sf_dir)
+    cores = flux.cores(cells, GRID_E, SPACE_E, MIN_SUPPORT)
+    return flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= MIN_SUPPORT), GRID_E, SPACE_E, SECTIONS)

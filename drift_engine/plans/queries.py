@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.operators import cellstats, matrix, tracks, validate
+from drift_engine.functions import geodesy
+from drift_engine.operators import cellstats, compare, directional, flux, graph, gridops, matrix, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
 from drift_engine.plans.oracles import GAP, ORACLES
+from drift_engine.sources import naming
 
 QUERIES: dict = {}
 
@@ -170,4 +172,266 @@ def cell_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cells_e(spark, sf_dir)
 
 
+@query
+def nbr_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    return gridops.consistency(cells, "theta1_out", P.GRID_E, "N_out_move", P.MIN_SUPPORT).select("cell_id", *r6("consistency"), "neighbours")
+
+
+@query
+def grd_smooth3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.supported_e(spark, sf_dir)
+    return gridops.smooth(cells, "N_out_move", P.GRID_E).select("cell_id", *r6("smoothed"))
+
+
+@query
+def grd_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.supported_e(spark, sf_dir)
+    points = cells.select("cell_id", (F.col("x") + 3.7).alias("px"), (F.col("y") - 2.3).alias("py"))
+    return gridops.sample(points, ["cell_id"], cells, ["N_out_move"], P.GRID_E).select("cell_id", "boundary", *r6("N_out_move"))
+
+
+@query
+def grd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbour_pairs(P.supported_e(spark, sf_dir), P.GRID_E)
+
+
+@query
+def rdg_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ridge.threshold(P.supported_e(spark, sf_dir), "U_out_all_magnitude_rate", 0.9).select(*r6(threshold=F.col("threshold") * 1000))
+
+
+@query
+def rdg_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ridge.flux_ridge(P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT)
+    return found.select("cell_id", "ridge_type", "missing_side", "left_status", "right_status", *r6(D_minus=F.col("D_minus") * 1000, D_plus=F.col("D_plus") * 1000))
+
+
+@query
+def dcr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    return cells.filter(ridge.directional_candidates(cells, P.MIN_SUPPORT, **P.LIMITS)).select("cell_id", *r6("theta1_out", "R1_out"))
+
+
+@query
+def dcr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    edges = directional.compatible_edges(cells.filter(ridge.directional_candidates(cells, P.MIN_SUPPORT, **P.LIMITS)), P.GRID_E, P.SPACE_E)
+    return edges.select("a", "b", *r6("edge_length", "direction_difference", "mismatch_a", "mismatch_b"))
+
+
+@query
+def grf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    found = directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS)
+    return found.select("cell_id", "component", F.col("component_number").cast("long"), F.col("component_cells").cast("long"))
+
+
+@query
+def grf_degree_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    found = directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS)
+    return found.select("cell_id", F.col("degree").cast("long"), "endpoint", "junction", "isolated", "component_class")
+
+
+@query
+def dco_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    found = cells.filter(ridge.directional_candidates(cells, P.MIN_SUPPORT, **P.LIMITS))
+    return directional.raw_ridges(cells, found, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT).select("cell_id", "ridge_type", "missing_side", *r6("left_value", "right_value"))
+
+
+@query
+def dco_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    found = cells.filter(ridge.directional_candidates(cells, P.MIN_SUPPORT, **P.LIMITS))
+    out = directional.plateaus(directional.raw_ridges(cells, found, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT), P.GRID_E, P.SPACE_E)
+    return out.select("cell_id", "plateau_id", F.col("plateau_size").cast("long"), "representative", "is_representative")
+
+
+@query
+def dco_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.directional_cores_e(spark, sf_dir).select("cell_id", "component_id", "ridge_type", "missing_side", "plateau_id")
+
+
+@query
+def dfr_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = P.directional_cores_e(spark, sf_dir)
+    return directional.hops(cores, directional.compatible_edges(cores, P.GRID_E, P.SPACE_E), 2)
+
+
+@query
+def dfr_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = P.directional_cores_e(spark, sf_dir)
+    rows = directional.directional_sections(cores, P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, P.SECTIONS)
+    out = directional.directional_fronts(cores, rows, P.SECTIONS)
+    return out.select("cell_id", "side", "observable", "front_detected", "front_status", *r6("front_x", "front_y", "distance_from_core", "loss", "relative_loss"))
+
+
+@query
+def grf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = flux.oriented_segments(P.flux_cores_e(spark, sf_dir), P.GRID_E, P.SPACE_E)
+    return members.select("component", "segment", "sequence", "cell_id", "closed", *r6("tangent", "mismatch", "edge_length"))
+
+
+@query
+def grf_segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = flux.oriented_segments(P.flux_cores_e(spark, sf_dir), P.GRID_E, P.SPACE_E)
+    return flux.segment_statistics(members).select("component", "segment", "cells", "closed", *r6("length", "total_turn", "largest_turn", "median_mismatch", integrated_strength=F.col("integrated_strength") * 1000))
+
+
+@query
+def grf_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = flux.component_ranks(P.flux_cores_e(spark, sf_dir))
+    return out.select("component", "cells", F.col("rank_cells").cast("long"), F.col("rank_strength").cast("long"), F.col("rank_peak").cast("long"))
+
+
+@query
+def grf_interruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flux.interruptions(P.flux_cores_e(spark, sf_dir), P.supported_e(spark, sf_dir), P.GRID_E)
+
+
+@query
+def sec_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir)
+    return rows.select("section", "i", "side", "boundary", "observable", *r6("px", "py", "distance", "u_relative", u=F.col("u") * 1000))
+
+
+@query
+def sec_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir)
+    return rows.select("section", "core_i", "core_uncertain", *r6(core_u=F.col("core_u") * 1000)).distinct()
+
+
+@query
+def sec_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.flux_sections_e(spark, sf_dir).select("section", "i", *r6(u_smooth=F.col("u_smooth") * 1000))
+
+
+@query
+def sec_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = P.flux_cores_e(spark, sf_dir).withColumn("section", F.col("cell_id"))
+    return sections.contaminated(cores, cores, "theta_mu_out", P.GRID_E, P.SPACE_E, P.SECTIONS)
+
+
+@query
+def cmpx_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir).filter("step is not null")
+    return rows.select("section", "step", "n_composite", *r6(u_composite=F.col("u_composite") * 1000, u_q25=F.col("u_q25") * 1000, u_q75=F.col("u_q75") * 1000))
+
+
+@query
+def cmpx_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir).filter("n_decline is not null")
+    return rows.select("section", "step", "n_decline", *r6("fraction_decline"))
+
+
+@query
+def drp_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sections.zones(P.flux_sections_e(spark, sf_dir), sections.FLUX, P.SECTIONS)
+    return out.select("section", "side", "cell_id", "persistent", "eligible", F.col("rank").cast("long"), *r6("distance", "relative_drop", drop=F.col("drop") * 1000))
+
+
+@query
+def drp_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir)
+    out = sections.side_summaries(rows, sections.zones(rows, sections.FLUX, P.SECTIONS), sections.FLUX)
+    return out.select("section", "side", "candidates", "detected", *r6("distance_half", "distance_1e", "distance_zero"))
+
+
+@query
+def frt_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = flux.flux_fronts(P.flux_cores_e(spark, sf_dir), P.flux_sections_e(spark, sf_dir), P.SECTIONS)
+    return out.select("cell_id", "side", "observable", "front_detected", "front_status", *r6("front_x", "front_y", "distance_from_core", "relative_loss", loss=F.col("loss") * 1000))
+
+
+@query
+def cmp_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT)
+    return out.select("cell_id", F.col("flux_component").cast("long"), F.col("directional_component").cast("long"), "class")
+
+
+@query
+def cmp_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare.component_overlap(compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT))
+    return out.select("kind", F.col("component").cast("long"), "cells", "shared", *r6("fraction"))
+
+
+@query
+def cmp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compare.summary(compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT))
+    return out.select("supported_cells", *compare.CLASSES, *r6(*[f"{c}_fraction" for c in compare.CLASSES]))
+
+
+@query
+def grv_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gridops.gradient(P.cells_stored(spark, sf_dir), "N_out_move", P.GRID_E, P.SPACE_E)
+    return out.select("cell_id", "gradient_east_method", "gradient_north_method", *r6("gradient_east", "gradient_north"))
+
+
+@query
+def grv_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    g = gridops.along_across(gridops.gradient(cells, "U_out_all_magnitude_rate", P.GRID_E, P.SPACE_E), "theta_mu_out")
+    fronts = flux.flux_fronts(P.flux_cores_e(spark, sf_dir), P.flux_sections_e(spark, sf_dir), P.SECTIONS)
+    out = compare.local_context(fronts, g, P.GRID_E, P.SPACE_E)
+    return out.select("cell_id", "side", *r6("largest_distance", largest=F.col("largest") * 1000, at_front=F.col("at_front") * 1000))
+
+
+@query
+def geo_cart_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geodesy.with_scales(P.cells_stored(spark, sf_dir).select("cell_id", "x_bin", "y_bin"), P.GRID_E, P.SPACE_E).select("cell_id", *r6("x_scale", "y_scale", "scale"))
+
+
+@query
+def geo_geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cellstats.enriched_links(P.matrix_g(spark, sf_dir), P.GRID_G, P.SPACE_G)
+    return links.select(*BINS, *r6("distance", "theta_out", "theta_in_source"))
+
+
+@query
+def geo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cellstats.enriched_links(P.matrix_g(spark, sf_dir), P.GRID_G, P.SPACE_G)
+    cells = cellstats.cell_statistics(links, P.GRID_G, P.DAY)
+    return cells.select("cell_id", "N_out_move", *r6("R1_out", "theta1_out", "mu_out_all_magnitude", "A_io"))
+
+
+@query
+def s4_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.levels(P.cells_stored(spark, sf_dir), supports=(1, P.MIN_SUPPORT)).select("support", "level", "cells", *r6("shared_with_coherent"))
+
+
+@query
+def s4_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.directions(P.cells_stored(spark, sf_dir)).select("field", "cells", *r6("q10", "q50", "q90"))
+
+
+@query
+def s4_low_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.low_alignment(P.cells_stored(spark, sf_dir), P.MIN_SUPPORT).select("cell_id", "label", *r6("A_io"))
+
+
+@query
+def s4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.representatives(P.cells_stored(spark, sf_dir), "label", "N_out_move", 3, P.MIN_SUPPORT).select("label", F.col("place").cast("long"), "cell_id")
+
+
+@query
+def plt_vector_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.vectors(P.cells_stored(spark, sf_dir), 3).select("cell_id", "x_bin", "y_bin", *r6("D_out_all_x", "D_out_all_y"))
+
+
+@query
+def plt_dateline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = P.tracks_g(spark, sf_dir).select(F.col("trajectory").alias("line"), F.col("time").alias("place"), "x", "y")
+    return review.dateline_parts(lines).groupBy("line", "part").agg(F.count("*").alias("points")).select("line", F.col("part").cast("long"), "points")
+
+
+@query
+def snk_public_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir).select("cell_id", F.col("x").alias("core_x"), F.col("distance_mean").alias("distance_mean_length"), F.col("U_out_all_magnitude_rate"))
+    out = naming.public(cells, P.SPACE_E, "s")
+    return out.select("cell_id", *r6("core_x", "distance_mean_m", U_out_all_magnitude_m_per_s=F.col("U_out_all_magnitude_m_per_s") * 1000))
+
+
 __all__ = ["ORACLES", "QUERIES"]
