@@ -120,22 +120,21 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
         return pd.Series([None if t is None else t[: [m.end() for m in itertools.islice(WORD.finditer(t), int(n))][-1]] for t, n in zip(texts, words)], dtype=object)
 
     places = keyed(docs)
-    rows = _placed(with_word_count(places.withColumn("doc_id", F.col("_doc.doc_id")).withColumn("_key", source_key("_doc.source")), "_doc.text"), seed)
-    stored = materialise(rows.select("_file", "_at", "doc_id", "_key", "size", "_place", "_bucket"), "mix-sizes")
+    rows = places.withColumn("doc_id", F.col("_doc.doc_id")).withColumn("_key", source_key("_doc.source"))
+    stored = materialise(_placed(with_word_count(rows, "_doc.text"), seed).select("_file", "_at", "doc_id", "_key", "size", "_place", "_bucket"), "mix-sizes")
     sums = materialise(_before(stored).join(_passes(stored, weights, share, max_epochs), "_key"), "mix-buckets")
     # the first bucket that the partial pass does not take whole
     sources = sums.groupBy("_key", "whole").agg(F.min(F.when(F.col("_before") + F.col("_sum") > F.col("rest"), F.col("_bucket"))).alias("_cut"))
     edge = sources.filter("_cut is not null").select("_key", F.col("_cut").alias("_bucket"))
     at_edge = stored.join(small(edge, edge.count()), ["_key", "_bucket"])
-    parts = _parts(at_edge, sums.drop("_sum", "source_size", "target", "whole")).filter("part > 0").select("_file", "_at", F.col("part").alias("_part"))
-    parts = materialise(parts, "mix-edge")
-    rows = rows.join(small(sources, sources.count()), "_key").join(small(parts, parts.count()), ["_file", "_at"], "left")
-    part = F.when(F.col("_bucket") < F.coalesce("_cut", F.lit(BUCKETS)), F.col("size")).when(F.col("_bucket") == F.col("_cut"), F.coalesce("_part", F.lit(0))).otherwise(0)
-    rows = rows.withColumn("part", part.cast("long")).filter("whole > 0 or part > 0")
-    passes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda i: F.when(i < F.col("whole"), F.col("size")).otherwise(F.col("part")))
-    rows = rows.withColumn("_take", F.explode(F.filter(passes, lambda n: n > 0)))
-    short = F.col("_take") < F.col("size")
-    cut = first_words(F.when(short, F.col("_doc.text").cast("string")), F.col("_take"))
-    text = F.when(short, cut).otherwise(F.col("_doc.text"))
-    out = {"text": text} | ({"n_chars": F.when(short, F.length(cut)).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[out.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    parts = materialise(_parts(at_edge, sums.drop("_sum", "source_size", "target", "whole")).filter("part > 0").select("_file", "_at", "size", "part"), "mix-edge")
+    full, cut = parts.filter("part = size").select("_file", "_at", F.lit(1).alias("_full")), parts.filter("part < size")
+    rows = _placed(rows, seed).join(small(sources, sources.count()), "_key").join(small(full, full.count()), ["_file", "_at"], "left")
+    once_more = F.when(F.col("_bucket") < F.coalesce("_cut", F.lit(BUCKETS)), 1).otherwise(F.coalesce("_full", F.lit(0)))
+    copies = (F.col("whole") + once_more).cast("int")
+    # a text without a word is never taken
+    rows = rows.filter(F.col("_doc.text").cast("string").rlike(r"[^\x20\x09-\x0D]")).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), copies))).select("_doc.*")
+    short = places.join(small(cut, cut.count()), ["_file", "_at"])
+    text = first_words(F.col("_doc.text").cast("string"), F.col("part"))
+    out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.unionByName(short.select(*[out.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns]))
