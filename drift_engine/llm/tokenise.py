@@ -34,12 +34,13 @@ def _loaded(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     letters = _byte_letters()
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
-    lengths = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in ranks.items():
+        file = json.load(f)
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    vocab = {t: i for t, i in file["model"]["vocab"].items() if t not in added}
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+    lengths = np.zeros(1 + max([*vocab.values(), *added.values()]), np.int64)
+    for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
         lengths[i] = len(token)
-    lengths[vocab[SPECIAL] if SPECIAL in vocab else -1] = len(SPECIAL)
 
     @functools.lru_cache(1)
     def slow():
