@@ -39,7 +39,7 @@ def odd(spark):
         (8, "Ünï <|endoftext|> 漢字 " + line, "de", "c"),
         (9, body.upper(), "en", "\U0001f600"),
     ]
-    rows += [(20 + i, f"{body} {i}\n{line}\nother {i} words end it now", "en", "c") for i in range(14)]
+    rows += [(20 + i, f"{body} {chr(97 + i)}\n{line}\nother {chr(97 + i)} words end it now", "en", "c") for i in range(14)]
     return spark.createDataFrame([(a, b, c, d, None if b is None else len(b), 1, 2, 3, 4, "k", True) for a, b, c, d in rows], DDL)
 
 
