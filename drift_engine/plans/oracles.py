@@ -158,3 +158,114 @@ ORACLES["s3_incoming"] = text(OUT, "SELECT cell_id, " + r6(R1_in="least(1, sqrt(
 _ANGLES = OUT + f", ang AS (SELECT o.cell_id, {bearing('o.s1', 'o.c1')} AS a, {bearing('i.s1', 'i.c1')} AS b, {bearing('o.mx', 'o.my')} AS e, {bearing('i.mx', 'i.my')} AS f FROM outgoing o JOIN incoming i ON o.cell_id = i.cell_id)"
 ORACLES["s3_alignment"] = text(_ANGLES, "SELECT cell_id, " + r6(A_io="cos(radians(a - b))", A_io_mu="cos(radians(e - f))", delta_theta_io_1=apart("a", "b"), delta_theta_io_mu=apart("e", "f")) + " FROM ang")
 ORACLES["dirv_vectors"] = text(OUT, "SELECT c.cell_id, " + r6(D_out_move_x="s1", D_out_move_y="c1", D_out_all_x="n_move * 1.0 / n_out * s1", D_out_all_y="n_move * 1.0 / n_out * c1", D_out_all_magnitude="n_move * 1.0 / n_out * sqrt(s1 * s1 + c1 * c1)") + " FROM counts c JOIN outgoing o ON c.cell_id = o.cell_id")
+
+STATS = OUT + f""", tot AS (SELECT sid, sum(n) AS tn, sum(n * dx) * 1.0 AS sx, sum(n * dy) * 1.0 AS sy FROM links GROUP BY sid),
+stats AS (SELECT c.cell_id, c.cell_id % 12 AS xb, c.cell_id // 12 AS yb, (c.cell_id % 12 + 0.5) * 10.0 AS x, (c.cell_id // 12 + 0.5) * 10.0 AS y, c.n_out, c.n_move, CASE WHEN c.n_out > 0 THEN 1 - (c.n_out - c.n_move) * 1.0 / c.n_out END AS pm,
+ sqrt(t.sx * t.sx + t.sy * t.sy) / t.tn / 86400.0 AS u, t.sx / t.tn / 86400.0 AS ux, t.sy / t.tn / 86400.0 AS uy, least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)) AS r1, {bearing('o.s1', 'o.c1')} AS th, {bearing('o.mx', 'o.my')} AS tm, {bearing('i.s1', 'i.c1')} AS ti, {bearing('i.mx', 'i.my')} AS tmi,
+ least(1, sqrt(i.s1 * i.s1 + i.c1 * i.c1)) AS r1i, c.n_move * 1.0 / c.n_out * o.s1 AS dxx, c.n_move * 1.0 / c.n_out * o.c1 AS dyy, c.n_move * 1.0 / c.n_out * sqrt(o.s1 * o.s1 + o.c1 * o.c1) AS dm, o.dm AS dist
+ FROM counts c LEFT JOIN tot t ON t.sid = c.cell_id LEFT JOIN outgoing o ON o.cell_id = c.cell_id LEFT JOIN incoming i ON i.cell_id = c.cell_id),
+sup AS (SELECT * FROM stats WHERE n_move >= 3)"""
+_NEAR = "abs(a.xb - b.xb) <= 1 AND abs(a.yb - b.yb) <= 1"
+ORACLES["nbr_consistency"] = text(STATS, f"SELECT a.cell_id, round(avg(cos(radians(a.th - b.th))), 6) AS consistency, count(*) AS neighbours FROM sup a JOIN sup b ON {_NEAR} AND a.cell_id <> b.cell_id WHERE a.th IS NOT NULL AND b.th IS NOT NULL GROUP BY a.cell_id")
+ORACLES["grd_smooth3x3"] = text(STATS, f"SELECT a.cell_id, round(avg(b.n_move), 6) AS smoothed FROM sup a JOIN sup b ON {_NEAR} GROUP BY a.cell_id")
+ORACLES["grd_neighbours"] = text(STATS, f"SELECT a.cell_id AS a, b.cell_id AS b FROM sup a JOIN sup b ON {_NEAR} AND a.cell_id < b.cell_id")
+ORACLES["grd_bilinear"] = text(
+    STATS + """, pts AS (SELECT cell_id, xb + 0.37 AS gx, yb - 0.23 AS gy FROM sup), cl AS (SELECT cell_id, gx, gy, gy < 0 OR gx > 11 AS boundary FROM pts),
+corners AS (SELECT p.cell_id, floor(gx) + i AS cx, floor(gy) + j AS cy, (CASE WHEN i = 1 THEN gx - floor(gx) ELSE 1 - gx + floor(gx) END) * (CASE WHEN j = 1 THEN gy - floor(gy) ELSE 1 - gy + floor(gy) END) AS w FROM cl p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE NOT boundary)""",
+    """SELECT p.cell_id, p.boundary, round((SELECT CASE WHEN count(s.cell_id) = count(*) AND count(*) > 0 THEN sum(w * s.n_move) END FROM corners c LEFT JOIN sup s ON s.xb = c.cx AND s.yb = c.cy WHERE c.cell_id = p.cell_id AND w > 1e-10), 6) AS "N_out_move" FROM cl p""",
+)
+ORACLES["rdg_threshold"] = text(STATS, "SELECT round(quantile_cont(u, 0.9) * 1000, 6) AS threshold FROM sup")
+CAND = STATS + ", cand AS (SELECT * FROM sup WHERE th IS NOT NULL AND pm >= 0.5 AND r1 >= 0.5 AND dm >= 0.4)"
+ORACLES["dcr_candidates"] = text(CAND, "SELECT cell_id, " + r6(theta1_out="th", R1_out="r1") + " FROM cand")
+_STEP = bearing("b.x - a.x", "b.y - a.y")
+_AX = "least(" + apart("{0}", "{1}") + ", " + apart("{0}", "({1}) + 180") + ")"
+EDGES = CAND + f""", pairs AS (SELECT a.cell_id AS a, b.cell_id AS b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len, {apart('b.th', 'a.th')} AS dd, {_AX.format('a.th', _STEP)} AS ma, {_AX.format('b.th', _STEP)} AS mb FROM cand a JOIN cand b ON {_NEAR} AND a.cell_id < b.cell_id),
+edges AS (SELECT * FROM pairs WHERE dd <= 45 AND greatest(ma, mb) <= 45)"""
+ORACLES["dcr_edges"] = text(EDGES, "SELECT a, b, " + r6(edge_length="len", direction_difference="dd", mismatch_a="ma", mismatch_b="mb") + " FROM edges")
+COMP = EDGES.replace("obs AS", "RECURSIVE obs AS", 1) + """, twoway AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (SELECT cell_id AS v, cell_id AS w FROM cand UNION SELECT r.v, e.b FROM reach r JOIN twoway e ON e.a = r.w),
+comp AS (SELECT v AS cell_id, min(w) AS component, count(*) AS size FROM reach GROUP BY v)"""
+ORACLES["grf_components"] = text(COMP, "SELECT cell_id, component, dense_rank() OVER (ORDER BY component) AS component_number, size AS component_cells FROM comp")
+ORACLES["grf_degree_class"] = text(
+    COMP + ", deg AS (SELECT c.cell_id, c.component, c.size, (SELECT count(*) FROM twoway e WHERE e.a = c.cell_id) AS d FROM comp c)",
+    "SELECT cell_id, d AS degree, d = 1 AS endpoint, d >= 3 AS junction, d = 0 AS isolated, CASE WHEN size = 1 THEN 'isolated_cell' WHEN max(d) OVER (PARTITION BY component) >= 3 THEN 'junction_network' WHEN min(d) OVER (PARTITION BY component) = 2 THEN 'loop' ELSE 'simple_path' END AS component_class FROM deg",
+)
+ORACLES["geo_cart_scales"] = text(STATS, "SELECT cell_id, 10.0 AS x_scale, 10.0 AS y_scale, 10.0 AS scale FROM stats")
+_D = "CASE WHEN {p}.cell_id IS NULL AND {m}.cell_id IS NULL THEN NULL ELSE (coalesce({p}.n_move, c.n_move) - coalesce({m}.n_move, c.n_move)) / (CASE WHEN {p}.cell_id IS NOT NULL AND {m}.cell_id IS NOT NULL THEN 20.0 ELSE 10.0 END) END"
+_M = "CASE WHEN {p}.cell_id IS NULL AND {m}.cell_id IS NULL THEN 'undefined' WHEN {p}.cell_id IS NOT NULL AND {m}.cell_id IS NOT NULL THEN 'centred' ELSE 'one_sided' END"
+ORACLES["grv_gradient"] = text(
+    STATS,
+    f"""SELECT c.cell_id, {_M.format(p='e', m='w')} AS gradient_east_method, {_M.format(p='n', m='s')} AS gradient_north_method, round({_D.format(p='e', m='w')}, 6) AS gradient_east, round({_D.format(p='n', m='s')}, 6) AS gradient_north
+ FROM stats c LEFT JOIN stats e ON e.xb = c.xb + 1 AND e.yb = c.yb LEFT JOIN stats w ON w.xb = c.xb - 1 AND w.yb = c.yb LEFT JOIN stats n ON n.xb = c.xb AND n.yb = c.yb + 1 LEFT JOIN stats s ON s.xb = c.xb AND s.yb = c.yb - 1""",
+)
+ORACLES["s4_levels"] = text(
+    STATS + """, v AS (SELECT v.support, l.level, s.u, s.u * s.r1 AS c FROM stats s, (VALUES (1), (3)) v(support), (VALUES (0.9), (0.95), (0.99)) l(level) WHERE s.n_move >= v.support),
+q AS (SELECT support, level, CASE WHEN level = 0.9 THEN quantile_cont(u, 0.9) WHEN level = 0.95 THEN quantile_cont(u, 0.95) ELSE quantile_cont(u, 0.99) END AS qu, CASE WHEN level = 0.9 THEN quantile_cont(c, 0.9) WHEN level = 0.95 THEN quantile_cont(c, 0.95) ELSE quantile_cont(c, 0.99) END AS qc FROM v GROUP BY support, level)""",
+    "SELECT v.support::INTEGER AS support, v.level::DOUBLE AS level, count(*) FILTER (WHERE u >= qu) AS cells, round(count(*) FILTER (WHERE u >= qu AND c >= qc) * 1.0 / count(*) FILTER (WHERE u >= qu), 6) AS shared_with_coherent FROM v JOIN q ON v.support = q.support AND v.level = q.level GROUP BY ALL",
+)
+ORACLES["s4_direction"] = text(
+    STATS + f""", a AS (SELECT 'delta_theta_mu1_out' AS field, {apart('tm', 'th')} AS v FROM stats UNION ALL SELECT 'delta_theta_mu1_in', {apart('tmi', 'ti')} FROM stats UNION ALL SELECT 'delta_theta_io_1', {apart('th', 'ti')} FROM stats UNION ALL SELECT 'delta_theta_io_mu', {apart('tm', 'tmi')} FROM stats)""",
+    "SELECT field, count(v) AS cells, " + r6(q10="quantile_cont(v, 0.1)", q50="quantile_cont(v, 0.5)", q90="quantile_cont(v, 0.9)") + " FROM a WHERE v IS NOT NULL GROUP BY field",
+)
+_LABEL = "CASE WHEN r1 < 0.5 AND r1i < 0.5 THEN 'both_dispersed' WHEN r1 < 0.5 THEN 'outgoing_dispersed' WHEN r1i < 0.5 THEN 'incoming_dispersed' WHEN cos(radians(th - ti)) < -0.5 THEN 'reversal' WHEN cos(radians(th - ti)) < 0.5 THEN 'turn' ELSE 'aligned' END"
+ORACLES["s4_low_alignment"] = text(STATS, f"SELECT cell_id, {_LABEL} AS label, round(cos(radians(th - ti)), 6) AS \"A_io\" FROM sup WHERE cos(radians(th - ti)) < 0.5")
+ORACLES["s4_topk"] = text(STATS + f", l AS (SELECT cell_id, n_move, {_LABEL} AS label FROM sup WHERE th IS NOT NULL AND ti IS NOT NULL), p AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY n_move DESC, cell_id) AS place FROM l)", "SELECT label, place, cell_id FROM p WHERE place <= 3")
+ORACLES["plt_vector_stride"] = text(STATS, "SELECT cell_id, xb AS x_bin, yb AS y_bin, " + r6(D_out_all_x="coalesce(dxx, 0)", D_out_all_y="coalesce(dyy, 0)") + " FROM stats WHERE xb % 3 = 0 AND yb % 3 = 0 AND n_out > 0")
+ORACLES["plt_dateline_split"] = text(
+    TRACKS + """, g AS (SELECT trajectory AS line, t, x * 3.0 - 360 * floor(x * 3.0 / 360) - 180 AS lon FROM tracks), c AS (SELECT line, t, CASE WHEN abs(lon - lag(lon) OVER (PARTITION BY line ORDER BY t)) > 180 THEN 1 ELSE 0 END AS cut FROM g),
+p AS (SELECT line, sum(cut) OVER (PARTITION BY line ORDER BY t ROWS UNBOUNDED PRECEDING) AS part FROM c)""",
+    "SELECT line, part::BIGINT AS part, count(*) AS points FROM p GROUP BY line, part HAVING count(*) >= 2",
+)
+ORACLES["snk_public_names"] = text(STATS, "SELECT cell_id, " + r6(core_x="x", distance_mean_m="dist", U_out_all_magnitude_m_per_s="u * 1000") + " FROM stats")
+# Sides of a ridge: the bilinear value one cell to the left and right of a direction.
+_SIDE = """, {n} AS (SELECT cell_id, {v} AS v, 'left' AS side, xb - cos(radians({t})) AS gx, yb + sin(radians({t})) AS gy FROM {src} UNION ALL SELECT cell_id, {v}, 'right', xb + cos(radians({t})), yb - sin(radians({t})) FROM {src}),
+{n}_b AS (SELECT *, gx < -1e-10 OR gx > 11 + 1e-10 OR gy < -1e-10 OR gy > 9 + 1e-10 AS edge, least(greatest(gx, 0), 11) AS cx, least(greatest(gy, 0), 9) AS cy FROM {n}),
+{n}_c AS (SELECT cell_id, side, floor(cx) + i AS px, floor(cy) + j AS py, (CASE WHEN i = 1 THEN cx - floor(cx) ELSE 1 - cx + floor(cx) END) * (CASE WHEN j = 1 THEN cy - floor(cy) ELSE 1 - cy + floor(cy) END) AS w FROM {n}_b, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE NOT edge),
+{n}_s AS (SELECT c.cell_id, c.side, CASE WHEN count(s.cell_id) = count(*) THEN sum(w * s.{f}) END AS val FROM {n}_c c LEFT JOIN sup s ON s.xb = c.px AND s.yb = c.py WHERE w > 1e-10 GROUP BY ALL),
+{n}_r AS (SELECT b.cell_id, any_value(b.v) AS v, max(CASE WHEN b.side = 'left' THEN s.val END) AS lv, max(CASE WHEN b.side = 'right' THEN s.val END) AS rv, bool_or(edge AND b.side = 'left') AS le, bool_or(edge AND b.side = 'right') AS re FROM {n}_b b LEFT JOIN {n}_s s ON s.cell_id = b.cell_id AND s.side = b.side GROUP BY b.cell_id)"""
+_MISS = "CASE WHEN lv IS NOT NULL AND rv IS NOT NULL THEN 'none' WHEN lv IS NOT NULL THEN 'right' WHEN rv IS NOT NULL THEN 'left' ELSE 'left_and_right' END"
+_TYPE = "CASE WHEN v >= lv - 1e-12 AND v >= rv - 1e-12 THEN 'two_sided' WHEN (lv IS NULL) <> (rv IS NULL) AND v >= coalesce(lv, rv) - 1e-12 THEN 'one_sided' ELSE {0} END"
+RIDGE = STATS + _SIDE.format(n="fl", v="u", t="tm", src="sup", f="u")
+_ST = "CASE WHEN {e} THEN 'domain_boundary' WHEN {v} IS NULL THEN 'unknown_missing_support' ELSE 'available' END"
+ORACLES["rdg_flux"] = text(RIDGE, f"SELECT cell_id, {_TYPE.format(chr(39) + 'not_ridge' + chr(39))} AS ridge_type, {_MISS} AS missing_side, {_ST.format(e='le', v='lv')} AS left_status, {_ST.format(e='re', v='rv')} AS right_status, " + r6(D_minus="(v - lv) * 1000", D_plus="(v - rv) * 1000") + " FROM fl_r")
+DRIDGE = CAND + _SIDE.format(n="dr", v="dm", t="th", src="cand", f="dm")
+ORACLES["dco_ridge"] = text(DRIDGE, f"SELECT cell_id, {_TYPE.format('CASE WHEN lv IS NULL AND rv IS NULL THEN ' + chr(39) + 'not_evaluable' + chr(39) + ' ELSE ' + chr(39) + 'not_ridge' + chr(39) + ' END')} AS ridge_type, {_MISS} AS missing_side, " + r6(left_value="lv", right_value="rv") + " FROM dr_r")
+_GOOD = f"({_TYPE.format(chr(39) + 'x' + chr(39))}) <> 'x'"
+DCORE = (
+    EDGES.replace("obs AS", "RECURSIVE obs AS", 1)
+    + _SIDE.format(n="dr", v="dm", t="th", src="cand", f="dm")
+    + f""", raw AS (SELECT cell_id, {_TYPE.format(chr(39) + 'x' + chr(39))} AS ridge_type, {_MISS} AS missing_side FROM dr_r WHERE {_GOOD}),
+dedge AS (SELECT a, b FROM edges WHERE a IN (SELECT cell_id FROM raw) AND b IN (SELECT cell_id FROM raw)), dboth AS (SELECT a, b FROM dedge UNION ALL SELECT b, a FROM dedge),
+dreach AS (SELECT cell_id AS v, cell_id AS w FROM raw UNION SELECT r.v, e.b FROM dreach r JOIN dboth e ON e.a = r.w), dcomp AS (SELECT v AS cell_id, min(w) AS component, count(*) AS size FROM dreach GROUP BY v),
+dcores AS (SELECT c.cell_id, c.component, dense_rank() OVER (ORDER BY component) AS num, r.ridge_type, r.missing_side FROM dcomp c JOIN raw r ON r.cell_id = c.cell_id WHERE size >= 3)"""
+)
+ORACLES["dco_plateau"] = text(DCORE, "SELECT cell_id, 'directional_plateau_' || lpad(CAST(row_number() OVER (ORDER BY cell_id) AS VARCHAR), 5, '0') AS plateau_id, 1::BIGINT AS plateau_size, cell_id AS representative, TRUE AS is_representative FROM raw")
+ORACLES["dco_cores"] = text(DCORE + ", pl AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS k FROM raw)", "SELECT d.cell_id, 'directional_core_component_' || lpad(CAST(num AS VARCHAR), 4, '0') AS component_id, ridge_type, missing_side, 'directional_plateau_' || lpad(CAST(k AS VARCHAR), 5, '0') AS plateau_id FROM dcores d JOIN pl ON pl.cell_id = d.cell_id")
+_CORE_EDGES = ", cedge AS (SELECT a, b FROM dboth WHERE a IN (SELECT cell_id FROM dcores) AND b IN (SELECT cell_id FROM dcores))"
+ORACLES["dfr_hops"] = text(
+    DCORE + _CORE_EDGES + ", h AS (SELECT cell_id, cell_id AS other, 0 AS hops FROM dcores UNION ALL SELECT a, b, 1 FROM cedge UNION ALL SELECT e.a, f.b, 2 FROM cedge e JOIN cedge f ON f.a = e.b)", "SELECT cell_id, other, min(hops)::INTEGER AS hops FROM h GROUP BY cell_id, other"
+)
+FCORE = (
+    RIDGE.replace("obs AS", "RECURSIVE obs AS", 1)
+    + f""", fcand AS (SELECT r.cell_id, s.xb, s.yb, s.x, s.y, s.u, s.tm, {_TYPE.format(chr(39) + 'x' + chr(39))} AS ridge_type, {_MISS} AS missing_side FROM fl_r r JOIN sup s ON s.cell_id = r.cell_id WHERE {_GOOD} AND s.u >= (SELECT quantile_cont(u, 0.9) FROM sup)),
+fboth AS (SELECT a.cell_id AS a, b.cell_id AS b FROM fcand a JOIN fcand b ON {_NEAR} AND a.cell_id <> b.cell_id), freach AS (SELECT cell_id AS v, cell_id AS w FROM fcand UNION SELECT r.v, e.b FROM freach r JOIN fboth e ON e.a = r.w),
+fcomp AS (SELECT v AS cell_id, min(w) AS component, dense_rank() OVER (ORDER BY min(w)) AS num FROM freach GROUP BY v)"""
+)
+ORACLES["grf_ranks"] = text(
+    FCORE + ", g AS (SELECT component, count(*) AS cells, sum(u) AS s, max(u) AS m FROM fcomp JOIN fcand USING (cell_id) GROUP BY component)",
+    "SELECT component, cells, rank() OVER (ORDER BY cells DESC) AS rank_cells, rank() OVER (ORDER BY s DESC) AS rank_strength, rank() OVER (ORDER BY m DESC) AS rank_peak FROM g",
+)
+ORACLES["grf_interruptions"] = text(
+    FCORE, "SELECT f.cell_id FROM fcand f WHERE (SELECT count(*) FROM fboth e WHERE e.a = f.cell_id) = 1 AND EXISTS (SELECT 1 FROM (VALUES (-1), (0), (1)) p(i), (VALUES (-1), (0), (1)) q(j) WHERE f.xb + i BETWEEN 0 AND 11 AND f.yb + j BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM sup s WHERE s.xb = f.xb + i AND s.yb = f.yb + j))"
+)
+_STEPF = bearing("o.x - f.x", "o.y - f.y")
+ORACLES["sec_contamination"] = text(
+    FCORE,
+    f"""SELECT DISTINCT f.cell_id AS section FROM (SELECT * FROM fcand JOIN fcomp USING (cell_id)) f JOIN (SELECT * FROM fcand JOIN fcomp USING (cell_id)) o ON o.component <> f.component
+ WHERE abs(sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) * cos(radians(({_STEPF}) - f.tm))) <= 10 AND abs(sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) * sin(radians(({_STEPF}) - f.tm))) <= 50""",
+)
+BOTH = DCORE + FCORE[len(RIDGE.replace("obs AS", "RECURSIVE obs AS", 1)) :].join(["" + _SIDE.format(n="fl", v="u", t="tm", src="sup", f="u"), ""])
+_CMP = BOTH + """, cmp AS (SELECT s.cell_id, f.num AS fc, d.num AS dc, CASE WHEN f.num IS NOT NULL AND d.num IS NOT NULL THEN 'flux_and_directional' WHEN d.num IS NOT NULL THEN 'directional_only' WHEN f.num IS NOT NULL THEN 'flux_only' ELSE 'neither' END AS class FROM sup s LEFT JOIN fcomp f ON f.cell_id = s.cell_id LEFT JOIN dcores d ON d.cell_id = s.cell_id)"""
+ORACLES["cmp_cells"] = text(_CMP, "SELECT cell_id, coalesce(fc, 0) AS flux_component, coalesce(dc, 0) AS directional_component, class FROM cmp")
+ORACLES["cmp_components"] = text(_CMP, "SELECT 'flux' AS kind, fc AS component, count(*) AS cells, count(dc) AS shared, round(count(dc) * 1.0 / count(*), 6) AS fraction FROM cmp WHERE fc IS NOT NULL GROUP BY fc UNION ALL SELECT 'directional', dc, count(*), count(fc), round(count(fc) * 1.0 / count(*), 6) FROM cmp WHERE dc IS NOT NULL GROUP BY dc")
+_CLS = ("flux_and_directional", "directional_only", "flux_only", "neither")
+ORACLES["cmp_summary"] = text(_CMP, "SELECT count(*) AS supported_cells, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS {c}, round(count(*) FILTER (WHERE class = '{c}') * 1.0 / count(*), 6) AS {c}_fraction" for c in _CLS) + " FROM cmp")

@@ -348,7 +348,7 @@ def frt_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cmp_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT)
-    return out.select("cell_id", F.col("flux_component").cast("long"), F.col("directional_component").cast("long"), "class")
+    return out.select("cell_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("flux_component", "directional_component")], "class")
 
 
 @query
