@@ -151,7 +151,8 @@ def log_odds(model: Classifier, text: Column) -> Column:
         x = np.array([features(t.as_py() or "") for t in texts]).reshape(-1, WIDTH)
         return pa.array(model.log_odds(x), pa.float64())
 
-    return judge(text.cast("string"))
+    # Marked so that the optimiser never runs it a second time for a filter on what follows from it.
+    return judge.asNondeterministic()(text.cast("string"))
 
 
 @dataclass
