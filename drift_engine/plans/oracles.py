@@ -269,3 +269,47 @@ ORACLES["cmp_cells"] = text(_CMP, "SELECT cell_id, coalesce(fc, 0) AS flux_compo
 ORACLES["cmp_components"] = text(_CMP, "SELECT 'flux' AS kind, fc AS component, count(*) AS cells, count(dc) AS shared, round(count(dc) * 1.0 / count(*), 6) AS fraction FROM cmp WHERE fc IS NOT NULL GROUP BY fc UNION ALL SELECT 'directional', dc, count(*), count(fc), round(count(fc) * 1.0 / count(*), 6) FROM cmp WHERE dc IS NOT NULL GROUP BY dc")
 _CLS = ("flux_and_directional", "directional_only", "flux_only", "neither")
 ORACLES["cmp_summary"] = text(_CMP, "SELECT count(*) AS supported_cells, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS {c}, round(count(*) FILTER (WHERE class = '{c}') * 1.0 / count(*), 6) AS {c}_fraction" for c in _CLS) + " FROM cmp")
+
+PROFILES = (
+    DCORE
+    + _CORE_EDGES
+    + """, hop AS (SELECT cell_id, cell_id AS other FROM dcores UNION SELECT a, b FROM cedge UNION SELECT e.a, f.b FROM cedge e JOIN cedge f ON f.a = e.b),
+core AS (SELECT d.cell_id, d.num, d.ridge_type, d.missing_side, s.x, s.y, s.xb, s.yb, s.th FROM dcores d JOIN sup s ON s.cell_id = d.cell_id),
+spots AS (SELECT c.*, i, xb + i * cos(radians(th)) AS gx, yb - i * sin(radians(th)) AS gy FROM core c, (SELECT unnest(range(-5, 6)) AS i)),
+spots_b AS (SELECT *, gx < -1e-10 OR gx > 11 + 1e-10 OR gy < -1e-10 OR gy > 9 + 1e-10 AS edge, least(greatest(gx, 0), 11) AS cx, least(greatest(gy, 0), 9) AS cy FROM spots),
+spots_c AS (SELECT cell_id, i, floor(cx) + p AS px, floor(cy) + q AS py, (CASE WHEN p = 1 THEN cx - floor(cx) ELSE 1 - cx + floor(cx) END) * (CASE WHEN q = 1 THEN cy - floor(cy) ELSE 1 - cy + floor(cy) END) AS w FROM spots_b, (VALUES (0), (1)) a(p), (VALUES (0), (1)) b(q) WHERE NOT edge),
+spots_v AS (SELECT c.cell_id, c.i, CASE WHEN count(s.dxx) = count(*) THEN sum(w * s.dxx) END AS vx, CASE WHEN count(s.dyy) = count(*) THEN sum(w * s.dyy) END AS vy FROM spots_c c LEFT JOIN sup s ON s.xb = c.px AND s.yb = c.py WHERE w > 1e-10 GROUP BY ALL),
+prof AS (SELECT b.*, v.vx * sin(radians(b.th)) + v.vy * cos(radians(b.th)) AS u FROM spots_b b LEFT JOIN spots_v v ON v.cell_id = b.cell_id AND v.i = b.i),
+axis AS (SELECT cell_id, i AS core_i, u AS core_u FROM prof WHERE u IS NOT NULL AND abs(i) <= 1 AND (i = 0 OR missing_side = 'none' OR (missing_side = 'left' AND i > 0) OR (missing_side = 'right' AND i < 0)) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY u DESC, i) = 1),
+rel AS (SELECT p.*, a.core_i, a.core_u, p.i - a.core_i AS step, CASE WHEN p.i < a.core_i THEN 'left' WHEN p.i > a.core_i THEN 'right' ELSE 'core' END AS side FROM prof p LEFT JOIN axis a ON a.cell_id = p.cell_id),
+seen AS (SELECT *, side = 'core' OR missing_side = 'none' OR (missing_side = 'left' AND side = 'right') OR (missing_side = 'right' AND side = 'left') AS observable FROM rel),
+smooth AS (SELECT s.*, CASE WHEN u IS NOT NULL THEN (SELECT quantile_cont(o.u, 0.5) FROM prof o WHERE o.cell_id = s.cell_id AND o.u IS NOT NULL AND abs(o.i - s.i) <= 1) END AS us FROM seen s),
+inner_u AS (SELECT a.cell_id, a.step, a.u, b.u AS ui FROM smooth a LEFT JOIN smooth b ON b.cell_id = a.cell_id AND b.step = a.step - sign(a.step) AND a.step <> 0),
+comps AS (SELECT h.cell_id, o.step, quantile_cont(o.u, 0.5) AS med, quantile_cont(o.u, 0.25) AS q25, quantile_cont(o.u, 0.75) AS q75, count(o.u) AS n, count(*) FILTER (WHERE o.ui > o.u) AS dec, count(*) FILTER (WHERE o.ui IS NOT NULL AND o.u IS NOT NULL) AS votes FROM hop h JOIN inner_u o ON o.cell_id = h.other GROUP BY h.cell_id, o.step),
+full_rows AS (SELECT s.*, c.med, c.q25, c.q75, coalesce(c.n, 0) AS n, CASE WHEN c.votes > 0 THEN c.dec END AS dec, CASE WHEN c.votes > 0 THEN c.dec * 1.0 / c.votes END AS frac FROM smooth s LEFT JOIN comps c ON c.cell_id = s.cell_id AND c.step = s.step)"""
+)
+ORACLES["dfr_profiles"] = text(PROFILES, "SELECT cell_id, i::INTEGER AS i, side, observable, " + r6(u="u", u_smooth="us", core_u="core_u") + " FROM smooth")
+ORACLES["dfr_composites"] = text(PROFILES, "SELECT cell_id, step::INTEGER AS step, n AS n_composite, coalesce(dec, 0)::BIGINT AS n_decline, " + r6(u_composite="med", u_q25="q25", u_q75="q75", fraction_decline="frac") + " FROM full_rows WHERE step IS NOT NULL")
+ZONES = PROFILES + """, ok AS (SELECT f.*, d.sgn, abs(f.step) AS k FROM full_rows f JOIN (VALUES (-1, 'left'), (1, 'right')) d(sgn, want) ON f.side = 'core' OR f.side = d.want WHERE f.u IS NOT NULL AND f.observable AND NOT (f.missing_side = d.want OR f.missing_side = 'left_and_right')),
+quad AS (SELECT a.cell_id, a.sgn, a.core_u, b.k * 10.0 AS dist, (b.gx + 0.5) * 10.0 AS fx, (b.gy + 0.5) * 10.0 AS fy, least(a.n, b.n) >= 2 AS usec, a.us AS as_, a.med AS am, b.us AS bs, b.med AS bm, c.us AS cs, c.med AS cm, d.us AS ds, d.med AS dm2, b.n AS bn, b.dec, b.frac
+ FROM ok a JOIN ok b ON b.cell_id = a.cell_id AND b.sgn = a.sgn AND b.k = a.k + 1 LEFT JOIN ok c ON c.cell_id = a.cell_id AND c.sgn = a.sgn AND c.k = a.k + 2 LEFT JOIN ok d ON d.cell_id = a.cell_id AND d.sgn = a.sgn AND d.k = a.k + 3 AND c.cell_id IS NOT NULL),
+zv AS (SELECT *, CASE WHEN usec THEN am ELSE as_ END AS va, CASE WHEN usec THEN bm ELSE bs END AS vb, CASE WHEN usec THEN cm ELSE cs END AS vc, CASE WHEN usec THEN dm2 ELSE ds END AS vd, coalesce(dec >= 2 AND frac >= 0.5, FALSE) AS pers FROM quad),
+zone AS (SELECT *, va - vb AS dropped, coalesce(va - vb > 0 AND (coalesce(vc, vd) + coalesce(vd, vc)) / 2 <= (va + vb) / 2 + 1e-12 AND (bn < 2 OR pers), FALSE) AS elig FROM zv WHERE va IS NOT NULL AND vb IS NOT NULL),
+ranked AS (SELECT *, CASE WHEN sgn < 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN elig THEN row_number() OVER (PARTITION BY cell_id, sgn, elig ORDER BY pers DESC, round(dropped, 12) DESC, round(-dropped / 10.0, 12), dist) END AS rnk FROM zone)"""
+ORACLES["dfr_zones"] = text(ZONES, "SELECT cell_id, side, pers AS persistent, elig AS eligible, coalesce(rnk, 0) AS rank, " + r6(distance="dist", drop="dropped", relative_drop="dropped / core_u") + " FROM ranked")
+ORACLES["dfr_fronts"] = text(
+    ZONES + ", sides AS (SELECT c.*, s.side, NOT (missing_side = s.side OR missing_side = 'left_and_right') AS observable FROM core c, (VALUES ('left'), ('right')) s(side))",
+    """SELECT s.cell_id, s.side, s.observable, r.cell_id IS NOT NULL AS front_detected, CASE WHEN NOT s.observable THEN 'side_not_observable' WHEN r.cell_id IS NOT NULL THEN 'probable_directional_front' ELSE 'observable_no_retained_directional_front' END AS front_status, """
+    + r6(front_x="r.fx", front_y="r.fy", distance_from_core="r.dist", loss="r.dropped", relative_loss="r.dropped / r.core_u")
+    + " FROM sides s LEFT JOIN ranked r ON r.cell_id = s.cell_id AND r.side = s.side AND r.rnk = 1",
+)
+
+_A, _B = PROFILES.index("spots AS"), PROFILES.index("seen AS")
+_FLUX_SPOTS = PROFILES[_A:_B].replace("radians(th)", "radians(tm)").replace("radians(b.th)", "radians(b.tm)").replace("s.dxx", "s.ux").replace("s.dyy", "s.uy")
+FPROFILES = FCORE + ", core AS (SELECT * EXCLUDE (u) FROM fcand), " + _FLUX_SPOTS + """seen AS (SELECT *, i = 0 OR missing_side = 'none' OR (missing_side = 'left' AND i > 0) OR (missing_side = 'right' AND i < 0) AS observable FROM rel)"""
+ORACLES["sec_profiles"] = text(FPROFILES, "SELECT cell_id, i::INTEGER AS i, side, edge AS boundary, observable, " + r6(px="(gx + 0.5) * 10.0", py="(gy + 0.5) * 10.0", distance="i * 10.0", u="u * 1000") + " FROM seen")
+ORACLES["sec_refine"] = text(FPROFILES, "SELECT DISTINCT cell_id, core_i::INTEGER AS core_i, core_i IS NULL OR abs(core_i) = 1 AS core_uncertain, round(core_u * 1000, 6) AS core_u FROM seen")
+ORACLES["sec_rolling_median"] = text(
+    FPROFILES,
+    """SELECT cell_id, i::INTEGER AS i, round(CASE WHEN core_u > 0 THEN u / core_u END, 6) AS u_relative, round(CASE WHEN u IS NOT NULL THEN (SELECT quantile_cont(o.u, 0.5) FROM prof o WHERE o.cell_id = s.cell_id AND o.u IS NOT NULL AND abs(o.i - s.i) <= 1) END * 1000, 6) AS u_smooth FROM seen s""",
+)

@@ -260,6 +260,28 @@ def dfr_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directional.hops(cores, directional.compatible_edges(cores, P.GRID_E, P.SPACE_E), 2)
 
 
+def _directional_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = P.directional_cores_e(spark, sf_dir)
+    return directional.directional_sections(cores, P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, P.SECTIONS)
+
+
+@query
+def dfr_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _directional_sections(spark, sf_dir).select("cell_id", "i", "side", "observable", *r6("u", "u_smooth", "core_u"))
+
+
+@query
+def dfr_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _directional_sections(spark, sf_dir).filter("step is not null")
+    return rows.select("cell_id", "step", "n_composite", F.coalesce("n_decline", F.lit(0)).cast("long").alias("n_decline"), *r6("u_composite", "u_q25", "u_q75", "fraction_decline"))
+
+
+@query
+def dfr_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sections.zones(_directional_sections(spark, sf_dir), sections.DIRECTIONAL, P.SECTIONS)
+    return out.select("cell_id", "side", "persistent", "eligible", F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"), *r6("distance", "drop", "relative_drop"))
+
+
 @query
 def dfr_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cores = P.directional_cores_e(spark, sf_dir)
@@ -294,18 +316,18 @@ def grf_interruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sec_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.flux_sections_e(spark, sf_dir)
-    return rows.select("section", "i", "side", "boundary", "observable", *r6("px", "py", "distance", "u_relative", u=F.col("u") * 1000))
+    return rows.select("cell_id", "i", "side", "boundary", "observable", *r6("px", "py", "distance", u=F.col("u") * 1000)).distinct()
 
 
 @query
 def sec_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.flux_sections_e(spark, sf_dir)
-    return rows.select("section", "core_i", "core_uncertain", *r6(core_u=F.col("core_u") * 1000)).distinct()
+    return rows.select("cell_id", "core_i", "core_uncertain", *r6(core_u=F.col("core_u") * 1000)).distinct()
 
 
 @query
 def sec_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.flux_sections_e(spark, sf_dir).select("section", "i", *r6(u_smooth=F.col("u_smooth") * 1000))
+    return P.flux_sections_e(spark, sf_dir).select("cell_id", "i", *r6("u_relative", u_smooth=F.col("u_smooth") * 1000)).distinct()
 
 
 @query
