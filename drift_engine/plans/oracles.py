@@ -161,8 +161,8 @@ ORACLES["dirv_vectors"] = text(OUT, "SELECT c.cell_id, " + r6(D_out_move_x="s1",
 
 STATS = OUT + f""", tot AS (SELECT sid, sum(n) AS tn, sum(n * dx) * 1.0 AS sx, sum(n * dy) * 1.0 AS sy FROM links GROUP BY sid),
 stats AS (SELECT c.cell_id, c.cell_id % 12 AS xb, c.cell_id // 12 AS yb, (c.cell_id % 12 + 0.5) * 10.0 AS x, (c.cell_id // 12 + 0.5) * 10.0 AS y, c.n_out, c.n_move, CASE WHEN c.n_out > 0 THEN 1 - (c.n_out - c.n_move) * 1.0 / c.n_out END AS pm,
- sqrt(t.sx * t.sx + t.sy * t.sy) / t.tn / 86400.0 AS u, t.sx / t.tn / 86400.0 AS ux, t.sy / t.tn / 86400.0 AS uy, least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)) AS r1, {bearing('o.s1', 'o.c1')} AS th, {bearing('o.mx', 'o.my')} AS tm, {bearing('i.s1', 'i.c1')} AS ti, {bearing('i.mx', 'i.my')} AS tmi,
- least(1, sqrt(i.s1 * i.s1 + i.c1 * i.c1)) AS r1i, c.n_move * 1.0 / c.n_out * o.s1 AS dxx, c.n_move * 1.0 / c.n_out * o.c1 AS dyy, c.n_move * 1.0 / c.n_out * sqrt(o.s1 * o.s1 + o.c1 * o.c1) AS dm, o.dm AS dist
+ sqrt(t.sx * t.sx + t.sy * t.sy) / t.tn / 86400.0 AS u, t.sx / t.tn / 86400.0 AS ux, t.sy / t.tn / 86400.0 AS uy, CASE WHEN o.s1 IS NOT NULL THEN least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)) END AS r1, {bearing('o.s1', 'o.c1')} AS th, {bearing('o.mx', 'o.my')} AS tm, {bearing('i.s1', 'i.c1')} AS ti, {bearing('i.mx', 'i.my')} AS tmi,
+ CASE WHEN i.s1 IS NOT NULL THEN least(1, sqrt(i.s1 * i.s1 + i.c1 * i.c1)) END AS r1i, c.n_move * 1.0 / c.n_out * o.s1 AS dxx, c.n_move * 1.0 / c.n_out * o.c1 AS dyy, c.n_move * 1.0 / c.n_out * sqrt(o.s1 * o.s1 + o.c1 * o.c1) AS dm, o.dm AS dist
  FROM counts c LEFT JOIN tot t ON t.sid = c.cell_id LEFT JOIN outgoing o ON o.cell_id = c.cell_id LEFT JOIN incoming i ON i.cell_id = c.cell_id),
 sup AS (SELECT * FROM stats WHERE n_move >= 3)"""
 _NEAR = "abs(a.xb - b.xb) <= 1 AND abs(a.yb - b.yb) <= 1"
@@ -313,3 +313,9 @@ ORACLES["sec_rolling_median"] = text(
     FPROFILES,
     """SELECT cell_id, i::INTEGER AS i, round(CASE WHEN core_u > 0 THEN u / core_u END, 6) AS u_relative, round(CASE WHEN u IS NOT NULL THEN (SELECT quantile_cont(o.u, 0.5) FROM prof o WHERE o.cell_id = s.cell_id AND o.u IS NOT NULL AND abs(o.i - s.i) <= 1) END * 1000, 6) AS u_smooth FROM seen s""",
 )
+ORACLES["cell_statistics"] = text(
+    STATS,
+    'SELECT cell_id, xb AS x_bin, yb AS y_bin, n_out::BIGINT AS "N_out_total", n_move::BIGINT AS "N_out_move", '
+    + r6(x="x", y="y", P_move="pm", R1_out="r1", R1_in="r1i", theta1_out="th", theta_mu_out="tm", theta1_in="ti", theta_mu_in="tmi", D_out_all_x="CASE WHEN n_out > 0 THEN coalesce(dxx, 0) END", D_out_all_y="CASE WHEN n_out > 0 THEN coalesce(dyy, 0) END", U_out_all_magnitude_rate="u * 1000")
+    + " FROM stats",
+)

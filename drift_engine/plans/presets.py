@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import number
 from drift_engine.functions.geodesy import Grid, Space
-from drift_engine.operators import cellstats, directional, flux, matrix, sections, tracks
+from drift_engine.operators import cellstats, compare, directional, flux, matrix, sections, tracks
 from drift_engine.storage import materialise
 
 GRID_E = Grid(0.0, 120.0, 0.0, 100.0, 10.0, 10.0)
@@ -80,15 +80,32 @@ def supported_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_stored(spark, sf_dir).filter(F.col("N_out_move") >= MIN_SUPPORT)
 
 
-def flux_cores_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.cores(cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT)
+def flux_cores_e(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    return flux.cores(cells or cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT)
 
 
-def directional_cores_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directional.cores(cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT, **LIMITS)
+def directional_cores_e(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    return directional.cores(cells or cells_stored(spark, sf_dir), GRID_E, SPACE_E, MIN_SUPPORT, **LIMITS)
+
+
+def flux_e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, flux cores and the samples of their sections, each made once."""
+    cells = cells_stored(spark, sf_dir)
+    cores = flux_cores_e(spark, sf_dir, cells)
+    return cells, cores, flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= MIN_SUPPORT), GRID_E, SPACE_E, SECTIONS)
 
 
 def flux_sections_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flux_e(spark, sf_dir)[2]
+
+
+def directional_sections_e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Directional cores and the samples of their sections."""
+    cells = cells_stored(spark, sf_dir)
+    cores = directional_cores_e(spark, sf_dir, cells)
+    return cores, directional.directional_sections(cores, cells, GRID_E, SPACE_E, MIN_SUPPORT, SECTIONS)
+
+
+def compared_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells_stored(spark, sf_dir)
-    cores = flux.cores(cells, GRID_E, SPACE_E, MIN_SUPPORT)
-    return flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= MIN_SUPPORT), GRID_E, SPACE_E, SECTIONS)
+    return compare.comparison(cells, flux_cores_e(spark, sf_dir, cells), directional_cores_e(spark, sf_dir, cells), MIN_SUPPORT)

@@ -168,8 +168,9 @@ def dirv_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cell_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every statistic of every cell."""
-    return P.cells_e(spark, sf_dir)
+    """The flagship: the statistics of every cell."""
+    columns = ["x", "y", "P_move", "R1_out", "R1_in", "theta1_out", "theta_mu_out", "theta1_in", "theta_mu_in", "D_out_all_x", "D_out_all_y"]
+    return P.cells_e(spark, sf_dir).select("cell_id", "x_bin", "y_bin", "N_out_total", "N_out_move", *r6(*columns, U_out_all_magnitude_rate=F.col("U_out_all_magnitude_rate") * 1000))
 
 
 @query
@@ -261,8 +262,7 @@ def dfr_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _directional_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = P.directional_cores_e(spark, sf_dir)
-    return directional.directional_sections(cores, P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, P.SECTIONS)
+    return P.directional_sections_e(spark, sf_dir)[1]
 
 
 @query
@@ -284,9 +284,7 @@ def dfr_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dfr_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = P.directional_cores_e(spark, sf_dir)
-    rows = directional.directional_sections(cores, P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, P.SECTIONS)
-    out = directional.directional_fronts(cores, rows, P.SECTIONS)
+    out = directional.directional_fronts(*P.directional_sections_e(spark, sf_dir), P.SECTIONS)
     return out.select("cell_id", "side", "observable", "front_detected", "front_status", *r6("front_x", "front_y", "distance_from_core", "loss", "relative_loss"))
 
 
@@ -310,7 +308,8 @@ def grf_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grf_interruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.interruptions(P.flux_cores_e(spark, sf_dir), P.supported_e(spark, sf_dir), P.GRID_E)
+    cells = P.cells_stored(spark, sf_dir)
+    return flux.interruptions(P.flux_cores_e(spark, sf_dir, cells), cells.filter(F.col("N_out_move") >= P.MIN_SUPPORT), P.GRID_E)
 
 
 @query
@@ -363,25 +362,26 @@ def drp_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frt_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = flux.flux_fronts(P.flux_cores_e(spark, sf_dir), P.flux_sections_e(spark, sf_dir), P.SECTIONS)
+    _, cores, rows = P.flux_e(spark, sf_dir)
+    out = flux.flux_fronts(cores, rows, P.SECTIONS)
     return out.select("cell_id", "side", "observable", "front_detected", "front_status", *r6("front_x", "front_y", "distance_from_core", "relative_loss", loss=F.col("loss") * 1000))
 
 
 @query
 def cmp_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT)
+    out = P.compared_e(spark, sf_dir)
     return out.select("cell_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("flux_component", "directional_component")], "class")
 
 
 @query
 def cmp_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare.component_overlap(compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT))
+    out = compare.component_overlap(P.compared_e(spark, sf_dir))
     return out.select("kind", F.col("component").cast("long"), "cells", "shared", *r6("fraction"))
 
 
 @query
 def cmp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare.summary(compare.comparison(P.cells_stored(spark, sf_dir), P.flux_cores_e(spark, sf_dir), P.directional_cores_e(spark, sf_dir), P.MIN_SUPPORT))
+    out = compare.summary(P.compared_e(spark, sf_dir))
     return out.select("supported_cells", *compare.CLASSES, *r6(*[f"{c}_fraction" for c in compare.CLASSES]))
 
 
@@ -393,9 +393,9 @@ def grv_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grv_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.cells_stored(spark, sf_dir)
+    cells, cores, rows = P.flux_e(spark, sf_dir)
     g = gridops.along_across(gridops.gradient(cells, "U_out_all_magnitude_rate", P.GRID_E, P.SPACE_E), "theta_mu_out")
-    fronts = flux.flux_fronts(P.flux_cores_e(spark, sf_dir), P.flux_sections_e(spark, sf_dir), P.SECTIONS)
+    fronts = flux.flux_fronts(cores, rows, P.SECTIONS)
     out = compare.local_context(fronts, g, P.GRID_E, P.SPACE_E)
     return out.select("cell_id", "side", *r6("largest_distance", largest=F.col("largest") * 1000, at_front=F.col("at_front") * 1000))
 
