@@ -319,3 +319,25 @@ ORACLES["cell_statistics"] = text(
     + r6(x="x", y="y", P_move="pm", R1_out="r1", R1_in="r1i", theta1_out="th", theta_mu_out="tm", theta1_in="ti", theta_mu_in="tmi", D_out_all_x="CASE WHEN n_out > 0 THEN coalesce(dxx, 0) END", D_out_all_y="CASE WHEN n_out > 0 THEN coalesce(dyy, 0) END", U_out_all_magnitude_rate="u * 1000")
     + " FROM stats",
 )
+_F = "(1 / 298.257223563)"
+_SIG = f"""SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss > 0 THEN cu1 * cu2 * sin(lam) / ss ELSE 0 END AS sa FROM (SELECT *, sqrt(pow(cu2 * sin(lam), 2) + pow(cu1 * su2 - su1 * cu2 * cos(lam), 2)) AS ss, su1 * su2 + cu1 * cu2 * cos(lam) AS cs FROM {{src}})"""
+_SIG2 = f"""SELECT *, CASE WHEN 1 - sa * sa > 0 THEN cs - 2 * su1 * su2 / (1 - sa * sa) ELSE 0 END AS c2m, {_F} / 16 * (1 - sa * sa) * (4 + {_F} * (4 - 3 * (1 - sa * sa))) AS cc FROM ({_SIG})"""
+GEODESIC = (
+    _WRAP.replace("obs AS", "RECURSIVE obs AS", 1)
+    + f""", glinks AS (SELECT start_x_bin, start_y_bin, end_x_bin, end_y_bin, count(*) AS n FROM wrapped GROUP BY ALL),
+kinds AS (SELECT DISTINCT start_y_bin AS ya, end_y_bin AS yb, (end_x_bin - start_x_bin + 36) % 36 AS dx FROM glinks WHERE start_x_bin <> end_x_bin OR start_y_bin <> end_y_bin),
+geo0 AS (SELECT ya, yb, dx, atan((1 - {_F}) * tan(radians(-80 + (ya + 0.5) * 5.0))) AS u1, atan((1 - {_F}) * tan(radians(-80 + (yb + 0.5) * 5.0))) AS u2, radians(CASE WHEN dx >= 18 THEN dx * 10.0 - 360 ELSE dx * 10.0 END) AS ll FROM kinds),
+geo1 AS (SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2 FROM geo0),
+iter AS (SELECT ya, yb, dx, su1, cu1, su2, cu2, ll, ll AS lam, 0 AS k FROM geo1 UNION ALL SELECT ya, yb, dx, su1, cu1, su2, cu2, ll, ll + (1 - cc) * {_F} * sa * (sg + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1))), k + 1 FROM ({_SIG2.format(src='iter WHERE k < 25')})),
+last AS ({_SIG2.format(src='iter WHERE k = 25')}),
+abs_ AS (SELECT *, (1 - sa * sa) * (pow(6378137.0, 2) - pow(6378137.0 * (1 - {_F}), 2)) / pow(6378137.0 * (1 - {_F}), 2) AS us FROM last),
+ab AS (SELECT *, 1 + us / 16384 * (4096 + us * (-768 + us * (320 - 175 * us))) AS aa, us / 1024 * (256 + us * (-128 + us * (74 - 47 * us))) AS bb FROM abs_),
+geo AS (SELECT ya, yb, dx, 6378137.0 * (1 - {_F}) * aa * (sg - bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) / 1000 AS dist,
+ degrees(atan2(cu2 * sin(lam), cu1 * su2 - su1 * cu2 * cos(lam))) AS az, degrees(atan2(cu1 * sin(lam), -su1 * cu2 + cu1 * su2 * cos(lam))) + 180 AS bk FROM ab)"""
+)
+_W = "({0}) - 360 * floor(({0}) / 360)"
+ORACLES["geo_geodesic"] = text(
+    GEODESIC,
+    f"""SELECT l.start_x_bin, l.start_y_bin, l.end_x_bin, l.end_y_bin, round(coalesce(g.dist, 0), 6) AS distance, round({_W.format('g.az')}, 6) AS theta_out, round({_W.format('g.bk')}, 6) AS theta_in_source
+ FROM glinks l LEFT JOIN geo g ON g.ya = l.start_y_bin AND g.yb = l.end_y_bin AND g.dx = (l.end_x_bin - l.start_x_bin + 36) % 36 AND (l.start_x_bin <> l.end_x_bin OR l.start_y_bin <> l.end_y_bin)""",
+)
