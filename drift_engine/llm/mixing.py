@@ -80,7 +80,10 @@ def _passes(sized: DataFrame, weights, share: float, max_epochs: int) -> DataFra
 
 def _placed(rows: DataFrame, seed: int) -> DataFrame:
     """rows with their seeded place in the order of the partial pass, and the bucket of that place."""
-    return rows.withColumn("_place", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_bucket", F.shiftrightunsigned("_place", 54))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # the first 60 bits of a digest that other engines have too; the first ten of them are the bucket
+    place = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+    return rows.withColumn("_place", place).withColumn("_bucket", F.shiftright("_place", 50))
 
 
 def _before(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity
 
+from drift_engine.llm.oracles import ORACLES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,4 +59,4 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pack_patterns, op2_quality_bayes, op3_tokens_by_section, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
