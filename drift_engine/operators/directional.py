@@ -101,3 +101,21 @@ def directional_sections(core_cells: DataFrame, cells: DataFrame, grid: Grid, sp
 
 def directional_fronts(core_cells: DataFrame, rows: DataFrame, cfg: sections.SectionConfig) -> DataFrame:
     return sections.fronts(core_cells, sections.zones(rows, sections.DIRECTIONAL, cfg), sections.DIRECTIONAL)
+
+
+def component_statistics(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per component of a labelled graph: cells, edges, strength, direction spread, length of edges, and ranks by cells and by summed strength."""
+    inner = edges.join(members.select(F.col("cell_id").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("edges"), F.sum("edge_length").alias("edge_length"), F.max("direction_difference").alias("largest_direction_difference"))
+    r = F.radians("theta1_out")
+    g = members.groupBy("component", "component_number").agg(
+        F.count("*").alias("cells"),
+        F.sum("D_out_all_magnitude").alias("strength"),
+        F.percentile("D_out_all_magnitude", F.lit(0.5)).alias("median_strength"),
+        F.sum("N_out_move").alias("transitions"),
+        F.hypot(F.avg(F.sin(r)), F.avg(F.cos(r))).alias("direction_concentration"),
+        F.avg("x").alias("centroid_x"),
+        F.avg("y").alias("centroid_y"),
+    )
+    g = g.join(inner, "component", "left").fillna(0, ["edges", "edge_length"])
+    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())).cast("long")
+    return g.withColumns({"rank_cells": rank("cells"), "rank_strength": rank("strength")})

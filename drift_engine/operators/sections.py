@@ -197,3 +197,42 @@ def contaminated(sections: DataFrame, members: DataFrame, theta: str, grid: Grid
     angle = F.radians(difference(F.col("_g.bearing"), F.col("_theta")))
     inside = (F.abs(F.col("_g.distance") * F.cos(angle)) <= cfg.along_scales * F.col("scale")) & (F.abs(F.col("_g.distance") * F.sin(angle)) <= cfg.cross_scales * F.col("scale"))
     return near.filter(inside).select("section").distinct()
+
+
+def section_summaries(rows: DataFrame, crossed: DataFrame | None = None, low_r1: float = 0.5, disagreement: float = 20.0, least_valid: int = 7) -> DataFrame:
+    """Per section: valid samples, total variation between adjacent values, opposing outer flow, and its quality flags joined by ';'.
+
+    rows may carry R1_out, delta_theta_mu1_out, endpoint and junction of the core; flags of
+    columns that are not there are not raised. crossed: sections of contaminated().
+    """
+    w = Window.partitionBy("section").orderBy("i")
+    step = F.abs(F.col("u") - F.lag("u").over(w))
+    carried = [c for c in ("R1_out", "delta_theta_mu1_out", "endpoint", "junction", "missing_side") if c in rows.columns]
+    g = rows.withColumn("_step", step).groupBy("section").agg(
+        F.count("u").alias("valid_samples"),
+        F.coalesce(F.sum("_step"), F.lit(0.0)).alias("total_variation"),
+        F.count_if((F.abs("step") >= 2) & (F.col("u") < 0)).alias("_against"),
+        F.count_if("boundary").alias("_edge"),
+        F.count_if(F.col("u").isNull() & ~F.col("boundary")).alias("_gaps"),
+        F.max("core_uncertain").alias("_uncertain"),
+        *[F.max(c).alias(f"_c_{c}") for c in carried],
+    )
+    g = g.withColumn("opposing_outer_flow", F.col("_against") > 0)
+    g = g.join(crossed.select("section", F.lit(True).alias("_crossed")), "section", "left") if crossed is not None else g.withColumn("_crossed", F.lit(False))
+    have = lambda c: F.col(f"_c_{c}") if c in carried else F.lit(None)
+    checks = {
+        "low_R1_out": have("R1_out") < low_r1,
+        "large_delta_theta_mu1_out": have("delta_theta_mu1_out") > disagreement,
+        "unsupported_transverse_sample": F.col("_gaps") > 0,
+        "domain_boundary": F.col("_edge") > 0,
+        "left_flank_not_observable": have("missing_side").isin("left", "left_and_right"),
+        "right_flank_not_observable": have("missing_side").isin("right", "left_and_right"),
+        "core_location_uncertain": F.col("_uncertain"),
+        "nearby_branch_contamination": F.col("_crossed"),
+        "pixel_junction_nearby": have("junction"),
+        "segment_endpoint": have("endpoint"),
+        "short_available_cross_section": F.col("valid_samples") < least_valid,
+        "opposing_outer_flux": F.col("opposing_outer_flow"),
+    }
+    flags = F.concat_ws(";", *[F.when(F.coalesce(c.cast("boolean"), F.lit(False)), F.lit(k)) for k, c in checks.items()])
+    return g.withColumn("quality_flags", flags).select("section", "valid_samples", "total_variation", "opposing_outer_flow", "quality_flags")

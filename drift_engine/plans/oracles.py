@@ -341,3 +341,13 @@ ORACLES["geo_geodesic"] = text(
     f"""SELECT l.start_x_bin, l.start_y_bin, l.end_x_bin, l.end_y_bin, round(coalesce(g.dist, 0), 6) AS distance, round({_W.format('g.az')}, 6) AS theta_out, round({_W.format('g.bk')}, 6) AS theta_in_source
  FROM glinks l LEFT JOIN geo g ON g.ya = l.start_y_bin AND g.yb = l.end_y_bin AND g.dx = (l.end_x_bin - l.start_x_bin + 36) % 36 AND (l.start_x_bin <> l.end_x_bin OR l.start_y_bin <> l.end_y_bin)""",
 )
+ORACLES["dcr_components"] = text(
+    COMP + ", e AS (SELECT c.component, count(*) AS edges, sum(len) AS len FROM edges x JOIN comp c ON c.cell_id = x.a GROUP BY c.component), g AS (SELECT component, count(*) AS cells, sum(n_move)::BIGINT AS transitions, sum(dm) AS s, quantile_cont(dm, 0.5) AS md, sqrt(pow(avg(sin(radians(th))), 2) + pow(avg(cos(radians(th))), 2)) AS dc FROM comp JOIN cand USING (cell_id) GROUP BY component)",
+    "SELECT g.component, cells, coalesce(edges, 0)::BIGINT AS edges, transitions, rank() OVER (ORDER BY cells DESC) AS rank_cells, " + r6(strength="s", median_strength="md", direction_concentration="dc", edge_length="coalesce(len, 0)") + " FROM g LEFT JOIN e ON e.component = g.component",
+)
+ORACLES["sec_summaries"] = text(
+    PROFILES + ", tv AS (SELECT *, abs(u - lag(u) OVER (PARTITION BY cell_id ORDER BY i)) AS st FROM smooth)",
+    """SELECT 'cell' || lpad(CAST(cell_id AS VARCHAR), 5, '0') AS section, count(u) AS valid_samples, count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 AS opposing_outer_flow,
+ array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE u IS NULL AND NOT edge) > 0 THEN 'unsupported_transverse_sample' END, CASE WHEN bool_or(edge) THEN 'domain_boundary' END, CASE WHEN max(missing_side) IN ('left', 'left_and_right') THEN 'left_flank_not_observable' END, CASE WHEN max(missing_side) IN ('right', 'left_and_right') THEN 'right_flank_not_observable' END,
+ CASE WHEN coalesce(abs(max(core_i)) = 1, TRUE) THEN 'core_location_uncertain' END, CASE WHEN count(u) < 7 THEN 'short_available_cross_section' END, CASE WHEN count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 THEN 'opposing_outer_flux' END], lambda v: v IS NOT NULL), ';') AS quality_flags, round(coalesce(sum(st), 0), 6) AS total_variation FROM tv GROUP BY cell_id""",
+)

@@ -235,6 +235,20 @@ def grf_degree_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cell_id", F.col("degree").cast("long"), "endpoint", "junction", "isolated", "component_class")
 
 
+@query
+def dcr_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    found = directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS)
+    out = directional.component_statistics(found, directional.compatible_edges(found, P.GRID_E, P.SPACE_E))
+    return out.select("component", "cells", "edges", "transitions", "rank_cells", *r6("strength", "median_strength", "direction_concentration", "edge_length"))
+
+
+@query
+def sec_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sections.section_summaries(P.directional_sections_e(spark, sf_dir)[1])
+    return out.select("section", "valid_samples", "opposing_outer_flow", "quality_flags", *r6("total_variation"))
+
+
 @query
 def dco_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.cells_stored(spark, sf_dir)
