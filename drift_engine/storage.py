@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="drift_engine_shared_")
+        path = tempfile.mkdtemp(prefix="drift_engine_shared_")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dir[app] = f"file://{path}"
     return _own_dir[app]
 
 
