@@ -75,20 +75,18 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, len(raw.translate(None, _SYMBOLS)), dup, repeated_window_words(words)
 
 
-def line_facts(text: str) -> list[tuple[int, int, int, int]]:
-    """(line hash, hash of the lines around it, words, place) of each line with a word."""
+def line_facts(text: str) -> list[tuple[int, int, int]]:
+    """(line hash, words, place) of each line with a word."""
     lines = [(normalised(x), len(x.encode().split()), i) for i, x in enumerate(text.split("\n"))]
-    hashes = [(xxhash.xxh64_intdigest(x.encode()), n, i) for x, n, i in lines if n]
-    ends = [0, *[h for h, _, _ in hashes], 0]
-    return [(h, (ends[k] * 0x9E3779B97F4A7C15 + ends[k + 2] + 1) & (2**64 - 1), n, i) for k, (h, n, i) in enumerate(hashes)]
+    return [(xxhash.xxh64_intdigest(x.encode()), n, i) for x, n, i in lines if n]
 
 
 def _signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("_key", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], *[(c, pa.list_(pa.int64())) for c in ("_lines", "_around", "_line_words", "_at")]])
-_FACTS_DDL = "doc_id long, _key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _lines array<long>, _around array<long>, _line_words array<long>, _at array<long>"
+_FACTS = pa.schema([("doc_id", pa.int64()), ("_key", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_text")], *[(c, pa.list_(pa.int64())) for c in ("_lines", "_line_words", "_at")]])
+_FACTS_DDL = "doc_id long, _key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _text long, _lines array<long>, _line_words array<long>, _at array<long>"
 
 
 def _facts(batches):
@@ -99,29 +97,29 @@ def _facts(batches):
             for c, v in zip(cols, base_rules(text)):
                 c.append(v)
             facts = line_facts(text)
-            cols[5].append(_signed([x[0] for x in facts]))
-            cols[6].append(_signed([x[1] for x in facts]))
-            cols[7].append(np.array([x[2] for x in facts], np.int64))
-            cols[8].append(np.array([x[3] for x in facts], np.int64))
+            cols[5].append(_signed([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))])[0])
+            cols[6].append(_signed([x[0] for x in facts]))
+            cols[7].append(np.array([x[1] for x in facts], np.int64))
+            cols[8].append(np.array([x[2] for x in facts], np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), *[pa.array(c, f.type) for c, f in zip(cols, list(_FACTS)[2:])]], schema=_FACTS)
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """The stored facts of each row: base counts and lines."""
+    """The stored facts of each row: base counts, a hash of the whole text, and lines."""
     rows = docs.select(F.col("doc_id").cast("long"), source_key().alias("_key"), F.col("text").cast("string"))
     return materialise(rows.mapInArrow(_facts, _FACTS_DDL).withColumn("_row", F.monotonically_increasing_id()), "rules-facts")
 
 
 def _lines(facts: DataFrame) -> DataFrame:
-    lines = facts.select("_row", "_key", F.explode(F.arrays_zip("_lines", "_around", "_line_words")).alias("x"))
-    return lines.select("_row", "_key", F.col("x._lines").alias("line"), F.col("x._around").alias("around"), F.col("x._line_words").alias("words"))
+    lines = facts.select("_row", "_key", "_text", F.explode(F.arrays_zip("_lines", "_line_words")).alias("x"))
+    return lines.select("_row", "_key", "_text", F.col("x._lines").alias("line"), F.col("x._line_words").alias("words"))
 
 
 def frequent_lines(facts: DataFrame, least_documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """Stored (_key, line) of the lines above their host's limit, counted over all documents."""
     hosts = facts.groupBy("_key").agg(F.count("*").alias("_docs")).withColumn("_limit", F.greatest(F.lit(float(least_documents)), F.col("_docs") * F.lit(share))).drop("_docs")
-    # (line, around) is reduced on the map side first, so a line in a third of all rows arrives as its distinct surroundings.
-    spread = _lines(facts).groupBy("_key", "line", "around").agg(F.lit(1).alias("one")).groupBy("_key", "line").agg(F.count("*").alias("_spread"))
+    # Rows are dealt by line and text, so a line in a third of all rows reaches its count as partial sums.
+    spread = _lines(facts).select("_key", "line", "_text").distinct().groupBy("_key", "line").agg(F.count("*").alias("_spread"))
     found = spread.filter(F.col("_spread") > least_documents).join(hosts, "_key").filter("_spread > _limit")
     return materialise(found.select("_key", "line"), "rules-lines")
 
@@ -134,9 +132,9 @@ def judge(docs: DataFrame, least_documents: int = LINE_DOCUMENTS, share: float =
     """A row per document: its base counts, base_failed, removed_words, removed_lines, kept.
 
     Lines are normalised and hashed; a line's documents are counted per host (here the
-    source) over all documents. Documents count as distinct for a line when the lines
-    before and after it differ, so copies of one text count once and do not turn their
-    own text into boilerplate. Lines in more than max(least_documents, share of the
+    source) over all documents. Documents with the same whole text count once, so exact
+    copies do not turn their own text into boilerplate, and a line counts once for a
+    document however often it stands there. Lines in more than max(least_documents, share of the
     host's documents) are removed; a document that loses more than `depleted` of its
     words is rejected, as is one that fails the base rules.
 
@@ -147,7 +145,7 @@ def judge(docs: DataFrame, least_documents: int = LINE_DOCUMENTS, share: float =
     facts = _line_table(docs)
     frequent = frequent_lines(facts, least_documents, share)
     removed = _lines(facts).join(small(frequent, frequent.count()), ["_key", "line"], "left_semi").groupBy("_row").agg(F.sum("words").alias("removed_words"), F.count("*").alias("removed_lines"))
-    out = facts.drop("_lines", "_around", "_line_words", "_at", "_key").join(removed, "_row", "left").fillna(0, ["removed_words", "removed_lines"])
+    out = facts.drop("_text", "_lines", "_line_words", "_at", "_key").join(removed, "_row", "left").fillna(0, ["removed_words", "removed_lines"])
     out = out.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & ~(F.col("removed_words") > depleted * F.col("n_words")))
     return out.drop("_row")
 
@@ -183,7 +181,7 @@ def kept_documents(docs: DataFrame, least_documents: int = LINE_DOCUMENTS, share
             ok, removed = not (n_words < LEAST_WORDS or 100 * repeated > 30 * n_words), []
             if ok:
                 often = known.value.get(key, ()) if known is not None else {x & (2**64 - 1) for x in given or ()}
-                gone = [(n, at) for h, _, n, at in line_facts(text) if h in often] if often else []
+                gone = [(n, at) for h, n, at in line_facts(text) if h in often] if often else []
                 ok, removed = sum(n for n, _ in gone) <= depleted * n_words, [at for _, at in gone]
             out.append({"kept": ok, "removed": removed})
         return pa.array(out, pa.struct([("kept", pa.bool_()), ("removed", pa.list_(pa.int64()))]))

@@ -422,6 +422,22 @@ def test_quality_rules_shuffled_lines(odd, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in quality_rules.kept_documents(odd).collect()) == want
 
 
+def test_quality_rules_count_documents(spark):
+    """Numbered lines and inner lines of a shared block count a document each; repeats in one document and copies count once."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+    own = lambda i: " ".join(f"{w}{chr(97 + i)}" for w in words)
+    rows = [(i, f"{own(i)}\nitem {i}\nShared line of numbered pages.\nitem {i}", "digits") for i in range(14)]
+    rows += [(20 + i, f"first of block\nsecond of block\nthird of block\n{own(i)}", "block") for i in range(14)]
+    rows += [(40, own(0) + "".join(f"\nverse {chr(97 + i)} is here\nrefrain of the song\nChapter {i}" for i in range(14)), "song")]
+    rows += [(50 + i, f"{own(1)}\na copied text's last line", "copies") for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.removed_lines, r.removed_words) for r in quality_rules.judge(docs).collect()}
+    want = {i: (3, 9) for i in range(14)} | {20 + i: (3, 9) for i in range(14)} | {40: (0, 0)} | {50 + i: (0, 0) for i in range(14)}
+    assert got == want
+    left = {r.doc_id: r.text for r in quality_rules.kept_documents(docs).collect()}
+    assert left == {d: own(d % 20) if d < 40 else t for d, t, _ in rows}
+
+
 def test_empty_tables(nothing):
     assert packing.pack(nothing).count() == 0
     assert token_counts.section_counts(nothing).count() == 0
