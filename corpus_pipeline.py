@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from drift_engine.llm import mixing, near_dedup, packing, quality_model, quality_rules
 from drift_engine.llm.common import materialise
 
+#: Jaccard similarity of word shingles, in per cent, from which the stage takes documents as near-duplicates.
+NEAR_PERCENT = 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of good quality is high enough."""
@@ -25,7 +28,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; documents without words all stay."""
-    return near_dedup.first_documents(docs)
+    return near_dedup.first_documents(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

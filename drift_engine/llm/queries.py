@@ -45,7 +45,7 @@ def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

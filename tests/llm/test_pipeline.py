@@ -34,3 +34,33 @@ def test_stages(spark):
         docs = out
     assert after["quality_classifier"] > after["near_dedup"] > 0
     assert corpus_pipeline.run(spark, SF).count() == after["packing"]
+
+
+def test_near_stage_links_from_80_per_cent(spark):
+    words = [f"w{i}" for i in range(304)]  # 300 shingles
+    changed = lambda *places: " ".join(f"z{i}" if i in places else w for i, w in enumerate(words))
+    # 6 changes take 30 shingles: 270 of 330 shared, 0.818; 7 take 35: 265 of 335, 0.791
+    rows = [(1, changed()), (2, changed(*range(20, 260, 40))), (3, changed(*range(20, 300, 40)) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").filter("doc_id < 3")
+    assert near_dedup.near_duplicates(docs, percent=85).filter("kept").count() == 2
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
+    apart = spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, apart, SF).count() == 2
+
+
+def test_band_rows_miss_few_at_the_threshold():
+    for percent in (80, 85):
+        rows = near_dedup.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (near_dedup.REGISTERS // rows) <= 1e-5
+    assert near_dedup.band_rows(85) == 7
+
+
+def test_stages_at_the_operators_default(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "NEAR_PERCENT", near_dedup.PERCENT)
+    test_stages(spark)
+
+
+def test_near_stage_against_its_operator(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in near_dedup.near_duplicates(docs, percent=80).filter("kept").collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
