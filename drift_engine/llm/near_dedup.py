@@ -15,7 +15,8 @@ from drift_engine.llm.common import keyed, materialise, small
 from drift_engine.operators.graph import connected_components
 
 SHINGLE = 5
-PERCENT = 85
+#: Jaccard similarity of word shingles, in per cent, from which documents are linked.
+PERCENT = 80
 #: Registers of 6 bits for the leading zeros and 10 of the mantissa.
 REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS

@@ -23,4 +23,20 @@ whole AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN flo
 rest AS (SELECT *, floor(target - whole * source_size)::BIGINT AS rest FROM whole),
 run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM sz)
 SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM run JOIN rest ON run.source IS NOT DISTINCT FROM rest.source""",
+    "op10_quality_lines": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, unnest(range(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))) AS k FROM d),
+win AS (SELECT rid, k, list(word) OVER eight AS words FROM w WINDOW eight AS (PARTITION BY rid ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+twice AS (SELECT rid, k, count(*) OVER (PARTITION BY rid, words) AS found FROM win WHERE len(words) = 8),
+rep AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT rid, unnest(range(k, k + 8)) AS p FROM twice WHERE found > 1) GROUP BY rid),
+raw AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT rid, source, text, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY rid),
+hosts AS (SELECT source, greatest(10::DOUBLE, 0.002::DOUBLE * count(*)) AS most FROM d GROUP BY source),
+often AS (SELECT x.source, x.plain FROM (SELECT source, plain, count(DISTINCT text) AS spread FROM l GROUP BY source, plain) x JOIN hosts h ON x.source IS NOT DISTINCT FROM h.source WHERE x.spread > h.most),
+gone AS (SELECT l.rid, sum(l.words)::BIGINT AS removed_words, count(*)::BIGINT AS removed_lines FROM l JOIN often o ON o.plain = l.plain AND o.source IS NOT DISTINCT FROM l.source GROUP BY l.rid),
+f AS (SELECT d.rid, d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words, coalesce(removed_lines, 0) AS removed_lines
+FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, removed_lines, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT removed_words > 0.5 * n_words AS kept FROM f""",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +22,14 @@ DEPLETED = 0.5
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = bytes(c for c in range(256) if c not in b"#*$%&|<>")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"[0-9]+")
+_BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
 def normalised(line: str) -> str:
-    """Lower case, compatible forms, digits as one 0, white space as one blank."""
-    return " ".join(_DIGITS.sub("0", unicodedata.normalize("NFKC", line).lower()).split())
+    """Lower case, runs of the digits 0 to 9 as one 0, white space (as between words) as one blank."""
+    return _BLANKS.sub(" ", _DIGITS.sub("0", line.lower())).strip(" ")
 
 
 def repeated_window_words(words: list[bytes], width: int = WINDOW) -> int:

@@ -269,7 +269,7 @@ def shingles(text):
     return frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
 
 
-def brute_components(rows):
+def brute_components(rows, percent):
     sets = [shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -280,7 +280,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -289,8 +289,9 @@ def brute_components(rows):
     return Counter((doc_id, len(sets[i]), least.get(root(i))) for i, (doc_id, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("name", ["documents", "odd", "family"])
-def test_near_duplicates(name, request, spark):
+def test_near_duplicates(name, percent, request, spark):
     if name == "family":
         rng = np.random.default_rng(5)
         base = [f"w{i}" for i in range(160)]
@@ -304,12 +305,12 @@ def test_near_duplicates(name, request, spark):
     else:
         docs = request.getfixturevalue(name)
     rows = texts_of(docs.select("doc_id", "text").collect())
-    got = near_dedup.near_duplicates(docs).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    got = near_dedup.near_duplicates(docs, percent=percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, percent)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
-    first = near_dedup.first_documents(docs)
+    first = near_dedup.first_documents(docs, percent=percent)
     assert first.columns == docs.columns
-    groups = {c for _, n, c in brute_components(rows) if n}
+    groups = {c for _, n, c in brute_components(rows, percent) if n}
     assert first.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count() == len(groups)
 
 
@@ -390,17 +391,21 @@ def brute_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(m)
 
 
+def plain_line(line):
+    return re.sub(r"[ \t-\r]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_quality_rules(name, request):
     docs = request.getfixturevalue(name)
     rows = docs.select("doc_id", "text", "source").collect()
-    # a line's distinct surroundings per host, counted plainly
+    # the distinct whole texts that hold a line, per host, counted plainly
     spread, lines = defaultdict(set), []
     for doc_id, text, source in rows:
-        own = [quality_rules.normalised(x) for x in (text or "").split("\n") if x.split()]
-        lines.append([(x, n) for x, n in zip(own, [len(WORD.findall(x)) for x in (text or "").split("\n") if x.split()])])
-        for i, x in enumerate(own):
-            spread[source, x].add(((own[i - 1] if i else None), own[i + 1] if i + 1 < len(own) else None))
+        own = [(plain_line(x), len(WORD.findall(x))) for x in (text or "").split("\n") if WORD.search(x)]
+        lines.append(own)
+        for x, _ in own:
+            spread[source, x].add(text)
     hosts = Counter(r[2] for r in rows)
     want = Counter()
     for (doc_id, text, source), own in zip(rows, lines):

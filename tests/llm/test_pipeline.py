@@ -55,11 +55,6 @@ def test_band_rows_miss_few_at_the_threshold():
     assert near_dedup.band_rows(85) == 7
 
 
-def test_stages_at_the_operators_default(spark, monkeypatch):
-    monkeypatch.setattr(corpus_pipeline, "NEAR_PERCENT", near_dedup.PERCENT)
-    test_stages(spark)
-
-
 def test_near_stage_against_its_operator(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = sorted(r.doc_id for r in near_dedup.near_duplicates(docs, percent=80).filter("kept").collect())
