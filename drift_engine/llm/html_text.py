@@ -1,12 +1,21 @@
-"""Main text of web pages: page structure, and a host's suffix array for what the structure leaves open."""
+"""Main text of web pages: page structure says which parts may be text, a host's suffix array which passages are boilerplate.
+
+The pages of a host, in groups of bounded size, are one stream of words each; the suffix
+array of a group finds its passages that distinct pages share, and the groups of a large
+host tell each other of theirs by hashes of their 8-word windows, so what is found does
+not depend on the grouping.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +26,17 @@ LEAST_WORDS = 8
 LEAST_PAGES = 2
 #: A block of open standing goes when this share of its words is in shared passages.
 COVERED = 0.5
-#: Pages of a host, and bytes of their html, whose streams go into one suffix array.
-PAGES = 256
-GROUP_BYTES = 16 << 20
+#: Inside main elements a passage is boilerplate only when so many pages of the host have it there, and this share of them.
+MAIN_PAGES = 5
+MAIN_SHARE = 0.5
+#: A page that would lose more than this share of its main text is a copy, and keeps all of it.
+COPY = 0.5
+#: A block in an element of a suspect name goes with fewer words than this, or with this share of them shared.
+SUSPECT_WORDS = 25
+SUSPECT_COVERED = 0.2
+#: Bytes of a host's html whose words go into one suffix array; and windows that one task merges.
+GROUP_BYTES = 8 << 20
+MERGED_WINDOWS = 1 << 20
 
 RAW_TEXT = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -27,11 +44,13 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "object", "canvas", "fieldset"}
 MAIN = {"article", "main"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-#: Words of class and id names that mark furniture.
+#: Words of class and id names that mark what is never text, though every page may have its own (fixed values).
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|banner|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|newsletter|subscribe|signup|popup|modal|breadcrumb|breadcrumbs|pagination|pager|share|sharing|social|related|recommended|widget|comment|comments|disqus|reply|replies|respond|login|search|toolbar|skip|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|banner|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|newsletter|subscribe|breadcrumb|breadcrumbs|pagination|pager|comment|comments|disqus)(?:$|[\s_-])",
     re.I,
 )
+#: Words of names that make an element suspect; what its text shares with other pages decides (fixed values).
+SUSPECT_NAMES = re.compile(r"(?:^|[\s_-])(?:promo|signup|popup|modal|share|sharing|social|related|recommended|widget|reply|replies|respond|login|search|toolbar|skip|copyright|legal)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post-content|entry-content|article-body|main-content|story-body|post-body)(?:$|[\s_-])", re.I)
 #: A paragraph ends where one of these begins.
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -42,7 +61,7 @@ _SPACE = re.compile(r"\s+")
 
 
 def standing(tag: str, attributes: str) -> str:
-    """'-' if the element is furniture, '+' if it holds the main text, '' if neither."""
+    """'-' if the element is furniture, '+' if it holds the main text, '?' if its name makes it suspect, '' if none of these."""
     if tag in FURNITURE:
         return "-"
     if tag in ("html", "body"):
@@ -66,9 +85,22 @@ def standing(tag: str, attributes: str) -> str:
             return "-"
         if MAIN_NAMES.search(names):
             return "+"
+        if SUSPECT_NAMES.search(names):
+            return "?"
     return ""
 
 
+def standing_inside(before: str, own: str) -> str:
+    """The standing within an element of its `own`, inside one of standing `before`. '!' is '?' inside the main text; furniture and suspects keep what is in them."""
+    if before == "-" or own == "-":
+        return "-"
+    if before in ("?", "!"):
+        return before
+    if own == "?":
+        return "!" if before == "+" else "?"
+    return own or before
+
+
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(standing, text) of the page's blocks in order. Inline tags do not end a block, all others do; script, style and the like are left out."""
     out: list[tuple[str, str]] = []
@@ -113,59 +145,72 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 stack.pop()
             if tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            before = stack[-1][1] if stack else ""
-            own = standing(tag, m[3])
-            stack.append((tag, "-" if before == "-" else own or before))
+            stack.append((tag, standing_inside(stack[-1][1] if stack else "", standing(tag, m[3]))))
         now = stack[-1][1] if stack else ""
     flush()
     return out
 
 
-def suffix_array(stream: np.ndarray) -> np.ndarray:
-    """Starts of the stream's suffixes in their order, by doubling."""
+def packed(blocks: list[tuple[str, str]]) -> bytes:
+    """Blocks as compressed lines; a block's text has no line end."""
+    return zlib.compress("\n".join((kind or " ") + text for kind, text in blocks).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(data: bytes) -> list[tuple[str, str]]:
+    lines = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return [(line[0].strip(), line[1:]) for line in lines.split("\n")] if lines else []
+
+
+def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the stream's suffixes in the order of their first `depth` words or more, by doubling; and each place's rank, equal for suffixes alike in all words compared."""
     n = len(stream)
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = rank[width:]
-        order = np.lexsort((after, rank))
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1 or width >= n:
-            return order
-        width *= 2
-
-
-def shared_cover(stream: np.ndarray, page: np.ndarray, least: int = LEAST_WORDS, pages: int = LEAST_PAGES) -> np.ndarray:
-    """Which words lie in a passage of `least` words or more that stands on `pages` distinct pages.
-
-    Suffixes with the same first `least` words are neighbours in the suffix array; a run
-    of them with enough pages covers those words at each of its starts. Longer shared
-    passages are the union of their windows. page: the page of each word; words of
-    value < 0 end a passage.
+    order, width = np.argsort(rank, kind="stable"), 1
+    while n and width < depth:
+        step = min(width, depth - width)
+        after = np.full(n, 0, np.int64)
+        after[: n - step] = rank[step:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
+        width += step
+    return order, rank
+
+
+def window_pages(stream: np.ndarray, page: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
+    """For each place the number of distinct pages with the `least` words that begin there; 0 where no such window begins.
+
+    Suffixes with the same first words are neighbours in the suffix array; the pages of
+    such a run are counted. page: the page of each word; words of value < 0 end a passage.
     """
     n = len(stream)
-    covered = np.zeros(n, bool)
+    counts = np.zeros(n, np.int64)
     if n < least:
-        return covered
-    order = suffix_array(stream)
-    order = order[order <= n - least]
-    windows = np.lib.stride_tricks.sliding_window_view(stream, least)
-    fits = ~(windows < 0).any(1)
-    order = order[fits[order]]
+        return counts
+    order, rank = suffix_array(stream, least)
+    ends = np.concatenate([[0], np.cumsum(stream < 0)])
+    whole = np.zeros(n, bool)
+    whole[: n - least + 1] = ends[least:] == ends[: n - least + 1]
+    order = order[whole[order]]
     if not len(order):
-        return covered
-    w = windows[order]
-    run = np.concatenate([[0], np.cumsum((w[1:] != w[:-1]).any(1))])
-    kinds = np.unique(np.stack([run, page[order]], 1), axis=0)
-    enough = np.bincount(kinds[:, 0], minlength=run[-1] + 1) >= pages
-    ends = np.zeros(n + 1, np.int64)
-    starts = order[enough[run]]
+        return counts
+    run = rank[order]
+    first = np.concatenate([[True], run[1:] != run[:-1]])
+    number = np.cumsum(first) - 1
+    # A stable order keeps places ascending in a run, and pages with them.
+    fresh = first | np.concatenate([[True], page[order[1:]] != page[order[:-1]]])
+    counts[order] = np.bincount(number, fresh).astype(np.int64)[number]
+    return counts
+
+
+def cover(enough: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
+    """Which words lie in one of the windows that begin where `enough` is set; longer passages are the union of their windows."""
+    ends = np.zeros(len(enough) + least, np.int64)
+    starts = np.flatnonzero(enough)
     np.add.at(ends, starts, 1)
     np.add.at(ends, starts + least, -1)
-    return np.cumsum(ends[:-1]) > 0
+    return np.cumsum(ends[: len(enough)]) > 0
 
 
 def long_runs(flags: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
@@ -177,71 +222,214 @@ def long_runs(flags: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
     return out
 
 
-def host_texts(pages: pd.DataFrame) -> pd.DataFrame:
-    """Main text of pages of one host: (page_id, url, text, words, shared_words)."""
-    parsed = [blocks_of(p or "") for p in pages["html"]]
-    number: dict[str, int] = {}
-    stream: list[int] = []
-    owner: list[int] = []
-    spans: dict[tuple[int, int], tuple[int, int]] = {}
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 5, 1 << 64) for k in range(LEAST_WORDS)], np.uint64)
+
+
+def window_keys(words: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of the windows that begin at each place, of the words' 64-bit hashes; the last places have none."""
+    total = np.full(max(0, len(words) - LEAST_WORDS + 1), seed, np.uint64)
+    for k in range(LEAST_WORDS):
+        total += words[k : k + len(total)] * _FACTORS[k]
+    total = (total ^ (total >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29))
+
+
+class Zone:
+    """The words of a group's pages that stand in the main text, or of those that don't, as one stream in which a page's end ends every passage."""
+
+    def __init__(self, host: str, main: bool):
+        self.seed = xxhash.xxh64_intdigest(f"{'main' if main else 'rest'} {host}".encode("utf-8", "surrogatepass"))
+        self.number: dict[str, int] = {}
+        self.words: list[int] = []
+        self.owner: list[int] = []
+
+    def add(self, page: int, text: str) -> tuple[int, int]:
+        start, number = len(self.words), self.number
+        self.words += [number.setdefault(w, len(number)) for w in text.split()]
+        self.owner += [page] * (len(self.words) - start)
+        return start, len(self.words)
+
+    def end(self, page: int) -> None:
+        self.words.append(-1 - page)
+        self.owner.append(page)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.words, np.int64), np.array(self.owner, np.int64)
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """Keys of the windows that begin at the places `at`, the same in every group of the host."""
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.number], np.uint64)
+        stream = np.array(self.words, np.int64)
+        return window_keys(hashes[np.maximum(stream, 0)] if len(hashes) else np.zeros(len(stream), np.uint64), self.seed)[at]
+
+
+def zones(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[Zone, Zone, dict[tuple[int, int], tuple[Zone, int, int]]]:
+    """The rest zone, the main zone, and where in them each block stands."""
+    rest, main, spans = Zone(host, False), Zone(host, True), {}
     for k, found in enumerate(parsed):
         for b, (kind, text) in enumerate(found):
-            if kind != "+":  # main text is not boilerplate for being on two pages
-                words = [number.setdefault(w, len(number)) for w in text.split()]
-                spans[k, b] = len(stream), len(stream) + len(words)
-                stream += words
-                owner += [k] * len(words)
-        stream.append(-1 - k)
-        owner.append(k)
-    cover = shared_cover(np.array(stream, np.int64), np.array(owner, np.int64))
-    texts, shared = [], []
+            zone = main if kind == "+" else rest
+            spans[k, b] = (zone, *zone.add(k, text))
+        rest.end(k)
+        main.end(k)
+    return rest, main, spans
+
+
+def window_lists(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct windows of both zones, and the distinct pages that each stands on."""
+    keys, counts = [], []
+    for zone in zones(host, parsed)[:2]:
+        pages = window_pages(*zone.arrays())
+        at = np.flatnonzero(pages)
+        own, first = np.unique(zone.keys(at), return_index=True)
+        keys.append(own)
+        counts.append(pages[at][first])
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def host_texts(host: str, parsed: list[list[tuple[str, str]]], pages: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int]]:
+    """(main text, words dropped as shared) of each page. pages: those of the whole host; known: keys and page numbers of windows that other groups of the host have too."""
+    rest, main, spans = zones(host, parsed)
+    covered = {}
+    for zone, least in ((rest, LEAST_PAGES), (main, max(MAIN_PAGES, MAIN_SHARE * pages))):
+        counts = window_pages(*zone.arrays())
+        if known is not None and len(known[0]):
+            at = np.flatnonzero(counts)
+            keys = zone.keys(at)
+            place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+            counts[at] = np.where(known[0][place] == keys, known[1][place], counts[at])
+        covered[zone] = cover(counts >= least)
+    out = []
     for k, found in enumerate(parsed):
+        of = {b: covered[spans[k, b][0]][slice(*spans[k, b][1:])] for b in range(len(found))}
+        inside = [of[b] for b, (kind, _) in enumerate(found) if kind == "+"]
+        has_main = bool(inside)
+        a_copy = has_main and np.concatenate(inside).mean() > COPY
         kept, lost = [], 0
         for b, (kind, text) in enumerate(found):
-            if kind == "+":
+            if kind == "+" and a_copy:
                 kept.append(text)
                 continue
-            inside = cover[slice(*spans[k, b])]
-            if kind == "-" or inside.mean() >= COVERED:
-                lost += int(inside.sum())
+            flags = of[b]
+            suspect = kind in ("?", "!") and (len(flags) < SUSPECT_WORDS or flags.mean() >= SUSPECT_COVERED)
+            if kind == "-" or suspect or (has_main and kind in ("", "?")) or flags.mean() >= COVERED:
+                lost += int(flags.sum())
                 continue
-            inside = long_runs(inside)
-            lost += int(inside.sum())
-            kept.append(" ".join(w for w, c in zip(text.split(), inside) if not c))
-        if any(kind == "+" for kind, _ in found):  # a page that names its main part means only that
-            kept = [text for kind, text in found if kind == "+"]
-        texts.append(" ".join(t for t in kept if t))
-        shared.append(lost)
-    return pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "shared_words": shared})
+            flags = long_runs(flags)
+            lost += int(flags.sum())
+            kept.append(" ".join(w for w, c in zip(text.split(" "), flags) if not c) if flags.any() else text)
+        out.append((" ".join(t for t in kept if t), lost))
+    return out
+
+
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("_host", pa.string()), ("_group", pa.int32()), ("_pages", pa.int64()), ("blocks", pa.binary())])
+_PARSED_DDL = "page_id long, url string, _host string, _group int, _pages long, blocks binary"
+_TEXTS_DDL = "page_id long, url string, text string, n_chars long, shared_words long"
+
+
+def _parse(batches):
+    for batch in batches:
+        blocks = [packed(blocks_of(p.as_py() or "")) for p in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in list(_PARSED)[:-1]], pa.array(blocks, pa.binary())], schema=_PARSED)
+
+
+def _texts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Texts of a bin's pages, host by host and group by group. Rows without _pages hold windows that the group shares with others."""
+    out = []
+    for (host, _), group in rows.groupby(["_host", "_group"], sort=False):
+        pages, shared = group[group["_pages"].notna()], group[group["_pages"].isna()]
+        known = None
+        if len(shared):
+            keys = np.frombuffer(b"".join(shared["blocks"]), np.uint64)
+            totals = np.frombuffer(b"".join(shared["counts"]), np.int64)
+            order = np.argsort(keys, kind="stable")
+            known = keys[order], totals[order]
+        if len(pages):
+            found = host_texts(host, [unpacked(x) for x in pages["blocks"]], int(pages["_pages"].iloc[0]), known)
+            out.append(pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(), "text": [t for t, _ in found], "n_chars": [len(t) for t, _ in found], "shared_words": [n for _, n in found]}))
+    return pd.concat(out) if out else pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": [], "shared_words": []})
+
+
+def _shared_elsewhere(parsed: DataFrame, tasks: int) -> DataFrame:
+    """(_bin, _host, _group, blocks: keys, counts: pages) of the windows that each group has in common with others of its host.
+
+    A group sends its distinct windows, dealt by key; so a passage that all pages carry
+    is one entry a group, not one a page.
+    """
+
+    def lists(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (bin_, host, group), pages in rows.groupby(["_bin", "_host", "_group"], sort=False):
+            keys, counts = window_lists(host, [unpacked(x) for x in pages["blocks"]])
+            part = (keys % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for at in np.split(order, cuts):
+                if len(at):
+                    out.append((int(part[at[0]]), bin_, host, group, keys[at].tobytes(), counts[at].tobytes() if (counts[at] > 1).any() else b""))
+        return pd.DataFrame(out, columns=["part", "_bin", "_host", "_group", "blocks", "counts"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(b, np.uint64) for b in rows["blocks"]]
+        counts = [np.frombuffer(c, np.int64) if c else np.ones(len(k), np.int64) for c, k in zip(rows["counts"], keys)]
+        whole = np.concatenate(keys)
+        own, number, groups = np.unique(whole, return_inverse=True, return_counts=True)
+        pages = np.bincount(number, np.concatenate(counts)).astype(np.int64)
+        out, start = [], 0
+        for k, row in zip(keys, rows.itertuples(index=False)):
+            at = number[start : start + len(k)]
+            start += len(k)
+            at = at[groups[at] > 1]
+            if len(at):
+                out.append((row[1], row[2], row[3], own[at].tobytes(), pages[at].tobytes()))
+        return pd.DataFrame(out, columns=["_bin", "_host", "_group", "blocks", "counts"])
+
+    sent = parsed.groupBy("_bin").applyInPandas(lists, "part long, _bin long, _host string, _group int, blocks binary, counts binary")
+    found = sent.groupBy("part").applyInPandas(merge, "_bin long, _host string, _group int, blocks binary, counts binary")
+    return materialise(found, "html-shared")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """A row per page: page_id, url, text, n_chars, shared_words.
-
-    Pages meet by host, a large host in groups of some PAGES pages by a hash of page_id,
-    so no task gets a whole hot host. In each group the words outside main elements are
-    one stream, whose suffix array finds passages that distinct pages share. Of blocks
-    outside main and furniture elements, shared passages go, whole blocks where most of
-    them is shared, and unique runs stay. Pages that mark a main element (article, main)
-    give that, less the furniture inside it, whether or not other pages have the same
-    text. Null html: no text. Null url: one host of its own. Repeated rows each give a row
+    """A row per page: page_id, url, text, n_chars, shared_words (words dropped because other pages have them).
+
+    Structure first: elements that by their tag, role or name are menus, headers, footers,
+    sidebars, adverts, notices, forms or reader comments are no text; on a page with main
+    elements (article, main) only what is inside them can be. Then the host's suffix
+    arrays decide: outside main elements, passages of LEAST_WORDS words that two pages
+    share go, blocks mostly of such go whole, and unique runs stay; suspect elements
+    (promo, related and the like) go if they share or say little. Inside main elements
+    a passage goes if MAIN_SHARE of the host's pages, and MAIN_PAGES at least, have it in
+    theirs; but a page that would lose more than COPY of its main text is a copy of an
+    article and keeps it.
+
+    Pages meet by host, a large host's in groups of some GROUP_BYTES of html by a hash of
+    page_id and url, so no task gets a whole hot host. Groups tell each other which
+    windows they share (_shared_elsewhere), so results are those of one array over the
+    host. Null html: no text. Null url: one host of its own. Repeated rows each give a row
     (and are distinct pages to each other). Empty tables give no rows. Extra columns are
     not read.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = rows.withColumn("_host", host)
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
-    sizes = materialise(sizes.withColumn("_groups", F.ceil(F.greatest(F.col("n") / PAGES, F.col("bytes") / GROUP_BYTES))), "html-hosts")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.filter("_groups > 1").select("_host", "_groups")
-    rows = rows.join(small(large, large.count()), "_host", "left")
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("page_id"), F.coalesce("_groups", F.lit(1))).cast("int"))
+    sizes = rows.groupBy("_host").agg(F.count("*").alias("_pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
+    sizes = materialise(sizes.withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("bytes") / GROUP_BYTES))), "html-hosts")
+    total = sizes.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("_groups") > 1, F.col("bytes"))).alias("large"), F.count("*").alias("hosts")).first()
+    rows = rows.join(small(sizes.drop("bytes"), total["hosts"]), "_host")
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("page_id", "url"), F.col("_groups")).cast("int"))
     # Small hosts share a call; each is still looked at by itself.
-    rows = rows.withColumn("_bin", F.pmod(F.xxhash64("_host", "_group"), F.lit(max(1, total // PAGES))))
+    bins = max(1, (total["all"] or 0) // GROUP_BYTES)
+    placed = F.pmod(F.xxhash64("_host", "_group"), F.lit(bins))
 
-    def texts(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([host_texts(g) for _, g in pdf.groupby(["_host", "_group"], sort=False)])
+    def parsed(part: DataFrame) -> DataFrame:
+        return part.select("page_id", "url", "_host", "_group", "_pages", "html").mapInArrow(_parse, _PARSED_DDL).withColumn("_bin", placed)
 
-    rows = rows.select("page_id", "url", "html", "_host", "_group", "_bin")
-    return rows.groupBy("_bin").applyInPandas(texts, "page_id long, url string, text string, n_chars long, shared_words long")
+    whole = parsed(rows.filter("_groups = 1")).withColumn("counts", F.lit(None).cast("binary"))
+    out = whole.groupBy("_bin").applyInPandas(_texts, _TEXTS_DDL)
+    if total["large"]:
+        split = parsed(rows.filter("_groups > 1"))
+        # Some six bytes of html make a window.
+        shared = _shared_elsewhere(split, max(1, total["large"] // (6 * MERGED_WINDOWS)))
+        told = split.withColumn("counts", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
+        out = out.unionByName(told.groupBy("_bin").applyInPandas(_texts, _TEXTS_DDL))
+    return out

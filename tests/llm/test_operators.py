@@ -190,21 +190,102 @@ def test_html_pages(spark):
     assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == want
 
 
-def test_shared_cover():
+def test_window_pages():
     rng = np.random.default_rng(3)
     stream = rng.integers(0, 3, 300)
     page = np.repeat(np.arange(6), 50)
     stream[49::50] = -1 - np.arange(6)
-    want = np.zeros(300, bool)
     windows = defaultdict(set)
     for i in range(297):
-        w = tuple(stream[i : i + 4])
-        if min(w) >= 0:
-            windows[w].add(page[i])
-    for i in range(297):
-        if len(windows.get(tuple(stream[i : i + 4]), ())) >= 2:
-            want[i : i + 4] = True
-    assert (html_text.shared_cover(stream, page, 4, 2) == want).all()
+        windows[tuple(stream[i : i + 4])].add(page[i])
+    want = [len(windows[tuple(stream[i : i + 4])]) if i < 297 and min(stream[i : i + 4]) >= 0 else 0 for i in range(300)]
+    assert html_text.window_pages(stream, page, 4).tolist() == want
+    words = np.zeros(300, bool)
+    for i, n in enumerate(want):
+        words[i : i + 4] |= n >= 2
+    assert (html_text.cover(np.array(want) >= 2, 4) == words).all()
+
+
+def plain_texts(pages):
+    """Texts and shared words of one host's pages by sets of pages for each window, page by page."""
+    parsed = [html_text.blocks_of(p or "") for p in pages]
+    found = defaultdict(set)
+    streams = []
+    for k, blocks in enumerate(parsed):
+        for main in (False, True):
+            words = [(b, i, w) for b, (kind, text) in enumerate(blocks) if (kind == "+") == main for i, w in enumerate(text.split())]
+            streams.append((k, main, words))
+            for i in range(len(words) - 7):
+                found[main, tuple(w for _, _, w in words[i : i + 8])].add(k)
+    covered = defaultdict(set)
+    for k, main, words in streams:
+        for i in range(len(words) - 7):
+            if len(found[main, tuple(w for _, _, w in words[i : i + 8])]) >= (max(5, 0.5 * len(pages)) if main else 2):
+                covered[k].update((b, j) for b, j, _ in words[i : i + 8])
+    out = []
+    for k, blocks in enumerate(parsed):
+        main = [(b, i) for b, (kind, text) in enumerate(blocks) if kind == "+" for i in range(len(text.split()))]
+        copy = bool(main) and sum(x in covered[k] for x in main) > 0.5 * len(main)
+        kept, lost = [], 0
+        for b, (kind, text) in enumerate(blocks):
+            words = text.split()
+            n = sum((b, i) in covered[k] for i in range(len(words)))
+            if kind == "+" and copy:
+                kept += words
+            elif kind == "-" or kind in "?!" and kind and (len(words) < 25 or n >= 0.2 * len(words)) or main and kind in ("", "?") or 2 * n >= len(words):
+                lost += n
+            else:
+                marks = "".join("x" if (b, i) in covered[k] else "." for i in range(len(words)))
+                marks = re.sub("x+", lambda m: m[0] if len(m[0]) >= 8 else "." * len(m[0]), marks)
+                lost += marks.count("x")
+                kept += [w for w, m in zip(words, marks) if m == "."]
+        out.append((" ".join(kept), lost))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [8 << 20, 40_000])
+def test_html_suffix_array_decides(spark, monkeypatch, group_bytes):
+    """A host in one group or in many: the same as plain sets of pages; and other than what structure alone gives."""
+    monkeypatch.setattr(html_text, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(html_text, "MERGED_WINDOWS", 1 << 10)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+    said = lambda n: " ".join(word() for _ in range(n))
+    letter, wire, licence = said(14), said(40), said(12)
+    rows = []
+    for i in range(300):
+        parts = [f"<article><h1>{said(6)}</h1><p>{said(30)}</p>"]
+        parts += [f"<p>{said(9)} {letter} {said(9)}</p>"] if i % 3 else []  # a notice within most articles
+        parts += [f"<p>{wire}</p>"] if i % 60 == 7 else []  # the same news on five pages
+        parts += [f"<div class='related'><p>{said(30)}</p><p>{said(5)}</p></div></article>"]
+        if i % 50 == 11:  # no main element
+            parts = [f"<div><p>{said(20)} {licence} {said(20)}</p><div class='social'><p>{said(30)}</p></div><p>{licence}</p></div>"]
+        rows.append((i, "http://big.example/" + str(i), "<body><nav>" + said(9) + "</nav>" + "".join(parts) + f"<footer>{licence}</footer></body>"))
+    story = f"<article><p>{said(40)}</p></article>"
+    rows += [(1000 + i, f"http://copies.example/{i}", story if i % 4 else f"<main>{said(30)}</main>") for i in range(40)]
+    rows += [(2000, None, story), (2001, None, None), (None, "http://big.example/x", story), (2002, "http://empty.example", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[(r[1] or "//").split("/")[2]].append(r)
+    want, structure = {}, {}
+    for found in hosts.values():
+        want |= {r[0]: x for r, x in zip(found, plain_texts([r[2] for r in found]))}
+        structure |= {r[0]: plain_texts([r[2]])[0][0] for r in found}
+    got = {r.page_id: (r.text, r.shared_words) for r in html_text.main_texts(df).collect()}
+    assert got == want
+    assert sum(got[k][0] != structure[k] for k in got) > 190
+    assert not any(letter in got[i][0] or licence in got[i][0] for i in range(300)) and sum(wire in got[i][0] for i in range(300)) == 5
+    assert all(got[1000 + i][0] for i in range(40))
+
+
+def test_html_repeats_and_sizes(spark, monkeypatch):
+    """Repeated rows, null ids in a split host, a page of several megabytes."""
+    monkeypatch.setattr(html_text, "GROUP_BYTES", 2_000)
+    long = "<p>" + " ".join(f"w{i}" for i in range(500_000)) + "</p>"
+    rows = [(1, "http://a.example/1", f"<article>{long}</article>")] + [(None, "http://a.example/2", "<p>the same words on all of these pages</p><p>and more</p>")] * 3
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, len(r.text.split()), r.shared_words) for r in got) == [(0, 0, 10)] * 3 + [(1, 500_000, 0)]
 
 
 @pytest.mark.parametrize("name", ["documents", "odd"])
