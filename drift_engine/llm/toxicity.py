@@ -1,7 +1,8 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by distance."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by likeness."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,17 +14,15 @@ from drift_engine.llm.common import materialise
 
 #: Bound on the labelled rows that are learnt from: half of them of each label at most.
 MOST_EXAMPLES = 4000
-#: Terms kept, the most telling first; a term needs this many examples, this G statistic and this lift.
-MOST_TERMS = 384
-LEAST_EXAMPLES = 5
-LEAST_G = 25.0
-#: A term stands in at least so many times the share of label 1's examples as of the others'.
-LEAST_LIFT = 3.0
-#: Word beginnings of these lengths are terms beside whole words.
-STEMS = (4, 5, 6, 7)
-NEIGHBOURS = 15
-BLOCK = 32
-SHARPNESS = 4
+#: A term's weight grows with what it says about the label, up to this share of all there is to say; and is never less than the floor.
+TELLING = 0.1
+FLOOR = 0.001
+NEIGHBOURS = 25
+BLOCK = 64
+#: Blocks that are scored before the others' bounds are held against the k-th best.
+FIRST_BLOCKS = 4
+#: Posting lists of more than this share of the examples are long: bounded by block first, and read only for blocks that may matter.
+LONG = 1 / 16
 SEED = 9
 THRESHOLD = 0.7
 
@@ -36,58 +35,55 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def words_of(text: str) -> list[bytes]:
+    """The text's terms: runs of letters and digits, in lower case."""
     return text.lower().encode("utf-8", "replace").translate(_BREAKS).split()
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word, and its first letters with a star."""
-    letters = word.decode("utf-8", "replace")
-    return [word, *[letters[:n].encode() + b"*" for n in STEMS if len(letters) > n]]
+def information(n1: float, n0: float, with1: np.ndarray, with0: np.ndarray) -> np.ndarray:
+    """How much a term's presence says about the label, as a share of the label's entropy."""
+    n = n1 + n0
+    here = with1 + with0
 
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
 
-class _Lookup(dict):
-    """word -> places of its terms in the vocabulary."""
-
-    def __init__(self, vocabulary: list[bytes]):
-        super().__init__()
-        self.places = {t: i for i, t in enumerate(vocabulary)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 150_000:
-            self.clear()
-        value = self[word] = tuple(self.places[t] for t in terms_of(word) if t in self.places)
-        return value
-
-
-def term_counts(text: str, lookup: _Lookup) -> dict[int, int]:
-    found: dict[int, int] = {}
-    for places in filter(None, map(lookup.__getitem__, words_of(text))):
-        for i in places:
-            found[i] = found.get(i, 0) + 1
-    return found
+    told = part(with1, here * n1 / n) + part(with0, here * n0 / n) + part(n1 - with1, (n - here) * n1 / n) + part(n0 - with0, (n - here) * n0 / n)
+    entropy = -n1 * np.log(n1 / n) - n0 * np.log(n0 / n)
+    return np.maximum(told, 0) / entropy
 
 
 @dataclass
 class Index:
-    """The labelled examples as unit vectors, in blocks of like examples, with each block's largest weight of each term."""
+    """The labelled examples as unit vectors over all their terms, inverted.
+
+    starts, rows, weights: the posting list of each term in order of the vocabulary,
+    with places of examples ascending. Examples stand in blocks of BLOCK. idf is each
+    term's factor, inverse document frequency and telling weight in one.
+    """
 
     vocabulary: list[bytes]
     idf: np.ndarray
-    vectors: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
+    shares: np.ndarray  # what an example's vote counts, so that the labels' shares are those of all labelled rows
     prior: float
-    blank: float
     slope: float = 1.0
     shift: float = 0.0
 
     def __post_init__(self):
-        # Examples with the same heaviest terms stand together, so that most blocks are far from a query.
-        order = np.lexsort((self.ids, -self.vectors.max(1, initial=0), self.vectors.argmax(1) if self.vectors.size else np.zeros(len(self.ids))))
-        self.vectors, self.labels, self.ids = self.vectors[order], self.labels[order], self.ids[order]
-        n = len(self.labels)
-        self.starts = np.arange(0, n, BLOCK)
-        self.peaks = np.array([self.vectors[s : s + BLOCK].max(0) for s in self.starts]) if n else np.zeros((0, len(self.vocabulary)))
+        n, lengths = len(self.labels), np.diff(self.starts)
+        self.blocks = -(-n // BLOCK)
+        long = np.flatnonzero(lengths > max(BLOCK, LONG * n))
+        self.long_row = np.full(len(lengths), -1, np.int64)
+        self.long_row[long] = np.arange(len(long))
+        self.long = np.zeros((len(long), self.blocks * BLOCK))
+        for k, t in enumerate(long):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.long[k, self.rows[at]] = self.weights[at]
+        self.peaks = self.long.reshape(len(long), self.blocks, BLOCK).max(2) if n else np.zeros((0, 0))
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         places = np.array(sorted(counts), np.int64)
@@ -95,58 +91,123 @@ class Index:
         return places, weight / np.sqrt((weight**2).sum())
 
     def nearest(self, places: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, exactly: blocks go in order of their bound until it falls to the k-th best."""
-        bounds = self.peaks[:, places] @ weight
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
-                break
-            s = self.starts[b]
-            cosine = self.vectors[s : s + BLOCK][:, places] @ weight
-            at = np.arange(s, s + len(cosine))
+        """Places and cosines of the k nearest examples, the first of equals, exactly.
+
+        Short lists are added up for all examples. A block's bound is its best sum so far
+        plus its largest weights in the long lists; blocks with the highest bounds are
+        scored first, then all others whose bound reaches the k-th best.
+        """
+        row = self.long_row[places]
+        short, long = row < 0, row >= 0
+        at, w = places[short], weight[short]
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        where = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        score = np.bincount(self.rows[where], self.weights[where] * np.repeat(w, lengths), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        row, w = row[long], weight[long]
+        bound = score.max(1) + w @ self.peaks[row]
+        order = np.argsort(-bound, kind="stable")
+
+        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cosine = score[blocks]
+            if len(row):
+                if 2 * len(blocks) > self.blocks:
+                    full = np.zeros(len(self.long))
+                    full[row] = w
+                    cosine = cosine + (full @ self.long).reshape(self.blocks, BLOCK)[blocks]
+                else:
+                    cosine = cosine + np.tensordot(w, self.long.reshape(len(self.long), self.blocks, BLOCK)[np.ix_(row, blocks)], 1)
+            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cosine = cosine.ravel()
             keep = (cosine > 0) & (at != skip)
-            at, cosine = np.concatenate([best_at, at[keep]]), np.concatenate([best, cosine[keep]])
+            return at[keep], cosine[keep]
+
+        def best(at: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             first = np.lexsort((at, -cosine))[:k]
-            best_at, best = at[first], cosine[first]
-        return best_at, best
+            return at[first], cosine[first]
+
+        at, cosine = best(*scored(order[:FIRST_BLOCKS]))
+        least = cosine[-1] if len(cosine) == k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-12)]
+        if len(rest):
+            more, others = scored(rest)
+            at, cosine = best(np.concatenate([at, more]), np.concatenate([cosine, others]))
+        return at, cosine
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of label 1 among the neighbours by cosine ** SHARPNESS, with half a vote for the share among examples without a term."""
-        weight = cosine**SHARPNESS
-        return float((weight @ self.labels[at] + 0.5 * self.blank) / (weight.sum() + 0.5))
+        """Share of label 1 among the neighbours by cosine, drawn a little to the share among all labelled rows."""
+        weight = cosine * self.shares[at]
+        return float((weight @ self.labels[at] + 1e-3 * self.prior) / (weight.sum() + 1e-3))
 
     def score(self, vote: float) -> float:
-        v = min(max(vote, 1e-4), 1 - 1e-4)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
+        return float(1 / (1 + np.exp(-(self.slope * _logit(vote) + self.shift))))
+
+
+def _logit(vote):
+    v = np.clip(vote, 1e-3, 1 - 1e-3)
+    return np.log(v / (1 - v))
+
+
+def _calibrate(index: Index) -> None:
+    """Fits score() as a logistic curve of the examples' own votes, each without itself: Newton steps, halved where they don't help."""
+    votes = np.full(len(index.labels), index.prior)
+    of_row = np.argsort(index.rows, kind="stable")
+    terms = np.repeat(np.arange(len(index.vocabulary)), np.diff(index.starts))[of_row]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(index.rows, minlength=len(index.labels)))])
+    for i in range(len(votes)):
+        own = slice(ends[i], ends[i + 1])
+        if ends[i] < ends[i + 1]:
+            votes[i] = index.vote(*index.nearest(terms[own], index.weights[of_row[own]], skip=i))
+    x, y, w = np.stack([_logit(votes), np.ones(len(votes))], 1), index.labels, index.shares
 
+    def loss(theta):
+        z = x @ theta
+        return float(w @ (np.logaddexp(0, z) - y * z) + 0.5 * ((theta - [1, 0]) ** 2).sum())
 
-def _calibrated(index: Index, weights: np.ndarray) -> None:
-    """Fits score() as a logistic curve of the examples' own votes, each without itself, weighted to the labels' true shares."""
-    votes = np.array([index.vote(*index.nearest(np.flatnonzero(v), v[v > 0], skip=i)) if v.any() else index.blank for i, v in enumerate(index.vectors)])
-    v = np.clip(votes, 1e-4, 1 - 1e-4)
-    x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], 1)
     theta = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weights * (p - index.labels)) + 1e-2 * (theta - [1, 0])
-        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        theta = theta - np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-(x @ theta)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (w * (p - y)) + theta - [1, 0])
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(step).max() < 1e-9:
+            break
     index.slope, index.shift = max(float(theta[0]), 1e-3), float(theta[1])
 
 
 def _example_terms(batches):
     for batch in batches:
-        label, term = [], []
-        for y, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-            found = {t for w in set(words_of(text.as_py() or "")) for t in terms_of(w)}
-            label += [y] * len(found)
-            term += found
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(term, pa.binary())], names=["label", "term"])
+        found = [Counter(words_of(t.as_py() or "")) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
+
+
+def frequencies(texts: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, int]:
+    """How many of all texts (column text) have each term, and their number. A task sends one row for each term that it met."""
+    known = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        place = {t: i for i, t in enumerate(known.value)}
+        df = np.zeros(len(place) + 1, np.int64)
+        for batch in batches:
+            met: list[int] = []
+            for text in batch.column(0):
+                met += [i for i in map(place.get, set(words_of(text.as_py() or ""))) if i is not None]
+            df += np.bincount(np.array(met, np.int64), minlength=len(df))
+            df[-1] += batch.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
+
+    rows = texts.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[rows["term"].to_numpy()] = rows["df"].to_numpy()
+    return df[:-1], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, seed: int = SEED) -> Index:
-    """The index over at most `most` labelled rows that are not held out; document frequencies are of all documents."""
-    spark = docs.sparkSession
+    """The index over at most `most` labelled rows that are not held out, with every term of theirs; document frequencies are of all documents."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -154,89 +215,76 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, seed: int
     pick = lambda y: known.filter(F.col("label") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most // 2)
     # At most `most` rows of two numbers are broadcast.
     chosen = F.broadcast(pick(0).union(pick(1)))
-    examples = materialise(texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text"), "toxic-examples")
-    taken = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    n1, n0 = taken.get(1, 0), taken.get(0, 0)
+    examples = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = materialise(examples.mapInArrow(_example_terms, "doc_id long, label int, terms array<binary>, counts array<int>"), "toxic-examples").toArrow()
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
+    label = rows["label"].to_numpy().astype(float)
+    n1, n0 = float(label.sum()), float((1 - label).sum())
+    empty = np.zeros(0, np.int64)
     if not n1 or not n0:
-        return Index([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64), prior, prior)
-    found = examples.mapInArrow(_example_terms, "label int, term binary").groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
-    found = found.filter(F.col("n") >= LEAST_EXAMPLES)
-    b = F.col("n") - F.col("a")
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    e1, e0 = F.col("n") * (n1 / (n1 + n0)), F.col("n") * (n0 / (n1 + n0))
-    g = 2 * (part(F.col("a"), e1) + part(b, e0) + part(n1 - F.col("a"), n1 - e1) + part(n0 - b, n0 - e0))
-    # Terms that tell against the label would only blur the directions of those that tell for it.
-    told = found.filter(F.col("a") / n1 >= LEAST_LIFT * b / n0).withColumn("g", g).filter(F.col("g") >= LEAST_G)
-    vocabulary = [bytes(r["term"]) for r in told.orderBy(F.desc("g"), "term").limit(MOST_TERMS).collect()]
-
-    def frequencies(batches):
-        lookup = _Lookup(vocabulary)
-        for batch in batches:
-            df = np.zeros(len(vocabulary) + 1, np.int64)
-            for text in batch.column(0):
-                df[-1] += 1
-                for i in term_counts(text.as_py() or "", lookup):
-                    df[i] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "df"])
-
-    counted = {r["term"]: r["df"] for r in texts.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    total = counted.get(len(vocabulary), 0)
-    idf = np.array([np.log((1 + total) / (1 + counted.get(i, 0))) + 1 for i in range(len(vocabulary))])
-
-    def vectors(batches):
-        lookup = _Lookup(vocabulary)
-        for batch in batches:
-            rows = [term_counts(t.as_py() or "", lookup) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(r) for r in rows], pa.list_(pa.int64())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
-
-    rows = examples.mapInArrow(vectors, "doc_id long, label int, terms array<long>, counts array<long>").orderBy("doc_id").collect()
-    dense = np.zeros((len(rows), len(vocabulary)))
-    for k, r in enumerate(rows):
-        for i, c in zip(r["terms"], r["counts"]):
-            dense[k, i] = (1 + np.log(c)) * idf[i]
-    norm = np.sqrt((dense**2).sum(1))
-    label = np.array([r["label"] for r in rows], float)
-    weight = np.where(label == 1, prior / n1, (1 - prior) / n0) * len(rows)
-    empty = norm == 0
-    blank = float((weight[empty] @ label[empty] + prior) / (weight[empty].sum() + 1))
-    index = Index(vocabulary, idf, dense / np.where(empty, 1, norm)[:, None], label, np.array([r["doc_id"] for r in rows], np.int64), prior, blank)
-    if vocabulary:
-        _calibrated(index, np.where(index.labels == 1, prior / n1, (1 - prior) / n0) * len(rows))
+        return Index([], np.zeros(0), np.zeros(1, np.int64), empty, np.zeros(0), np.zeros(0), empty, np.zeros(0), prior)
+    flat = pa.concat_arrays([c.flatten() for c in rows["terms"].chunks])
+    counts = pa.concat_arrays([c.flatten() for c in rows["counts"].chunks]).to_numpy(zero_copy_only=False)
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in rows["terms"].chunks])
+    coded = flat.dictionary_encode()
+    names = np.array(coded.dictionary.to_pylist(), object)
+    order = np.argsort(names, kind="stable")
+    code = np.empty(len(names), np.int64)
+    code[order] = np.arange(len(names))
+    vocabulary, term = names[order].tolist(), code[coded.indices.to_numpy(zero_copy_only=False)]
+    owner = np.repeat(np.arange(len(label)), sizes)
+    df, total = frequencies(texts, vocabulary)
+    told = information(n1, n0, np.bincount(term, label[owner], len(vocabulary)), np.bincount(term, 1 - label[owner], len(vocabulary)))
+    idf = (np.log((1 + total) / (1 + df)) + 1) * (np.minimum(told / TELLING, 1) + FLOOR)
+    weight = (1 + np.log(counts)) * idf[term]
+    weight = weight / np.sqrt(np.bincount(owner, weight**2, len(label)))[owner]
+    # Examples with the same heaviest term stand together, so that most blocks are far from a query.
+    heaviest = np.full(len(label), len(vocabulary))
+    by_weight = np.lexsort((term, weight))
+    heaviest[owner[by_weight]] = term[by_weight]
+    ids = rows["doc_id"].to_numpy()
+    order = np.lexsort((ids, heaviest))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_term = np.lexsort((place[owner], term))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocabulary)))])
+    weights = np.where(label == 1, prior / n1, (1 - prior) / n0) * len(label)
+    index = Index(vocabulary, idf, starts, place[owner][by_term], weight[by_term], label[order], ids[order], weights[order], prior)
+    _calibrate(index)
     return index
 
 
-def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per document: doc_id, held_out, score, predicted, and evidence: ids of the nearest examples with the label that won.
+def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """A row per document: doc_id, held_out, score, predicted, and evidence: ids of the nearest examples with the label that won, nearest first.
 
-    Only the text makes the score. Null and empty texts, and texts without a term, get the
-    share of label 1 among such examples. Repeated rows score alike. No documents give no
-    rows; without labels of both kinds every score is the share of label 1 (0 without any).
-    Other columns are not read.
+    Only the text makes the score. Vectors have all terms of the examples; other words
+    of a text are in no example, so they change no order of neighbours. Null and empty
+    texts, and texts without a term, get the score of the labelled rows' share of label
+    1, and no evidence. Repeated rows score alike. No documents give no rows; without
+    labels of both kinds every score is the share of label 1 (0 without any). Other
+    columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(index)  # MOST_EXAMPLES x MOST_TERMS numbers at most
+    # MOST_EXAMPLES examples' terms at most, each a number, a place and a weight.
+    model = docs.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
 
     def judge(batches):
         index = model.value
-        lookup, known = _Lookup(index.vocabulary), {}
+        place = {t: i for i, t in enumerate(index.vocabulary)}
+        blank = index.score(index.prior) if index.vocabulary else index.prior
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(2):
-                counts = term_counts(text.as_py() or "", lookup)
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    if counts and len(index.labels):
-                        at, cosine = index.nearest(*index.unit(counts))
-                        vote = index.vote(at, cosine)
-                        won = index.labels[at] == (vote >= 0.5)
-                        known[key] = index.score(vote), index.ids[at[won]].tolist()
-                    else:
-                        known[key] = (index.score(index.blank) if index.vocabulary else index.prior), []
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+                found = Counter(words_of(text.as_py() or ""))
+                counts = {place[w]: n for w, n in found.items() if w in place}
+                if not counts:
+                    scores.append(blank)
+                    evidence.append([])
+                    continue
+                at, cosine = index.nearest(*index.unit(counts), neighbours)
+                vote = index.vote(at, cosine)
+                scores.append(index.score(vote))
+                evidence.append(index.ids[at[index.labels[at] == (vote >= 0.5)]].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
@@ -245,4 +293,5 @@ def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataF
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """scored() by the index that fit() makes of the same documents; options go to fit(). Rows as scored() gives them, in every case named there."""
     return scored(docs, fit(docs, labels, **options))

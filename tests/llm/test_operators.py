@@ -407,6 +407,7 @@ def test_near_estimate():
 
 
 def test_toxicity(spark):
+    """The whole query against plain vectors: every score, its evidence, and what held-out labels say."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = toxicity.toxicity(docs, labels).toPandas()
     assert len(out) == 1000 and out.score.between(0, 1).all()
@@ -416,19 +417,81 @@ def test_toxicity(spark):
     rank, n1 = known.score.rank(), (known.toxic == 1).sum()
     assert (rank[known.toxic == 1].sum() - n1 * (n1 + 1) / 2) / n1 / (len(known) - n1) > 0.85
 
-
-def test_toxicity_neighbours_are_exact():
+    rows = {r.doc_id: Counter(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (r.text or "").lower())) for r in docs.select("doc_id", "text").collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.toxic in (0, 1)}
+    n, n1 = len(toxic), sum(toxic.values())
+    df = Counter(w for words in rows.values() for w in words)
+    inside = Counter(w for i in toxic for w in rows[i])
+    told = Counter(w for i, y in toxic.items() if y for w in rows[i])
+    log = lambda x, e: x * np.log(x / e) if x else 0.0
+    entropy = -n1 * np.log(n1 / n) - (n - n1) * np.log(1 - n1 / n)
+
+    def factor(w):
+        m, a = inside[w], told[w]
+        said = log(a, m * n1 / n) + log(m - a, m * (n - n1) / n) + log(n1 - a, (n - m) * n1 / n) + log(n - n1 - m + a, (n - m) * (n - n1) / n)
+        return (np.log(1001 / (1 + df[w])) + 1) * (min(max(said, 0) / entropy / 0.1, 1) + 0.001)
+
+    factors = {w: factor(w) for w in inside}
+
+    def vector(words):
+        v = {w: (1 + np.log(c)) * factors[w] for w, c in words.items() if w in factors}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(rows[i]) for i in toxic}
+    postings = defaultdict(list)
+    for i, v in examples.items():
+        for w, x in v.items():
+            postings[w].append((i, x))
+
+    def vote(v, skip=None):
+        cosine = Counter()
+        for w, x in v.items():
+            for i, y in postings[w]:
+                cosine[i] += x * y
+        cosine.pop(skip, None)
+        best = sorted(cosine.items(), key=lambda c: -c[1])[:25]
+        a, b = sum(c for i, c in best if toxic[i]), sum(c for i, c in best if not toxic[i])
+        return (a + 1e-3 * n1 / n) / (a + b + 1e-3), best, len(cosine) > 25 and min(c for _, c in best) - sorted(cosine.values())[-26] < 1e-9
+
+    index = toxicity.fit(docs, labels)
+    logit = lambda v: np.log(np.clip(v, 1e-3, 1 - 1e-3) / (1 - np.clip(v, 1e-3, 1 - 1e-3)))
+    tied = 0
+    for r in out.itertuples():
+        v = vector(rows[r.doc_id])
+        share, best, tie = vote(v) if v else (n1 / n, [], False)
+        tied += tie
+        if not tie:
+            assert r.score == pytest.approx(1 / (1 + np.exp(-(index.slope * logit(share) + index.shift))), abs=1e-9)
+            assert set(r.evidence) == {i for i, _ in best if toxic[i] == (share >= 0.5)}
+    assert tied < 100
+    # the curve is the best one for the examples' own votes without themselves
+    x = np.array([logit(vote(v, i)[0] if v else n1 / n) for i, v in examples.items()])
+    y = np.array(list(toxic.values()))
+    p = 1 / (1 + np.exp(-(index.slope * x + index.shift)))
+    assert abs(((p - y) * x).sum() + index.slope - 1) < 0.5 and abs((p - y).sum() + index.shift) < 0.5
+
+
+@pytest.mark.parametrize("examples", [40, 400])
+def test_toxicity_neighbours_are_exact(examples):
     rng = np.random.default_rng(0)
-    v = rng.random((400, 12)) * (rng.random((400, 12)) < 0.3)
+    v = rng.random((examples, 40)) * (rng.random((examples, 40)) < np.linspace(0.02, 0.6, 40))
+    v[:, :5] *= 20
     v = v[v.any(1)]
     v /= np.sqrt((v**2).sum(1))[:, None]
-    index = toxicity.Index([b"t"] * 12, np.ones(12), v, rng.integers(0, 2, len(v)).astype(float), np.arange(len(v)), 0.5, 0.5)
-    for _ in range(50):
-        q = rng.random(12) * (rng.random(12) < 0.4)
+    rows, terms = np.nonzero(v)[0], np.nonzero(v)[1]
+    order = np.lexsort((rows, terms))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=40))])
+    index = toxicity.Index([b"t"] * 40, np.ones(40), starts, rows[order], v[rows, terms][order], rng.integers(0, 2, len(v)).astype(float), np.arange(len(v)), np.ones(len(v)), 0.5)
+    assert examples == 40 or 0 < len(index.long) < 40
+    for k in range(200):
+        q = rng.random(40) * (rng.random(40) < (0.4 if k % 2 else 0.05))
         if q.any():
             q /= np.sqrt((q**2).sum())
-            at, cosine = index.nearest(np.flatnonzero(q), q[q > 0], 15)
-            assert np.allclose(cosine, np.sort(index.vectors @ q)[::-1][: len(cosine)])
+            for skip in (-1, 7):
+                at, cosine = index.nearest(np.flatnonzero(q), q[q > 0], 15, skip)
+                want = np.where(np.arange(len(v)) == skip, 0, v @ q)
+                assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:15]) and np.allclose(want[at], cosine)
 
 
 def test_toxicity_odd(odd, nothing, labels, spark):
