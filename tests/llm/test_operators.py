@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, tokenise, toxicity
@@ -136,25 +137,64 @@ def test_crossing_token_rule():
     assert n.tolist() == [2, 1, 0] and crossing.tolist() == [1, 1, 0]  # [2, 4) is a tie, the earlier wins; [4, 7) is mostly the second's
 
 
-@pytest.mark.parametrize("name", ["documents", "odd"])
-def test_fingerprints(name, request):
-    docs = request.getfixturevalue(name)
-    rows = sorted(texts_of(docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_fingerprint(text):
+    """The vector of a whole text, made without the operator."""
+    lanes = []
+    for seed in range(1, 5):
+        # the engine chains: each value's hash is the next one's seed, from 42
+        start = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        hashes = [xxhash.xxh64_intdigest(x.encode(), start) for x in text.split("\n") if x]
+        lanes += [sum(h & 0xFFFFFFFF for h in hashes) & 0xFFFFFFFF, sum(h >> 32 for h in hashes) & 0xFFFFFFFF]
+    ends = "(?<=[^a-zA-Z0-9 \t\x0b\f\r\n])[ \t\x0b\f\r]+|(?<=[bcghiklmprsuvwxyzBCGHIKLMPRSUVWXYZ02468])[ \t\x0b\f\r]+|\n"
+    found = Counter(signed(xxhash.xxh64_intdigest(p.encode(), 42)) % 64 for p in re.split(ends, text) if p)
+    return [*lanes, sum(found.values()), *[found[j] + (found[j + 32] << 32) for j in range(32)]]
+
+
+def plain_likeness(a, b):
+    v, w = (np.array([x & 0xFFFFFFFF for x in f[9:]] + [x >> 32 for x in f[9:]], float) for f in (a, b))
+    v, w = v - v.mean(), w - w.mean()
+    return 1.0 if a == b else max(0.0, min(1.0, v @ w / np.sqrt((v @ v) * (w @ w)))) if v.any() and w.any() else 0.0
+
+
+@pytest.mark.parametrize("block", [512, 3])
+@pytest.mark.parametrize("name", ["documents", "odd", "far"])
+def test_fingerprints(name, block, request, spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", block)
+    if name == "far":  # far apart, null and often repeated ids
+        ids = [*range(60), *[None] * 25, *[7] * 25, -(2**63), 2**63 - 1, 2**63 - 2, 2**62, *range(10**15, 10**15 + 30)]
+        docs = spark.createDataFrame([(i, f"text {k % 20}\nis text of {i}, {k}.\n" + "of words, " * k) for k, i in enumerate(ids)], "doc_id long, text string")
+    else:
+        docs = request.getfixturevalue(name)
+    key = lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42)))
+    rows = sorted(texts_of(docs.select("doc_id", "text").collect()), key=key)
+    hexed = lambda v: "".join(f"{x:016x}" for x in v)
+    prints = [plain_fingerprint(t) for _, t in rows]
     want = Counter()
     for i, (doc_id, text) in enumerate(rows):
-        m = len(text) // 4
-        want[doc_id, len(text), hashlib.sha256((text[: len(text) - m] + rows[(i + 1) % len(rows)][1][:m]).encode()).hexdigest()] += 1
+        m, j = len(text) // 4, (i + 1) % len(rows)
+        edited = text[: len(text) - m] + rows[j][1][:m]
+        own, other = prints[i], plain_fingerprint(edited)
+        near = [f"{plain_likeness(own, x):.9f}" for x in (other, prints[j])]
+        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(other), *near] += 1
     got = fingerprint.fingerprints(docs).collect()
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    by = defaultdict(set)
-    text_of = dict(rows)
-    for r in got:
-        if r.doc_id is not None:
-            by[text_of[r.doc_id]].add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(v) == 1 for v in by.values())
+    assert Counter((*r[:5], f"{r.near_edited:.9f}", f"{r.near_next:.9f}") for r in got) == want
     if name == "documents":
-        assert np.median([r.near_edited for r in got]) > 0.6 > 0.2 > np.median([r.near_next for r in got])
+        near = fingerprint.fingerprints(docs).toPandas()
+        assert near.near_edited.median() > 0.6 > 0.2 > near.near_next.median()
+
+
+def test_fingerprint_blocks_are_bounded(spark):
+    """Null, far, sparse and repeated ids: no block has more than twice the rows asked for, but for rows alike in all."""
+    ids = "case when id < 3000 then null when id < 6000 then 5 when id = 6000 then 9223372036854775807 when id < 9000 then id else id * 1000003 end"
+    keys = spark.range(12000).selectExpr(f"{ids} as i", "xxhash64(id) as _h").selectExpr("i is null as _null", "coalesce(i, 0L) as _k", "_h")
+    levels = fingerprint._cells(keys, 100)
+    cells, path = fingerprint._in_cells(keys, levels)
+    sizes = [r["count"] for r in cells.groupBy(path).count().collect()]
+    assert sum(sizes) == 12000 and max(sizes) <= 200 and len(sizes) < 600 and len(levels) <= 4
 
 
 def test_fingerprint_algebra(spark):
