@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -153,7 +154,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
 
 def packed(blocks: list[tuple[str, str]]) -> bytes:
     """Blocks as compressed lines; a block's text has no line end."""
-    return zlib.compress("\n".join((kind or " ") + text for kind, text in blocks).encode("utf-8", "surrogatepass"))
+    return zlib.compress("\n".join((kind or " ") + text for kind, text in blocks).encode("utf-8", "surrogatepass"), 3)
 
 
 def unpacked(data: bytes) -> list[tuple[str, str]]:
@@ -234,52 +235,51 @@ def window_keys(words: np.ndarray, seed: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-class Zone:
-    """The words of a group's pages that stand in the main text, or of those that don't, as one stream in which a page's end ends every passage."""
+class _Numbers(dict):
+    """Words numbered as they come."""
 
-    def __init__(self, host: str, main: bool):
-        self.seed = xxhash.xxh64_intdigest(f"{'main' if main else 'rest'} {host}".encode("utf-8", "surrogatepass"))
-        self.number: dict[str, int] = {}
-        self.words: list[int] = []
-        self.owner: list[int] = []
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
 
-    def add(self, page: int, text: str) -> tuple[int, int]:
-        start, number = len(self.words), self.number
-        self.words += [number.setdefault(w, len(number)) for w in text.split()]
-        self.owner += [page] * (len(self.words) - start)
-        return start, len(self.words)
 
-    def end(self, page: int) -> None:
-        self.words.append(-1 - page)
-        self.owner.append(page)
+class Zone:
+    """The words of a group's pages that stand in the main text, or of those that don't, as one stream in which a page's end ends every passage."""
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.words, np.int64), np.array(self.owner, np.int64)
+    def __init__(self, host: str, parsed: list[list[tuple[str, str]]], main: bool):
+        self.seed = xxhash.xxh64_intdigest(f"{'main' if main else 'rest'} {host}".encode("utf-8", "surrogatepass"))
+        self.number = _Numbers()
+        words, lengths = array("q"), []
+        #: Where each block's words begin: one place for each of the zone's blocks, page by page.
+        self.begins: list[int] = []
+        for k, blocks in enumerate(parsed):
+            texts = [text for kind, text in blocks if (kind == "+") == main]
+            start = len(words)
+            if texts:
+                words.extend(map(self.number.__getitem__, " ".join(texts).split(" ")))
+                for text in texts:
+                    self.begins.append(start)
+                    start += text.count(" ") + 1
+            words.append(-1 - k)
+            lengths.append(len(words))
+        self.words = np.frombuffer(words, np.int64)
+        self.owner = np.repeat(np.arange(len(parsed)), np.diff([0, *lengths]))
+
+    def pages(self) -> np.ndarray:
+        return window_pages(self.words, self.owner)
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Keys of the windows that begin at the places `at`, the same in every group of the host."""
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.number], np.uint64)
-        stream = np.array(self.words, np.int64)
-        return window_keys(hashes[np.maximum(stream, 0)] if len(hashes) else np.zeros(len(stream), np.uint64), self.seed)[at]
-
-
-def zones(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[Zone, Zone, dict[tuple[int, int], tuple[Zone, int, int]]]:
-    """The rest zone, the main zone, and where in them each block stands."""
-    rest, main, spans = Zone(host, False), Zone(host, True), {}
-    for k, found in enumerate(parsed):
-        for b, (kind, text) in enumerate(found):
-            zone = main if kind == "+" else rest
-            spans[k, b] = (zone, *zone.add(k, text))
-        rest.end(k)
-        main.end(k)
-    return rest, main, spans
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.number), np.uint64, len(self.number))
+        return window_keys(hashes[np.maximum(self.words, 0)] if len(hashes) else np.zeros(len(self.words), np.uint64), self.seed)[at]
 
 
 def window_lists(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the distinct windows of both zones, and the distinct pages that each stands on."""
     keys, counts = [], []
-    for zone in zones(host, parsed)[:2]:
-        pages = window_pages(*zone.arrays())
+    for main in (False, True):
+        zone = Zone(host, parsed, main)
+        pages = zone.pages()
         at = np.flatnonzero(pages)
         own, first = np.unique(zone.keys(at), return_index=True)
         keys.append(own)
@@ -289,35 +289,41 @@ def window_lists(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[np.nda
 
 def host_texts(host: str, parsed: list[list[tuple[str, str]]], pages: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int]]:
     """(main text, words dropped as shared) of each page. pages: those of the whole host; known: keys and page numbers of windows that other groups of the host have too."""
-    rest, main, spans = zones(host, parsed)
-    covered = {}
-    for zone, least in ((rest, LEAST_PAGES), (main, max(MAIN_PAGES, MAIN_SHARE * pages))):
-        counts = window_pages(*zone.arrays())
+    flags, begins, upto = {}, {}, {}
+    for main, least in ((False, LEAST_PAGES), (True, max(MAIN_PAGES, MAIN_SHARE * pages))):
+        zone = Zone(host, parsed, main)
+        counts = zone.pages()
         if known is not None and len(known[0]):
             at = np.flatnonzero(counts)
             keys = zone.keys(at)
             place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
             counts[at] = np.where(known[0][place] == keys, known[1][place], counts[at])
-        covered[zone] = cover(counts >= least)
+        flags[main] = cover(counts >= least)
+        upto[main] = np.concatenate([[0], np.cumsum(flags[main])]).tolist()
+        begins[main] = iter(zone.begins)
     out = []
-    for k, found in enumerate(parsed):
-        of = {b: covered[spans[k, b][0]][slice(*spans[k, b][1:])] for b in range(len(found))}
-        inside = [of[b] for b, (kind, _) in enumerate(found) if kind == "+"]
-        has_main = bool(inside)
-        a_copy = has_main and np.concatenate(inside).mean() > COPY
+    for blocks in parsed:
+        found = []
+        for kind, text in blocks:
+            main = kind == "+"
+            a = next(begins[main])
+            b = a + text.count(" ") + 1
+            found.append((kind, text, main, a, b, upto[main][b] - upto[main][a]))
+        own = [(b - a, n) for _, _, main, a, b, n in found if main]
+        a_copy = sum(n for _, n in own) > COPY * sum(words for words, _ in own)
         kept, lost = [], 0
-        for b, (kind, text) in enumerate(found):
-            if kind == "+" and a_copy:
+        for kind, text, main, a, b, n in found:
+            suspect = kind in ("?", "!") and (b - a < SUSPECT_WORDS or n >= SUSPECT_COVERED * (b - a))
+            if main and (not n or a_copy):
+                kept.append(text)
+            elif kind == "-" or suspect or (own and kind in ("", "?")) or n >= COVERED * (b - a):
+                lost += n
+            elif not n:
                 kept.append(text)
-                continue
-            flags = of[b]
-            suspect = kind in ("?", "!") and (len(flags) < SUSPECT_WORDS or flags.mean() >= SUSPECT_COVERED)
-            if kind == "-" or suspect or (has_main and kind in ("", "?")) or flags.mean() >= COVERED:
-                lost += int(flags.sum())
-                continue
-            flags = long_runs(flags)
-            lost += int(flags.sum())
-            kept.append(" ".join(w for w, c in zip(text.split(" "), flags) if not c) if flags.any() else text)
+            else:
+                gone = long_runs(flags[main][a:b])
+                lost += int(gone.sum())
+                kept.append(" ".join(w for w, c in zip(text.split(" "), gone) if not c))
         out.append((" ".join(t for t in kept if t), lost))
     return out
 
