@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,17 @@ MOST_EXAMPLES = 4000
 TELLING = 0.1
 FLOOR = 0.001
 NEIGHBOURS = 25
-BLOCK = 64
-#: Blocks that are scored before the others' bounds are held against the k-th best.
-FIRST_BLOCKS = 4
-#: Posting lists of more than this share of the examples are long: bounded by block first, and read only for blocks that may matter.
+BLOCK = 16
+#: Examples of the highest bounds that are scored before the others' bounds are held against the k-th best.
+FIRST = 64
+#: Posting lists of more than this share of the examples are long: bounded by block first, and read only for examples that may matter.
 LONG = 1 / 16
+#: Cosines are sums in single precision; bounds must clear them by so much.
+MARGIN = 1e-5
 SEED = 9
 THRESHOLD = 0.7
+#: Texts whose results a task remembers for their copies.
+SEEN = 20_000
 
 _BREAKS = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c >= 128) else c for c in range(256))
 
@@ -79,61 +84,64 @@ class Index:
         long = np.flatnonzero(lengths > max(BLOCK, LONG * n))
         self.long_row = np.full(len(lengths), -1, np.int64)
         self.long_row[long] = np.arange(len(long))
-        self.long = np.zeros((len(long), self.blocks * BLOCK))
+        #: Weights in the long lists, by example and list; and each block's largest, by list and block.
+        self.long = np.zeros((self.blocks * BLOCK, len(long)), np.float32)
         for k, t in enumerate(long):
             at = slice(self.starts[t], self.starts[t + 1])
-            self.long[k, self.rows[at]] = self.weights[at]
-        self.peaks = self.long.reshape(len(long), self.blocks, BLOCK).max(2) if n else np.zeros((0, 0))
+            self.long[self.rows[at], k] = self.weights[at]
+        self.peaks = np.ascontiguousarray(self.long.reshape(self.blocks, BLOCK, len(long)).max(1).T) if n else np.zeros((0, 0), np.float32)
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        places = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log([counts[i] for i in places])) * self.idf[places]
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("long", "peaks")}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        self.__post_init__()
+
+    def unit(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts)) * self.idf[places]
         return places, weight / np.sqrt((weight**2).sum())
 
     def nearest(self, places: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, the first of equals, exactly.
 
-        Short lists are added up for all examples. A block's bound is its best sum so far
-        plus its largest weights in the long lists; blocks with the highest bounds are
-        scored first, then all others whose bound reaches the k-th best.
+        Short lists are added up for all examples. An example's bound is that sum plus its
+        block's largest weights in the long lists; the examples with the highest bounds are
+        scored, then all others whose bound reaches the k-th best of them.
         """
         row = self.long_row[places]
-        short, long = row < 0, row >= 0
+        short = row < 0
         at, w = places[short], weight[short]
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        score = np.bincount(self.rows[where], self.weights[where] * np.repeat(w, lengths), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        row, w = row[long], weight[long]
-        bound = score.max(1) + w @ self.peaks[row]
-        order = np.argsort(-bound, kind="stable")
-
-        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cosine = score[blocks]
-            if len(row):
-                if 2 * len(blocks) > self.blocks:
-                    full = np.zeros(len(self.long))
-                    full[row] = w
-                    cosine = cosine + (full @ self.long).reshape(self.blocks, BLOCK)[blocks]
-                else:
-                    cosine = cosine + np.tensordot(w, self.long.reshape(len(self.long), self.blocks, BLOCK)[np.ix_(row, blocks)], 1)
-            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosine = cosine.ravel()
-            keep = (cosine > 0) & (at != skip)
-            return at[keep], cosine[keep]
-
-        def best(at: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            first = np.lexsort((at, -cosine))[:k]
-            return at[first], cosine[first]
-
-        at, cosine = best(*scored(order[:FIRST_BLOCKS]))
-        least = cosine[-1] if len(cosine) == k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-12)]
-        if len(rest):
-            more, others = scored(rest)
-            at, cosine = best(np.concatenate([at, more]), np.concatenate([cosine, others]))
-        return at, cosine
+        score = np.bincount(self.rows[where], self.weights[where] * np.repeat(w, lengths), minlength=self.blocks * BLOCK)
+        full = np.zeros(self.long.shape[1], np.float32)
+        full[row[~short]] = weight[~short]
+        high = np.einsum("i,ij->j", full[row[~short]], self.peaks[row[~short]])
+        bound = (score.reshape(self.blocks, BLOCK) + high[:, None]).ravel()
+
+        # einsum, as a multiplication of matrices of this size would start threads of its own.
+        def scored(at: np.ndarray) -> np.ndarray:
+            if 2 * len(at) > len(bound):
+                cosine = (score + np.einsum("ij,j->i", self.long, full))[at]
+            else:
+                cosine = score[at] + np.einsum("ij,j->i", self.long[at], full)
+            cosine[at == skip] = 0
+            return cosine
+
+        least = 0.0
+        if len(bound) > FIRST + k:
+            first = scored(np.argpartition(bound, -FIRST)[-FIRST:])
+            least = np.partition(first, -k)[-k] if k <= FIRST else 0.0
+        at = np.flatnonzero(bound >= max(least - MARGIN, 1e-30))
+        cosine = scored(at)
+        at, cosine = at[cosine > 0], cosine[cosine > 0]
+        if len(at) > k:
+            good = cosine >= np.partition(cosine, -k)[-k]
+            at, cosine = at[good], cosine[good]
+        first = np.lexsort((at, -cosine))[:k]
+        return at[first], cosine[first]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Share of label 1 among the neighbours by cosine, drawn a little to the share among all labelled rows."""
@@ -178,6 +186,16 @@ def _calibrate(index: Index) -> None:
     index.slope, index.shift = max(float(theta[0]), 1e-3), float(theta[1])
 
 
+class _Places(dict):
+    """Places of terms in the vocabulary; -1 for others."""
+
+    def __missing__(self, term: bytes) -> int:
+        return -1
+
+    def of(self, terms) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, terms), np.int64, len(terms))
+
+
 def _example_terms(batches):
     for batch in batches:
         found = [Counter(words_of(t.as_py() or "")) for t in batch.column(2)]
@@ -189,13 +207,11 @@ def frequencies(texts: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray,
     known = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        place = {t: i for i, t in enumerate(known.value)}
+        place = _Places({t: i for i, t in enumerate(known.value)})
         df = np.zeros(len(place) + 1, np.int64)
         for batch in batches:
-            met: list[int] = []
-            for text in batch.column(0):
-                met += [i for i in map(place.get, set(words_of(text.as_py() or ""))) if i is not None]
-            df += np.bincount(np.array(met, np.int64), minlength=len(df))
+            met = np.concatenate([np.zeros(0, np.int64), *[place.of(set(words_of(text.as_py() or ""))) for text in batch.column(0)]])
+            df += np.bincount(met[met >= 0], minlength=len(df))
             df[-1] += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
@@ -254,6 +270,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, seed: int
     return index
 
 
+def judged(text: str, index: Index, place: _Places, neighbours: int = NEIGHBOURS) -> tuple[float, list[int]]:
+    """A text's score and evidence."""
+    found = Counter(words_of(text))
+    places, counts = place.of(found), np.fromiter(found.values(), np.float64, len(found))
+    known = places >= 0
+    if not known.any():
+        return index.score(index.prior) if index.vocabulary else index.prior, []
+    at, cosine = index.nearest(*index.unit(places[known], counts[known]), neighbours)
+    vote = index.vote(at, cosine)
+    return index.score(vote), index.ids[at[index.labels[at] == (vote >= 0.5)]].tolist()
+
+
 def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, and evidence: ids of the nearest examples with the label that won, nearest first.
 
@@ -270,21 +298,19 @@ def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD, neighbou
 
     def judge(batches):
         index = model.value
-        place = {t: i for i, t in enumerate(index.vocabulary)}
-        blank = index.score(index.prior) if index.vocabulary else index.prior
+        place = _Places({t: i for i, t in enumerate(index.vocabulary)})
+        seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(2):
-                found = Counter(words_of(text.as_py() or ""))
-                counts = {place[w]: n for w, n in found.items() if w in place}
-                if not counts:
-                    scores.append(blank)
-                    evidence.append([])
-                    continue
-                at, cosine = index.nearest(*index.unit(counts), neighbours)
-                vote = index.vote(at, cosine)
-                scores.append(index.score(vote))
-                evidence.append(index.ids[at[index.labels[at] == (vote >= 0.5)]].tolist())
+                text = (text.as_py() or "").encode("utf-8", "replace")
+                key = xxhash.xxh3_128_digest(text)
+                if key not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen[key] = judged(text.decode(), index, place, neighbours)
+                scores.append(seen[key][0])
+                evidence.append(seen[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))

@@ -492,7 +492,7 @@ def test_toxicity(spark):
         cosine.pop(skip, None)
         best = sorted(cosine.items(), key=lambda c: -c[1])[:25]
         a, b = sum(c for i, c in best if toxic[i]), sum(c for i, c in best if not toxic[i])
-        return (a + 1e-3 * n1 / n) / (a + b + 1e-3), best, len(cosine) > 25 and min(c for _, c in best) - sorted(cosine.values())[-26] < 1e-9
+        return (a + 1e-3 * n1 / n) / (a + b + 1e-3), best, len(cosine) > 25 and min(c for _, c in best) - sorted(cosine.values())[-26] < 1e-5
 
     index = toxicity.fit(docs, labels)
     logit = lambda v: np.log(np.clip(v, 1e-3, 1 - 1e-3) / (1 - np.clip(v, 1e-3, 1 - 1e-3)))
@@ -502,7 +502,7 @@ def test_toxicity(spark):
         share, best, tie = vote(v) if v else (n1 / n, [], False)
         tied += tie
         if not tie:
-            assert r.score == pytest.approx(1 / (1 + np.exp(-(index.slope * logit(share) + index.shift))), abs=1e-9)
+            assert r.score == pytest.approx(1 / (1 + np.exp(-(index.slope * logit(share) + index.shift))), abs=1e-5)
             assert set(r.evidence) == {i for i, _ in best if toxic[i] == (share >= 0.5)}
     assert tied < 100
     # the curve is the best one for the examples' own votes without themselves
@@ -523,15 +523,16 @@ def test_toxicity_neighbours_are_exact(examples):
     order = np.lexsort((rows, terms))
     starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=40))])
     index = toxicity.Index([b"t"] * 40, np.ones(40), starts, rows[order], v[rows, terms][order], rng.integers(0, 2, len(v)).astype(float), np.arange(len(v)), np.ones(len(v)), 0.5)
-    assert examples == 40 or 0 < len(index.long) < 40
+    assert examples == 40 or 0 < index.long.shape[1] < 40
     for k in range(200):
         q = rng.random(40) * (rng.random(40) < (0.4 if k % 2 else 0.05))
         if q.any():
             q /= np.sqrt((q**2).sum())
             for skip in (-1, 7):
                 at, cosine = index.nearest(np.flatnonzero(q), q[q > 0], 15, skip)
+                assert len(set(at)) == len(at)
                 want = np.where(np.arange(len(v)) == skip, 0, v @ q)
-                assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:15]) and np.allclose(want[at], cosine)
+                assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:15], atol=1e-6) and np.allclose(want[at], cosine, atol=1e-6)
 
 
 def test_toxicity_odd(odd, nothing, labels, spark):
