@@ -48,3 +48,20 @@ def ulp(value: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is 0."""
     return F.try_divide(a, b)
+
+
+def mean_bearing(a: Column) -> Column:
+    """Aggregate: the direction of the mean unit vector of angles, -180 to 180."""
+    r = F.radians(a)
+    return F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r))))
+
+
+def longitude_span(a: Column) -> Column:
+    """Aggregate: degrees of the shortest arc that holds all longitudes, 360 less the largest gap between neighbours.
+
+    Distinct longitudes are collected, of which a grid has no more than columns.
+    """
+    ordered = F.sort_array(F.collect_set(F.pmod(a, F.lit(360.0))))
+    following = F.concat(F.slice(ordered, 2, F.size(ordered)), F.array(F.element_at(ordered, 1) + 360.0))
+    gaps = F.zip_with(ordered, following, lambda x, y: y - x)
+    return F.when(F.size(ordered) <= 1, F.lit(0.0)).otherwise(360.0 - F.array_max(gaps))

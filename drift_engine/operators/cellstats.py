@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drift_engine.functions.angles import apart, bearing_of, ratio, wrap360
+from drift_engine.functions.angles import apart, bearing_of, difference, ratio, wrap360
 from drift_engine.functions.geodesy import Grid, Space
 
 
@@ -76,8 +76,8 @@ def support_summary(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count("*").alias("cells"), F.count("P_stay").alias("source_cells"), F.avg("P_stay").alias("mean_P_stay"), F.expr("percentile(P_stay, 0.5)").alias("median_P_stay"), F.expr("percentile(P_stay, 0.05)").alias("q05_P_stay"), F.expr("percentile(P_stay, 0.95)").alias("q95_P_stay"))
 
 
-def outgoing_moments(links: DataFrame, seconds: float, tolerance: float = 1e-12) -> DataFrame:
-    """First moments of displacement by source cell, over all transitions and over moving ones, and as rates."""
+def outgoing_moments(links: DataFrame, timestep: float, tolerance: float = 1e-12) -> DataFrame:
+    """First moments of displacement by source cell, over all transitions and over moving ones, and as rates per unit of the time step."""
     n = F.col("transition_count")
     m = F.when(F.col("moving"), n)
     g = links.groupBy(F.col("start_id").alias("cell_id")).agg(
@@ -87,7 +87,7 @@ def outgoing_moments(links: DataFrame, seconds: float, tolerance: float = 1e-12)
     for kind, count in (("all", "_n"), ("move", "_m")):
         x, y = ratio(F.col("_x"), F.col(count)), ratio(F.col("_y"), F.col(count))
         out |= {f"mu_out_{kind}_x": x, f"mu_out_{kind}_y": y, f"mu_out_{kind}_magnitude": F.hypot(x, y)}
-        out |= {f"U_out_{kind}_x_rate": x / seconds, f"U_out_{kind}_y_rate": y / seconds, f"U_out_{kind}_magnitude_rate": F.hypot(x, y) / seconds}
+        out |= {f"U_out_{kind}_x_rate": x / timestep, f"U_out_{kind}_y_rate": y / timestep, f"U_out_{kind}_magnitude_rate": F.hypot(x, y) / timestep}
     out |= {"distance_mean_all": F.col("_d") / F.col("_n"), "distance_mean_move": ratio(F.col("_d"), F.col("_m"))}
     out["theta_mu_out"] = bearing_of(ratio(F.col("_x"), F.col("_m")), ratio(F.col("_y"), F.col("_m")), tolerance)
     out["retained_fraction"] = ratio(out["mu_out_move_magnitude"], out["distance_mean_move"])
@@ -167,7 +167,7 @@ def entropy(links: DataFrame, by: str, theta: str, side: str, bins: int = 36) ->
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's correlation of two columns over rows that have both: average ranks, then Pearson; one row (pairs, correlation).
+    """Spearman's correlation of two columns over rows that have both: average ranks, then Pearson; one row (pairs, correlation, NULL where one never varies).
 
     Ranks come from value counts, of which there are no more than distinct values.
     """
@@ -179,31 +179,99 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         return n.select(c, (upto - (F.col("_n") - 1) / 2.0).alias(name))
 
     ranked = rows.join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b)
-    return ranked.agg(F.count("*").alias("pairs"), F.corr("_ra", "_rb").alias("correlation"))
+    return ranked.agg(F.count("*").alias("pairs"), ratio(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("correlation"))
 
 
 def alignment(cells: DataFrame) -> DataFrame:
-    """cells with cosines and angles between outgoing and incoming directions."""
-    a = F.cos(F.radians(F.col("theta1_out") - F.col("theta1_in")))
-    mu = F.cos(F.radians(F.col("theta_mu_out") - F.col("theta_mu_in")))
-    return cells.withColumns({"A_io": a, "A_io_mu": mu, "delta_theta_io_1": apart(F.col("theta1_out"), F.col("theta1_in")), "delta_theta_io_mu": apart(F.col("theta_mu_out"), F.col("theta_mu_in"))})
+    """cells with cosines and signed turns (outgoing less incoming direction, -180 to 180) by both kinds of direction, and the turns' sizes."""
+    out = {}
+    for name, kind, cosine in (("1", "theta1", "A_io"), ("mu", "theta_mu", "A_io_mu")):
+        a, b = F.col(f"{kind}_out"), F.col(f"{kind}_in")
+        out |= {cosine: F.cos(F.radians(a - b)), f"delta_theta_io_{name}": difference(a, b), f"abs_delta_theta_io_{name}": apart(a, b)}
+    out["abs_delta_theta_io_1_minus_mu"] = apart(out["delta_theta_io_1"], out["delta_theta_io_mu"])
+    return cells.withColumns(out)
 
 
 def direction_vectors(cells: DataFrame) -> DataFrame:
-    """cells with D_out_move (the unit-weight mean direction) and D_out_all = P_move * D_out_move; both 0 for cells that only stay."""
+    """cells with D_out_move (the unit-weight mean direction) and D_out_all = P_move * D_out_move, which is 0 for cells that only stay; and the coherent flux."""
     stays = (F.col("N_out_total") > 0) & (F.col("N_out_move") == 0)
     zero = lambda c: F.when(stays, 0.0).otherwise(c)
-    mx, my = zero(F.col("M1_out_imag")), zero(F.col("M1_out_real"))
-    out = {"D_out_move_x": mx, "D_out_move_y": my, "D_out_all_x": zero(F.col("P_move") * mx), "D_out_all_y": zero(F.col("P_move") * my)}
+    mx, my = F.col("M1_out_imag"), F.col("M1_out_real")
+    out = {"D_out_move_x": mx, "D_out_move_y": my, "D_out_move_magnitude": F.hypot(mx, my), "D_out_all_x": zero(F.col("P_move") * mx), "D_out_all_y": zero(F.col("P_move") * my)}
     out["D_out_all_magnitude"] = F.hypot(out["D_out_all_x"], out["D_out_all_y"])
-    out["S_flux_rate"] = F.col("U_out_all_magnitude_rate") * F.col("R1_out")
+    out["S_flux_rate"] = F.col("U_out_all_magnitude_rate")
+    out["U_coh_rate"] = F.col("U_out_all_magnitude_rate") * F.col("R1_out")
     return cells.withColumns(out)
 
 
-def cell_statistics(links: DataFrame, grid: Grid, seconds: float, bins: int = 36, tolerance: float = 1e-12) -> DataFrame:
+def vector_identities(cells: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """One row: how many cells have direction vectors, and the largest residuals of the identities that they must meet."""
+    bearing = lambda kind: difference(bearing_of(F.col(f"D_out_{kind}_x"), F.col(f"D_out_{kind}_y"), tolerance), F.col("theta1_out"))
+    most = lambda c: F.max(F.abs(c))
+    moving = F.col("N_out_move") > 0
+    return cells.agg(
+        F.count("D_out_move_magnitude").alias("cells_with_D_out_move"),
+        F.count("D_out_all_magnitude").alias("cells_with_D_out_all"),
+        F.count("theta1_out").alias("cells_with_defined_directional_bearing"),
+        most(F.col("D_out_all_x") - F.col("P_move") * F.col("D_out_move_x")).alias("D_out_all_x_residual"),
+        most(F.col("D_out_all_y") - F.col("P_move") * F.col("D_out_move_y")).alias("D_out_all_y_residual"),
+        most(F.col("D_out_move_magnitude") - F.col("R1_out")).alias("D_out_move_less_R1"),
+        most(F.when(moving, F.col("D_out_all_magnitude") - F.col("P_move") * F.col("R1_out"))).alias("D_out_all_less_P_move_R1"),
+        most(bearing("move")).alias("D_out_move_bearing_residual"),
+        most(F.when(moving, bearing("all"))).alias("D_out_all_bearing_residual"),
+    )
+
+
+def cell_statistics(links: DataFrame, grid: Grid, timestep: float, bins: int = 36, tolerance: float = 1e-12) -> DataFrame:
     """All statistics of every touched cell. links: of enriched_links()."""
     cells = support(links, grid)
-    for part in (outgoing_moments(links, seconds, tolerance), outgoing_harmonics(links, tolerance), entropy(links, "start_id", "theta_out", "out", bins), incoming_harmonics(links, tolerance), entropy(links, "end_id", "theta_arrival", "in", bins)):
+    for part in (outgoing_moments(links, timestep, tolerance), outgoing_harmonics(links, tolerance), entropy(links, "start_id", "theta_out", "out", bins), incoming_harmonics(links, tolerance), entropy(links, "end_id", "theta_arrival", "in", bins)):
         cells = cells.join(part, "cell_id", "left")
     cells = cells.withColumn("delta_theta_mu1_out", apart(F.col("theta_mu_out"), F.col("theta1_out")))
     return direction_vectors(alignment(cells))
+
+
+def moment_identities(cells: DataFrame) -> DataFrame:
+    """One row: the largest differences between the moment over all transitions and P_move times that over moving ones, and of the retained flux share from P_move."""
+    most = lambda c: F.max(F.abs(c))
+    p = F.col("P_move")
+    residual = lambda a: most(F.col(f"mu_out_all_{a}") - F.coalesce(p * F.col(f"mu_out_move_{a}"), F.lit(0.0)))
+    retained = ratio(F.col("mu_out_all_magnitude"), F.col("mu_out_move_magnitude"))
+    return cells.filter("N_out_total > 0").agg(residual("x").alias("x_residual"), residual("y").alias("y_residual"), most(retained - p).alias("retained_less_P_move"))
+
+
+def alignment_summary(cells: DataFrame, primary: int, sensitivity: int | None = None, high_r1: float = 0.8, low_r1: float = 0.5, poor: float = 0.0) -> DataFrame:
+    """One row of counters on incoming statistics and alignment, with the rank correlation and spread of both cosines over jointly supported cells.
+
+    cells: of cell_statistics() with strong_flags(). poor: the cosine under which an alignment is poor.
+    """
+    sensitivity = primary if sensitivity is None else sensitivity
+    c = F.col
+    joint = {k: (c("N_out_move") >= n) & (c("N_in_move") >= n) for k, n in (("primary", primary), ("sensitivity", sensitivity))}
+    out = c("strong") & (c("R1_out") >= high_r1)
+    both = (c("R1_out") >= high_r1) & (c("R1_in") >= high_r1)
+    low = c("A_io") <= poor
+    count = lambda **named: [F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in named.items()]
+    pairs = cells.filter(joint["primary"] & c("A_io").isNotNull() & c("A_io_mu").isNotNull())
+    apart_by = F.abs(c("A_io") - c("A_io_mu"))
+    spread = pairs.agg(F.expr("percentile(abs(A_io - A_io_mu), 0.5)").alias("median_alignment_difference"), F.percentile(apart_by, F.lit(0.95)).alias("q95_alignment_difference"))
+    ranks = spearman(pairs, "A_io", "A_io_mu").select(c("correlation").alias("spearman_alignments"))
+    known = {"R1_in": "R1_in", "theta1_in": "theta1_in", "R2_in": "R2_in", "theta2_in": "theta2_in", "H_in": "H_in", "theta_mu_in": "theta_mu_in", "delta_theta_mu1_in": "delta_theta_mu1_in", "A_io": "A_io", "A_io_mu": "A_io_mu"}
+    counts = cells.agg(
+        *[F.count(v).alias(f"cells_with_{k}") for k, v in known.items()],
+        *count(
+            incoming_primary=c("N_in_move") >= primary,
+            incoming_sensitivity=c("N_in_move") >= sensitivity,
+            joint_primary=joint["primary"],
+            joint_sensitivity=joint["sensitivity"],
+            strong_out_primary=out & joint["primary"],
+            strong_both_primary=out & both & joint["primary"],
+            strong_out_sensitivity=out & joint["sensitivity"],
+            strong_both_sensitivity=out & both & joint["sensitivity"],
+            strong_out_low_in_primary=out & (c("R1_in") <= low_r1) & joint["primary"],
+            strong_both_poor_primary=out & both & low & joint["primary"],
+            both_poor_primary=both & low & joint["primary"],
+            both_poor_sensitivity=both & low & joint["sensitivity"],
+        ),
+    )
+    return counts.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(ranks))

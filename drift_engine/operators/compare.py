@@ -1,4 +1,4 @@
-"""Both pathways side by side, and the fronts against the field's gradient."""
+"""Both pathways side by side."""
 
 from __future__ import annotations
 
@@ -6,46 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import ratio
-from drift_engine.functions.geodesy import Grid, Space
-from drift_engine.operators.gridops import around, sample
 
 CLASSES = ("flux_and_directional", "directional_only", "flux_only", "neither")
 
 
 def comparison(cells: DataFrame, flux: DataFrame, directional: DataFrame, min_support: int) -> DataFrame:
-    """Supported cells with their flux and directional component and class."""
-    out = cells.filter(F.col("N_out_move") >= min_support).select("cell_id", "x", "y")
-    out = out.join(flux.select("cell_id", F.col("component_number").alias("flux_component")), "cell_id", "left").join(directional.select("cell_id", F.col("component_number").alias("directional_component")), "cell_id", "left")
+    """Supported cells with their flux and directional component (number and id) and class."""
+    out = cells.filter(F.col("N_out_move") >= min_support).select("cell_id", "x_bin", "y_bin", "x", "y", "N_out_move", "U_out_all_magnitude_rate", "D_out_all_magnitude")
+    for kind, cores in (("flux", flux), ("directional", directional)):
+        out = out.join(cores.select("cell_id", F.col("component_number").alias(f"{kind}_component"), F.col("component_id").alias(f"{kind}_component_id")), "cell_id", "left")
     f, d = F.col("flux_component").isNotNull(), F.col("directional_component").isNotNull()
     return out.withColumn("class", F.when(f & d, CLASSES[0]).when(d, CLASSES[1]).when(f, CLASSES[2]).otherwise(CLASSES[3]))
 
 
 def component_overlap(compared: DataFrame) -> DataFrame:
     """Per component of each kind: its cells, those that the other pathway has too, and their share."""
-    def one(kind: str, own: str, other: str) -> DataFrame:
-        g = compared.filter(F.col(own).isNotNull()).groupBy(F.col(own).alias("component")).agg(F.count("*").alias("cells"), F.count(other).alias("shared"))
-        return g.select(F.lit(kind).alias("kind"), "component", "cells", "shared", (F.col("shared") / F.col("cells")).alias("fraction"))
 
-    return one("flux", "flux_component", "directional_component").unionByName(one("directional", "directional_component", "flux_component"))
+    def one(kind: str, other: str) -> DataFrame:
+        own = f"{kind}_component"
+        g = compared.filter(F.col(own).isNotNull()).groupBy(F.col(own).alias("component"), F.col(f"{own}_id").alias("component_id")).agg(F.count("*").alias("cells"), F.count(f"{other}_component").alias("shared"))
+        return g.select(F.lit(kind).alias("kind"), "component", "component_id", "cells", "shared", (F.col("shared") / F.col("cells")).alias("fraction"))
+
+    return one("flux", "directional").unionByName(one("directional", "flux"))
 
 
 def summary(compared: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("class") == c).alias(c) for c in CLASSES]
     out = compared.agg(F.count("*").alias("supported_cells"), *counts)
     return out.withColumns({f"{c}_fraction": ratio(F.col(c), F.col("supported_cells")) for c in CLASSES})
-
-
-def local_context(fronts: DataFrame, gradients: DataFrame, grid: Grid, space: Space, radius: int = 1) -> DataFrame:
-    """Per detected front: the largest gradient across theta among the grid's cells within `radius` cells of its place, how far off, and the place's own.
-
-    Fronts find cells by their bins; ties go to the nearest cell.
-    """
-    found = fronts.filter("front_detected").withColumn("x_bin", grid.x_bin(F.col("front_x"))).withColumn("y_bin", grid.y_bin(F.col("front_y")))
-    here = found.select("cell_id", "side", F.col("front_x").alias("px"), F.col("front_y").alias("py"))
-    own = sample(here, ["cell_id", "side"], gradients, ["gradient_across"], grid).select("cell_id", "side", F.abs("gradient_across").alias("at_front"))
-    key = F.struct("cell_id", "side", "front_x", "front_y").alias("cell_id")
-    near = around(found.select(key, "x_bin", "y_bin"), grid, radius)
-    values = gradients.select(F.col("cell_id").alias("near_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.abs("gradient_across").alias("_g")).filter("_g is not null")
-    near = near.join(values, "near_id").withColumn("_d", space.inverse(F.col("cell_id.front_x"), F.col("cell_id.front_y"), F.col("_x"), F.col("_y"))["distance"])
-    best = near.groupBy(F.col("cell_id.cell_id").alias("cell_id"), F.col("cell_id.side").alias("side")).agg(F.max(F.struct(F.col("_g"), (-F.col("_d")).alias("n"))).alias("b"))
-    return best.select("cell_id", "side", F.col("b._g").alias("largest"), (-F.col("b.n")).alias("largest_distance")).join(own, ["cell_id", "side"], "left")

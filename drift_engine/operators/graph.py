@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from drift_engine.functions.geodesy import Grid
 from drift_engine.storage import materialise
 
-#: Up to this many edges, counted first, components are found in one task.
-SMALL_EDGES = 50_000
+#: On a grid of up to so many cells components are found in one task.
+SMALL_CELLS = 250_000
 AROUND = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i, j) != (0, 0)]
 
 
@@ -27,23 +27,31 @@ def neighbour_pairs(cells: DataFrame, grid: Grid, both: bool = False) -> DataFra
     return rows.join(cells.select(F.col("cell_id").alias("b")), "b", "left_semi").select("a", "b")
 
 
-def _small_components(edges: DataFrame) -> DataFrame:
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
+def _find(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of edges (a, b), and of lone nodes, whose b is missing: (node, component, component_number)."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
 
-        def root(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
+    lone = pdf["b"].isna()
+    for v in pdf.loc[lone, "a"].astype("int64").tolist():
+        root(v)
+    edges = pdf[~lone]
+    for a, b in zip(edges["a"].astype("int64").tolist(), edges["b"].astype("int64").tolist()):
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    nodes = list(parent)
+    out = pd.DataFrame({"node": nodes, "component": [root(v) for v in nodes]}, dtype="int64")
+    return out.assign(component_number=out["component"].rank(method="dense").astype("int64"))
 
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-            ra, rb = root(a), root(b)
-            parent[max(ra, rb)] = min(ra, rb)
-        nodes = list(parent)
-        return pd.DataFrame({"node": nodes, "component": [root(v) for v in nodes]}, dtype="int64")
 
-    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(find, "node long, component long")
+def _small_components(edges: DataFrame) -> DataFrame:
+    """(node, component, component_number) in one task."""
+    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_find, "node long, component long, component_number long")
 
 
 def connected_components(edges: DataFrame, name: str = "components", small_edges: int = 0) -> DataFrame:
@@ -57,7 +65,7 @@ def connected_components(edges: DataFrame, name: str = "components", small_edges
     """
     edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     if small_edges and edges.count() <= small_edges:
-        return _small_components(edges)
+        return _small_components(edges).drop("component_number")
     labels = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
@@ -77,15 +85,20 @@ def connected_components(edges: DataFrame, name: str = "components", small_edges
             return labels
 
 
-def labelled(vertices: DataFrame, edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
-    """vertices (cell_id) with component (its smallest cell) and component_number (from 1, in that order); lone vertices are their own.
+def labelled(vertices: DataFrame, edges: DataFrame, cells: int | None = None) -> DataFrame:
+    """vertices (a stored table with cell_id) with component (its smallest cell) and component_number (from 1, in that order); lone vertices are their own.
 
-    The result is stored: later operators read it several times.
+    cells: of the grid that the vertices are of. On a grid of SMALL_CELLS or fewer, which
+    has no more than four edges a cell, components are found in one task; on others,
+    or without that bound, round by round. The result is stored: later operators read it
+    several times.
     """
-    vertices = materialise(vertices, "vertices")
-    found = connected_components(edges, small_edges=small_edges).withColumnRenamed("node", "cell_id")
-    out = vertices.join(found, "cell_id", "left").withColumn("component", F.coalesce("component", "cell_id"))
-    numbers = out.select("component").distinct().withColumn("component_number", F.row_number().over(Window.orderBy("component")))
+    if cells is not None and cells <= SMALL_CELLS:
+        rows = edges.select("a", "b").unionByName(vertices.select(F.col("cell_id").alias("a"), F.lit(None).cast("long").alias("b")))
+        return materialise(vertices.join(_small_components(rows).withColumnRenamed("node", "cell_id"), "cell_id"), "labelled")
+    found = connected_components(edges).withColumnRenamed("node", "cell_id")
+    out = materialise(vertices.join(found, "cell_id", "left").withColumn("component", F.coalesce("component", "cell_id")), "components")
+    numbers = out.select("component").distinct().withColumn("component_number", F.row_number().over(Window.orderBy("component")).cast("long"))
     return materialise(out.join(numbers, "component"), "labelled")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.functions.geodesy import Grid, Space
+from drift_engine.functions.geodesy import METRES, Grid, Space
 
 #: A table of cells is broadcast if the grid has no more of them than this.
 BROADCAST_CELLS = 1_000_000
@@ -56,6 +58,42 @@ def around(cells: DataFrame, grid: Grid, reach: int = 1, centre: bool = True) ->
     return rows.filter(inside).select("cell_id", grid.cell_id(x, y).alias("near_id"))
 
 
+#: Less than the smallest radius of curvature of an ellipsoid of the Earth, in metres.
+SMALL_RADIUS = 6.3e6
+
+
+def near_cells(points: DataFrame, reach: Column, grid: Grid, space: Space) -> DataFrame:
+    """points (px, py) with near_id, a row for each cell of the grid whose centre may lie within `reach` of the point.
+
+    The rows and columns that a distance can span follow from the grid; on a sphere the
+    columns grow towards the poles. What is found is to be measured: no cell within reach
+    is left out, some outside are in.
+    """
+    rows = points.withColumn("_d", reach)
+    if space.geographic:
+        half = F.col("_d") * F.lit(METRES[space.unit] / (2 * SMALL_RADIUS))
+        up = F.degrees(2 * half) / F.lit(grid.dy)
+    else:
+        up = F.col("_d") / F.lit(grid.dy)
+    rows = rows.withColumn("_r", (F.ceil(up) + 1).cast("int")).withColumn("_yb", F.explode(F.sequence(-F.col("_r"), F.col("_r")))).withColumn("_yb", F.col("_yb") + grid.y_bin(F.col("py")))
+    rows = rows.filter(F.col("_yb").between(0, grid.ny - 1))
+    if space.geographic:
+        cosines = F.cos(F.radians("py")) * F.cos(F.radians(grid.y_center(F.col("_yb"))))
+        share = F.least(F.lit(1.0), F.sin(F.least(half, F.lit(math.pi / 2))) / F.sqrt(F.greatest(cosines, F.lit(1e-12))))
+        across = F.degrees(2 * F.asin(share)) / F.lit(grid.dx)
+    else:
+        across = F.col("_d") / F.lit(grid.dx)
+    # On a periodic grid no more than the whole row, once.
+    most = (grid.nx - 1) // 2 if grid.periodic else grid.nx
+    rows = rows.withColumn("_c", F.least(F.ceil(across) + 1, F.lit(most)).cast("int"))
+    low = -F.col("_c") - (F.when(F.col("_c") == most, 1 - grid.nx % 2).otherwise(0) if grid.periodic else 0)
+    rows = rows.withColumn("_xb", F.explode(F.sequence(low.cast("int"), F.col("_c")))).withColumn("_xb", F.col("_xb") + grid.x_bin(F.col("px")))
+    if grid.periodic:
+        rows = rows.withColumn("_xb", F.pmod("_xb", F.lit(grid.nx)))
+    rows = rows.filter(F.col("_xb").between(0, grid.nx - 1))
+    return rows.withColumn("near_id", grid.cell_id(F.col("_xb"), F.col("_yb"))).drop("_d", "_r", "_yb", "_c", "_xb")
+
+
 def smooth(cells: DataFrame, field: str, grid: Grid, name: str = "smoothed") -> DataFrame:
     """cells with the mean of the field over the supported cells of their 3 x 3 surroundings. cells: the supported ones."""
     values = cells.select(F.col("cell_id").alias("near_id"), F.col(field).alias("_v"))
@@ -108,5 +146,5 @@ def along_across(cells: DataFrame, theta: str, tolerance: float = 1e-12) -> Data
     r = F.radians(theta)
     along = F.col("gradient_east") * F.sin(r) + F.col("gradient_north") * F.cos(r)
     across = -F.col("gradient_east") * F.cos(r) + F.col("gradient_north") * F.sin(r)
-    size = F.hypot("gradient_east", "gradient_north")
+    size = F.when(F.col(theta).isNotNull(), F.hypot("gradient_east", "gradient_north"))
     return cells.withColumns({"gradient_along": along, "gradient_across": across, "gradient_magnitude": size, "gradient_across_fraction": F.when(size > tolerance, F.abs(across) / size)})

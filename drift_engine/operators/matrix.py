@@ -45,11 +45,39 @@ def _observation() -> Column:
     return F.struct(F.col("time").alias("t"), "x", "y")
 
 
+def check_tracks(tracks: DataFrame) -> DataFrame:
+    """One row that counts what canonical tracks (trajectory or group ids, time, x, y) must not have: null ids, values that are no finite number, repeated times, and tracks of one observation."""
+    ids = _ids(tracks)
+    if lacking := sorted({"trajectory", "time", "x", "y"} - set(tracks.columns)):
+        raise ValueError(f"canonical tracks lack {lacking}")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    null_id = F.greatest(*[F.col(c).isNull() for c in ids]) if len(ids) > 1 else F.col(ids[0]).isNull()
+    rows = tracks.select(*ids, "time", null_id.alias("_null"), (~(finite("time") & finite("x") & finite("y"))).alias("_wrong"))
+    times = rows.groupBy(*ids, "time").agg(F.count("*").alias("_n"), F.count_if("_null").alias("_null"), F.count_if("_wrong").alias("_wrong"))
+    per = times.groupBy(*ids).agg(F.sum("_n").alias("n"), F.sum("_null").alias("_null"), F.sum("_wrong").alias("_wrong"), F.sum(F.col("_n") - 1).alias("_again"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return per.agg(zero(F.sum("_null")).alias("null_identities"), zero(F.sum("_wrong")).alias("not_finite"), zero(F.sum("_again")).alias("repeated_times"), F.count_if(F.col("n") < 2).alias("short_tracks"))
+
+
+def require_canonical(tracks: DataFrame) -> DataFrame:
+    """tracks, if check_tracks() finds nothing; else ValueError."""
+    found = check_tracks(tracks).first().asDict()
+    if any(found.values()):
+        raise ValueError(f"tracks are not canonical: {found}")
+    return tracks
+
+
+#: Multiples of the lag that a row makes at once.
+CHUNK = 4096
+
+
 def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None) -> DataFrame:
-    """Segments k: from k * lag to (k + 1) * lag, for as many as the track's duration holds.
+    """Segments k: from k * lag to (k + 1) * lag, for as many as the track's duration holds; `copies` segments from k on are alike.
 
     Each observation gives the bracket up to the next one, and the multiples of the lag
     that fall in it come out of the row itself: one sort of each track, no as-of join.
+    A bracket wider than max_gap gives its first and last two multiples, and the number of
+    those between, which all lie in the gap; any other gives them CHUNK by CHUNK.
     """
     ids = _ids(tracks)
     w = Window.partitionBy(*ids).orderBy("time")
@@ -57,23 +85,32 @@ def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = F
     rows = tracks.withColumn("a", _observation()).withColumn("b", F.lead("a").over(w)).withColumn("_last", F.max("time").over(whole))
     q = F.col("_last") / F.lit(lag)
     n = F.floor(F.when(q > 0, q + ulp(q)).otherwise(q)).cast("long")
-    rows = rows.withColumn("n", n)
+    rows = rows.withColumn("n", n).filter("n > 0")
     low = F.ceil(F.col("a.t") / F.lit(lag)).cast("long")
     high = F.when(F.col("b").isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.ceil(F.col("b.t") / F.lit(lag)).cast("long") - 1))
-    # ceil() may step over a multiple by rounding: take one more on each side and keep what is in the bracket.
-    around = F.sequence(F.greatest(low - 1, F.lit(0)), F.greatest(high + 1, low - 1, F.lit(0)))
-    inside = lambda k: (k * F.lit(lag) >= F.col("a.t")) & (k <= F.col("n")) & (F.col("b").isNull() | (k * F.lit(lag) < F.col("b.t")))
-    rows = rows.withColumn("k", F.explode(F.filter(around, inside))).filter("n > 0")
-    points = rows.select(*ids, "n", "k", _located(F.col("k") * F.lit(lag), "a", "b", geographic, max_gap).alias("start"))
+    # ceil() may step over a multiple by rounding: one more on each side is looked at.
+    inside = lambda k: (k >= 0) & (k * F.lit(lag) >= F.col("a.t")) & (k <= F.col("n")) & (F.col("b").isNull() | (k * F.lit(lag) < F.col("b.t")))
+    about = lambda k: F.filter(F.array(k - 1, k, k + 1), inside)
+    rows = rows.withColumn("_lo", F.array_min(about(low))).withColumn("_hi", F.greatest(F.array_max(about(high)), F.col("_lo"))).filter("_lo is not null")
+    wide = (F.col("_hi") - F.col("_lo") > 4) & F.coalesce(F.col("b.t") - F.col("a.t") > max_gap, F.lit(False)) if max_gap is not None else F.lit(False)
+    one = lambda k, copies: F.struct(k.alias("k"), copies.cast("long").alias("copies"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    ends = F.array(one(lo, F.lit(1)), one(lo + 1, hi - lo - 2), one(hi - 1, F.lit(1)), one(hi, F.lit(1)))
+    starts = F.when(wide, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(lo, hi, F.lit(CHUNK).cast("long")))
+    rows = rows.withColumn("_from", F.explode(starts))
+    run = F.transform(F.sequence(F.col("_from"), F.greatest(F.col("_from"), F.least(F.col("_from") + CHUNK - 1, hi))), lambda k: one(k, F.lit(1)))
+    rows = rows.withColumn("_k", F.explode(F.when(F.col("_from") < 0, ends).otherwise(run)))
+    points = rows.select(*ids, "n", "_k.k", "_k.copies", _located(F.col("_k.k") * F.lit(lag), "a", "b", geographic, max_gap).alias("start"))
     points = points.withColumn("end", F.lead("start").over(Window.partitionBy(*ids).orderBy("k")))
-    return points.filter("k < n").select(*ids, "k", "start", "end")
+    return points.filter("k < n").select(*ids, "k", "start", "end", "copies")
 
 
 def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None) -> DataFrame:
     """A segment from each observation but the track's last one to the position one lag later.
 
     Observations and targets are merged in one order per track; the last observation
-    before a target and the first one after it are its bracket.
+    before a target and the first one after it are its bracket, read as running values
+    in that order and in its reverse.
     """
     ids = _ids(tracks)
     order = Window.partitionBy(*ids).orderBy("time")
@@ -81,13 +118,14 @@ def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool =
     seen = rows.select(*ids, F.col("time").alias("t"), F.lit(0).alias("_target"), _observation().alias("o"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("struct<t:double,x:double,y:double>").alias("from"))
     wanted = rows.filter("_more").select(*ids, (F.col("time") + F.lit(lag)).alias("t"), F.lit(1).alias("_target"), F.lit(None).cast("struct<t:double,x:double,y:double>").alias("o"), "k", _observation().alias("from"))
     merged = seen.unionByName(wanted)
-    w = Window.partitionBy(*ids).orderBy("t", "_target", F.col("k").asc_nulls_first())
-    merged = merged.withColumn("a", F.last("o", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("o", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    upto = lambda *by: Window.partitionBy(*ids).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("a", F.last("o", True).over(upto("t", "_target", F.col("k").asc_nulls_first())))
+    merged = merged.withColumn("b", F.last("o", True).over(upto(F.desc("t"), F.desc("_target"), F.col("k").desc_nulls_last())))
     merged = merged.filter("_target = 1")
     start = F.struct(F.lit("exact").alias("status"), F.col("from.x").alias("x"), F.col("from.y").alias("y"))
     # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
     end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
-    return merged.select(*ids, "k", start.alias("start"), end.alias("end"))
+    return merged.select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
 
 
 def segments(tracks: DataFrame, lag: float, mode: str = "non_overlapping", geographic: bool = False, max_gap: float | None = None) -> DataFrame:
@@ -118,9 +156,10 @@ def transition_matrix(segs: DataFrame, grid: Grid) -> DataFrame:
 def matrix_diagnostics(segs: DataFrame, grid: Grid) -> DataFrame:
     """One row of counters; shared boundaries of segments count for each segment that evaluates them."""
     rows = with_fate(segs, grid)
-    each = [F.sum((F.col("start.status") == s).cast("long") + (F.col("end.status") == s).cast("long")).alias(f"{s}_endpoints") for s in ("exact", "interpolated", "missing", "gap")]
-    fates = [F.count_if(F.col("fate") == f).alias(n) for f, n in (("missing", "rejected_missing"), ("gap", "rejected_gap"), ("outside", "rejected_outside"), ("retained", "retained_segments"))]
-    return rows.agg(F.count("*").alias("candidate_segments"), *each, *fates, F.count_if("outside_start").alias("outside_start"), F.count_if("outside_end").alias("outside_end"))
+    total = lambda c: F.coalesce(F.sum(c * F.col("copies")), F.lit(0))
+    each = [total((F.col("start.status") == s).cast("long") + (F.col("end.status") == s).cast("long")).alias(f"{s}_endpoints") for s in ("exact", "interpolated", "missing", "gap")]
+    fates = [total((F.col("fate") == f).cast("long")).alias(n) for f, n in (("missing", "rejected_missing"), ("gap", "rejected_gap"), ("outside", "rejected_outside"), ("retained", "retained_segments"))]
+    return rows.agg(total(F.lit(1)).alias("candidate_segments"), *each, *fates, total(F.col("outside_start").cast("long")).alias("outside_start"), total(F.col("outside_end").cast("long")).alias("outside_end"))
 
 
 def source_timestep(tracks: DataFrame) -> DataFrame:

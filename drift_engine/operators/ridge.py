@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import ratio
 from drift_engine.functions.geodesy import Grid, Space, with_scales
-from drift_engine.operators.gridops import sample
+from drift_engine.operators.gridops import sample, smooth
 from drift_engine.storage import materialise
 
 SIDES = (("left", -90.0), ("right", 90.0))
@@ -52,6 +52,8 @@ def transverse_ridge(cells: DataFrame, supported: DataFrame, theta: str, field:
             "D_available": only,
             "C_perp": curvature,
             "C_perp_normalized": ratio(curvature, v),
+            "C_perp_one_sided": F.when(centre & one, only),
+            "C_perp_one_sided_normalized": ratio(F.when(centre & one, only), v),
             "missing_side": missing,
             "evaluability": F.when(both, "two_sided_evaluable").when(left.isNotNull(), "one_sided_evaluable_left").when(right.isNotNull(), "one_sided_evaluable_right").otherwise("no_transverse_side_evaluable"),
             "evaluable": centre & (left.isNotNull() | right.isNotNull()),
@@ -65,21 +67,52 @@ def threshold(cells: DataFrame, field: str, level: float) -> DataFrame:
     return cells.agg(F.percentile(field, F.lit(level)).alias("threshold"))
 
 
-def flux_ridge(cells: DataFrame, grid: Grid, space: Space, min_support: int, level: float = 0.9, policy: str = "boundary_aware", scale: float = 1.0, tie: float = 1e-12, tolerance: float = 1e-10) -> DataFrame:
-    """All cells with the flux field's ridge labels, `candidate` (policy: boundary_aware or two_sided_only), the threshold and `core`."""
-    field = "U_out_all_magnitude_rate"
-    supported = cells.filter(F.col("N_out_move") >= min_support)
+def source_field(cells: DataFrame, grid: Grid, min_support: int, smoothed: bool = False) -> DataFrame:
+    """cells with S0_field_rate, the field whose ridges are sought: the flux of supported cells, raw or averaged over 3 x 3 supported cells."""
+    if not smoothed:
+        return cells.withColumn("S0_field_rate", F.when(F.col("N_out_move") >= min_support, F.col("U_out_all_magnitude_rate")))
+    means = smooth(cells.filter(F.col("N_out_move") >= min_support), "U_out_all_magnitude_rate", grid, "S0_field_rate")
+    return cells.join(means.select("cell_id", "S0_field_rate"), "cell_id", "left")
+
+
+def flux_ridge(cells: DataFrame, grid: Grid, space: Space, min_support: int, level: float = 0.9, policy: str = "boundary_aware", scale: float = 1.0, tie: float = 1e-12, tolerance: float = 1e-10, smoothed: bool = False, reliable_r1: float = 0.8, ambiguous_r1: float = 0.5, disagreement: float = 20.0) -> DataFrame:
+    """All cells with the flux field's ridge labels, `candidate` (policy: boundary_aware or two_sided_only), the threshold and `core`.
+
+    reason_* are all that hold of a cell, `reason` the first of them by rank. Orientation
+    is reliable from R1 reliable_r1 on, if both kinds of direction agree within
+    `disagreement` degrees, and ambiguous under ambiguous_r1.
+    """
+    field = "S0_field_rate"
+    with_field = source_field(cells, grid, min_support, smoothed)
+    supported = with_field.filter(F.col("N_out_move") >= min_support)
     ridge = transverse_ridge(supported, supported, "theta_mu_out", field, grid, space, scale, tie, tolerance)
     two, one = F.col("ridge_type") == "two_sided", F.col("ridge_type") == "one_sided"
     candidate = two if policy == "two_sided_only" else two | one
     out = ridge.crossJoin(F.broadcast(threshold(supported, field, level))).withColumn("candidate", candidate)
     out = out.withColumn("core", F.col("candidate") & (F.col(field) >= F.col("threshold")))
+    out = out.withColumns({"core_two_sided": F.col("core") & two, "core_one_sided": F.col("core") & one})
     flank = F.when(two, "both_sides_observable").when(one & (F.col("missing_side") == "left"), "left_flank_not_observable").when(one, "right_flank_not_observable").otherwise("not_branch_core")
     out = out.withColumn("observability", F.when(two, "two_sided_branch_core").when(one, "one_sided_branch_core").otherwise("not_branch_core")).withColumn("flank_observability", flank)
     edge = lambda s: (F.col("left_status") == s) | (F.col("right_status") == s)
-    reason = F.when(two, "two_sided_transverse_ridge_candidate").when(one, "one_sided_transverse_ridge_candidate").when(F.col("theta_mu_out").isNull(), "theta_mu_out_undefined")
-    reason = reason.when(edge("domain_boundary"), "analysis_domain_boundary").when(edge("unknown_missing_support"), "transverse_sample_unsupported_or_missing").otherwise("evaluated_not_transverse_maximum")
-    return out.withColumn("reason", reason)
+    undefined = F.col("theta_mu_out").isNull()
+    needed = ["none"] if policy == "two_sided_only" else ["none", "left", "right"]
+    flags = {
+        "reason_theta_mu_out_undefined": undefined,
+        "reason_transverse_domain_boundary": edge("domain_boundary"),
+        "reason_transverse_sample_unsupported_or_missing": edge("unknown_missing_support"),
+        "reason_interpolation_not_defensible": ~undefined & ~F.col("missing_side").isin(needed) & ~edge("domain_boundary") & ~edge("unknown_missing_support"),
+    }
+    names = [k.removeprefix("reason_").replace("transverse_domain", "analysis_domain") for k in flags]
+    reason = F.when(two, "transverse_ridge_candidate" if policy == "two_sided_only" else "two_sided_transverse_ridge_candidate")
+    reason = reason if policy == "two_sided_only" else reason.when(one, "one_sided_transverse_ridge_candidate")
+    for name, flag in zip(names, flags.values()):
+        reason = reason.when(flag, name)
+    agree = F.coalesce(F.col("delta_theta_mu1_out") <= disagreement, F.lit(False))
+    orientation = {
+        "orientation_reliable": F.coalesce(F.col("R1_out") >= reliable_r1, F.lit(False)) & agree & ~undefined,
+        "orientation_ambiguous": F.coalesce(F.col("R1_out") < ambiguous_r1, F.lit(False)) | undefined,
+    }
+    return out.withColumns(flags | orientation).withColumn("reason", reason.otherwise("evaluated_not_transverse_maximum"))
 
 
 def directional_candidates(cells: DataFrame, min_support: int, p_move: float = 0.5, r1: float = 0.8, strength: float = 0.5) -> Column:

@@ -66,6 +66,16 @@ def row_sums(table: DataFrame) -> DataFrame:
     return out.withColumn("residual", F.abs(F.col("probability_sum") - 1.0))
 
 
+def summary(table: DataFrame, grid: Grid) -> DataFrame:
+    """One row: links, sources, transitions, and the largest residuals of centres, of probabilities against counts, and of each source's sum of probabilities."""
+    p, n = F.col("transition_probability"), F.col("transition_count")
+    source = Window.partitionBy("start_x_bin", "start_y_bin")
+    off = [F.abs(F.col(c) - (grid.x_center if "_x_" in b else grid.y_center)(F.col(b))) for b, c in zip(BINS, CENTRES)]
+    rows = table.withColumn("_p", F.abs(p - n / F.sum(n).over(source))).withColumn("_off", F.greatest(*off))
+    links = rows.agg(F.count("*").alias("links"), F.sum("transition_count").alias("transitions"), F.max("_off").alias("largest_centre_residual"), F.max("_p").alias("largest_probability_residual"))
+    return links.crossJoin(F.broadcast(row_sums(table).agg(F.count("*").alias("sources"), F.max("residual").alias("largest_normalisation_residual"))))
+
+
 def validate(table: DataFrame, grid: Grid, **tolerances) -> None:
     """Raises MatrixError with the counted flags if a link fails a check."""
     errors = schema_errors(table)

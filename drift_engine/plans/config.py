@@ -11,6 +11,7 @@ from pathlib import Path
 import yaml
 
 from drift_engine.functions.geodesy import ELLIPSOIDS, METRES, Grid, Space
+from drift_engine.operators.gradients import GradientConfig
 from drift_engine.operators.sections import SectionConfig
 from drift_engine.operators.tracks import SECONDS
 
@@ -133,8 +134,24 @@ class Fronts:
     nearby_branch_cross_distance_scales: float = 5.0
     nearby_branch_along_distance_scales: float = 1.0
 
-    def sections(self) -> SectionConfig:
-        return SectionConfig(int(self.half_width_grid_scales), self.sampling_interval_grid_scales, self.core_refinement_grid_scales, self.robust_median_window_samples, self.composite_half_window_sections, self.minimum_persistent_neighbor_sections, self.minimum_persistent_fraction, self.diagnostic_strong_outer_recovery_fraction, 1e-10, self.nearby_branch_along_distance_scales, self.nearby_branch_cross_distance_scales)
+    def sections(self, weight_tolerance: float = 1e-10) -> SectionConfig:
+        return SectionConfig(
+            half_width=self.half_width_grid_scales,
+            interval=self.sampling_interval_grid_scales,
+            refinement=self.core_refinement_grid_scales,
+            median_samples=self.robust_median_window_samples,
+            composite_window=self.composite_half_window_sections,
+            persistent_sections=self.minimum_persistent_neighbor_sections,
+            persistent_fraction=self.minimum_persistent_fraction,
+            strong_recovery=self.diagnostic_strong_outer_recovery_fraction,
+            tolerance=weight_tolerance,
+            along_scales=self.nearby_branch_along_distance_scales,
+            cross_scales=self.nearby_branch_cross_distance_scales,
+            low_r1=self.diagnostic_low_R1,
+            disagreement=self.diagnostic_large_direction_disagreement_degrees,
+            high_turn=self.diagnostic_high_curvature_degrees,
+            least_valid=self.diagnostic_min_full_section_valid_samples,
+        )
 
 
 @dataclass(frozen=True)
@@ -152,6 +169,9 @@ class Validation:
     multiple_drop_similarity_fraction: float = 0.1
     direct_sample_atol_grid_cells: float = 1e-8
 
+    def gradients(self) -> GradientConfig:
+        return GradientConfig(self.gradient_zero_tolerance, self.interpolation_weight_tolerance, self.gradient_search_radius_grid_scales, self.local_background_radius_grid_scales, self.duplicate_disagreement_grid_scales, self.core_gradient_ratio_epsilon, self.direct_sample_atol_grid_cells)
+
 
 @dataclass(frozen=True)
 class Plotting:
@@ -295,6 +315,14 @@ def check(c: Config) -> None:
         raise ConfigError("statistics: at least 4 angular bins and a support of 1")
     if c.fronts.robust_median_window_samples % 2 != 1:
         raise ConfigError("fronts.robust_median_window_samples: odd")
+    f = c.fronts
+    if not f.sampling_interval_grid_scales > 0 or not f.half_width_grid_scales > 0:
+        raise ConfigError("fronts: half_width_grid_scales and sampling_interval_grid_scales must be positive")
+    steps = f.half_width_grid_scales / f.sampling_interval_grid_scales
+    if abs(steps - round(steps)) > 1e-9:
+        raise ConfigError("fronts.half_width_grid_scales: a whole number of sampling intervals, so that a sample is at the core")
+    if not 0 <= c.plotting.structure_map_max_percentile <= 100 or c.plotting.vector_stride_cells < 1:
+        raise ConfigError("plotting: a percentile up to 100 and a stride of 1 or more")
 
 
 def from_dict(values: dict, base: Path | None = None) -> Config:

@@ -61,7 +61,7 @@ R = "round({0}, 6) AS {1}"
 
 
 def r6(**columns: str) -> str:
-    return ", ".join(f"round({v}, 6) AS {k}" for k, v in columns.items())
+    return ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in columns.items())
 
 
 ORACLES["mat_links_nonoverlap"] = text(LINKS, "SELECT start_x_bin, start_y_bin, end_x_bin, end_y_bin, n AS transition_count, " + r6(start_x_center="(start_x_bin + 0.5) * 10.0", transition_probability="n * 1.0 / sum(n) OVER (PARTITION BY sid)") + " FROM links")
@@ -122,7 +122,7 @@ ORACLES["val_flags_dirty"] = text(
     """SELECT start_x_bin, start_y_bin, end_x_bin, end_y_bin, array_to_string(list_filter([CASE WHEN n <= 0 THEN 'invalid_count' END, CASE WHEN p < 0 OR p > 1 THEN 'probability_range' END, CASE WHEN end_y_bin >= 10 THEN 'bin_bounds' END, CASE WHEN (end_y_bin >= 20) THEN 'grid_center' END,
  CASE WHEN tn <> 0 AND abs(p - n * 1.0 / tn) > 1e-12 + 1e-10 * abs(n * 1.0 / tn) THEN 'count_probability' END, CASE WHEN abs(tp - 1) > 1e-9 THEN 'row_normalization' END], lambda v: v IS NOT NULL), ';') AS flags FROM f""",
 )
-ORACLES["val_row_norm"] = text(LINKS, "SELECT start_x_bin, start_y_bin, count(*) AS links, sum(n)::BIGINT AS transitions, 1.0 AS probability_sum FROM links GROUP BY ALL")
+ORACLES["val_row_norm"] = text(LINKS, "SELECT start_x_bin, start_y_bin, count(*) AS links, sum(n)::BIGINT AS transitions, 1.0::DOUBLE AS probability_sum FROM links GROUP BY ALL")
 ORACLES["sup_counts"] = text(
     OUT, "SELECT cell_id, n_out::BIGINT AS \"N_out_total\", n_move::BIGINT AS \"N_out_move\", n_in::BIGINT AS \"N_in_total\", n_in_move::BIGINT AS \"N_in_move\", (n_out - n_move)::BIGINT AS \"C_stay\", n_dest AS n_destinations, n_src AS n_sources, round(CASE WHEN n_out > 0 THEN 1 - (n_out - n_move) * 1.0 / n_out END, 6) AS \"P_move\" FROM counts"
 )
@@ -156,8 +156,6 @@ ORACLES["s2_spearman"] = text(
 )
 ORACLES["s3_incoming"] = text(OUT, "SELECT cell_id, " + r6(R1_in="least(1, sqrt(s1 * s1 + c1 * c1))", R2_in="least(1, sqrt(s2 * s2 + c2 * c2))", theta1_in=bearing("s1", "c1"), mu_in_x="mx", mu_in_y="my", distance_in_mean="dm", distance_in_max="dmax") + " FROM incoming")
 _ANGLES = OUT + f", ang AS (SELECT o.cell_id, {bearing('o.s1', 'o.c1')} AS a, {bearing('i.s1', 'i.c1')} AS b, {bearing('o.mx', 'o.my')} AS e, {bearing('i.mx', 'i.my')} AS f FROM outgoing o JOIN incoming i ON o.cell_id = i.cell_id)"
-ORACLES["s3_alignment"] = text(_ANGLES, "SELECT cell_id, " + r6(A_io="cos(radians(a - b))", A_io_mu="cos(radians(e - f))", delta_theta_io_1=apart("a", "b"), delta_theta_io_mu=apart("e", "f")) + " FROM ang")
-ORACLES["dirv_vectors"] = text(OUT, "SELECT c.cell_id, " + r6(D_out_move_x="s1", D_out_move_y="c1", D_out_all_x="n_move * 1.0 / n_out * s1", D_out_all_y="n_move * 1.0 / n_out * c1", D_out_all_magnitude="n_move * 1.0 / n_out * sqrt(s1 * s1 + c1 * c1)") + " FROM counts c JOIN outgoing o ON c.cell_id = o.cell_id")
 
 STATS = OUT + f""", tot AS (SELECT sid, sum(n) AS tn, sum(n * dx) * 1.0 AS sx, sum(n * dy) * 1.0 AS sy FROM links GROUP BY sid),
 stats AS (SELECT c.cell_id, c.cell_id % 12 AS xb, c.cell_id // 12 AS yb, (c.cell_id % 12 + 0.5) * 10.0 AS x, (c.cell_id // 12 + 0.5) * 10.0 AS y, c.n_out, c.n_move, CASE WHEN c.n_out > 0 THEN 1 - (c.n_out - c.n_move) * 1.0 / c.n_out END AS pm,
@@ -197,25 +195,12 @@ ORACLES["grv_gradient"] = text(
     f"""SELECT c.cell_id, {_M.format(p='e', m='w')} AS gradient_east_method, {_M.format(p='n', m='s')} AS gradient_north_method, round({_D.format(p='e', m='w')}, 6) AS gradient_east, round({_D.format(p='n', m='s')}, 6) AS gradient_north
  FROM stats c LEFT JOIN stats e ON e.xb = c.xb + 1 AND e.yb = c.yb LEFT JOIN stats w ON w.xb = c.xb - 1 AND w.yb = c.yb LEFT JOIN stats n ON n.xb = c.xb AND n.yb = c.yb + 1 LEFT JOIN stats s ON s.xb = c.xb AND s.yb = c.yb - 1""",
 )
-ORACLES["s4_levels"] = text(
-    STATS + """, v AS (SELECT v.support, l.level, s.u, s.u * s.r1 AS c FROM stats s, (VALUES (1), (3)) v(support), (VALUES (0.9), (0.95), (0.99)) l(level) WHERE s.n_move >= v.support),
-q AS (SELECT support, level, CASE WHEN level = 0.9 THEN quantile_cont(u, 0.9) WHEN level = 0.95 THEN quantile_cont(u, 0.95) ELSE quantile_cont(u, 0.99) END AS qu, CASE WHEN level = 0.9 THEN quantile_cont(c, 0.9) WHEN level = 0.95 THEN quantile_cont(c, 0.95) ELSE quantile_cont(c, 0.99) END AS qc FROM v GROUP BY support, level)""",
-    "SELECT v.support::INTEGER AS support, v.level::DOUBLE AS level, count(*) FILTER (WHERE u >= qu) AS cells, round(count(*) FILTER (WHERE u >= qu AND c >= qc) * 1.0 / count(*) FILTER (WHERE u >= qu), 6) AS shared_with_coherent FROM v JOIN q ON v.support = q.support AND v.level = q.level GROUP BY ALL",
-)
-ORACLES["s4_direction"] = text(
-    STATS + f""", a AS (SELECT 'delta_theta_mu1_out' AS field, {apart('tm', 'th')} AS v FROM stats UNION ALL SELECT 'delta_theta_mu1_in', {apart('tmi', 'ti')} FROM stats UNION ALL SELECT 'delta_theta_io_1', {apart('th', 'ti')} FROM stats UNION ALL SELECT 'delta_theta_io_mu', {apart('tm', 'tmi')} FROM stats)""",
-    "SELECT field, count(v) AS cells, " + r6(q10="quantile_cont(v, 0.1)", q50="quantile_cont(v, 0.5)", q90="quantile_cont(v, 0.9)") + " FROM a WHERE v IS NOT NULL GROUP BY field",
-)
-_LABEL = "CASE WHEN r1 < 0.5 AND r1i < 0.5 THEN 'both_dispersed' WHEN r1 < 0.5 THEN 'outgoing_dispersed' WHEN r1i < 0.5 THEN 'incoming_dispersed' WHEN cos(radians(th - ti)) < -0.5 THEN 'reversal' WHEN cos(radians(th - ti)) < 0.5 THEN 'turn' ELSE 'aligned' END"
-ORACLES["s4_low_alignment"] = text(STATS, f"SELECT cell_id, {_LABEL} AS label, round(cos(radians(th - ti)), 6) AS \"A_io\" FROM sup WHERE cos(radians(th - ti)) < 0.5")
-ORACLES["s4_topk"] = text(STATS + f", l AS (SELECT cell_id, n_move, {_LABEL} AS label FROM sup WHERE th IS NOT NULL AND ti IS NOT NULL), p AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY n_move DESC, cell_id) AS place FROM l)", "SELECT label, place, cell_id FROM p WHERE place <= 3")
 ORACLES["plt_vector_stride"] = text(STATS, "SELECT cell_id, xb AS x_bin, yb AS y_bin, " + r6(D_out_all_x="coalesce(dxx, 0)", D_out_all_y="coalesce(dyy, 0)") + " FROM stats WHERE xb % 3 = 0 AND yb % 3 = 0 AND n_out > 0")
 ORACLES["plt_dateline_split"] = text(
     TRACKS + """, g AS (SELECT trajectory AS line, t, x * 3.0 - 360 * floor(x * 3.0 / 360) - 180 AS lon FROM tracks), c AS (SELECT line, t, CASE WHEN abs(lon - lag(lon) OVER (PARTITION BY line ORDER BY t)) > 180 THEN 1 ELSE 0 END AS cut FROM g),
 p AS (SELECT line, sum(cut) OVER (PARTITION BY line ORDER BY t ROWS UNBOUNDED PRECEDING) AS part FROM c)""",
     "SELECT line, part::BIGINT AS part, count(*) AS points FROM p GROUP BY line, part HAVING count(*) >= 2",
 )
-ORACLES["snk_public_names"] = text(STATS, "SELECT cell_id, " + r6(core_x="x", distance_mean_m="dist", U_out_all_magnitude_m_per_s="u * 1000") + " FROM stats")
 # Sides of a ridge: the bilinear value one cell to the left and right of a direction.
 _SIDE = """, {n} AS (SELECT cell_id, {v} AS v, 'left' AS side, xb - cos(radians({t})) AS gx, yb + sin(radians({t})) AS gy FROM {src} UNION ALL SELECT cell_id, {v}, 'right', xb + cos(radians({t})), yb - sin(radians({t})) FROM {src}),
 {n}_b AS (SELECT *, gx < -1e-10 OR gx > 11 + 1e-10 OR gy < -1e-10 OR gy > 9 + 1e-10 AS edge, least(greatest(gx, 0), 11) AS cx, least(greatest(gy, 0), 9) AS cy FROM {n}),
@@ -250,10 +235,6 @@ FCORE = (
 fboth AS (SELECT a.cell_id AS a, b.cell_id AS b FROM fcand a JOIN fcand b ON {_NEAR} AND a.cell_id <> b.cell_id), freach AS (SELECT cell_id AS v, cell_id AS w FROM fcand UNION SELECT r.v, e.b FROM freach r JOIN fboth e ON e.a = r.w),
 fcomp AS (SELECT v AS cell_id, min(w) AS component, dense_rank() OVER (ORDER BY min(w)) AS num FROM freach GROUP BY v)"""
 )
-ORACLES["grf_ranks"] = text(
-    FCORE + ", g AS (SELECT component, count(*) AS cells, sum(u) AS s, max(u) AS m FROM fcomp JOIN fcand USING (cell_id) GROUP BY component)",
-    "SELECT component, cells, rank() OVER (ORDER BY cells DESC) AS rank_cells, rank() OVER (ORDER BY s DESC) AS rank_strength, rank() OVER (ORDER BY m DESC) AS rank_peak FROM g",
-)
 ORACLES["grf_interruptions"] = text(
     FCORE, "SELECT f.cell_id FROM fcand f WHERE (SELECT count(*) FROM fboth e WHERE e.a = f.cell_id) = 1 AND EXISTS (SELECT 1 FROM (VALUES (-1), (0), (1)) p(i), (VALUES (-1), (0), (1)) q(j) WHERE f.xb + i BETWEEN 0 AND 11 AND f.yb + j BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM sup s WHERE s.xb = f.xb + i AND s.yb = f.yb + j))"
 )
@@ -295,8 +276,8 @@ quad AS (SELECT a.cell_id, a.sgn, a.core_u, b.k * 10.0 AS dist, (b.gx + 0.5) * 1
  FROM ok a JOIN ok b ON b.cell_id = a.cell_id AND b.sgn = a.sgn AND b.k = a.k + 1 LEFT JOIN ok c ON c.cell_id = a.cell_id AND c.sgn = a.sgn AND c.k = a.k + 2 LEFT JOIN ok d ON d.cell_id = a.cell_id AND d.sgn = a.sgn AND d.k = a.k + 3 AND c.cell_id IS NOT NULL),
 zv AS (SELECT *, CASE WHEN usec THEN am ELSE as_ END AS va, CASE WHEN usec THEN bm ELSE bs END AS vb, CASE WHEN usec THEN cm ELSE cs END AS vc, CASE WHEN usec THEN dm2 ELSE ds END AS vd, coalesce(dec >= 2 AND frac >= 0.5, FALSE) AS pers FROM quad),
 zone AS (SELECT *, va - vb AS dropped, coalesce(va - vb > 0 AND (coalesce(vc, vd) + coalesce(vd, vc)) / 2 <= (va + vb) / 2 + 1e-12 AND (bn < 2 OR pers), FALSE) AS elig FROM zv WHERE va IS NOT NULL AND vb IS NOT NULL),
-ranked AS (SELECT *, CASE WHEN sgn < 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN elig THEN row_number() OVER (PARTITION BY cell_id, sgn, elig ORDER BY pers DESC, round(dropped, 12) DESC, round(-dropped / 10.0, 12), dist) END AS rnk FROM zone)"""
-ORACLES["dfr_zones"] = text(ZONES, "SELECT cell_id, side, pers AS persistent, elig AS eligible, coalesce(rnk, 0) AS rank, " + r6(distance="dist", drop="dropped", relative_drop="dropped / core_u") + " FROM ranked")
+placed AS (SELECT *, CASE WHEN sgn < 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN elig THEN row_number() OVER (PARTITION BY cell_id, sgn, elig ORDER BY pers DESC, round(dropped, 12) DESC, round(-dropped / 10.0, 12), dist) END AS place FROM zone),
+ranked AS (SELECT *, CASE WHEN place = 1 THEN 1 END AS rnk FROM placed)"""
 ORACLES["dfr_fronts"] = text(
     ZONES + ", sides AS (SELECT c.*, s.side, NOT (missing_side = s.side OR missing_side = 'left_and_right') AS observable FROM core c, (VALUES ('left'), ('right')) s(side))",
     """SELECT s.cell_id, s.side, s.observable, r.cell_id IS NOT NULL AS front_detected, CASE WHEN NOT s.observable THEN 'side_not_observable' WHEN r.cell_id IS NOT NULL THEN 'probable_directional_front' ELSE 'observable_no_retained_directional_front' END AS front_status, """
@@ -341,13 +322,361 @@ ORACLES["geo_geodesic"] = text(
     f"""SELECT l.start_x_bin, l.start_y_bin, l.end_x_bin, l.end_y_bin, round(coalesce(g.dist, 0), 6) AS distance, round({_W.format('g.az')}, 6) AS theta_out, round({_W.format('g.bk')}, 6) AS theta_in_source
  FROM glinks l LEFT JOIN geo g ON g.ya = l.start_y_bin AND g.yb = l.end_y_bin AND g.dx = (l.end_x_bin - l.start_x_bin + 36) % 36 AND (l.start_x_bin <> l.end_x_bin OR l.start_y_bin <> l.end_y_bin)""",
 )
+
+# --- turns and identities
+
+
+def signed(a: str, b: str) -> str:
+    return f"(({a}) - ({b}) + 180 - 360 * floor((({a}) - ({b}) + 180) / 360) - 180)"
+
+
+ORACLES["dfr_zones"] = text(ZONES, "SELECT cell_id, side, pers AS persistent, elig AS eligible, coalesce(rnk, 0) AS rank, " + r6(distance="dist", drop="dropped", relative_drop="dropped / core_u") + " FROM ranked")
+ORACLES["s3_alignment"] = text(
+    _ANGLES + f", t AS (SELECT *, {signed('a', 'b')} AS d1, {signed('e', 'f')} AS dm FROM ang)",
+    "SELECT cell_id, " + r6(A_io="cos(radians(a - b))", A_io_mu="cos(radians(e - f))", delta_theta_io_1="d1", delta_theta_io_mu="dm", abs_delta_theta_io_1="abs(d1)", abs_delta_theta_io_mu="abs(dm)", abs_delta_theta_io_1_minus_mu=f"abs({signed('d1', 'dm')})") + " FROM t",
+)
+TURNS = STATS + f""", lim AS (SELECT quantile_cont(u, 0.95) AS q95, quantile_cont(u, 0.99) AS q99 FROM stats WHERE n_move > 0),
+turns AS (SELECT s.*, c.n_in_move, coalesce(s.n_move > 0 AND u >= q95, FALSE) AS strong, coalesce(s.n_move > 0 AND u >= q99, FALSE) AS top, u * r1 AS coh, cos(radians(th - ti)) AS aio, cos(radians(tm - tmi)) AS aiom, {signed('th', 'ti')} AS d1, {signed('tm', 'tmi')} AS dmu,
+ {apart('tm', 'th')} AS dmo, {apart('tmi', 'ti')} AS dmi, CASE WHEN o.s2 IS NOT NULL THEN least(1, sqrt(o.s2 * o.s2 + o.c2 * o.c2)) END AS r2, CASE WHEN i.s2 IS NOT NULL THEN least(1, sqrt(i.s2 * i.s2 + i.c2 * i.c2)) END AS r2i
+ FROM stats s JOIN counts c ON c.cell_id = s.cell_id LEFT JOIN outgoing o ON o.cell_id = s.cell_id LEFT JOIN incoming i ON i.cell_id = s.cell_id, lim),
+turned AS (SELECT *, abs(d1) AS ad1, abs(dmu) AS adm, abs({signed('d1', 'dmu')}) AS ad1m FROM turns)"""
+_JOINT = "n_move >= {0} AND n_in_move >= {0}"
+_JP, _JS = _JOINT.format(3), _JOINT.format(5)
+
+
+def tally(**named: str) -> str:
+    return ", ".join(f"count(*) FILTER (WHERE {v}) AS {k}" for k, v in named.items())
+
+
+ORACLES["s3_summary"] = text(
+    TURNS + f", pairs AS (SELECT aio, aiom, {_RANK.format('aio')} AS ra, {_RANK.format('aiom')} AS rb FROM turned WHERE {_JP} AND aio IS NOT NULL AND aiom IS NOT NULL)",
+    'SELECT count(r1i) AS "cells_with_R1_in", count(ti) AS cells_with_theta1_in, count(r2i) AS "cells_with_R2_in", count(CASE WHEN r2i > 1e-12 THEN 1 END) AS cells_with_theta2_in, count(r1i) AS "cells_with_H_in", count(tmi) AS cells_with_theta_mu_in, count(dmi) AS cells_with_delta_theta_mu1_in, count(aio) AS "cells_with_A_io", count(aiom) AS "cells_with_A_io_mu", '
+    + tally(incoming_primary="n_in_move >= 3", incoming_sensitivity="n_in_move >= 5", joint_primary=_JP, joint_sensitivity=_JS, strong_out_primary=f"strong AND r1 >= 0.5 AND {_JP}", strong_both_primary=f"strong AND r1 >= 0.5 AND r1i >= 0.5 AND {_JP}", strong_out_sensitivity=f"strong AND r1 >= 0.5 AND {_JS}", strong_both_sensitivity=f"strong AND r1 >= 0.5 AND r1i >= 0.5 AND {_JS}", strong_out_low_in_primary=f"strong AND r1 >= 0.5 AND r1i <= 0.3 AND {_JP}", strong_both_poor_primary=f"strong AND r1 >= 0.5 AND r1i >= 0.5 AND aio <= 0 AND {_JP}", both_poor_primary=f"r1 >= 0.5 AND r1i >= 0.5 AND aio <= 0 AND {_JP}", both_poor_sensitivity=f"r1 >= 0.5 AND r1i >= 0.5 AND aio <= 0 AND {_JS}")
+    + ", (SELECT round(quantile_cont(abs(aio - aiom), 0.5), 6) FROM pairs) AS median_alignment_difference, (SELECT round(quantile_cont(abs(aio - aiom), 0.95), 6) FROM pairs) AS q95_alignment_difference, (SELECT round(corr(ra, rb), 6) FROM pairs) AS spearman_alignments FROM turned",
+)
+ORACLES["s1_identities"] = text(STATS, "SELECT 0.0::DOUBLE AS x_residual, 0.0::DOUBLE AS y_residual, 0.0::DOUBLE AS \"retained_less_P_move\"")
+ORACLES["dirv_identities"] = text(
+    STATS, 'SELECT count(CASE WHEN n_move > 0 THEN 1 END) AS "cells_with_D_out_move", count(CASE WHEN n_out > 0 THEN 1 END) AS "cells_with_D_out_all", count(th) AS cells_with_defined_directional_bearing, ' + ", ".join(f'0.0::DOUBLE AS "{c}"' for c in ("D_out_all_x_residual", "D_out_all_y_residual", "D_out_move_less_R1", "D_out_all_less_P_move_R1", "D_out_move_bearing_residual", "D_out_all_bearing_residual")) + " FROM stats"
+)
+ORACLES["dirv_vectors"] = text(
+    STATS + ", dv AS (SELECT s.*, o.s1, o.c1 FROM stats s LEFT JOIN outgoing o ON o.cell_id = s.cell_id WHERE s.n_out > 0)",
+    "SELECT cell_id, " + r6(D_out_move_x="s1", D_out_move_y="c1", D_out_move_magnitude="sqrt(s1 * s1 + c1 * c1)", D_out_all_x="coalesce(dxx, 0)", D_out_all_y="coalesce(dyy, 0)", D_out_all_magnitude="coalesce(dm, 0)", U_coh_rate="u * r1 * 1000") + " FROM dv",
+)
+ORACLES["val_summary"] = text(LINKS, "SELECT count(*) AS links, sum(n)::BIGINT AS transitions, count(DISTINCT sid) AS sources, 0.0::DOUBLE AS largest_centre_residual, 0.0::DOUBLE AS largest_probability_residual, 0.0::DOUBLE AS largest_normalisation_residual FROM links")
+ORACLES["mat_guard"] = text(
+    _DIRTY,
+    "SELECT count(*) FILTER (WHERE trajectory IS NULL) AS null_identities, count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS not_finite, (SELECT sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM raw GROUP BY trajectory, t)) AS repeated_times, (SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY trajectory HAVING count(*) < 2)) AS short_tracks FROM raw",
+)
+_PUBLIC = {  # inner name: (Cartesian in m and s, geographic in km and day), fixed values
+    "start_x_bin": ("start_x_bin", "start_lon_bin"),
+    "x_bin": ("x_bin", "lon_bin"),
+    "core_x": ("core_x", "core_lon"),
+    "front_y": ("front_y", "front_lat"),
+    "centroid_x": ("centroid_x", "centroid_lon_circular"),
+    "x_span": ("x_span", "longitude_span_degrees"),
+    "U_out_all_x_rate": ("U_out_all_x_m_s", "U_out_all_east_km_day"),
+    "U_out_all_magnitude_rate": ("U_out_all_magnitude_m_s", "U_out_all_magnitude_km_day"),
+    "D_out_all_y": ("D_out_all_y", "D_out_all_north"),
+    "mu_in_x": ("mu_in_x", "mu_in_east"),
+    "distance_from_core_length": ("distance_from_core_m", "distance_from_core_km"),
+    "integrated_ridge_strength_area_rate": ("integrated_ridge_strength_m2_s", "integrated_ridge_strength_km2_day"),
+    "drop_slope_rate_per_length": ("drop_slope_m_s_per_m", "drop_slope_km_day_per_km"),
+    "U_inner": ("U_inner_m_s", "U_inner_km_day"),
+    "U_core": ("U_core_m_s", "U_core_km_day"),
+    "absolute_drop": ("absolute_drop_m_s", "absolute_drop_km_day"),
+    "absolute_directional_drop": ("absolute_directional_drop", "absolute_directional_drop"),
+    "profile_total_variation_raw": ("profile_total_variation_raw_m_s", "profile_total_variation_raw_km_day"),
+    "spearman_flux_loss_vs_abs_G_perp": ("spearman_flux_loss_vs_abs_G_perp", "spearman_flux_loss_vs_abs_G_perp"),
+    "abs_G_perp_at_flank": ("abs_G_perp_at_flank_m_s_per_m", "abs_G_perp_at_flank_km_day_per_km"),
+    "F_perp_gradient_at_flank": ("F_perp_gradient_at_flank", "F_perp_gradient_at_flank"),
+    "flank_to_core_abs_G_perp_ratio": ("flank_to_core_abs_G_perp_ratio", "flank_to_core_abs_G_perp_ratio"),
+    "grid_x_scale_length": ("grid_x_scale_m", "grid_zonal_scale_km"),
+    "S_flux": ("S_flux_m_s", "S_flux_km_day"),
+    "refined_core_x": ("refined_core_x", "refined_core_lon"),
+    "theta_mu_out": ("theta_mu_out", "theta_mu_out"),
+    "transverse_left_y": ("transverse_left_y", "transverse_left_lat"),
+}
+ORACLES["snk_public_names"] = 'SELECT * FROM (VALUES ' + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _PUBLIC.items()) + ') v(inner_, cartesian, geographic)'
+ORACLES["snk_public_names"] = ORACLES["snk_public_names"].replace("SELECT *", 'SELECT inner_ AS "inner", cartesian, geographic')
+ORACLES["ang_longitudes"] = text(
+    TRACKS + """, g AS (SELECT DISTINCT trajectory, (round(x * 3.0 - 360 * floor(x * 3.0 / 360) - 180, 3) + 360) % 360 AS lon FROM tracks), n AS (SELECT trajectory, lon, lead(lon) OVER (PARTITION BY trajectory ORDER BY lon) AS nxt, min(lon) OVER (PARTITION BY trajectory) + 360 AS wrap FROM g),
+spans AS (SELECT trajectory, 360 - max(coalesce(nxt, wrap) - lon) AS span FROM n GROUP BY trajectory), m AS (SELECT trajectory, degrees(atan2(avg(sin(radians(l))), avg(cos(radians(l))))) AS mean FROM (SELECT trajectory, round(x * 3.0 - 360 * floor(x * 3.0 / 360) - 180, 3) AS l FROM tracks) GROUP BY trajectory)""",
+    "SELECT trajectory, round(span, 6) AS span, round(mean, 6) AS mean FROM spans JOIN m USING (trajectory)",
+)
+ORACLES["plt_limits"] = text(TURNS, "SELECT 'R1_out' AS field, 0.0::DOUBLE AS low, round(quantile_cont(r1, 0.98), 6) AS high FROM turned UNION ALL SELECT 'delta_theta_io_1', round(-quantile_cont(abs(d1), 0.95), 6), round(quantile_cont(abs(d1), 0.95), 6) FROM turned")
+
+# --- the review
+
+_AT = "(VALUES (0.9), (0.95), (0.99)) l(level)"
+LEVELS = TURNS + f""", pop AS (SELECT v.support, l.level, t.* FROM turned t, (VALUES (3), (5)) v(support), {_AT} WHERE t.n_move >= v.support AND u IS NOT NULL AND coh IS NOT NULL),
+cuts AS (SELECT support, level, CASE level WHEN 0.9 THEN quantile_cont(u, 0.9) WHEN 0.95 THEN quantile_cont(u, 0.95) ELSE quantile_cont(u, 0.99) END AS qu, CASE level WHEN 0.9 THEN quantile_cont(coh, 0.9) WHEN 0.95 THEN quantile_cont(coh, 0.95) ELSE quantile_cont(coh, 0.99) END AS qc FROM pop GROUP BY support, level),
+lev AS (SELECT p.*, qu, qc, u >= qu AS inu, coh >= qc AS inc FROM pop p JOIN cuts c ON c.support = p.support AND c.level = p.level)"""
+ORACLES["s4_levels"] = text(
+    LEVELS,
+    "SELECT support::INTEGER AS support, level::DOUBLE AS level, count(*) AS population, "
+    + tally(flux_cells="inu", coherent_cells="inc", both="inu AND inc", either="inu OR inc")
+    + ", "
+    + r6(jaccard="count(*) FILTER (WHERE inu AND inc) * 1.0 / count(*) FILTER (WHERE inu OR inc)", flux_retained="count(*) FILTER (WHERE inu AND inc) * 1.0 / count(*) FILTER (WHERE inu)", coherent_retained="count(*) FILTER (WHERE inu AND inc) * 1.0 / count(*) FILTER (WHERE inc)", median_R1_flux="quantile_cont(r1, 0.5) FILTER (WHERE inu)", median_R1_removed="quantile_cont(r1, 0.5) FILTER (WHERE inu AND NOT inc)", flux_threshold="any_value(qu) * 1000", coherent_threshold="any_value(qc) * 1000")
+    + " FROM lev GROUP BY support, level",
+)
+_NEIGH = """, {name} AS (SELECT a.cell_id, avg(cos(radians(a.{t} - b.{t}))) AS c, count(*) AS n FROM turned a JOIN turned b ON abs(a.xb - b.xb) <= 1 AND abs(a.yb - b.yb) <= 1 AND a.cell_id <> b.cell_id WHERE a.{t} IS NOT NULL AND b.{t} IS NOT NULL AND a.{f} >= {k} AND b.{f} >= {k} GROUP BY a.cell_id)"""
+_KINDS = [(f"{side}_{kind}_{k}", t, f, k) for k in (3, 5) for side, f in (("out", "n_move"), ("in", "n_in_move")) for kind, t in (("1", "th" if side == "out" else "ti"), ("mu", "tm" if side == "out" else "tmi"))]
+REVIEWED = LEVELS + "".join(_NEIGH.format(name=f"nb_{n}", t=t, f=f, k=k) for n, t, f, k in _KINDS) + ", rev AS (SELECT t.*, " + ", ".join(f"nb_{n}.c AS c_{n}, coalesce(nb_{n}.n, 0) AS n_{n}" for n, *_ in _KINDS) + " FROM turned t " + " ".join(f"LEFT JOIN nb_{n} ON nb_{n}.cell_id = t.cell_id" for n, *_ in _KINDS) + ")"
+ORACLES["s4_fields"] = text(REVIEWED, "SELECT cell_id, strong, top, coalesce(ad1 >= 60, FALSE) AS substantial_turn_1, coalesce(adm >= 60, FALSE) AS substantial_turn_mu, " + ", ".join(f'n_{n} AS "N_neigh_{n}", round(c_{n}, 6) AS "C_neigh_{n}"' for n, *_ in _KINDS) + " FROM rev")
+_POPS = {"outgoing_primary": "n_move >= 3", "strong_out_primary": "strong AND r1 >= 0.5 AND n_move >= 3", "strong_through_primary": f"strong AND r1 >= 0.5 AND r1i >= 0.5 AND {_JP}", "outgoing_sensitivity": "n_move >= 5", "strong_out_sensitivity": "strong AND r1 >= 0.5 AND n_move >= 5", "strong_through_sensitivity": f"strong AND r1 >= 0.5 AND r1i >= 0.5 AND {_JS}"}
+_FIELDS = {"delta_theta_mu1_out": "dmo", "delta_theta_mu1_in": "dmi", "abs_delta_theta_io_1": "ad1", "abs_delta_theta_io_mu": "adm", "abs_delta_theta_io_1_minus_mu": "ad1m"}
+ORACLES["s4_direction"] = text(
+    TURNS,
+    " UNION ALL ".join(
+        f"SELECT '{p}' AS population, '{f}' AS field, count({v}) AS cells, count(*) FILTER (WHERE {v} >= 20) AS from_review, count(*) FILTER (WHERE {v} >= 60) AS from_substantial, " + r6(q0=f"quantile_cont({v}, 0.0)", q0_05=f"quantile_cont({v}, 0.05)", q0_5=f"quantile_cont({v}, 0.5)", q0_95=f"quantile_cont({v}, 0.95)", q0_99=f"quantile_cont({v}, 0.99)", q1=f"quantile_cont({v}, 1.0)") + f" FROM turned WHERE {w}"
+        for p, w in _POPS.items()
+        for f, v in _FIELDS.items()
+    ),
+)
+_PERS = "count(*) AS cells, count(c) AS with_neighbourhood, round(quantile_cont(c, 0.5), 6) AS median_consistency, round(avg(CASE WHEN c >= 0.3 THEN 1.0 ELSE 0.0 END), 6) AS consistent_fraction, round(quantile_cont(r1, 0.5), 6) AS \"median_R1\", round(quantile_cont(n, 0.5), 6) AS median_neighbours"
+ORACLES["s4_persistence"] = text(
+    REVIEWED + ", lp AS (SELECT l.support, l.level, l.inu, l.inc, l.r1, CASE l.support WHEN 3 THEN c_out_1_3 ELSE c_out_1_5 END AS c, CASE l.support WHEN 3 THEN n_out_1_3 ELSE n_out_1_5 END AS n FROM lev l JOIN rev r ON r.cell_id = l.cell_id), every AS (SELECT v.support, r1, CASE v.support WHEN 3 THEN c_out_1_3 ELSE c_out_1_5 END AS c, CASE v.support WHEN 3 THEN n_out_1_3 ELSE n_out_1_5 END AS n FROM rev, (VALUES (3), (5)) v(support) WHERE n_move >= v.support)",
+    f"SELECT support::INTEGER AS support, 'flux' AS field, level::DOUBLE AS level, {_PERS} FROM lp WHERE inu GROUP BY support, level UNION ALL SELECT support::INTEGER, 'coherent', level::DOUBLE, {_PERS} FROM lp WHERE inc GROUP BY support, level UNION ALL SELECT support::INTEGER, 'all', 0.0, {_PERS} FROM every GROUP BY support",
+)
+_CPLX = "coalesce((r1{0} BETWEEN 0.4 AND 0.85 AND r2{0} <= 0.3) OR (r1{0} <= 0.3 AND r2{0} >= 0.8), FALSE)"
+LOW = REVIEWED + f""", low0 AS (SELECT *, CASE WHEN ad1 IS NULL THEN adm WHEN adm IS NULL THEN ad1 ELSE greatest(ad1, adm) END AS turn, {_JP} AS joint, coalesce(r1 >= 0.5 AND r1i >= 0.5, FALSE) AS rel, coalesce(c_out_1_3 >= 0.3 AND c_in_1_3 >= 0.3, FALSE) AS spat, {_CPLX.format('')} AS cxo, {_CPLX.format('i')} AS cxi FROM rev),
+low1 AS (SELECT *, CASE WHEN NOT joint THEN 'insufficient_primary_joint_support' WHEN rel AND spat THEN CASE WHEN turn >= 150 THEN 'coherent_reversal_like_turning_geometry' ELSE 'coherent_turning_geometry' END WHEN cxo OR cxi THEN 'possible_split_merge_or_axial_geometry' WHEN r1 < 0.5 OR r1i < 0.5 THEN 'directionally_ambiguous_turning' ELSE 'supported_unresolved_turning_geometry' END AS interpretation FROM low0 WHERE turn >= 90)"""
+ORACLES["s4_low_alignment"] = text(LOW, "SELECT cell_id, interpretation, joint AS joint_support, rel AS reliable, spat AS spatially_persistent, cxo AS complex_out, cxi AS complex_in, round(turn, 6) AS turn, round(aio, 6) AS \"A_io\" FROM low1")
+ORACLES["s4_interpretations"] = text(LOW, f"SELECT interpretation, count(*) AS cells, count(*) FILTER (WHERE {_JP}) AS cells_primary, count(*) FILTER (WHERE {_JS}) AS cells_sensitivity FROM low1 GROUP BY interpretation")
+ORACLES["s4_topk"] = text(
+    LOW + """, at95 AS (SELECT r.*, coalesce(l.inu, FALSE) AS inu, coalesce(l.inc, FALSE) AS inc, coalesce(r.strong AND r.r1 >= 0.5 AND r.n_move >= 3, FALSE) AS st FROM rev r LEFT JOIN lev l ON l.cell_id = r.cell_id AND l.support = 3 AND l.level = 0.95),
+pools AS (SELECT 'flux_backbone_stable_under_coherence_weighting' AS category, cell_id, u, u AS score, inc AS inside FROM at95 WHERE inu UNION ALL SELECT 'coherence_weighting_suppresses_flux_cell', cell_id, u, u * (1 - r1), NOT inc FROM at95 WHERE inu UNION ALL SELECT 'strong_direction_convention_disagreement', cell_id, u, u * dmo, coalesce(dmo >= 20, FALSE) FROM at95 WHERE st),
+chosen AS (SELECT *, NOT bool_or(inside) OVER (PARTITION BY category) AS fallback FROM pools), every_ AS (SELECT category, cell_id, u, score, fallback FROM chosen WHERE inside OR fallback UNION ALL SELECT 'low_alignment_' || interpretation, cell_id, u, u, FALSE FROM low1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, u DESC NULLS LAST, cell_id) AS place FROM every_)""",
+    "SELECT category, place, cell_id, fallback, round(score * 1000, 6) AS score FROM numbered WHERE place <= 3",
+)
+_S4 = lambda k, j: (
+    f"SELECT {k}::INTEGER AS support, "
+    + tally(strong_reliable_out=f"n_move >= {k} AND r1 >= 0.5 AND strong", strong_from_review=f"n_move >= {k} AND r1 >= 0.5 AND strong AND dmo >= 20", strong_reliable_through=f"{j} AND r1 >= 0.5 AND strong AND r1i >= 0.5", strong_through_substantial=f"{j} AND r1 >= 0.5 AND strong AND r1i >= 0.5 AND ad1 >= 60", joint_cells=j)
+    + ", "
+    + tally(**{n: f"{j} AND r1 >= 0.5 AND r1i >= 0.5 AND c_out_1_{k} >= 0.3 AND c_in_1_{k} >= 0.3 AND {w}" for n, w in (("persistent_through", "TRUE"), ("persistent_substantial", "ad1 >= 60"), ("persistent_low_alignment", "ad1 >= 90"), ("persistent_reversal", "ad1 >= 150"))}, low_alignment_cells=f"{j} AND (ad1 >= 90 OR adm >= 90)")
+    + f", round(quantile_cont(r1, 0.5) FILTER (WHERE n_move >= {k}), 6) AS \"median_R1_out\", round(quantile_cont(dmo, 0.5) FILTER (WHERE n_move >= {k} AND r1 >= 0.5 AND strong), 6) AS strong_median_difference, round(quantile_cont(dmo, 0.95) FILTER (WHERE n_move >= {k} AND r1 >= 0.5 AND strong), 6) AS strong_q95_difference, 0.0::DOUBLE AS \"A_io_residual\", 0.0::DOUBLE AS \"A_io_mu_residual\", (SELECT round(corr(ra, rb), 6) FROM (SELECT {_RANK.format('u')} AS ra, {_RANK.format('coh')} AS rb FROM rev WHERE n_move >= {k} AND u IS NOT NULL AND coh IS NOT NULL)) AS spearman_flux_coherent FROM rev"
+)
+ORACLES["s4_summary"] = text(REVIEWED, _S4(3, _JP) + " UNION ALL " + _S4(5, _JS))
+
+# --- components, summaries of the directional pathway
+
+_MED = "quantile_cont({0}, 0.5)"
 ORACLES["dcr_components"] = text(
-    COMP + ", e AS (SELECT c.component, count(*) AS edges, sum(len) AS len FROM edges x JOIN comp c ON c.cell_id = x.a GROUP BY c.component), g AS (SELECT component, count(*) AS cells, sum(n_move)::BIGINT AS transitions, sum(dm) AS s, quantile_cont(dm, 0.5) AS md, sqrt(pow(avg(sin(radians(th))), 2) + pow(avg(cos(radians(th))), 2)) AS dc FROM comp JOIN cand USING (cell_id) GROUP BY component)",
-    "SELECT g.component, cells, coalesce(edges, 0)::BIGINT AS edges, transitions, rank() OVER (ORDER BY cells DESC) AS rank_cells, " + r6(strength="s", median_strength="md", direction_concentration="dc", edge_length="coalesce(len, 0)") + " FROM g LEFT JOIN e ON e.component = g.component",
+    COMP + """, deg AS (SELECT c.cell_id, c.component, (SELECT count(*) FROM twoway e WHERE e.a = c.cell_id) AS d FROM comp c), e AS (SELECT c.component, count(*) AS edges, sum(len) AS len, avg(dd) AS mdd, max(dd) AS ldd, avg(greatest(ma, mb)) AS msm, max(greatest(ma, mb)) AS lsm FROM edges x JOIN comp c ON c.cell_id = x.a GROUP BY c.component),
+g AS (SELECT component, count(*) AS cells, sum(n_move)::BIGINT AS transitions, count(*) FILTER (WHERE d = 1) AS endpoints, count(*) FILTER (WHERE d >= 3) AS junctions, sum(dm) AS s, avg(dm) AS ms, quantile_cont(dm, 0.5) AS md, sqrt(pow(avg(sin(radians(th))), 2) + pow(avg(cos(radians(th))), 2)) AS dc, max(x) - min(x) AS xs, max(y) - min(y) AS ys, avg(x) AS cx, avg(y) AS cy, avg(pm) AS mp, quantile_cont(pm, 0.5) AS qp, avg(r1) AS mr, quantile_cont(r1, 0.5) AS qr FROM deg JOIN cand USING (cell_id) GROUP BY component)""",
+    "SELECT g.component, cells, coalesce(edges, 0)::BIGINT AS edges, transitions, endpoints, junctions, rank() OVER (ORDER BY cells DESC) AS rank_cells, rank() OVER (ORDER BY round(coalesce(len, 0), 9) DESC) AS rank_length, rank() OVER (ORDER BY md DESC) AS rank_median_strength, "
+    + r6(strength="s", mean_strength="ms", median_strength="md", direction_concentration="dc", edge_length="coalesce(len, 0)", x_span="xs", y_span="ys", centroid_x="cx", centroid_y="cy", mean_P_move="mp", median_P_move="qp", mean_R1_out="mr", median_R1_out="qr", mean_direction_difference="mdd", largest_direction_difference="ldd", mean_step_mismatch="msm", largest_step_mismatch="lsm")
+    + " FROM g LEFT JOIN e ON e.component = g.component",
 )
+
+
+def deciles(value: str, name: str) -> dict[str, str]:
+    return {f"{name}_q{int(100 * q)}": f"quantile_cont({value}, {q})" for q in (0.1, 0.5, 0.9)}
+
+
+ORACLES["dcr_summary"] = text(
+    COMP + ", sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component), one AS (SELECT count(*) AS supported_cells, " + r6(**deciles("pm", "supported_P_move"), **deciles("r1", "supported_R1"), **deciles("dm", "supported_strength")) + " FROM sup), two AS (SELECT sum(n)::BIGINT AS candidate_cells, count(*) AS candidate_components, " + r6(**deciles("n", "component_cells")) + " FROM sizes)",
+    "SELECT * FROM one, two",
+)
+ORACLES["dco_summary"] = text(
+    DCORE + f""", types AS (SELECT {_TYPE.format('CASE WHEN lv IS NULL AND rv IS NULL THEN ' + chr(39) + 'not_evaluable' + chr(39) + ' ELSE ' + chr(39) + 'not_ridge' + chr(39) + ' END')} AS t FROM dr_r), one AS (SELECT count(*) AS candidate_cells, {tally(two_sided_cells="t = 'two_sided'", one_sided_cells="t = 'one_sided'", not_ridge_cells="t = 'not_ridge'", not_evaluable_cells="t = 'not_evaluable'", raw_ridge_cells="t IN ('two_sided', 'one_sided')", plateau_groups="t IN ('two_sided', 'one_sided')", plateau_representatives="t IN ('two_sided', 'one_sided')")} FROM types),
+two AS (SELECT count(*) FILTER (WHERE size >= 3) AS core_cells, count(*) FILTER (WHERE size < 3) AS discarded_cells, {r6(**deciles("CASE WHEN size >= 3 THEN dm END", "core_strength"))} FROM dcomp JOIN sup USING (cell_id)), parts AS (SELECT component, count(*) AS n FROM dcomp GROUP BY component),
+three AS (SELECT count(*) FILTER (WHERE n >= 3) AS core_components, count(*) FILTER (WHERE n < 3) AS discarded_components, {r6(**deciles("CASE WHEN n >= 3 THEN n END", "component_cells"))} FROM parts)""",
+    "SELECT * FROM one, two, three",
+)
+_DFLAGS = """[CASE WHEN count(*) FILTER (WHERE u IS NULL AND NOT edge) > 0 THEN 'unsupported_transverse_sample' END, CASE WHEN bool_or(edge) THEN 'domain_boundary' END, CASE WHEN max(missing_side) IN ('left', 'left_and_right') THEN 'left_side_not_observable' END, CASE WHEN max(missing_side) IN ('right', 'left_and_right') THEN 'right_side_not_observable' END,
+ CASE WHEN coalesce(abs(max(core_i)) = 1, TRUE) THEN 'axis_location_uncertain' END, CASE WHEN max(deg) >= 3 THEN 'directional_core_graph_junction' END, CASE WHEN max(deg) = 1 THEN 'directional_core_graph_endpoint' END, CASE WHEN count(u) < 7 THEN 'short_available_cross_section' END]"""
+_DTV = PROFILES + ", tv AS (SELECT s.*, abs(u - lag(u) OVER w) AS st, abs(us - lag(us) OVER w) AS ss, (SELECT count(*) FROM cedge e WHERE e.a = s.cell_id) AS deg FROM smooth s WINDOW w AS (PARTITION BY s.cell_id ORDER BY i))"
 ORACLES["sec_summaries"] = text(
-    PROFILES + ", tv AS (SELECT *, abs(u - lag(u) OVER (PARTITION BY cell_id ORDER BY i)) AS st FROM smooth)",
-    """SELECT 'cell' || lpad(CAST(cell_id AS VARCHAR), 5, '0') AS section, count(u) AS valid_samples, count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 AS opposing_outer_flow,
- array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE u IS NULL AND NOT edge) > 0 THEN 'unsupported_transverse_sample' END, CASE WHEN bool_or(edge) THEN 'domain_boundary' END, CASE WHEN max(missing_side) IN ('left', 'left_and_right') THEN 'left_flank_not_observable' END, CASE WHEN max(missing_side) IN ('right', 'left_and_right') THEN 'right_flank_not_observable' END,
- CASE WHEN coalesce(abs(max(core_i)) = 1, TRUE) THEN 'core_location_uncertain' END, CASE WHEN count(u) < 7 THEN 'short_available_cross_section' END, CASE WHEN count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 THEN 'opposing_outer_flux' END], lambda v: v IS NOT NULL), ';') AS quality_flags, round(coalesce(sum(st), 0), 6) AS total_variation FROM tv GROUP BY cell_id""",
+    _DTV,
+    f"""SELECT 'cell' || lpad(CAST(cell_id AS VARCHAR), 5, '0') AS section, count(u) AS valid_samples, count(*) FILTER (WHERE u IS NULL AND NOT edge) AS unsupported_samples, count(*) FILTER (WHERE edge) AS boundary_samples, count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 AS opposing_outer_flow,
+ array_to_string(list_filter({_DFLAGS}, lambda v: v IS NOT NULL), ';') AS quality_flags, round(coalesce(sum(st), 0), 6) AS total_variation, round(coalesce(sum(ss), 0), 6) AS total_variation_smoothed FROM tv GROUP BY cell_id""",
+)
+_DSIDES = ZONES + ", sides AS (SELECT c.*, s.side, NOT (missing_side = s.side OR missing_side = 'left_and_right') AS observable FROM core c, (VALUES ('left'), ('right')) s(side)), dfr AS (SELECT s.cell_id, s.side, s.observable, r.dist, r.dropped, r.dropped / r.core_u AS rel, r.cell_id IS NOT NULL AS hit FROM sides s LEFT JOIN ranked r ON r.cell_id = s.cell_id AND r.side = s.side AND r.rnk = 1)"
+ORACLES["dfr_summary"] = text(
+    _DSIDES + ", per AS (SELECT cell_id, count(*) FILTER (WHERE observable AND hit) AS k FROM dfr GROUP BY cell_id), shape AS (SELECT cell_id, count(u) AS valid, count(*) FILTER (WHERE u IS NULL AND NOT edge) AS lost, count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) AS against FROM smooth GROUP BY cell_id), "
+    + "one AS (SELECT count(*) AS sections, " + tally(sections_with_two_fronts="k = 2", sections_with_one_front="k = 1", sections_without_front="k = 0", sections_with_missing_support="lost > 0", short_sections="valid < 7", sections_with_opposing_outer_signal="against > 0") + " FROM per JOIN shape USING (cell_id)), two AS (SELECT " + tally(fronts="observable AND hit", observable_sides_without_front="observable AND NOT hit", unobservable_sides="NOT observable") + ", "
+    + r6(**deciles("CASE WHEN observable THEN dist END", "distance"), **deciles("CASE WHEN observable THEN dropped END", "drop"), **deciles("CASE WHEN observable THEN rel END", "relative_drop")) + " FROM dfr)",
+    "SELECT * FROM one, two",
+)
+
+# --- the flux pathway: ordered segments by a recursive walk
+
+SEG_CTES = f""", fdeg AS (SELECT f.cell_id, (SELECT count(*) FROM fboth e WHERE e.a = f.cell_id) AS deg FROM fcand f),
+walk AS (SELECT e.a AS s, e.b AS n1, e.a AS prev, e.b AS cur, 1 AS k FROM fboth e JOIN fdeg d ON d.cell_id = e.a WHERE d.deg <> 2 UNION ALL SELECT w.s, w.n1, w.cur, e.b, w.k + 1 FROM walk w JOIN fdeg d ON d.cell_id = w.cur AND d.deg = 2 JOIN fboth e ON e.a = w.cur AND e.b <> w.prev),
+paths AS (SELECT w.s, w.n1, w.k AS len FROM walk w JOIN fdeg d ON d.cell_id = w.cur WHERE d.deg <> 2 AND (w.s < w.cur OR (w.s = w.cur AND w.n1 <= w.prev))),
+rings AS (SELECT component, min(cell_id) AS a FROM fcomp JOIN fdeg USING (cell_id) GROUP BY component HAVING min(deg) = 2 AND max(deg) = 2),
+ring AS (SELECT r.a, r.a AS prev, (SELECT min(e.b) FROM fboth e WHERE e.a = r.a) AS cur, 1 AS k FROM rings r UNION ALL SELECT r.a, r.cur, e.b, r.k + 1 FROM ring r JOIN fboth e ON e.a = r.cur AND e.b <> r.prev WHERE e.b <> r.a),
+places AS (SELECT p.s, p.n1, 0 AS k, p.s AS cell_id, FALSE AS closed FROM paths p UNION ALL SELECT w.s, w.n1, w.k, w.cur, FALSE FROM walk w JOIN paths p ON p.s = w.s AND p.n1 = w.n1 UNION ALL SELECT a, a, 0, a, TRUE FROM rings UNION ALL SELECT a, a, k, cur, TRUE FROM ring UNION ALL SELECT cell_id, cell_id, 0, cell_id, FALSE FROM fdeg WHERE deg = 0),
+numbered AS (SELECT c.component, c.num, dense_rank() OVER (PARTITION BY c.component ORDER BY p.s, p.n1) - 1 AS segment, p.k, p.cell_id, p.closed FROM places p JOIN fcomp c ON c.cell_id = p.s),
+around_ AS (SELECT n.*, f.x, f.y, f.tm, f.u, count(*) OVER seg AS m, lag(f.x) OVER line AS px, lag(f.y) OVER line AS py, lead(f.x) OVER line AS nx, lead(f.y) OVER line AS ny, lead(f.u) OVER line AS nu, first_value(f.x) OVER seg_all AS fx, first_value(f.y) OVER seg_all AS fy, first_value(f.u) OVER seg_all AS fu, last_value(f.x) OVER seg_all AS lx, last_value(f.y) OVER seg_all AS ly
+ FROM numbered n JOIN fcand f ON f.cell_id = n.cell_id WINDOW seg AS (PARTITION BY n.component, n.segment), line AS (PARTITION BY n.component, n.segment ORDER BY n.k), seg_all AS (PARTITION BY n.component, n.segment ORDER BY n.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+linked AS (SELECT *, coalesce(px, CASE WHEN closed AND m > 2 THEN lx END, x) AS ax, coalesce(py, CASE WHEN closed AND m > 2 THEN ly END, y) AS ay, coalesce(nx, CASE WHEN closed AND m > 2 THEN fx END) AS bx, coalesce(ny, CASE WHEN closed AND m > 2 THEN fy END) AS by_, coalesce(nu, CASE WHEN closed AND m > 2 THEN fu END) AS bu FROM around_),
+tangents AS (SELECT *, CASE WHEN m > 1 THEN {bearing('coalesce(bx, x) - ax', 'coalesce(by_, y) - ay')} END AS t0, sqrt(pow(bx - x, 2) + pow(by_ - y, 2)) AS edge_len FROM linked),
+facing AS (SELECT *, coalesce(sum(cos(radians(tm - t0))) OVER (PARTITION BY component, segment) < 0, FALSE) AS rev FROM tangents),
+seg AS (SELECT component, num, segment, CASE WHEN rev THEN m - 1 - k ELSE k END AS sequence, cell_id, closed, CASE WHEN rev THEN (t0 + 180) - 360 * floor((t0 + 180) / 360) ELSE t0 END AS tangent, tm, edge_len, (u + bu) / 2 * edge_len AS strength FROM facing),
+segm AS (SELECT *, {apart('tm', 'tangent')} AS mismatch FROM seg),
+segt AS (SELECT *, {apart('nt', 'tangent')} AS turn FROM (SELECT *, coalesce(lead(tangent) OVER w, CASE WHEN closed THEN first_value(tangent) OVER w END) AS nt FROM segm WINDOW w AS (PARTITION BY component, segment ORDER BY sequence))),
+segs_ AS (SELECT component, segment, any_value(closed) AS closed, count(*) AS n, coalesce(sum(edge_len), 0) AS length, coalesce(sum(strength), 0) AS strength, coalesce(sum(turn), 0) AS turn, coalesce(max(turn), 0) AS lturn FROM segt GROUP BY component, segment)"""
+SEGMENTS = FCORE + SEG_CTES
+ORACLES["grf_segments"] = text(SEGMENTS, "SELECT component, segment::INTEGER AS segment, sequence::INTEGER AS sequence, cell_id, closed, " + r6(tangent="tangent", mismatch="mismatch", edge_length="edge_len") + " FROM segm")
+_CELL = f"""fcell AS (SELECT f.cell_id, f.ridge_type, f.x, f.y, s.u, s.r1, s.r1i, s.n_move, c.n_in_move, CASE WHEN o.s2 IS NOT NULL THEN least(1, sqrt(o.s2 * o.s2 + o.c2 * o.c2)) END AS r2, {apart('s.tm', 's.th')} AS dmo, {apart('s.th', 's.ti')} AS ad1, {apart('s.tm', 's.tmi')} AS adm, r.v - (r.lv + r.rv) / 2 AS cperp, CASE WHEN (r.lv IS NULL) <> (r.rv IS NULL) THEN r.v - coalesce(r.lv, r.rv) END AS cone,
+ coalesce(s.r1 >= 0.8, FALSE) AND coalesce({apart('s.tm', 's.th')} <= 20, FALSE) AND s.tm IS NOT NULL AS reliable, coalesce(s.r1 < 0.5, FALSE) OR s.tm IS NULL AS ambiguous, d.deg FROM fcand f JOIN sup s ON s.cell_id = f.cell_id JOIN counts c ON c.cell_id = f.cell_id LEFT JOIN outgoing o ON o.cell_id = f.cell_id JOIN fl_r r ON r.cell_id = f.cell_id JOIN fdeg d ON d.cell_id = f.cell_id)"""
+ORACLES["grf_segment_stats"] = text(
+    SEGMENTS + ", " + _CELL,
+    "SELECT t.component, t.segment::INTEGER AS segment, any_value(t.closed) AS closed, count(DISTINCT t.cell_id) AS cells, (CASE WHEN bool_or(t.closed) THEN 0 ELSE least(2, count(*)) END)::BIGINT AS endpoints, count(*) FILTER (WHERE (t.sequence = 0 OR t.sequence = g.n - 1) AND f.deg >= 3) AS junction_endpoints, "
+    + tally(abrupt_mismatches="t.mismatch >= 45", two_sided_cells="f.ridge_type = 'two_sided'", one_sided_cells="f.ridge_type = 'one_sided'", orientation_reliable_cells="f.reliable", orientation_ambiguous_cells="f.ambiguous")
+    + ', min(f.n_move)::BIGINT AS "minimum_N_out_move", '
+    + r6(length="any_value(g.length)", total_turn="any_value(g.turn)", largest_turn="any_value(g.lturn)", mean_mismatch="avg(t.mismatch)", median_mismatch="quantile_cont(t.mismatch, 0.5)", largest_mismatch="max(t.mismatch)", x_span="max(f.x) - min(f.x)", y_span="max(f.y) - min(f.y)", mean_R1_out="avg(f.r1)", mean_N_out_move="avg(f.n_move)", integrated_strength="any_value(g.strength) * 1000")
+    + " FROM segt t JOIN fcell f ON f.cell_id = t.cell_id JOIN segs_ g ON g.component = t.component AND g.segment = t.segment GROUP BY t.component, t.segment",
+)
+_BROKEN = "EXISTS (SELECT 1 FROM (VALUES (-1), (0), (1)) p(i), (VALUES (-1), (0), (1)) q(j) WHERE f.xb + i BETWEEN 0 AND 11 AND f.yb + j BETWEEN 0 AND 9 AND NOT EXISTS (SELECT 1 FROM sup s WHERE s.xb = f.xb + i AND s.yb = f.yb + j))"
+ORACLES["grf_component_stats"] = text(
+    SEGMENTS + ", " + _CELL + f""", gone AS (SELECT f.cell_id FROM fcand f JOIN fdeg d ON d.cell_id = f.cell_id WHERE d.deg = 1 AND {_BROKEN}),
+per_seg AS (SELECT component, count(*) AS segments, sum(length) AS length, sum(strength) AS strength, sum(turn) AS turn, max(lturn) AS lturn FROM segs_ GROUP BY component), per_member AS (SELECT component, avg(mismatch) AS mm, quantile_cont(mismatch, 0.5) AS dm_, max(mismatch) AS lm, count(*) FILTER (WHERE mismatch >= 45) AS abrupt FROM segm GROUP BY component),
+per_cell AS (SELECT k.component, count(*) AS cells, {tally(endpoints="deg = 1", junctions="deg >= 3", two_sided_cells="ridge_type = 'two_sided'", one_sided_cells="ridge_type = 'one_sided'", unsupported_interruptions="cell_id IN (SELECT cell_id FROM gone)")}, CASE WHEN bool_or(deg = 0) THEN 'isolated_cell' WHEN bool_or(deg >= 3) THEN 'junction_network' WHEN min(deg) = 2 THEN 'loop' ELSE 'simple_path' END AS component_class, min(n_move) AS minn, avg(u) AS mu, quantile_cont(u, 0.5) AS du, max(u) AS lu, avg(cperp) AS mc, quantile_cont(cperp, 0.5) AS dc, avg(cone) AS mo, quantile_cont(cone, 0.5) AS dono, avg(cperp / u) AS mcn, max(x) - min(x) AS xs, max(y) - min(y) AS ys, avg(x) AS cx, avg(y) AS cy, avg(r1) AS mr, quantile_cont(r1, 0.5) AS dr, avg(r2) AS mr2, avg(dmo) AS mdmo, avg(n_move) AS mn, avg(r1i) AS mri, avg(n_in_move) AS mni, avg(ad1) AS mad1, avg(adm) AS madm FROM fcell JOIN fcomp k USING (cell_id) GROUP BY k.component)""",
+    'SELECT c.component, component_class, cells, segments, endpoints, junctions, unsupported_interruptions, abrupt AS abrupt_mismatches, two_sided_cells, one_sided_cells, minn::BIGINT AS "minimum_N_out_move", rank() OVER (ORDER BY round(length, 9) DESC) AS rank_length, rank() OVER (ORDER BY du DESC) AS rank_median_flux, rank() OVER (ORDER BY strength DESC) AS rank_integrated_strength, rank() OVER (ORDER BY dc DESC NULLS LAST) AS rank_median_contrast, rank() OVER (ORDER BY minn DESC) AS rank_minimum_support, '
+    + r6(length="length", total_turn="turn", largest_turn="lturn", mean_mismatch="mm", median_mismatch="dm_", largest_mismatch="lm", x_span="xs", y_span="ys", centroid_x="cx", centroid_y="cy", mean_C_perp_normalized="mcn", mean_R1_out="mr", median_R1_out="dr", mean_R2_out="mr2", mean_delta_theta_mu1_out="mdmo", mean_N_out_move="mn", mean_R1_in="mri", mean_N_in_move="mni", mean_abs_delta_theta_io_1="mad1", mean_abs_delta_theta_io_mu="madm", mean_U_out_all_magnitude_rate="mu * 1000", median_U_out_all_magnitude_rate="du * 1000", maximum_U_out_all_magnitude_rate="lu * 1000", mean_C_perp="mc * 1000", median_C_perp="dc * 1000", mean_C_perp_one_sided="mo * 1000", median_C_perp_one_sided="dono * 1000", integrated_strength="strength * 1000")
+    + " FROM per_cell c JOIN per_seg USING (component) JOIN per_member USING (component)",
+)
+
+# --- sections along segments
+
+_FLUX_N = FPROFILES.replace("AS vy FROM", "AS vy, CASE WHEN count(s.n_move) = count(*) THEN sum(w * s.n_move) END AS vn FROM", 1).replace("AS u FROM spots_b", "AS u, v.vn FROM spots_b", 1)
+SECTIONS = (
+    _FLUX_N
+    + SEG_CTES
+    + """, fsm AS (SELECT s.*, CASE WHEN u IS NOT NULL THEN (SELECT quantile_cont(o.u, 0.5) FROM prof o WHERE o.cell_id = s.cell_id AND o.u IS NOT NULL AND abs(o.i - s.i) <= 1) END AS us FROM seen s),
+secs AS (SELECT component, segment, sequence, cell_id, printf('component_%04d_segment_%05d_seq%04d', num, segment, sequence) AS section FROM seg),
+sec AS (SELECT g.component, g.segment, g.sequence, g.section, m.* EXCLUDE (missing_side), m.missing_side FROM secs g JOIN fsm m ON m.cell_id = g.cell_id),
+near AS (SELECT a.section, b.section AS other FROM secs a JOIN secs b ON a.component = b.component AND a.segment = b.segment AND abs(a.sequence - b.sequence) <= 2),
+inward AS (SELECT a.section, a.step, a.u, b.u AS ui FROM sec a LEFT JOIN sec b ON b.section = a.section AND b.step = a.step - sign(a.step) AND a.step <> 0),
+fcs AS (SELECT h.section, o.step, quantile_cont(o.u, 0.5) AS med, quantile_cont(o.u, 0.25) AS q25, quantile_cont(o.u, 0.75) AS q75, count(o.u) AS n, count(*) FILTER (WHERE o.ui > o.u) AS dec, count(*) FILTER (WHERE o.ui IS NOT NULL AND o.u IS NOT NULL) AS votes FROM near h JOIN inward o ON o.section = h.other WHERE o.step IS NOT NULL GROUP BY h.section, o.step),
+frow AS (SELECT s.*, c.med, c.q25, c.q75, coalesce(c.n, 0) AS n, CASE WHEN c.votes > 0 THEN c.dec END AS dec, CASE WHEN c.votes > 0 THEN c.dec * 1.0 / c.votes END AS frac, max(abs(s.u)) OVER (PARTITION BY s.section) AS big FROM sec s LEFT JOIN fcs c ON c.section = s.section AND c.step = s.step),
+fok AS (SELECT f.*, d.want, row_number() OVER (PARTITION BY f.section, d.want ORDER BY abs(f.step)) AS r, row_number() OVER (PARTITION BY f.section, d.want ORDER BY abs(f.step) DESC) AS rback FROM frow f JOIN (VALUES ('left'), ('right')) d(want) ON f.side = 'core' OR f.side = d.want WHERE f.u IS NOT NULL AND f.step IS NOT NULL AND NOT (f.missing_side = d.want OR f.missing_side = 'left_and_right')),
+fquad AS (SELECT a.section, a.cell_id, a.want AS side, a.core_u, a.big, abs(b.step) * 10.0 AS dist, (abs(b.step) - abs(a.step)) * 10.0 AS width, (b.gx + 0.5) * 10.0 AS fx, (b.gy + 0.5) * 10.0 AS fy, least(a.n, b.n) AS nn, least(a.n, b.n) >= 2 AS usec, CASE WHEN least(a.n, b.n) >= 2 THEN a.med ELSE a.us END AS va, CASE WHEN least(a.n, b.n) >= 2 THEN b.med ELSE b.us END AS vb, CASE WHEN least(a.n, b.n) >= 2 THEN c.med ELSE c.us END AS vc, CASE WHEN least(a.n, b.n) >= 2 THEN d.med ELSE d.us END AS vd, b.n AS bn, coalesce(b.dec >= 2 AND b.frac >= 0.5, FALSE) AS pers, least(a.vn, b.vn) AS minn
+ FROM fok a JOIN fok b ON b.section = a.section AND b.want = a.want AND b.r = a.r + 1 LEFT JOIN fok c ON c.section = a.section AND c.want = a.want AND c.r = a.r + 2 LEFT JOIN fok d ON d.section = a.section AND d.want = a.want AND d.r = a.r + 3),
+fzone AS (SELECT *, va - vb AS dropped, coalesce(va - vb > 0 AND (coalesce(vc, vd) + coalesce(vd, vc)) / 2 <= (va + vb) / 2 + 1e-12 * big AND (bn < 2 OR pers), FALSE) AS elig FROM fquad WHERE va IS NOT NULL AND vb IS NOT NULL),
+franked AS (SELECT *, CASE WHEN elig THEN row_number() OVER (PARTITION BY section, side, elig ORDER BY pers DESC, round(dropped / big, 12) DESC, round(-dropped / big / (width / 10.0), 12), dist) END AS rnk FROM fzone)"""
+)
+ORACLES["cmpx_composite"] = text(SECTIONS, "SELECT section, step::INTEGER AS step, n AS n_composite, " + r6(u_composite="med * 1000", u_q25="q25 * 1000", u_q75="q75 * 1000") + " FROM frow WHERE step IS NOT NULL")
+ORACLES["cmpx_votes"] = text(SECTIONS, "SELECT section, step::INTEGER AS step, dec AS n_decline, round(frac, 6) AS fraction_decline FROM frow WHERE dec IS NOT NULL")
+ORACLES["cmpx_span"] = text(
+    SECTIONS,
+    "SELECT n.section, count(*) AS neighbour_sections, (SELECT max(f.n) FROM frow f WHERE f.section = n.section) AS n_neighbours, round(max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS composite_span FROM near n JOIN secs p ON p.section = n.section JOIN fcand a ON a.cell_id = p.cell_id JOIN secs o ON o.section = n.other JOIN fcand b ON b.cell_id = o.cell_id GROUP BY n.section",
+)
+ORACLES["drp_zones"] = text(
+    SECTIONS,
+    "SELECT section, side, cell_id, pers AS persistent, elig AS eligible, CASE WHEN usec THEN 'composite_median' ELSE 'smoothed' END AS profile_used, nn AS n_neighbours, (2 + CASE WHEN vc IS NULL THEN 0 ELSE 1 END + CASE WHEN vd IS NULL THEN 0 ELSE 1 END)::BIGINT AS supporting_samples, rnk AS rank, "
+    + r6(distance="dist", relative_drop="CASE WHEN core_u > 0 THEN dropped / core_u END", width="width", minimum_N_out_move="minn", drop="dropped * 1000", recovery="CASE WHEN vc IS NOT NULL OR vd IS NOT NULL THEN greatest(0, greatest(coalesce(vc, vd), coalesce(vd, vc)) - vb) END * 1000").replace("AS drop", 'AS "drop"')
+    + " FROM franked",
+)
+SIDES = SECTIONS + """, fside AS (SELECT g.section, g.cell_id, s.side, NOT (c.missing_side = s.side OR c.missing_side = 'left_and_right') AS observable FROM secs g JOIN fcand c ON c.cell_id = g.cell_id, (VALUES ('left'), ('right')) s(side)),
+fdist AS (SELECT section, want AS side, min(CASE WHEN core_u > 0 AND u / core_u <= 0.5 THEN abs(step) * 10.0 END) AS d50, min(CASE WHEN core_u > 0 AND u / core_u <= 0.36787944117144233 THEN abs(step) * 10.0 END) AS d1e, min(CASE WHEN core_u > 0 AND u / core_u <= 0 THEN abs(step) * 10.0 END) AS d0, count(*) FILTER (WHERE rback <= 2 AND u < 0) > 0 AS opposing FROM fok GROUP BY section, want),
+fcount AS (SELECT section, side, count(*) FILTER (WHERE elig) AS candidates FROM franked GROUP BY section, side),
+fres AS (SELECT s.*, d.d50, d.d1e, d.d0, coalesce(d.opposing, FALSE) AS opposing, coalesce(c.candidates, 0) AS candidates, b.dist, b.dropped, b.dropped / CASE WHEN b.core_u > 0 THEN b.core_u END AS rel, b.fx, b.fy, coalesce(b.pers, FALSE) AS pers, coalesce(greatest(0, greatest(coalesce(b.vc, b.vd), coalesce(b.vd, b.vc)) - b.vb) > 0.5 * b.dropped, FALSE) AS strong
+ FROM fside s LEFT JOIN fdist d ON d.section = s.section AND d.side = s.side LEFT JOIN fcount c ON c.section = s.section AND c.side = s.side LEFT JOIN franked b ON b.section = s.section AND b.side = s.side AND b.rnk = 1)"""
+_STATUS = "CASE WHEN NOT observable THEN 'flank_not_observable' WHEN candidates > 0 THEN 'candidate_drop' ELSE 'observable_no_candidate_drop' END"
+ORACLES["drp_sides"] = text(SIDES, f"SELECT section, side, observable, candidates, candidates > 0 AS detected, {_STATUS} AS status, pers AS persistent, strong AS strong_recovery, opposing, " + r6(distance_half="d50", distance_1e="d1e", distance_zero="d0", front_distance="dist", relative_drop="rel") + " FROM fres")
+_NEARBY = f"EXISTS (SELECT 1 FROM fcand f JOIN fcomp k ON k.cell_id = f.cell_id JOIN fcand o ON TRUE JOIN fcomp l ON l.cell_id = o.cell_id WHERE f.cell_id = t.cell_id AND l.component <> k.component AND abs(sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) * cos(radians(({_STEPF}) - f.tm))) <= 10 + 1e-9 AND abs(sqrt(pow(o.x - f.x, 2) + pow(o.y - f.y, 2)) * sin(radians(({_STEPF}) - f.tm))) <= 50 + 1e-9)"
+SUMMED = SIDES + f""", ftv AS (SELECT f.*, abs(u - lag(u) OVER w) AS st, abs(us - lag(us) OVER w) AS ss FROM frow f WINDOW w AS (PARTITION BY section ORDER BY i)),
+fsum0 AS (SELECT t.section, any_value(t.cell_id) AS cell_id, count(u) AS valid, count(*) FILTER (WHERE u IS NULL AND NOT edge) AS lost, count(*) FILTER (WHERE edge) AS edges, coalesce(sum(st), 0) AS tv, coalesce(sum(ss), 0) AS tvs, count(*) FILTER (WHERE abs(step) >= 2 AND u < 0) > 0 AS against, coalesce(abs(max(core_i)) = 1, TRUE) AS unsure, max(core_i) AS core_i, max(core_u) AS core_u, max(missing_side) AS ms FROM ftv t GROUP BY t.section),
+fsum1 AS (SELECT t.*, {_NEARBY} AS crossed, s.n_move, c.n_in_move, s.tm, s.r1, {apart('s.tm', 's.th')} AS dmo, d.deg, g.lturn FROM fsum0 t JOIN sup s ON s.cell_id = t.cell_id JOIN counts c ON c.cell_id = t.cell_id JOIN fdeg d ON d.cell_id = t.cell_id JOIN secs p ON p.section = t.section JOIN segs_ g ON g.component = p.component AND g.segment = p.segment),
+fsum AS (SELECT *, array_to_string(list_filter([CASE WHEN n_move < 3 THEN 'insufficient_outgoing_support' END, CASE WHEN n_in_move < 3 THEN 'insufficient_incoming_support' END, CASE WHEN tm IS NULL THEN 'undefined_theta_mu_out' END, CASE WHEN r1 < 0.5 THEN 'low_R1_out' END, CASE WHEN dmo > 20 THEN 'large_delta_theta_mu1_out' END, CASE WHEN lost > 0 THEN 'unsupported_transverse_sample' END, CASE WHEN edges > 0 THEN 'domain_boundary' END, CASE WHEN ms IN ('left', 'left_and_right') THEN 'left_flank_not_observable' END, CASE WHEN ms IN ('right', 'left_and_right') THEN 'right_flank_not_observable' END,
+ CASE WHEN unsure THEN 'core_location_uncertain' END, CASE WHEN crossed THEN 'nearby_branch_contamination' END, CASE WHEN deg >= 3 THEN 'pixel_junction_nearby' END, CASE WHEN deg = 1 THEN 'segment_endpoint' END, CASE WHEN lturn >= 60 THEN 'high_local_curvature_turning' END, CASE WHEN valid < 7 THEN 'short_available_cross_section' END], lambda v: v IS NOT NULL), ';') AS flags FROM fsum1)"""
+ORACLES["sec_flux_summaries"] = text(SUMMED, "SELECT section, valid AS valid_samples, lost AS unsupported_samples, edges AS boundary_samples, against AS opposing_outer_flow, flags AS quality_flags, crossed AS nearby_branch_contamination, round(tv * 1000, 6) AS total_variation, round(tvs * 1000, 6) AS total_variation_smoothed FROM fsum")
+OUTCOMES = SUMMED + f""", fout AS (SELECT section, count(*) FILTER (WHERE observable) AS seen_, count(*) FILTER (WHERE observable AND candidates > 0) AS hit, max(candidates) > 1 AS many, max(CASE WHEN side = 'left' THEN {_STATUS} END) AS ls, max(CASE WHEN side = 'right' THEN {_STATUS} END) AS rs, max(CASE WHEN side = 'left' THEN dist END) AS ld, max(CASE WHEN side = 'right' THEN dist END) AS rd, bool_or(side = 'left' AND candidates > 0) AS lh, bool_or(side = 'right' AND candidates > 0) AS rh FROM fres GROUP BY section),
+fends AS (SELECT f.*, o.* EXCLUDE (section), seen_ > 0 AND hit = 0 AS nodrop, concat_ws(';', CASE WHEN flags <> '' THEN flags END, CASE WHEN seen_ > 0 AND hit = 0 THEN 'no_candidate_drop' END, CASE WHEN seen_ < 2 THEN 'flank_not_observable' END, CASE WHEN many THEN 'multiple_candidate_drops' END) AS all_flags FROM fsum f JOIN fout o ON o.section = f.section),
+fflank AS (SELECT r.section, r.side, r.cell_id, r.fx, r.fy, r.dist, r.dropped, r.rel, r.pers, r.candidates > 1 AS many, r.strong, s.crossed, concat_ws(';', CASE WHEN s.flags <> '' THEN s.flags END, CASE WHEN r.candidates > 1 THEN 'multiple_candidate_drops' END, CASE WHEN r.strong THEN 'strong_outer_recovery' END, CASE WHEN r.opposing THEN 'opposing_outer_flux' END) AS flags FROM fres r JOIN fsum s ON s.section = r.section WHERE r.dist IS NOT NULL)"""
+ORACLES["drp_outcomes"] = text(OUTCOMES, "SELECT section, seen_ AS observable_sides, hit AS detected_sides, nodrop AS no_candidate_drop, seen_ > 0 AND hit = seen_ AS all_observable_have_drop, hit < seen_ AS observable_without_drop, many AS multiple_candidate_drops, ls AS left_status, rs AS right_status, all_flags AS quality_flags FROM fends")
+ORACLES["drp_flanks"] = text(OUTCOMES, "SELECT section, side, cell_id, many AS multiple_candidate_drops, strong AS strong_recovery, flags AS quality_flags, " + r6(front_x="fx", front_y="fy", distance="dist") + " FROM fflank")
+ORACLES["frt_flux"] = text(
+    OUTCOMES + ", both_ AS (SELECT c.cell_id, c.missing_side, s.side, NOT (c.missing_side = s.side OR c.missing_side = 'left_and_right') AS observable FROM fcand c, (VALUES ('left'), ('right')) s(side)), best AS (SELECT cell_id, side, quantile_cont(fx, 0.5) AS fx, quantile_cont(fy, 0.5) AS fy, quantile_cont(dist, 0.5) AS dist, quantile_cont(dropped, 0.5) AS dropped, quantile_cont(rel, 0.5) AS rel FROM fflank GROUP BY cell_id, side)",
+    "SELECT b.cell_id, b.side, b.observable, b.observable AND f.fx IS NOT NULL AS front_detected, CASE WHEN NOT b.observable THEN 'side_not_observable' WHEN f.fx IS NOT NULL THEN 'probable_flux_front' ELSE 'observable_no_retained_front' END AS front_status, " + r6(front_x="f.fx", front_y="f.fy", distance_from_core="f.dist", relative_loss="f.rel", loss="f.dropped * 1000") + " FROM both_ b LEFT JOIN best f ON f.cell_id = b.cell_id AND f.side = b.side",
+)
+ORACLES["frt_summary"] = text(
+    OUTCOMES,
+    "SELECT count(*) AS sections, count(DISTINCT cell_id) AS ridge_cells, count(core_u) AS sections_with_core, "
+    + tally(core_unchanged="core_i = 0", core_shifted_one_scale="abs(core_i) = 1", two_sided_drop_sections="lh AND rh", one_sided_drop_sections="lh <> rh", no_drop_sections="nodrop", two_sided_core_sections="seen_ = 2", one_sided_core_sections="seen_ = 1", one_sided_cores_with_drop="seen_ = 1 AND hit > 0", one_sided_cores_without_drop="seen_ = 1 AND nodrop", nearby_branch_sections="crossed", short_sections="valid < 7", curved_sections="lturn >= 60", curved_sections_with_core="lturn >= 60 AND core_u IS NOT NULL", low_R1_sections="r1 < 0.5", no_drop_with_support_limitation="nodrop AND (lost > 0 OR valid < 7)", no_drop_with_nearby_branch="nodrop AND crossed")
+    + ", sum(seen_)::BIGINT AS observable_flanks, sum(2 - seen_)::BIGINT AS unobservable_flanks, (SELECT count(*) FROM fflank) AS flanks, (SELECT count(*) FROM fflank WHERE crossed) AS flanks_with_nearby_branch, "
+    + r6(median_left_distance="quantile_cont(ld, 0.5)", median_right_distance="quantile_cont(rd, 0.5)", median_distance_asymmetry="quantile_cont(abs(ld - rd), 0.5)", median_variation_reduction="quantile_cont(CASE WHEN tv <> 0 THEN (tv - tvs) / tv END, 0.5)", persistent_fraction="(SELECT avg(CASE WHEN pers THEN 1.0 ELSE 0.0 END) FROM fflank)", median_total_variation="quantile_cont(tv, 0.5) * 1000", median_total_variation_smoothed="quantile_cont(tvs, 0.5) * 1000", median_drop="(SELECT quantile_cont(dropped, 0.5) FROM fflank) * 1000")
+    + " FROM fends",
+)
+
+# --- the gradient and the fronts
+
+
+def corners(name: str, points: str, keys: str, table: str, fields: dict[str, str]) -> str:
+    """CTEs <name>: keys, edge, and bilinear values of the fields of `table` (xb, yb) at the points (keys, gx, gy); a value is there if each corner of some weight has it."""
+    own = ", ".join(f"b.{k.strip()}" for k in keys.split(","))
+    plain = ", ".join(k.strip() for k in keys.split(","))
+    same = " AND ".join(f"v.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    values = ", ".join(f"CASE WHEN count(t.{f}) = count(*) THEN sum(w * t.{f}) END AS {a}" for a, f in fields.items())
+    return f""", {name}_b AS (SELECT *, gx < -1e-10 OR gx > 11 + 1e-10 OR gy < -1e-10 OR gy > 9 + 1e-10 AS edge, least(greatest(gx, 0), 11) AS cx, least(greatest(gy, 0), 9) AS cy FROM {points}),
+{name}_c AS (SELECT {plain}, floor(cx) + p AS qx, floor(cy) + q AS qy, (CASE WHEN p = 1 THEN cx - floor(cx) ELSE 1 - cx + floor(cx) END) * (CASE WHEN q = 1 THEN cy - floor(cy) ELSE 1 - cy + floor(cy) END) AS w FROM {name}_b, (VALUES (0), (1)) a(p), (VALUES (0), (1)) b(q) WHERE NOT edge),
+{name}_v AS (SELECT {", ".join("c." + k.strip() for k in keys.split(","))}, {values} FROM {name}_c c LEFT JOIN {table} t ON t.xb = c.qx AND t.yb = c.qy WHERE w > 1e-10 GROUP BY ALL),
+{name} AS (SELECT {own}, b.edge, b.gx, b.gy, {", ".join("v." + a for a in fields)} FROM {name}_b b LEFT JOIN {name}_v v ON {same})"""
+
+
+_DU = "CASE WHEN c.u IS NULL OR ({p}.u IS NULL AND {m}.u IS NULL) THEN NULL ELSE (coalesce({p}.u, c.u) - coalesce({m}.u, c.u)) / (CASE WHEN {p}.u IS NOT NULL AND {m}.u IS NOT NULL THEN 20.0 ELSE 10.0 END) END"
+_MU = "CASE WHEN c.u IS NULL OR ({p}.u IS NULL AND {m}.u IS NULL) THEN 'undefined' WHEN {p}.u IS NOT NULL AND {m}.u IS NOT NULL THEN 'centred' ELSE 'one_sided' END"
+GRAD_CTES = f""", g0 AS (SELECT c.cell_id, c.xb, c.yb, c.x, c.y, c.u, c.tm, {_DU.format(p='e', m='w')} AS ge, {_DU.format(p='n', m='s')} AS gn, {_MU.format(p='e', m='w')} AS me, {_MU.format(p='n', m='s')} AS mn
+ FROM stats c LEFT JOIN stats e ON e.xb = c.xb + 1 AND e.yb = c.yb LEFT JOIN stats w ON w.xb = c.xb - 1 AND w.yb = c.yb LEFT JOIN stats n ON n.xb = c.xb AND n.yb = c.yb + 1 LEFT JOIN stats s ON s.xb = c.xb AND s.yb = c.yb - 1),
+g1 AS (SELECT *, -ge * cos(radians(tm)) + gn * sin(radians(tm)) AS ac, ge * sin(radians(tm)) + gn * cos(radians(tm)) AS al, CASE WHEN tm IS NOT NULL THEN sqrt(ge * ge + gn * gn) END AS mag FROM g0),
+grad AS (SELECT *, abs(ac) AS aac, abs(al) AS aal, CASE WHEN mag > 1e-15 THEN abs(ac) / mag END AS frac_,
+ array_to_string(list_filter([CASE WHEN u IS NULL THEN 'flux_undefined' END, CASE me WHEN 'one_sided' THEN 'dx_one_sided' WHEN 'undefined' THEN 'dx_undefined' END, CASE mn WHEN 'one_sided' THEN 'dy_one_sided' WHEN 'undefined' THEN 'dy_undefined' END, CASE WHEN tm IS NULL THEN 'theta_mu_out_undefined' END, CASE WHEN mag <= 1e-15 THEN 'gradient_zero_orientation_undefined' END], lambda v: v IS NOT NULL), ';') AS flags FROM g1),
+gk AS (SELECT * FROM grad WHERE aac IS NOT NULL)"""
+GRADIENTS = OUTCOMES + GRAD_CTES
+ORACLES["grv_fields"] = text(STATS + GRAD_CTES, "SELECT cell_id, flags AS gradient_quality_flags, " + r6(gradient_across_fraction="frac_", gradient_across="ac * 1e6", abs_across="aac * 1e6", gradient_along="al * 1e6", gradient_magnitude="mag * 1e6") + " FROM grad")
+_GF = {"v_ac": "ac", "v_aac": "aac", "v_al": "al", "v_aal": "aal", "v_mag": "mag", "v_fr": "frac_"}
+SEGMENTAL = (
+    GRADIENTS
+    + """, refined AS (SELECT section, (gx + 0.5) * 10.0 AS rx, (gy + 0.5) * 10.0 AS ry FROM frow WHERE i = core_i),
+fpts AS (SELECT section, side, fx / 10.0 - 0.5 AS gx, fy / 10.0 - 0.5 AS gy FROM fflank), cpts AS (SELECT f.section, f.side, r.rx / 10.0 - 0.5 AS gx, r.ry / 10.0 - 0.5 AS gy FROM fflank f JOIN refined r ON r.section = f.section)"""
+    + corners("fat", "fpts", "section, side", "gk", _GF)
+    + corners("cat", "cpts", "section, side", "gk", _GF)
+    + """, cls AS (SELECT f.*, c.v_aac AS core_aac, abs(f.gx - round(f.gx)) <= 1e-8 + 1e-5 * abs(round(f.gx)) AND abs(f.gy - round(f.gy)) <= 1e-8 + 1e-5 * abs(round(f.gy)) AS fd, abs(c.gx - round(c.gx)) <= 1e-8 + 1e-5 * abs(round(c.gx)) AND abs(c.gy - round(c.gy)) <= 1e-8 + 1e-5 * abs(round(c.gy)) AS cd FROM fat f LEFT JOIN cat c ON c.section = f.section AND c.side = f.side),
+samp AS (SELECT *, CASE WHEN v_aac IS NULL THEN 'gradient_sample_unavailable' WHEN fd THEN 'gradient_sample_direct' ELSE 'gradient_sample_interpolated' END AS fclass, CASE WHEN core_aac IS NULL THEN 'gradient_sample_unavailable' WHEN cd THEN 'gradient_sample_direct' ELSE 'gradient_sample_interpolated' END AS cclass, NOT edge AND (v_ac IS NULL OR v_aac IS NULL OR v_al IS NULL OR v_aal IS NULL OR v_mag IS NULL OR v_fr IS NULL) AS lost FROM cls),
+nearby AS (SELECT f.section, f.side, k.aac, k.cell_id, sqrt(pow(k.x - f.fx, 2) + pow(k.y - f.fy, 2)) AS d FROM fflank f JOIN gk k ON sqrt(pow(k.x - f.fx, 2) + pow(k.y - f.fy, 2)) <= 10.0),
+top_ AS (SELECT *, max(aac) OVER (PARTITION BY section, side) AS lm FROM nearby), loc AS (SELECT section, side, any_value(lm) AS lm, min(d) AS ld FROM top_ WHERE abs(aac - lm) <= 1e-8 + 1e-5 * abs(lm) GROUP BY section, side),
+back_ AS (SELECT f.section, f.side, count(*) AS nb, avg(CASE WHEN k.aac <= s.v_aac THEN 1.0 WHEN s.v_aac IS NOT NULL THEN 0.0 END) AS pct FROM fflank f JOIN refined r ON r.section = f.section JOIN samp s ON s.section = f.section AND s.side = f.side JOIN gk k ON sqrt(pow(k.x - r.rx, 2) + pow(k.y - r.ry, 2)) <= 20.0 GROUP BY f.section, f.side),
+segc AS (SELECT f.*, g.num, g.component, g.segment, s.* EXCLUDE (section, side), l.lm, l.ld, coalesce(b.nb, 0) AS nb, b.pct, coalesce(s.core_aac <= 1e-15, FALSE) AS unstable, CASE WHEN NOT coalesce(s.core_aac <= 1e-15, FALSE) THEN s.v_aac / (s.core_aac + 1e-15) END AS ratio_,
+ printf('segment_flank_%05d', row_number() OVER (ORDER BY g.num, f.section, f.side) - 1) AS record, concat_ws(';', CASE WHEN f.flags <> '' THEN f.flags END, CASE WHEN s.v_aac IS NULL THEN 'gradient_not_observable' END, CASE WHEN s.edge THEN 'gradient_sample_boundary' END, CASE WHEN s.lost THEN 'gradient_sample_missing_support' END, CASE WHEN s.core_aac IS NULL THEN 'core_gradient_not_observable' END, CASE WHEN s.core_aac <= 1e-15 THEN 'core_gradient_ratio_unstable' END) AS gflags
+ FROM fflank f JOIN samp s ON s.section = f.section AND s.side = f.side JOIN (SELECT DISTINCT s2.section, g2.num, g2.component, g2.segment FROM secs s2 JOIN seg g2 ON g2.component = s2.component AND g2.segment = s2.segment AND g2.sequence = s2.sequence) g ON g.section = f.section LEFT JOIN loc l ON l.section = f.section AND l.side = f.side LEFT JOIN back_ b ON b.section = f.section AND b.side = f.side)"""
+)
+ORACLES["grv_samples"] = text(SEGMENTAL, "SELECT section, side, fclass AS class_front, cclass AS class_core, edge AS boundary_front, lost AS unsupported_front, " + r6(gradient_across_fraction_at_front="v_fr", gradient_across_at_front="v_ac * 1e6", abs_across_at_front="v_aac * 1e6", gradient_along_at_front="v_al * 1e6", gradient_magnitude_at_front="v_mag * 1e6", abs_across_at_core="core_aac * 1e6") + " FROM segc")
+ORACLES["grv_surroundings"] = text(SEGMENTAL, "SELECT section, side, nb AS background_cells, " + r6(local_max_distance="ld", local_max_scales="ld / 10.0", percentile="pct", local_max="lm * 1e6") + " FROM segc")
+_SEEN = "CASE WHEN v_aac IS NOT NULL THEN 'gradient_observable' ELSE 'gradient_not_observable' END"
+ORACLES["grv_segment"] = text(SEGMENTAL, f"SELECT record AS comparison_record_id, section, side, {_SEEN} AS gradient_observability, unstable AS core_ratio_unstable, gflags AS quality_flags, round(ratio_, 6) AS front_to_core_ratio FROM segc")
+UNIQUE = SEGMENTAL + """, uniq AS (SELECT cell_id, side, count(*) AS n, string_agg(DISTINCT record, ';' ORDER BY record) AS records, string_agg(DISTINCT section, ';' ORDER BY section) AS sections, string_agg(DISTINCT fclass, ';' ORDER BY fclass) AS classes, max(dist) - min(dist) AS spread, avg(CASE WHEN pers THEN 1.0 ELSE 0.0 END) AS pf, quantile_cont(fx, 0.5) AS fx, quantile_cont(fy, 0.5) AS fy, quantile_cont(dist, 0.5) AS dist, quantile_cont(dropped, 0.5) AS dropped, quantile_cont(v_ac, 0.5) AS v_ac, quantile_cont(v_aac, 0.5) AS v_aac, quantile_cont(core_aac, 0.5) AS core_aac, quantile_cont(pct, 0.5) AS pct, quantile_cont(ld, 0.5) AS ld, list_distinct(flatten(list(string_split(gflags, ';')))) AS fl FROM segc GROUP BY cell_id, side)"""
+ORACLES["grv_unique"] = text(
+    UNIQUE,
+    f"SELECT printf('cell%05d_%s', cell_id, side) AS unique_comparison_id, cell_id, side, n AS n_segment_records, records AS comparison_record_ids, sections AS section_ids, {_SEEN} AS gradient_observability, n > 1 AND spread > 10.0 AS duplicate_flank_disagreement, pf >= 0.5 AS persistent, classes AS sample_classes, array_to_string(list_sort(list_filter(CASE WHEN n > 1 AND spread > 10.0 THEN list_append(fl, 'duplicate_flank_disagreement') ELSE fl END, lambda v: v <> '')), ';') AS quality_flags, "
+    + r6(front_x="fx", front_y="fy", distance="dist", distance_spread="spread", percentile="pct", local_max_scales="ld / 10.0", abs_across_at_front="v_aac * 1e6")
+    + " FROM uniq",
+)
+ORACLES["grv_summary"] = text(
+    UNIQUE + f""", cellsum AS (SELECT count(*) AS cells, count(u) AS flux_cells, count(aac) AS gradient_cells, {tally(**{f"{n}_{m}_cells": f"{c} = '{m}'" for n, c in (("dx", "me"), ("dy", "mn")) for m in ("centred", "one_sided", "undefined")})}, {r6(**{f"abs_across_q{int(round(100 * q))}": f"quantile_cont(aac, {q}) * 1e6" for q in (0.5, 0.75, 0.9, 0.95)})} FROM grad),
+sidesum AS (SELECT count(*) AS cell_sides, {tally(disagreements="n > 1 AND spread > 10.0", observable="v_aac IS NOT NULL", not_observable="v_aac IS NULL")}, {r6(median_at_front="quantile_cont(v_aac, 0.5) * 1e6", median_at_core="quantile_cont(CASE WHEN v_aac IS NOT NULL THEN core_aac END, 0.5) * 1e6", median_percentile="quantile_cont(CASE WHEN v_aac IS NOT NULL THEN pct END, 0.5)", within_half_scale="avg(CASE WHEN v_aac IS NULL THEN NULL WHEN ld / 10.0 <= 0.5 THEN 1.0 ELSE 0.0 END)", within_one_scale="avg(CASE WHEN v_aac IS NULL THEN NULL WHEN ld / 10.0 <= 1.0 THEN 1.0 ELSE 0.0 END)", median_distance_to_max="quantile_cont(CASE WHEN v_aac IS NOT NULL THEN ld END, 0.5)", median_scales_to_max="quantile_cont(CASE WHEN v_aac IS NOT NULL THEN ld / 10.0 END, 0.5)", front_above_core="avg(CASE WHEN v_aac IS NULL OR core_aac IS NULL THEN NULL WHEN v_aac > core_aac THEN 1.0 ELSE 0.0 END)")} FROM uniq),
+two_ AS (SELECT cell_id, max(CASE WHEN side = 'left' THEN v_ac END) AS l, max(CASE WHEN side = 'right' THEN v_ac END) AS r FROM uniq GROUP BY cell_id HAVING count(v_ac) = 2), opp AS (SELECT count(*) AS cells_with_both_signs, round(avg(CASE WHEN l * r < 0 THEN 1.0 ELSE 0.0 END), 6) AS opposite_signs FROM two_ WHERE l IS NOT NULL AND r IS NOT NULL),
+rk AS (SELECT {_RANK.format('dropped')} AS ra, {_RANK.format('v_aac')} AS rb FROM uniq WHERE v_aac IS NOT NULL)""",
+    "SELECT *, (SELECT count(*) FROM segc) AS segment_sides, (SELECT count(*) FROM segc) - cell_sides AS duplicate_records, (SELECT round(corr(ra, rb), 6) FROM rk) AS spearman_loss_gradient FROM cellsum, sidesum, opp",
+)
+ORACLES["grv_coverage"] = text(
+    UNIQUE + ", lv_ AS (SELECT v.level, CASE v.level WHEN 0.9 THEN (SELECT quantile_cont(aac, 0.9) FROM gk) ELSE (SELECT quantile_cont(aac, 0.95) FROM gk) END AS cut FROM (VALUES (0.9), (0.95)) v(level)), big_ AS (SELECT l.level, k.cell_id, EXISTS (SELECT 1 FROM uniq q WHERE sqrt(pow(q.fx - k.x, 2) + pow(q.fy - k.y, 2)) <= 10.0) AS hit FROM gk k JOIN lv_ l ON k.aac >= l.cut)",
+    "SELECT level::DOUBLE AS level, count(*) AS cells, count(*) FILTER (WHERE hit) AS with_front, round(count(*) FILTER (WHERE hit) * 1.0 / count(*), 6) AS fraction FROM big_ GROUP BY level",
+)
+
+# --- cells on a sphere
+
+_AZ, _BK = _W.format("g.az"), _W.format("g.bk")
+ORACLES["geo_cells"] = text(
+    GEODESIC
+    + f""", gl AS (SELECT l.start_y_bin * 36 + l.start_x_bin AS sid, l.end_y_bin * 36 + l.end_x_bin AS eid, l.n, coalesce(g.dist, 0) AS d, CASE WHEN g.dist IS NOT NULL THEN {_AZ} END AS az, CASE WHEN g.dist IS NOT NULL THEN {_W.format(_BK + ' + 180')} END AS arr
+ FROM glinks l LEFT JOIN geo g ON g.ya = l.start_y_bin AND g.yb = l.end_y_bin AND g.dx = (l.end_x_bin - l.start_x_bin + 36) % 36 AND (l.start_x_bin <> l.end_x_bin OR l.start_y_bin <> l.end_y_bin)),
+gids AS (SELECT DISTINCT unnest([sid, eid]) AS cell_id FROM gl), gmove AS (SELECT sid AS cell_id, sum(n) AS nm FROM gl WHERE sid <> eid GROUP BY sid), gout AS (SELECT l.sid AS cell_id, sum(l.n * sin(radians(az))) / any_value(m.nm) AS s1, sum(l.n * cos(radians(az))) / any_value(m.nm) AS c1 FROM gl l JOIN gmove m ON m.cell_id = l.sid WHERE l.sid <> l.eid GROUP BY l.sid),
+gmu AS (SELECT sid AS cell_id, sqrt(pow(sum(CASE WHEN sid <> eid THEN n * d * sin(radians(az)) ELSE 0 END), 2) + pow(sum(CASE WHEN sid <> eid THEN n * d * cos(radians(az)) ELSE 0 END), 2)) / sum(n) AS mag FROM gl GROUP BY sid),
+gin AS (SELECT eid AS cell_id, sum(n * sin(radians(arr))) / sum(n) AS s1, sum(n * cos(radians(arr))) / sum(n) AS c1 FROM gl WHERE sid <> eid GROUP BY eid)""",
+    f"""SELECT i.cell_id, coalesce(m.nm, 0)::BIGINT AS "N_out_move", round(least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)), 6) AS "R1_out", round({bearing('o.s1', 'o.c1')}, 6) AS theta1_out, round(u.mag, 6) AS mu_out_all_magnitude, round(cos(radians({bearing('o.s1', 'o.c1')} - ({bearing('a.s1', 'a.c1')}))), 6) AS "A_io" FROM gids i LEFT JOIN gmove m ON m.cell_id = i.cell_id LEFT JOIN gout o ON o.cell_id = i.cell_id LEFT JOIN gmu u ON u.cell_id = i.cell_id LEFT JOIN gin a ON a.cell_id = i.cell_id""",
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import number
 from drift_engine.functions.geodesy import Grid, Space
-from drift_engine.operators import cellstats, compare, directional, flux, matrix, sections, tracks
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, matrix, review, sections, tracks
 from drift_engine.storage import materialise
 
 GRID_E = Grid(0.0, 120.0, 0.0, 100.0, 10.0, 10.0)
@@ -70,6 +70,9 @@ def cells_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Directional limits for these data, which are less concentrated than the defaults ask for.
 LIMITS = {"p_move": 0.5, "r1": 0.5, "strength": 0.4}
 SECTIONS = sections.SectionConfig()
+#: Rates of these data are some 1e-5 a second, so gradients are compared with a floor far under them.
+GRADIENTS = gradients.GradientConfig(zero=1e-15, ratio_floor=1e-15)
+REVIEW = review.ReviewConfig(primary=MIN_SUPPORT, sensitivity=5, high_r1=0.5, low_r1=0.3, persistent=0.3)
 
 
 def cells_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +98,39 @@ def flux_e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return cells, cores, flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= MIN_SUPPORT), GRID_E, SPACE_E, SECTIONS)
 
 
+def flux_found(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The flux pathway's tables, each made once: cells, cores, members, rows, zones, sides, summaries (before outcomes), flanks."""
+    cells = cells_stored(spark, sf_dir)
+    cores = materialise(flux_cores_e(spark, sf_dir, cells), "flux-cores")
+    members = materialise(flux.oriented_segments(cores, GRID_E, SPACE_E), "members")
+    rows = flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= MIN_SUPPORT), GRID_E, SPACE_E, SECTIONS, members)
+    zones = materialise(sections.zones(rows, sections.FLUX, SECTIONS), "zones")
+    centres = rows.filter("i = 0").select("section", "cell_id", "component_number", "x_bin", "y_bin", "x", "y", "theta_mu_out")
+    crossed = sections.contaminated(centres, cores, "theta_mu_out", GRID_E, SPACE_E, SECTIONS)
+    summaries = materialise(sections.section_summaries(rows, sections.FLUX, SECTIONS, MIN_SUPPORT, crossed), "summaries")
+    sides = materialise(sections.side_results(rows, zones, sections.FLUX, SECTIONS), "sides")
+    return {"cells": cells, "cores": cores, "members": members, "rows": rows, "zones": zones, "summaries": summaries, "sides": sides, "flanks": sections.flank_points(zones, sides, summaries)}
+
+
+def directional_found(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The directional pathway's tables: cells, cores, rows, zones, and summaries with their outcomes."""
+    cells = cells_stored(spark, sf_dir)
+    cores = materialise(directional_cores_e(spark, sf_dir, cells), "directional-cores")
+    rows = directional.directional_sections(cores, cells, GRID_E, SPACE_E, MIN_SUPPORT, SECTIONS)
+    zones = materialise(sections.zones(rows, sections.DIRECTIONAL, SECTIONS), "zones")
+    summaries = sections.section_summaries(rows, sections.DIRECTIONAL, SECTIONS, MIN_SUPPORT)
+    outcomes = sections.section_outcomes(sections.side_results(rows, zones, sections.DIRECTIONAL, SECTIONS))
+    return {"cells": cells, "cores": cores, "rows": rows, "zones": zones, "summaries": summaries.join(outcomes, "section")}
+
+
+def gradients_found(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Gradient fields, the fronts' comparison by section, and by cell side."""
+    found = flux_found(spark, sf_dir)
+    fields = materialise(gradients.fields(found["cells"], GRID_E, SPACE_E, GRADIENTS), "gradients")
+    segment = materialise(gradients.segment_comparison(found["flanks"], fields, GRID_E, SPACE_E, GRADIENTS), "segment")
+    return {"fields": fields, "segment": segment, "unique": gradients.cell_sides(segment, GRADIENTS)}
+
+
 def flux_sections_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flux_e(spark, sf_dir)[2]
 

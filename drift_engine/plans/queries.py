@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.functions import geodesy
-from drift_engine.operators import cellstats, compare, directional, flux, graph, gridops, matrix, review, ridge, sections, tracks, validate
+from drift_engine.functions import angles, geodesy
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
 from drift_engine.plans.oracles import GAP, ORACLES
 from drift_engine.sources import naming
@@ -89,6 +89,17 @@ def val_row_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.row_sums(P.matrix_e(spark, sf_dir)).select("start_x_bin", "start_y_bin", "links", "transitions", *r6("probability_sum"))
 
 
+@query
+def val_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validate.summary(P.matrix_e(spark, sf_dir), P.GRID_E)
+    return out.select("links", "transitions", "sources", *r6("largest_centre_residual", "largest_probability_residual", "largest_normalisation_residual"))
+
+
+@query
+def mat_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.check_tracks(P.dirty_raw(spark, sf_dir))
+
+
 @query
 def sup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cellstats.support(P.links_e(spark, sf_dir), P.GRID_E)
@@ -157,13 +168,32 @@ def s3_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s3_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.cells_e(spark, sf_dir).filter("theta1_out is not null and theta1_in is not null")
-    return cells.select("cell_id", *r6("A_io", "A_io_mu", "delta_theta_io_1", "delta_theta_io_mu"))
+    return cells.select("cell_id", *r6("A_io", "A_io_mu", "delta_theta_io_1", "delta_theta_io_mu", "abs_delta_theta_io_1", "abs_delta_theta_io_mu", "abs_delta_theta_io_1_minus_mu"))
+
+
+@query
+def s3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cellstats.strong_flags(P.cells_stored(spark, sf_dir))
+    out = cellstats.alignment_summary(cells, P.MIN_SUPPORT, 5, 0.5, 0.3)
+    numbers = ("median_alignment_difference", "q95_alignment_difference", "spearman_alignments")
+    return out.select(*[c for c in out.columns if c not in numbers], *r6(*numbers))
+
+
+@query
+def s1_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cellstats.moment_identities(P.cells_stored(spark, sf_dir))
+    return out.select(*r6(*out.columns))
+
+
+@query
+def dirv_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cellstats.vector_identities(P.cells_stored(spark, sf_dir))
+    return out.select(*out.columns[:3], *r6(*out.columns[3:]))
 
 
 @query
 def dirv_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.cells_e(spark, sf_dir).filter("N_out_move > 0")
-    return cells.select("cell_id", *r6("D_out_move_x", "D_out_move_y", "D_out_all_x", "D_out_all_y", "D_out_all_magnitude"))
+    return P.cells_e(spark, sf_dir).filter("N_out_total > 0").select("cell_id", *r6("D_out_move_x", "D_out_move_y", "D_out_move_magnitude", "D_out_all_x", "D_out_all_y", "D_out_all_magnitude", U_coh_rate=F.col("U_coh_rate") * 1000))
 
 
 @query
@@ -239,14 +269,46 @@ def grf_degree_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dcr_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.cells_stored(spark, sf_dir)
     found = directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS)
-    out = directional.component_statistics(found, directional.compatible_edges(found, P.GRID_E, P.SPACE_E))
-    return out.select("component", "cells", "edges", "transitions", "rank_cells", *r6("strength", "median_strength", "direction_concentration", "edge_length"))
+    out = directional.component_statistics(found, directional.compatible_edges(found, P.GRID_E, P.SPACE_E), P.SPACE_E)
+    plain = ("strength", "mean_strength", "median_strength", "direction_concentration", "edge_length", "x_span", "y_span", "centroid_x", "centroid_y", "mean_P_move", "median_P_move", "mean_R1_out", "median_R1_out", "mean_direction_difference", "largest_direction_difference", "mean_step_mismatch", "largest_step_mismatch")
+    return out.select("component", "cells", "edges", "transitions", "endpoints", "junctions", "rank_cells", "rank_length", "rank_median_strength", *r6(*plain))
+
+
+@query
+def dcr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    out = directional.corridor_summary(cells, directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS), P.MIN_SUPPORT)
+    counts = ("supported_cells", "candidate_cells", "candidate_components")
+    return out.select(*counts, *r6(*[c for c in out.columns if c not in counts]))
+
+
+@query
+def dco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    thin = directional.thinned_ridges(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, **P.LIMITS)
+    out = directional.core_summary(thin, directional.connected_cores(thin, P.GRID_E, P.SPACE_E))
+    quantiles = [c for c in out.columns if c[-4:-2] == "_q"]
+    return out.select(*[c for c in out.columns if c not in quantiles], *r6(*quantiles))
+
+
+@query
+def dfr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.directional_found(spark, sf_dir)
+    out = directional.front_summary(found["summaries"], sections.fronts(found["cores"], found["zones"], sections.DIRECTIONAL))
+    quantiles = [c for c in out.columns if c[-4:-2] == "_q"]
+    return out.select(*[c for c in out.columns if c not in quantiles], *r6(*quantiles))
 
 
 @query
 def sec_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sections.section_summaries(P.directional_sections_e(spark, sf_dir)[1])
-    return out.select("section", "valid_samples", "opposing_outer_flow", "quality_flags", *r6("total_variation"))
+    out = sections.section_summaries(P.directional_sections_e(spark, sf_dir)[1], sections.DIRECTIONAL, P.SECTIONS, P.MIN_SUPPORT)
+    return out.select("section", "valid_samples", "unsupported_samples", "boundary_samples", "opposing_outer_flow", "quality_flags", *r6("total_variation", "total_variation_smoothed"))
+
+
+@query
+def sec_flux_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.flux_found(spark, sf_dir)["summaries"]
+    return out.select("section", "valid_samples", "unsupported_samples", "boundary_samples", "opposing_outer_flow", "quality_flags", "nearby_branch_contamination", *r6(total_variation=F.col("total_variation") * 1000, total_variation_smoothed=F.col("total_variation_smoothed") * 1000))
 
 
 @query
@@ -310,14 +372,24 @@ def grf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grf_segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = flux.oriented_segments(P.flux_cores_e(spark, sf_dir), P.GRID_E, P.SPACE_E)
-    return flux.segment_statistics(members).select("component", "segment", "cells", "closed", *r6("length", "total_turn", "largest_turn", "median_mismatch", integrated_strength=F.col("integrated_strength") * 1000))
+    cores = P.flux_cores_e(spark, sf_dir)
+    out = flux.segment_statistics(flux.oriented_segments(cores, P.GRID_E, P.SPACE_E), cores, P.SPACE_E)
+    counts = ["cells", "endpoints", "junction_endpoints", "abrupt_mismatches", "two_sided_cells", "one_sided_cells", "orientation_reliable_cells", "orientation_ambiguous_cells", "minimum_N_out_move"]
+    return out.select("component", "segment", "closed", *counts, *r6("length", "total_turn", "largest_turn", "mean_mismatch", "median_mismatch", "largest_mismatch", "x_span", "y_span", "mean_R1_out", "mean_N_out_move", integrated_strength=F.col("integrated_strength") * 1000))
 
 
 @query
-def grf_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = flux.component_ranks(P.flux_cores_e(spark, sf_dir))
-    return out.select("component", "cells", F.col("rank_cells").cast("long"), F.col("rank_strength").cast("long"), F.col("rank_peak").cast("long"))
+def grf_component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.flux_found(spark, sf_dir)
+    broken = flux.interruptions(found["cores"], found["cells"].filter(F.col("N_out_move") >= P.MIN_SUPPORT), P.GRID_E)
+    out = flux.component_statistics(found["cores"], found["members"], broken, P.SPACE_E)
+    counts = ["cells", "segments", "endpoints", "junctions", "unsupported_interruptions", "abrupt_mismatches", "two_sided_cells", "one_sided_cells", "minimum_N_out_move", "rank_length", "rank_median_flux", "rank_integrated_strength", "rank_median_contrast", "rank_minimum_support"]
+    rates = {c: F.col(c) * 1000 for c in ("mean_U_out_all_magnitude_rate", "median_U_out_all_magnitude_rate", "maximum_U_out_all_magnitude_rate", "mean_C_perp", "median_C_perp", "mean_C_perp_one_sided", "median_C_perp_one_sided", "integrated_strength")}
+    plain = ("length", "total_turn", "largest_turn", "mean_mismatch", "median_mismatch", "largest_mismatch", "x_span", "y_span", "centroid_x", "centroid_y", "mean_C_perp_normalized", "mean_R1_out", "median_R1_out", "mean_R2_out", "mean_delta_theta_mu1_out", "mean_N_out_move", "mean_R1_in", "mean_N_in_move", "mean_abs_delta_theta_io_1", "mean_abs_delta_theta_io_mu")
+    return out.select("component", "component_class", *counts, *r6(*plain, **rates))
+
+
+
 
 
 @query
@@ -361,17 +433,45 @@ def cmpx_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("section", "step", "n_decline", *r6("fraction_decline"))
 
 
+@query
+def cmpx_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flux_sections_e(spark, sf_dir)
+    out = sections.composite_spans(rows, flux.neighbours_along(rows, P.SECTIONS.composite_window), P.SPACE_E)
+    return out.select("section", "neighbour_sections", "n_neighbours", *r6("composite_span"))
+
+
 @query
 def drp_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sections.zones(P.flux_sections_e(spark, sf_dir), sections.FLUX, P.SECTIONS)
-    return out.select("section", "side", "cell_id", "persistent", "eligible", F.col("rank").cast("long"), *r6("distance", "relative_drop", drop=F.col("drop") * 1000))
+    return out.select("section", "side", "cell_id", "persistent", "eligible", "profile_used", F.col("n_neighbours").cast("long"), F.col("supporting_samples").cast("long"), F.col("rank").cast("long"), *r6("distance", "relative_drop", "width", "minimum_N_out_move", drop=F.col("drop") * 1000, recovery=F.col("recovery") * 1000))
 
 
 @query
 def drp_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.flux_sections_e(spark, sf_dir)
-    out = sections.side_summaries(rows, sections.zones(rows, sections.FLUX, P.SECTIONS), sections.FLUX)
-    return out.select("section", "side", "candidates", "detected", *r6("distance_half", "distance_1e", "distance_zero"))
+    out = P.flux_found(spark, sf_dir)["sides"]
+    return out.select("section", "side", "observable", "candidates", "detected", "status", "persistent", "strong_recovery", "opposing", *r6("distance_half", "distance_1e", "distance_zero", "front_distance", "relative_drop"))
+
+
+@query
+def drp_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.flux_found(spark, sf_dir)
+    out = sections.outcome_flags(found["summaries"], sections.section_outcomes(found["sides"]))
+    return out.select("section", "observable_sides", "detected_sides", "no_candidate_drop", "all_observable_have_drop", "observable_without_drop", "multiple_candidate_drops", "left_status", "right_status", "quality_flags")
+
+
+@query
+def drp_flanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.flux_found(spark, sf_dir)["flanks"]
+    return out.select("section", "side", "cell_id", "multiple_candidate_drops", "strong_recovery", "quality_flags", *r6("front_x", "front_y", "distance"))
+
+
+@query
+def frt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.flux_found(spark, sf_dir)
+    out = flux.front_summary(sections.outcome_flags(found["summaries"], sections.section_outcomes(found["sides"])), found["flanks"])
+    rates = ("median_total_variation", "median_total_variation_smoothed", "median_drop")
+    plain = ("median_left_distance", "median_right_distance", "median_distance_asymmetry", "median_variation_reduction", "persistent_fraction")
+    return out.select(*[c for c in out.columns if c not in rates + plain], *r6(*plain, **{c: F.col(c) * 1000 for c in rates}))
 
 
 @query
@@ -406,12 +506,51 @@ def grv_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def grv_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, cores, rows = P.flux_e(spark, sf_dir)
-    g = gridops.along_across(gridops.gradient(cells, "U_out_all_magnitude_rate", P.GRID_E, P.SPACE_E), "theta_mu_out")
-    fronts = flux.flux_fronts(cores, rows, P.SECTIONS)
-    out = compare.local_context(fronts, g, P.GRID_E, P.SPACE_E)
-    return out.select("cell_id", "side", *r6("largest_distance", largest=F.col("largest") * 1000, at_front=F.col("at_front") * 1000))
+def grv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.gradients_found(spark, sf_dir)["fields"]
+    return out.select("cell_id", "gradient_quality_flags", *r6("gradient_across_fraction", **{c: F.col(c) * 1e6 for c in ("gradient_across", "abs_across", "gradient_along", "gradient_magnitude")}))
+
+
+MICRO = ("gradient_across_at_front", "abs_across_at_front", "gradient_along_at_front", "gradient_magnitude_at_front", "abs_across_at_core")
+
+
+@query
+def grv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.gradients_found(spark, sf_dir)["segment"]
+    return out.select("section", "side", "class_front", "class_core", "boundary_front", "unsupported_front", *r6("gradient_across_fraction_at_front", **{c: F.col(c) * 1e6 for c in MICRO}))
+
+
+@query
+def grv_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.gradients_found(spark, sf_dir)["segment"]
+    return out.select("section", "side", "background_cells", *r6("local_max_distance", "local_max_scales", "percentile", local_max=F.col("local_max") * 1e6))
+
+
+@query
+def grv_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.gradients_found(spark, sf_dir)["segment"]
+    return out.select("comparison_record_id", "section", "side", "gradient_observability", "core_ratio_unstable", "quality_flags", *r6("front_to_core_ratio"))
+
+
+@query
+def grv_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.gradients_found(spark, sf_dir)["unique"]
+    return out.select("unique_comparison_id", "cell_id", "side", "n_segment_records", "comparison_record_ids", "section_ids", "gradient_observability", "duplicate_flank_disagreement", "persistent", "sample_classes", "quality_flags", *r6("front_x", "front_y", "distance", "distance_spread", "percentile", "local_max_scales", abs_across_at_front=F.col("abs_across_at_front") * 1e6))
+
+
+@query
+def grv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.gradients_found(spark, sf_dir)
+    out = gradients.summary(found["fields"], found["segment"], found["unique"])
+    tiny = ("abs_across_q50", "abs_across_q75", "abs_across_q90", "abs_across_q95", "median_at_front", "median_at_core")
+    plain = ("median_percentile", "within_half_scale", "within_one_scale", "median_distance_to_max", "median_scales_to_max", "front_above_core", "opposite_signs", "spearman_loss_gradient")
+    return out.select(*[c for c in out.columns if c not in tiny + plain], *r6(*plain, **{c: F.col(c) * 1e6 for c in tiny}))
+
+
+@query
+def grv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.gradients_found(spark, sf_dir)
+    return gradients.covered(found["fields"], found["unique"], P.GRID_E, P.SPACE_E).select("level", "cells", "with_front", *r6("fraction"))
 
 
 @query
@@ -432,24 +571,70 @@ def geo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("cell_id", "N_out_move", *r6("R1_out", "theta1_out", "mu_out_all_magnitude", "A_io"))
 
 
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.reviewed(P.cells_stored(spark, sf_dir), P.GRID_E, P.REVIEW)
+
+
+@query
+def s4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"{c}_neigh_{side}_{kind}_{n}" for n in P.REVIEW.supports for side in ("out", "in") for kind in ("1", "mu") for c in "CN"]
+    return _reviewed(spark, sf_dir).select("cell_id", "strong", "top", "substantial_turn_1", "substantial_turn_mu", *[n for n in names if n[0] == "N"], *r6(*[n for n in names if n[0] == "C"]))
+
+
 @query
 def s4_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.levels(P.cells_stored(spark, sf_dir), supports=(1, P.MIN_SUPPORT)).select("support", "level", "cells", *r6("shared_with_coherent"))
+    out = review.levels(P.cells_stored(spark, sf_dir), P.REVIEW)
+    rates = {c: F.col(c) * 1000 for c in ("flux_threshold", "coherent_threshold")}
+    return out.select("support", "level", "population", "flux_cells", "coherent_cells", "both", "either", *r6("jaccard", "flux_retained", "coherent_retained", "median_R1_flux", "median_R1_removed", **rates))
 
 
 @query
 def s4_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.directions(P.cells_stored(spark, sf_dir)).select("field", "cells", *r6("q10", "q50", "q90"))
+    out = review.directions(_reviewed(spark, sf_dir), P.REVIEW)
+    return out.select("population", "field", "cells", "from_review", "from_substantial", *r6("q0", "q0_05", "q0_5", "q0_95", "q0_99", "q1"))
+
+
+@query
+def s4_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = review.persistence(_reviewed(spark, sf_dir), P.REVIEW)
+    return out.select("support", "field", F.coalesce("level", F.lit(0.0)).alias("level"), "cells", "with_neighbourhood", *r6("median_consistency", "consistent_fraction", "median_R1", "median_neighbours"))
 
 
 @query
 def s4_low_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.low_alignment(P.cells_stored(spark, sf_dir), P.MIN_SUPPORT).select("cell_id", "label", *r6("A_io"))
+    out = review.low_alignment(_reviewed(spark, sf_dir), P.REVIEW)
+    return out.select("cell_id", "interpretation", "joint_support", "reliable", "spatially_persistent", "complex_out", "complex_in", *r6("turn", "A_io"))
 
 
 @query
 def s4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.representatives(P.cells_stored(spark, sf_dir), "label", "N_out_move", 3, P.MIN_SUPPORT).select("label", F.col("place").cast("long"), "cell_id")
+    out = review.representatives(_reviewed(spark, sf_dir), P.REVIEW)
+    return out.select("category", F.col("place").cast("long"), "cell_id", "fallback", *r6(score=F.col("score") * 1000))
+
+
+@query
+def s4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = review.summary(_reviewed(spark, sf_dir), P.REVIEW)
+    numbers = ("median_R1_out", "strong_median_difference", "strong_q95_difference", "A_io_residual", "A_io_mu_residual", "spearman_flux_coherent")
+    return out.select(*[c for c in out.columns if c not in numbers], *r6(*numbers))
+
+
+@query
+def s4_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.interpretation_counts(_reviewed(spark, sf_dir), P.REVIEW)
+
+
+@query
+def ang_longitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = P.tracks_g(spark, sf_dir).withColumn("x", F.round("x", 3))
+    return g.groupBy("trajectory").agg(*r6(span=angles.longitude_span(F.col("x")), mean=angles.mean_bearing(F.col("x"))))
+
+
+@query
+def plt_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    one = review.limits(cells, "R1_out", 98.0).select(F.lit("R1_out").alias("field"), *r6("low", "high"))
+    return one.unionByName(review.limits(cells, "delta_theta_io_1", 95.0, True).select(F.lit("delta_theta_io_1").alias("field"), *r6("low", "high")))
 
 
 @query
@@ -463,11 +648,13 @@ def plt_dateline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.dateline_parts(lines).groupBy("line", "part").agg(F.count("*").alias("points")).select("line", F.col("part").cast("long"), "points")
 
 
+NAMES = ("start_x_bin", "x_bin", "core_x", "front_y", "centroid_x", "x_span", "U_out_all_x_rate", "U_out_all_magnitude_rate", "D_out_all_y", "mu_in_x", "distance_from_core_length", "integrated_ridge_strength_area_rate", "drop_slope_rate_per_length", "U_inner", "U_core", "absolute_drop", "absolute_directional_drop", "profile_total_variation_raw", "spearman_flux_loss_vs_abs_G_perp", "abs_G_perp_at_flank", "F_perp_gradient_at_flank", "flank_to_core_abs_G_perp_ratio", "grid_x_scale_length", "S_flux", "refined_core_x", "theta_mu_out", "transverse_left_y")
+
+
 @query
 def snk_public_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.cells_stored(spark, sf_dir).select("cell_id", F.col("x").alias("core_x"), F.col("distance_mean").alias("distance_mean_length"), F.col("U_out_all_magnitude_rate"))
-    out = naming.public(cells, P.SPACE_E, "s")
-    return out.select("cell_id", *r6("core_x", "distance_mean_m", U_out_all_magnitude_m_per_s=F.col("U_out_all_magnitude_m_per_s") * 1000))
+    rows = [(n, naming.public_name(n, geodesy.Space(unit="m"), "s"), naming.public_name(n, geodesy.Space(True, "km"), "day")) for n in NAMES]
+    return spark.createDataFrame(rows, "inner string, cartesian string, geographic string")
 
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import importlib.metadata
 import json
@@ -10,15 +11,18 @@ import math
 import subprocess
 import time
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.operators import cellstats, compare, directional, flux, gridops, matrix, tracks, validate
+from drift_engine import storage
+from drift_engine.functions.geodesy import with_scales
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, matrix, review, sections, tracks, validate
 from drift_engine.plans import config as settings
+from drift_engine.plans import tables
 from drift_engine.plans.config import Config
 from drift_engine.sources import naming, trajectories
 from drift_engine.storage import materialise
@@ -26,9 +30,23 @@ from drift_engine.storage import materialise
 log = logging.getLogger(__name__)
 
 
+#: Tables of a run, by the product's name (fixed values).
+FILES = {
+    "cells": "cell_statistics",
+    "flux_cores": "flux_cores",
+    "flux_fronts": "flux_fronts",
+    "directional_corridors": "directional_corridors",
+    "directional_cores": "directional_cores",
+    "directional_fronts": "directional_fronts",
+    "comparison": "comparison",
+    "component_comparison": "component_comparison",
+    "gradient_validation": "gradient_validation",
+}
+
+
 @dataclass(frozen=True)
 class Analysis:
-    """The products of analyse(), each a DataFrame."""
+    """The products of analyse(), each a DataFrame of plans.tables' columns; debug tables by file name, and summaries by subject, of a row or a few."""
 
     cells: DataFrame
     flux_cores: DataFrame
@@ -39,6 +57,9 @@ class Analysis:
     comparison: DataFrame
     component_comparison: DataFrame
     gradient_validation: DataFrame | None = None
+    debug: dict[str, DataFrame] = field(default_factory=dict)
+    summaries: dict[str, DataFrame] = field(default_factory=dict)
+    statistics: DataFrame | None = None
 
 
 @contextmanager
@@ -62,7 +83,7 @@ def compute_matrix(spark: SparkSession, cfg: Config) -> tuple[DataFrame, dict]:
     """The transition matrix of the configured files, stored, and its counters."""
     geographic = cfg.space.geographic
     raw = materialise(trajectories.read(spark, cfg.input), "observations")
-    canon = materialise(tracks.sanitise(raw, geographic), "tracks")
+    canon = matrix.require_canonical(materialise(tracks.sanitise(raw, geographic), "tracks"))
     m = cfg.matrix
     segs = matrix.segments(canon, cfg.lag, m.segment_mode, geographic, None if m.max_interpolation_gap is None else m.max_interpolation_gap * tracks.SECONDS[m.time_unit])
     segs = materialise(segs, "segments")
@@ -78,7 +99,7 @@ def load_matrix(spark: SparkSession, cfg: Config) -> DataFrame:
     side = path.parent / "matrix_summary.yaml"
     if side.exists():
         told = yaml.safe_load(side.read_text())
-        mine = {"grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "elapsed_seconds": cfg.lag}
+        mine = {"grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "length_unit": cfg.geometry.length_unit, "ellipsoid": cfg.space.ellipsoid if cfg.space.geographic else None, "elapsed_seconds": cfg.lag}
         for k, v in mine.items():
             if k in told and told[k] != v:
                 raise validate.MatrixError(f"{side}: {k} is {told[k]}, not {v}")
@@ -88,33 +109,114 @@ def load_matrix(spark: SparkSession, cfg: Config) -> DataFrame:
 
 
 def analyse(table: DataFrame, cfg: Config) -> Analysis:
-    """All products of a validated matrix."""
+    """All products of a validated matrix. Rates are per matrix.time_unit."""
     grid, space, least = cfg.engine_grid, cfg.space, cfg.statistics.min_moving_support
-    v, d, cut = cfg.validation, cfg.directional, cfg.fronts.sections()
+    v, d, f = cfg.validation, cfg.directional, cfg.flux
+    debug: dict[str, DataFrame] = {}
     validate.validate(table, grid, normalization_atol=v.normalization_atol, probability_rtol=v.probability_rtol, probability_atol=v.probability_atol, center_atol=v.center_atol)
     with stage("cell statistics"):
         links = materialise(cellstats.enriched_links(table, grid, space), "links")
-        cells = materialise(cellstats.cell_statistics(links, grid, cfg.lag, cfg.statistics.angular_bins, cfg.statistics.direction_zero_tolerance), "cells")
+        cells = materialise(cellstats.cell_statistics(links, grid, cfg.matrix.timestep, cfg.statistics.angular_bins, cfg.statistics.direction_zero_tolerance), "cells")
+    summaries = {
+        "matrix": validate.summary(table, grid),
+        "support": cellstats.support_summary(cells),
+        "vector_identities": cellstats.vector_identities(cells, cfg.statistics.direction_zero_tolerance),
+        "alignment": cellstats.alignment_summary(cellstats.strong_flags(cells), least, least, cfg.statistics.high_R1, cfg.statistics.low_R1),
+    }
+    graph_limits = (d.maximum_neighbor_direction_difference_degrees, d.maximum_step_direction_mismatch_degrees)
     limits = {"p_move": d.minimum_P_move, "r1": d.minimum_R1, "strength": d.minimum_strength}
     with stage("directional pathway"):
-        corridors = directional.candidates(cells, grid, space, least, **limits)
-        dcores = materialise(directional.cores(cells, grid, space, least, d.minimum_component_cells, **limits), "directional-cores")
-        dfronts = materialise(directional.directional_fronts(dcores, directional.directional_sections(dcores, cells, grid, space, least, cut), cut), "directional-fronts")
+        cut = cfg.fronts.sections(d.interpolation_weight_tolerance)
+        corridors = directional.candidates(cells, grid, space, least, *graph_limits, **limits)
+        thin = directional.thinned_ridges(cells, grid, space, least, d.transverse_scale_grid, d.ridge_comparison_tolerance, d.ridge_plateau_tolerance, d.interpolation_weight_tolerance, **limits)
+        connected = materialise(directional.connected_cores(thin, grid, space, *graph_limits), "connected")
+        dcores = materialise(directional.large_enough(connected, d.minimum_component_cells), "directional-cores")
+        drows = directional.directional_sections(dcores, cells, grid, space, least, cut, *graph_limits, extra=directional.SAMPLED if cfg.write_debug_outputs else ())
+        dzones = materialise(sections.zones(drows, sections.DIRECTIONAL, cut), "directional-zones")
+        dfronts = materialise(sections.fronts(dcores, dzones, sections.DIRECTIONAL), "directional-fronts")
+        dsections = sections.section_summaries(drows, sections.DIRECTIONAL, cut, least)
+        dsides = sections.side_results(drows, dzones, sections.DIRECTIONAL, cut)
+        dsections = materialise(dsections.join(sections.section_outcomes(dsides), "section"), "directional-summaries")
+    summaries |= {"directional_corridors": directional.corridor_summary(cells, corridors, least), "directional_cores": directional.core_summary(thin, connected, d.minimum_component_cells), "directional_fronts": directional.front_summary(dsections, dfronts)}
+    sampling = lambda t: with_scales(t, grid, space).withColumn("sampling_distance", F.col("scale") * F.lit(d.transverse_scale_grid))
+    graph_columns = ["cell_id", "component_number", "degree", "endpoint", "junction"]
+    diagnosed = sampling(thin).join(corridors.select(*graph_columns), "cell_id").join(dcores.select("cell_id", F.col("component_id").alias("core_component_id")), "cell_id", "left").withColumn("directional_core", F.col("core_component_id").isNotNull())
     supported = cells.filter(F.col("N_out_move") >= least)
     with stage("flux pathway"):
-        source = cells
-        if cfg.flux.ridge_field == "smoothed":
-            smooth = gridops.smooth(supported, "U_out_all_magnitude_rate", grid).select("cell_id", F.col("smoothed").alias("_s"))
-            source = cells.join(smooth, "cell_id", "left").withColumn("U_out_all_magnitude_rate", F.col("_s")).drop("_s")
-        fcores = materialise(flux.cores(source, grid, space, least, cfg.flux.percentile, scale=cfg.flux.transverse_scale_grid, tie=cfg.flux.ridge_comparison_tolerance, tolerance=cfg.flux.interpolation_weight_tolerance), "flux-cores")
-        ffronts = materialise(flux.flux_fronts(fcores, flux.flux_sections(fcores, supported, grid, space, cut), cut), "flux-fronts")
+        cut = cfg.fronts.sections(f.interpolation_weight_tolerance)
+        fcores = materialise(
+            flux.cores(cells, grid, space, least, f.percentile, scale=f.transverse_scale_grid, tie=f.ridge_comparison_tolerance, tolerance=f.interpolation_weight_tolerance, smoothed=f.ridge_field == "smoothed", reliable_r1=f.orientation_reliable_R1, ambiguous_r1=f.orientation_ambiguous_R1, disagreement=f.direction_disagreement_degrees),
+            "flux-cores",
+        )
+        members = materialise(flux.oriented_segments(fcores, grid, space), "members")
+        frows = flux.flux_sections(fcores, supported, grid, space, cut, members, flux.SAMPLED if cfg.write_debug_outputs else ("N_out_move", "N_in_move"))
+        fzones = materialise(sections.zones(frows, sections.FLUX, cut), "flux-zones")
+        ffronts = materialise(sections.fronts(fcores, fzones, sections.FLUX), "flux-fronts")
+        centres = frows.filter("i = 0").select("section", "cell_id", "component_number", "x_bin", "y_bin", "x", "y", "theta_mu_out")
+        crossed = sections.contaminated(centres, fcores, "theta_mu_out", grid, space, cut)
+        first = materialise(sections.section_summaries(frows, sections.FLUX, cut, least, crossed), "flux-summaries")
+        fsides = materialise(sections.side_results(frows, fzones, sections.FLUX, cut), "flux-sides")
+        flanks = materialise(sections.flank_points(fzones, fsides, first), "flux-flanks")
+        fsections = materialise(sections.outcome_flags(first, sections.section_outcomes(fsides)), "flux-outcomes")
+    summaries["flux_fronts"] = flux.front_summary(fsections, flanks)
     compared = materialise(compare.comparison(cells, fcores, dcores, least), "comparison")
-    gradients = None
+    summaries["comparison"] = compare.summary(compared)
+    gradients_table = None
     if cfg.run_validation:
         with stage("gradient validation"):
-            g = gridops.along_across(gridops.gradient(cells, "U_out_all_magnitude_rate", grid, space), "theta_mu_out", v.gradient_zero_tolerance)
-            gradients = compare.local_context(ffronts, materialise(g, "gradients"), grid, space, round(v.gradient_search_radius_grid_scales))
-    return Analysis(cells, fcores, ffronts, corridors, dcores, dfronts, compared, compare.component_overlap(compared), gradients)
+            cfg_g = v.gradients()
+            g = materialise(gradients.fields(cells, grid, space, cfg_g), "gradients")
+            segment = materialise(gradients.segment_comparison(flanks, g, grid, space, cfg_g), "segment-gradients")
+            unique = materialise(gradients.cell_sides(segment, cfg_g), "side-gradients")
+            gradients_table = tables.gradient_validation(unique)
+            summaries |= {"gradient_validation": gradients.summary(g, segment, unique), "gradient_coverage": gradients.covered(g, unique, grid, space)}
+    if cfg.write_debug_outputs:
+        with stage("debug tables"):
+            spans = lambda rows, near: sections.composite_spans(rows, near, space)
+            fspans = spans(frows, flux.neighbours_along(frows, cut.composite_window))
+            dspans = spans(drows, directional.neighbours_by_hops(dcores, grid, space, cut, *graph_limits))
+            edges = lambda t: directional.compatible_edges(t, grid, space, *graph_limits)
+            broken = flux.interruptions(fcores, supported, grid)
+            debug |= {
+                "candidate_drop_zones": tables.drop_zones(fzones),
+                "raw_cross_sections": tables.cross_sections(frows),
+                "section_composites": tables.section_composites(fsections.join(fspans, "section")),
+                "component_graph_details": tables.flux_components(flux.component_statistics(fcores, members, broken, space, f.abrupt_tangent_mismatch_degrees)),
+                "segment_front_candidates": tables.drop_zones(flanks),
+                "directional_candidate_drop_zones": tables.drop_zones(dzones, True),
+                "directional_raw_cross_sections": tables.cross_sections(drows, True),
+                "directional_section_composites": tables.section_composites(dsections.join(dspans, "section"), True),
+                "directional_corridor_components": tables.directional_components(directional.component_statistics(corridors, edges(corridors), space), False),
+                "directional_corridor_graph_edges": tables.graph_edges(edges(corridors)),
+                "directional_core_components": tables.directional_components(directional.component_statistics(dcores, edges(dcores), space), True),
+                "directional_core_graph_edges": tables.graph_edges(edges(dcores)),
+            }
+    named = lambda t, cores: t.join(cores.select("cell_id", "component_id"), "cell_id")
+    return Analysis(
+        tables.cells(cells),
+        tables.flux_cores(fcores),
+        tables.fronts(named(ffronts, fcores)),
+        tables.directional_corridors(diagnosed),
+        tables.directional_cores(sampling(dcores)),
+        tables.fronts(named(dfronts, dcores), True),
+        tables.comparison(compared),
+        tables.component_comparison(compare.component_overlap(compared)),
+        gradients_table,
+        debug,
+        summaries,
+        cells,
+    )
+
+
+def figure_data(cells: DataFrame, cfg: Config, out: Path) -> None:
+    """What figures are drawn from: vectors at the stride, colour limits, and the settings of their look. No figure is drawn."""
+    p = cfg.plotting
+    out.mkdir()
+    naming.public(tables.cells(review.vectors(cells, p.vector_stride_cells)), cfg.space, cfg.matrix.time_unit).coalesce(1).write.parquet(str(out / "vectors.parquet"))
+    fields = {"U_out_all_magnitude_rate": False, "D_out_all_magnitude": False, "R1_out": False, "delta_theta_io_1": True}
+    limits = {name: review.limits(cells, name, p.structure_map_max_percentile, symmetric).first().asDict() for name, symmetric in fields.items()}
+    look = {k: v for k, v in dataclasses.asdict(p).items() if k != "enabled"}
+    (out / "figures.yaml").write_text(yaml.safe_dump(_finite({"limits": limits, "settings": look}), sort_keys=False))
 
 
 def digest(path: Path) -> str:
@@ -146,32 +248,38 @@ def _git() -> dict:
 
 
 def run(spark: SparkSession, cfg: Config) -> Path:
-    """Everything into a new folder <root>/<run_name>; a run that fails leaves a manifest that says so and raises."""
+    """Everything into a new folder <root>/<run_name>; a run that fails leaves a manifest that says so and raises. Intermediate tables are removed."""
     out = Path(cfg.output.root) / cfg.output.run_name
     out.mkdir(parents=True)
-    manifest = {"run_name": cfg.output.run_name, "status": "running", "versions": {p: importlib.metadata.version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}, "git": _git()}
+    since = storage.mark(spark)
+    manifest = {"run_name": cfg.output.run_name, "status": "running", "analysis_version": cfg.analysis_version, "versions": {p: importlib.metadata.version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}, "git": _git()}
     try:
         (out / "resolved_config.yaml").write_text(yaml.safe_dump(settings.as_dict(cfg), sort_keys=False))
-        summary = {"grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "elapsed_seconds": cfg.lag}
+        summary = {"summary_version": 1, "mode": "computed" if cfg.matrix.compute else "loaded", "grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "length_unit": cfg.geometry.length_unit, "ellipsoid": cfg.space.ellipsoid if cfg.space.geographic else None, "elapsed_seconds": cfg.lag, "segment_mode": cfg.matrix.segment_mode}
         (out / "matrix").mkdir()
         if cfg.matrix.compute:
             table, counters = compute_matrix(spark, cfg)
-            table.coalesce(1).write.parquet(str(out / "matrix" / "transition_matrix.parquet"))
+            table.repartition(1).sortWithinPartitions(*matrix.LINK_KEYS).write.parquet(str(out / "matrix" / "transition_matrix.parquet"))
             summary |= counters | {"sha256": digest(out / "matrix" / "transition_matrix.parquet")}
         else:
             table = load_matrix(spark, cfg)
         (out / "matrix" / "matrix_summary.yaml").write_text(yaml.safe_dump(_finite(summary), sort_keys=False))
         found = analyse(table, cfg)
+        (out / "analysis").mkdir()
         rows = {}
-        for name, df in vars(found).items():
+        for name, df in ({v: getattr(found, k) for k, v in FILES.items()} | found.debug).items():
             if df is not None:
-                public = naming.public(df, cfg.space, cfg.matrix.time_unit)
-                public.coalesce(1).write.parquet(str(out / "tables" / f"{name}.parquet"))
-                rows[name] = spark.read.parquet(str(out / "tables" / f"{name}.parquet")).count()
-        manifest |= {"status": "completed", "rows": rows, "comparison": _finite(compare.summary(found.comparison).first().asDict())}
+                target = str(out / "analysis" / f"{name}.parquet")
+                naming.public(df, cfg.space, cfg.matrix.time_unit).coalesce(1).write.parquet(target)
+                rows[name] = spark.read.parquet(target).count()
+        if cfg.plotting.enabled:
+            figure_data(found.statistics, cfg, out / "analysis" / "figures")
+        said = {name: [r.asDict() for r in df.collect()] for name, df in found.summaries.items()}
+        manifest |= {"status": "completed", "rows": rows, "summaries": {name: r[0] if len(r) == 1 else r for name, r in said.items()}}
     except BaseException as e:
         manifest |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:2000]}
         raise
     finally:
         (out / "manifest.json").write_text(json.dumps(_finite(manifest), indent=2))
+        storage.release(spark, since)
     return out

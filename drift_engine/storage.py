@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from drift_engine.session import ship_package
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a temporary folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session, or on a local master a temporary folder of our own where that is unset, as in tests."""
     ship_package(spark)
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         path = tempfile.mkdtemp(prefix="drift_engine_shared_")
@@ -32,4 +35,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A mark for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the stored tables written after the mark; nothing that reads them may be used any more."""
+    written = _written.get(spark.sparkContext.applicationId, [])
+    for path in written[since:]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del written[since:]

@@ -96,3 +96,48 @@ def test_validation(spark):
             validate.validate(table, GRID)
     with pytest.raises(validate.MatrixError, match="missing_columns"):
         validate.validate(good.drop("end_x_bin"), GRID)
+
+
+def test_guard(spark):
+    good = track(spark, [0.5, 1.5])
+    assert matrix.require_canonical(good) is good
+    bad = [("a", 0.0, 0.5), ("a", 0.0, 0.6), (None, 1.0, 0.5), ("b", 0.0, float("nan"))]
+    rows = spark.createDataFrame([(a, t, x, 0.5) for a, t, x in bad], "trajectory string, time double, x double, y double")
+    assert matrix.check_tracks(rows).first().asDict() == {"null_identities": 1, "not_finite": 1, "repeated_times": 1, "short_tracks": 2}
+    with pytest.raises(ValueError, match="repeated_times"):
+        matrix.require_canonical(rows)
+
+
+def test_a_year_without_observations(spark):
+    """With a lag of a second, a gap of a year is counted, not listed; without a limit it is listed in parts."""
+    year = 365 * 86400
+    t = track(spark, [0.5, 0.5, 1.5, 1.5], [0, 1, year, year + 2])
+    segs = matrix.segments(t, 1.0, max_gap=10.0)
+    assert segs.count() < 20
+    d = matrix.matrix_diagnostics(segs, GRID).first()
+    # from second 1, which is there, all that touches the gap is rejected
+    assert (d.candidate_segments, d.retained_segments, d.rejected_gap) == (year + 2, 3, year - 1)
+    assert d.exact_endpoints + d.interpolated_endpoints + d.gap_endpoints == 2 * (year + 2)
+    some = track(spark, [0.5, 0.5], [0, 20000])
+    assert matrix.matrix_diagnostics(matrix.segments(some, 1.0), GRID).first().retained_segments == 20000
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=6), st.integers(1, 12))
+def test_gaps_counted_as_listed(spark, steps, most):
+    """The counters with wide gaps folded up are those of every multiple looked at alone."""
+    ts = [0]
+    for s in steps:
+        ts.append(ts[-1] + s)
+    got = matrix.matrix_diagnostics(matrix.segments(track(spark, [0.5] * len(ts), ts), 1.0, max_gap=float(most)), GRID).first()
+    gap = lambda k: k not in ts and next(b - a for a, b in zip(ts, ts[1:]) if a < k < b) > most
+    fates = [gap(k) or gap(k + 1) for k in range(ts[-1])]
+    assert (got.candidate_segments, got.rejected_gap, got.retained_segments) == (len(fates), sum(fates), len(fates) - sum(fates))
+    assert got.gap_endpoints == sum(gap(k) + gap(k + 1) for k in range(ts[-1]))
+
+
+def test_long_track_every_observation(spark):
+    """100 000 observations of one track: running values, not a frame for each row."""
+    t = spark.range(100_000).selectExpr("'a' as trajectory", "cast(id as double) as time", "0.5 + pmod(id, 3) as x", "0.5D as y")
+    d = matrix.matrix_diagnostics(matrix.segments(t, 1.5, "every_observation"), GRID).first()
+    assert (d.candidate_segments, d.interpolated_endpoints) == (99_999, 99_998)

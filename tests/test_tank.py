@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from drift_engine.functions import geodesy
 from drift_engine.functions.geodesy import Grid, Space
-from drift_engine.operators import cellstats, compare, directional, flux, gridops, ridge, sections, validate
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, gridops, ridge, sections, validate
 
 from drift_engine.storage import materialise as stored
 
@@ -65,10 +66,18 @@ def test_tank(system, request):
     classes = counted(compare.comparison(cells, flux_cores, cores, 1), "class")
     assert classes == ({"flux_and_directional": 11, "flux_only": 2, "neither": 108} if geo else {"flux_and_directional": 10, "flux_only": 1, "neither": 110})
     supported = cells.filter("N_out_move >= 1")
-    zones = sections.zones(flux.flux_sections(flux_cores, supported, grid, space, CFG), sections.FLUX, CFG)
+    members = stored(flux.oriented_segments(flux_cores, grid, space))
+    rows = flux.flux_sections(flux_cores, supported, grid, space, CFG, members)
+    zones = stored(sections.zones(rows, sections.FLUX, CFG))
     assert zones.filter("rank = 1").count() == (30 if geo else 22)
-    fronts = flux.flux_fronts(flux_cores, flux.flux_sections(flux_cores, supported, grid, space, CFG), CFG)
+    fronts = sections.fronts(flux_cores, zones, sections.FLUX)
     assert fronts.filter("front_detected").count() == 22
+    summaries = stored(sections.section_summaries(rows, sections.FLUX, CFG, 1))
+    sides = stored(sections.side_results(rows, zones, sections.FLUX, CFG))
+    assert sides.filter("observable").count() == zones.select("section", "side").distinct().count()
+    assert counted(sides, "status")["candidate_drop"] == (30 if geo else 22)
+    unique = gradients.cell_sides(gradients.segment_comparison(sections.flank_points(zones, sides, summaries), stored(gradients.fields(cells, grid, space)), grid, space))
+    assert unique.count() == 22
 
 
 def test_gradient_methods(cartesian):
@@ -81,6 +90,32 @@ def test_gradient_methods(cartesian):
 
 
 def test_scale():
-    from drift_engine.functions import geodesy
-
     assert (geodesy.inverse(0.0, 5.0, 0.0, 6.0)[2] * geodesy.inverse(-0.5, 5.5, 0.5, 5.5)[2]) ** 0.5 / 1000 == pytest.approx(110.69739071131, rel=1e-9)
+
+
+def test_near_cells_leave_none_out(spark):
+    """Boxes and circles by bins against all pairs, towards the pole and over the seam."""
+    space, grid = Space(True, "km"), Grid(-180.0, 180.0, -88.0, -60.0, 4.0, 2.0, True)
+    cells = stored(spark.range(grid.nx * grid.ny).selectExpr("id as cell_id", f"id % {grid.nx} as x_bin", f"id div {grid.nx} as y_bin"))
+    cells = stored(cells.select("*", grid.x_center(F.col("x_bin")).alias("x"), grid.y_center(F.col("y_bin")).alias("y")))
+    points = cells.filter("cell_id % 37 = 5").select("cell_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    reach = 600.0
+    other = cells.select(F.col("cell_id").alias("near_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    measured = lambda df: df.withColumn("_d", space.inverse(F.col("px"), F.col("py"), F.col("_x"), F.col("_y"))["distance"]).filter(F.col("_d") <= reach).select("cell_id", "near_id")
+    got = measured(gridops.near_cells(points, F.lit(reach), grid, space).join(other, "near_id"))
+    want = measured(points.crossJoin(other))
+    assert got.count() == got.distinct().count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_contamination_near_the_pole(spark):
+    space, grid = Space(True, "km"), Grid(-180.0, 180.0, -80.0, -30.0, 1.0, 1.0, True)
+    rng = [(c, c * 7919 % 360, (c * 104729 % 50), c % 4 + 1, (c * 37) % 360 * 1.0) for c in range(700)]
+    rows = spark.createDataFrame([(y * 360 + x, x, y, -179.5 + x, -79.5 + y, n, t) for _, x, y, n, t in rng], "cell_id long, x_bin long, y_bin long, x double, y double, component_number long, theta double").dropDuplicates(["cell_id"]).withColumn("section", F.col("cell_id"))
+    rows = stored(rows)
+    got = {r.section for r in sections.contaminated(rows, rows, "theta", grid, space, CFG).collect()}
+    other = rows.select(F.col("component_number").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    pairs = geodesy.with_scales(rows, grid, space).crossJoin(other).filter("o <> component_number").withColumn("g", space.inverse(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
+    angle = F.radians(F.col("g.bearing") - F.col("theta"))
+    inside = (F.abs(F.col("g.distance") * F.cos(angle)) <= F.col("scale")) & (F.abs(F.col("g.distance") * F.sin(angle)) <= 5 * F.col("scale"))
+    want = {r.section for r in pairs.filter(inside).select("section").distinct().collect()}
+    assert got == want and any(r.y < -75 for r in rows.filter(F.col("section").isin(list(want))).collect())

@@ -9,8 +9,11 @@ import pytest
 import yaml
 
 from drift_engine.functions.geodesy import Space
+from drift_engine.operators import directional, matrix, ridge
 from drift_engine.plans import config, queries, workflow
 from drift_engine.sources import naming, trajectories
+from drift_engine.storage import materialise
+from test_tank import tank
 
 SETTINGS = {
     "config_version": 1,
@@ -116,15 +119,21 @@ def test_readers_agree(spark, tmp_path):
 
 def test_load_equals_compute(spark, tmp_path):
     spark.createDataFrame(frame(), "track string, t double, X double, Y double").toPandas().to_csv(tmp_path / "t.csv", index=False)
-    (tmp_path / "run.yaml").write_text(yaml.safe_dump(SETTINGS | {"run_validation": True}))
+    more = {"run_validation": True, "write_debug_outputs": True, "plotting": {"enabled": True, "vector_stride_cells": 2}, "analysis_version": "v7"}
+    (tmp_path / "run.yaml").write_text(yaml.safe_dump(SETTINGS | more))
     out = workflow.run(spark, config.load(tmp_path / "run.yaml"))
     manifest = json.loads((out / "manifest.json").read_text())
-    assert manifest["status"] == "completed" and manifest["rows"]["cells"] > 0
+    assert manifest["status"] == "completed" and manifest["rows"]["cell_statistics"] > 0 and manifest["analysis_version"] == "v7"
+    assert set(workflow.FILES.values()) | {"candidate_drop_zones", "raw_cross_sections", "section_composites", "component_graph_details", "segment_front_candidates"} <= set(manifest["rows"]) and len(manifest["rows"]) == 21
+    assert {"matrix", "alignment", "flux_fronts", "directional_cores", "gradient_validation", "comparison"} <= set(manifest["summaries"])
+    assert (out / "analysis" / "figures" / "figures.yaml").exists()
+    links = [(r.start_y_bin, r.start_x_bin, r.end_y_bin, r.end_x_bin) for r in spark.read.parquet(str(out / "matrix" / "transition_matrix.parquet")).collect()]
+    assert links == sorted(links)
     again = changed(("matrix",), {"timestep": 2, "time_unit": "s", "compute": False, "path": str(out / "matrix" / "transition_matrix.parquet")}) | {"output": {"root": "out", "run_name": "two"}, "run_validation": True}
     (tmp_path / "again.yaml").write_text(yaml.safe_dump(again))
     second = workflow.run(spark, config.load(tmp_path / "again.yaml"))
-    for name in ("cells", "flux_cores", "flux_fronts", "comparison"):
-        a, b = (sorted(map(str, spark.read.parquet(str(o / "tables" / f"{name}.parquet")).collect())) for o in (out, second))
+    for name in ("cell_statistics", "flux_cores", "flux_fronts", "comparison"):
+        a, b = (sorted(map(str, spark.read.parquet(str(o / "analysis" / f"{name}.parquet")).collect())) for o in (out, second))
         assert a == b
     with pytest.raises(FileExistsError):
         workflow.run(spark, config.load(tmp_path / "again.yaml"))
@@ -134,8 +143,63 @@ def test_load_equals_compute(spark, tmp_path):
     assert json.loads((tmp_path / "out" / "bad" / "manifest.json").read_text())["status"] == "failed"
 
 
+def test_rates_are_per_time_unit(spark):
+    """A daily run in km: 111 km a day eastwards on the equator's row, not per second, under the names that users read."""
+    rows = [(f"{k}", 86400.0 * t, 0.5 + t, 0.5) for k in range(3) for t in range(5)]
+    values = changed(("matrix",), {"timestep": 1, "time_unit": "day"}) | {"geometry": {"coordinate_system": "geographic", "length_unit": "km"}}
+    values["grid"] = {"longitude_min": 0.0, "longitude_max": 6.0, "latitude_min": 0.0, "latitude_max": 6.0, "dlon": 1.0, "dlat": 1.0, "periodic_longitude": False}
+    cfg = config.from_dict(values)
+    tracks_ = spark.createDataFrame(rows, "trajectory string, time double, x double, y double")
+    table = matrix.transition_matrix(matrix.segments(matrix.require_canonical(tracks_), cfg.lag, geographic=True), cfg.engine_grid)
+    found = workflow.analyse(materialise(table), cfg)
+    cells = naming.public(found.cells, cfg.space, cfg.matrix.time_unit)
+    assert {"start_lon_bin", "lon", "lat", "U_out_all_east_km_day", "U_out_all_magnitude_km_day", "D_out_all_north", "theta1_in_motion_destination"} <= set(cells.columns)
+    assert {round(r["U_out_all_magnitude_km_day"], 2) for r in cells.filter("N_out_move > 0").collect()} == {111.32}
+    fronts = naming.public(found.flux_fronts, cfg.space, cfg.matrix.time_unit)
+    assert fronts.columns == ["core_cell_id", "component_id", "core_lon", "core_lat", "ridge_type", "side", "observable", "front_lon", "front_lat", "distance_from_core_km", "flux_loss_km_day", "relative_flux_loss", "front_detected", "front_status"]
+
+
+def test_settings_reach_the_operators():
+    """Each number of the fronts and of the validation that an operator reads changes what the operator is given."""
+    plain = config.from_dict(SETTINGS)
+    unread = {"normalization_atol", "probability_rtol", "probability_atol", "center_atol", "multiple_drop_similarity_fraction"}  # the matrix check reads four; nothing has a rule for the last
+    for section, given in (("fronts", lambda c: c.fronts.sections()), ("validation", lambda c: c.validation.gradients())):
+        for name, value in vars(getattr(plain, section)).items():
+            if name not in unread:
+                other = config.from_dict(changed((section,), {name: value / 2 if isinstance(value, float) or "interval" in name or "refinement" in name else value * 3}))
+                assert given(other) != given(plain), name
+    with pytest.raises(config.ConfigError):
+        config.from_dict(changed(("fronts",), {"half_width_grid_scales": 2.5}))
+    assert config.from_dict(changed(("fronts",), {"half_width_grid_scales": 2.5, "sampling_interval_grid_scales": 0.5})).fronts.sections().half_width == 2.5
+
+
+def test_settings_have_an_effect(spark):
+    """Every setting of the pathways changed at once, against the defaults, product by product; and a few alone on the operators that read them."""
+    table = materialise(tank(spark))
+    base = changed(("grid",), {"x_min": 0.0, "x_max": 11.0, "y_min": 0.0, "y_max": 11.0, "dx": 1.0, "dy": 1.0})
+    other = base | {
+        "directional": {"minimum_P_move": 0.3, "minimum_strength": 0.3, "maximum_step_direction_mismatch_degrees": 90.0, "maximum_neighbor_direction_difference_degrees": 10.0, "transverse_scale_grid": 2.0, "ridge_comparison_tolerance": 0.05, "ridge_plateau_tolerance": 0.5, "minimum_component_cells": 2},
+        "flux": {"percentile": 0.5, "ridge_field": "smoothed", "transverse_scale_grid": 2.0, "ridge_comparison_tolerance": 0.05},
+        "fronts": {"half_width_grid_scales": 3, "sampling_interval_grid_scales": 0.5, "core_refinement_grid_scales": 0.5},
+        "statistics": {"min_moving_support": 12},
+    }
+    one, two = (workflow.analyse(table, config.from_dict(v)) for v in (base, other))
+    for name in ("flux_cores", "flux_fronts", "directional_corridors", "directional_cores", "directional_fronts", "comparison"):
+        a, b = (sorted(map(str, getattr(x, name).collect())) for x in (one, two))
+        assert a != b, name
+    cells, cfg = one.statistics, config.from_dict(base)
+    grid, space = cfg.engine_grid, cfg.space
+    found = cells.filter("N_out_move >= 20")
+    edges = lambda **limits: directional.compatible_edges(found, grid, space, **limits).count()
+    assert edges(mismatch=90.0) > edges() and edges(difference=10.0) <= edges()
+    ridge_of = lambda **options: {r.cell_id: (r.core, r.threshold, r.orientation_reliable, r.orientation_ambiguous) for r in ridge.flux_ridge(cells, grid, space, 1, **options).collect()}
+    plain = ridge_of()
+    for option in ({"level": 0.5}, {"smoothed": True}, {"tie": 1.0}, {"reliable_r1": 1.5}, {"ambiguous_r1": 1.5}, {"policy": "two_sided_only", "scale": 3.0}):
+        assert ridge_of(**option) != plain, option
+
+
 def test_names():
-    assert naming.public_name("U_out_all_magnitude_rate", Space(unit="km"), "day") == "U_out_all_magnitude_km_per_day"
+    assert naming.public_name("U_out_all_magnitude_rate", Space(unit="km"), "day") == "U_out_all_magnitude_km_day"
     assert naming.public_name("mu_in_x", Space(True), "s") == "mu_in_east"
     assert naming.public_name("start_x_center", Space(True), "s") == "start_lon_center"
 
