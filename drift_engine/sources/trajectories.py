@@ -8,6 +8,8 @@ import json
 import os
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -54,8 +56,25 @@ def _read_parquet(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return spark.read.parquet(path).select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.row_index").alias("row_index"))
 
 
-def zarr_variable(root: str, name: str) -> tuple[np.ndarray, list[str], dict]:
-    """A variable of a Zarr version 2 directory: raw or zlib chunks, C order, no filters."""
+#: Values of each variable that one task reads at a time.
+SLAB_VALUES = 1 << 20
+
+
+@dataclass
+class Variable:
+    """A variable of an array file: its form, and a function that reads it between two places of its first dimension (of all, where it has none)."""
+
+    dims: list[str]
+    shape: tuple[int, ...]
+    dtype: np.dtype
+    attributes: dict
+    read: Callable[[int, int], np.ndarray]
+    #: places of the first dimension that are stored together
+    together: int = 1
+
+
+def zarr_variable(root: str, name: str) -> Variable:
+    """A variable of a Zarr version 2 directory: raw or zlib chunks, C order, no filters. Only chunks of the wanted places are opened."""
     meta = json.loads(Path(root, name, ".zarray").read_text())
     attributes = Path(root, name, ".zattrs")
     attributes = json.loads(attributes.read_text()) if attributes.exists() else {}
@@ -65,24 +84,31 @@ def zarr_variable(root: str, name: str) -> tuple[np.ndarray, list[str], dict]:
     shape, chunks, dtype = meta["shape"], meta["chunks"], np.dtype(meta["dtype"])
     fill = meta.get("fill_value")
     fill = np.nan if fill == "NaN" else (0 if fill is None else fill)
-    out = np.full(shape, fill, dtype)
-    for at in itertools.product(*[range(-(-n // c)) for n, c in zip(shape, chunks)]):
-        file = Path(root, name, meta.get("dimension_separator", ".").join(map(str, at)) or "0")
-        if file.exists():
-            raw = file.read_bytes()
-            block = np.frombuffer(zlib.decompress(raw, 47) if kind else raw, dtype).reshape(chunks)
-            place = tuple(slice(i * c, min((i + 1) * c, n)) for i, c, n in zip(at, chunks, shape))
-            out[place] = block[tuple(slice(0, s.stop - s.start) for s in place)]
-    return out, attributes.get("_ARRAY_DIMENSIONS", [f"dim_{i}" for i in range(len(shape))]), attributes
+
+    def read(first: int, last: int) -> np.ndarray:
+        if not shape:
+            first, last = 0, 1
+        whole = [slice(first, last), *[slice(0, n) for n in shape[1:]]][: len(shape)]
+        out = np.full([s.stop - s.start for s in whole], fill, dtype)
+        for at in itertools.product(*[range(s.start // c, -(-s.stop // c)) for s, c in zip(whole, chunks)]):
+            file = Path(root, name, meta.get("dimension_separator", ".").join(map(str, at)) or "0")
+            if file.exists():
+                raw = file.read_bytes()
+                block = np.frombuffer(zlib.decompress(raw, 47) if kind else raw, dtype).reshape(chunks)
+                both = [(max(i * c, s.start), min((i + 1) * c, s.stop)) for i, c, s in zip(at, chunks, whole)]
+                out[tuple(slice(lo - s.start, hi - s.start) for (lo, hi), s in zip(both, whole))] = block[tuple(slice(lo - i * c, hi - i * c) for (lo, hi), i, c in zip(both, at, chunks))]
+        return out
+
+    return Variable(attributes.get("_ARRAY_DIMENSIONS", [f"dim_{i}" for i in range(len(shape))]), tuple(shape), dtype, attributes, read, chunks[0] if chunks else 1)
 
 
 _NC_KINDS = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
 
-def netcdf_variables(path: str) -> tuple[dict[str, tuple[np.ndarray, list[str], dict]], dict[str, int]]:
-    """All variables of a classic NetCDF file (versions 1 and 2), and its dimensions."""
-    raw = Path(path).read_bytes()
-    if raw[:3] != b"CDF" or raw[3] not in (1, 2):
+def netcdf_variables(path: str) -> dict[str, Variable]:
+    """The variables of a classic NetCDF file (versions 1 and 2), mapped into memory: only what is read is loaded."""
+    raw = np.memmap(path, np.uint8, "r")
+    if bytes(raw[:3]) != b"CDF" or raw[3] not in (1, 2):
         raise ValueError("only the classic NetCDF format can be read")
     at = 4
 
@@ -95,7 +121,8 @@ def netcdf_variables(path: str) -> tuple[dict[str, tuple[np.ndarray, list[str],
         nonlocal at
         n = integer()
         at += -(-n // 4) * 4
-        return raw[at - -(-n // 4) * 4 :][:n].decode()
+        start = at - -(-n // 4) * 4
+        return bytes(raw[start : start + n]).decode()
 
     def attributes() -> dict:
         nonlocal at
@@ -123,39 +150,56 @@ def netcdf_variables(path: str) -> tuple[dict[str, tuple[np.ndarray, list[str],
         begin = struct.unpack_from(">q" if raw[3] == 2 else ">i", raw, at)[0]
         at += 8 if raw[3] == 2 else 4
         headers.append((key, ids, extra, np.dtype(_NC_KINDS[kind]), size, begin))
-    moving = [h for h in headers if h[1] and dims[h[1][0]][1] == 0]
-    stride = sum(h[4] for h in moving)
+    stride = sum(h[4] for h in headers if h[1] and dims[h[1][0]][1] == 0)
     out = {}
     for key, ids, extra, dtype, _, begin in headers:
-        shape = [dims[i][1] or records for i in ids]
-        if ids and dims[ids[0]][1] == 0:
-            n = int(np.prod(shape[1:]))
-            rows = [np.frombuffer(raw, dtype, n, begin + r * stride) for r in range(records)]
-            data = np.concatenate(rows) if rows else np.zeros(0, dtype)
-        else:
-            data = np.frombuffer(raw, dtype, int(np.prod(shape)), begin)
-        out[key] = data.reshape(shape), [dims[i][0] for i in ids], extra
-    return out, {n: s or records for n, s in dims}
+        shape = tuple(dims[i][1] or records for i in ids)
+        inner = np.cumprod([dtype.itemsize, *shape[:0:-1]])[::-1].tolist()
+        steps = (stride if ids and dims[ids[0]][1] == 0 else inner[0], *inner[1:]) if ids else ()
+        # A view of the file: rows of a record variable are a whole record apart.
+        view = np.ndarray(shape, dtype, raw, begin, steps) if all(shape) else np.zeros(shape, dtype)
+        out[key] = Variable([dims[i][0] for i in ids], shape, dtype, extra, lambda a, b, v=view: v[a:b] if v.ndim else v)
+    return out
 
 
-def flattened(variables: dict[str, tuple[np.ndarray, list[str], dict]], columns: list[str], x: str, y: str) -> pd.DataFrame:
-    """Mapped variables spread over the dimensions of x and y and laid out row by row; a bare dimension counts from 0."""
-    dims = max((variables[x][1], variables[y][1]), key=len)
-    if not set(variables[x][1]) <= set(dims) or not set(variables[y][1]) <= set(dims):
+def _array_variables(path: str, kind: str) -> dict[str, Variable]:
+    if kind == "zarr":
+        return {d.name: zarr_variable(path, d.name) for d in Path(path).iterdir() if (d / ".zarray").exists()}
+    return netcdf_variables(path)
+
+
+def _position_dims(variables: dict[str, Variable], x: str, y: str) -> dict[str, int]:
+    """The dimensions of the positions and their sizes: those of x or y, which must hold the other's."""
+    one = max((variables[x], variables[y]), key=lambda v: len(v.dims))
+    if not set(variables[x].dims) <= set(one.dims) or not set(variables[y].dims) <= set(one.dims):
         raise ValueError(f"{x} and {y} do not share dimensions")
-    sizes = dict(zip(dims, variables[x if variables[x][1] == dims else y][0].shape))
+    return dict(zip(one.dims, one.shape))
+
+
+def flattened(variables: dict[str, Variable], columns: list[str], x: str, y: str, first: int = 0, last: int | None = None) -> pd.DataFrame:
+    """Mapped variables spread over the dimensions of x and y and laid out row by row, between two places of the first of them; a bare dimension counts from 0."""
+    sizes = _position_dims(variables, x, y)
+    dims = list(sizes)
+    last = sizes[dims[0]] if last is None else last
+    here = sizes | {dims[0]: last - first}
     out = {}
     for c in columns:
         if c in variables:
-            data, own, extra = variables[c]
+            v = variables[c]
+            own, extra = v.dims, v.attributes
+            if not set(own) <= set(dims):
+                raise ValueError(f"{c} has a dimension that positions do not have")
+            if own and own[0] == dims[0]:
+                data = v.read(first, last)
+            else:
+                data = v.read(0, v.shape[0] if own else 1)
+                data = np.take(data, range(first, last), own.index(dims[0])) if dims[0] in own else data
         elif c in sizes:
-            data, own, extra = np.arange(sizes[c]), [c], {}
+            data, own, extra = np.arange(first, last) if c == dims[0] else np.arange(sizes[c]), [c], {}
         else:
             raise ValueError(f"no variable {c}")
-        if not set(own) <= set(dims):
-            raise ValueError(f"{c} has a dimension that positions do not have")
         data = np.transpose(data, [own.index(d) for d in dims if d in own])
-        data = np.broadcast_to(data.reshape([sizes[d] if d in own else 1 for d in dims]), list(sizes.values())).ravel()
+        data = np.broadcast_to(data.reshape([here[d] if d in own else 1 for d in dims]), list(here.values())).ravel()
         units = str(extra.get("units", ""))
         if " since " in units:
             if extra.get("calendar", "standard") not in ("standard", "gregorian", "proleptic_gregorian"):
@@ -168,27 +212,34 @@ def flattened(variables: dict[str, tuple[np.ndarray, list[str], dict]], columns:
     return pd.DataFrame(out)
 
 
-def _array_frame(path: str, kind: str, columns: list[str], x: str, y: str) -> pd.DataFrame:
-    if kind == "zarr":
-        named = {d.name for d in Path(path).iterdir() if (d / ".zarray").exists()}
-        variables = {c: zarr_variable(path, c) for c in {*columns, x, y} & named}
-    else:
-        variables, _ = netcdf_variables(path)
-    return flattened(variables, columns, x, y)
-
-
 def _read_array(spark: SparkSession, path: str, columns: list[str], kind: str, x: str, y: str) -> DataFrame:
-    """Array files are opened on an executor, so their path must be one that it can open."""
-    sample = _array_frame(path, kind, columns, x, y).head(1)
-    ddl = ", ".join(f"`{c}` {'timestamp' if str(t).startswith('datetime') else 'string' if t == object or t.kind in 'SU' else 'double'}" for c, t in sample.dtypes.items()) + ", row_index long"
-
-    def rows(batches):
+    """An array file, part by part along the first dimension of its positions; types come from its headers. Executors must be able to open the path."""
+    variables = _array_variables(path, kind)
+    sizes = _position_dims(variables, x, y)
+    rows, row = next(iter(sizes.values())), int(np.prod(list(sizes.values())[1:], dtype=np.int64))
+    together = max(v.together for c, v in variables.items() if c in {*columns, x, y})
+    slab = max(1, SLAB_VALUES // max(row, 1))
+    slab = -(-slab // together) * together
+    flattened(variables, columns, x, y, 0, 0)  # raises for what cannot be read
+
+    def ddl(c: str) -> str:
+        v = variables.get(c)
+        if v is not None and " since " in str(v.attributes.get("units", "")):
+            return f"`{c}` timestamp"
+        return f"`{c}` {'string' if v is not None and v.dtype.kind in 'SUO' else 'double'}"
+
+    def read(batches):
+        known = None
         for batch in batches:
-            for p in batch["path"]:
-                frame = _array_frame(p, kind, columns, x, y)
-                yield frame.astype({c: float for c, t in frame.dtypes.items() if getattr(t, "kind", "M") in "iuf"}).assign(row_index=np.arange(len(frame)))
-
-    return spark.createDataFrame([(path,)], "path string").mapInPandas(rows, ddl)
+            for first, last in zip(batch["first"], batch["last"]):
+                known = known or _array_variables(path, kind)
+                frame = flattened(known, columns, x, y, first, last)
+                frame = frame.astype({c: float for c, t in frame.dtypes.items() if getattr(t, "kind", "M") in "iuf"})
+                yield frame.assign(row_index=np.arange(len(frame)) + first * row)
+
+    parts = [(a, min(a + slab, rows)) for a in range(0, rows, slab)]
+    table = spark.createDataFrame(parts or [(0, 0)], "first long, last long").repartition(max(1, len(parts)))
+    return table.mapInPandas(read, ", ".join(map(ddl, columns)) + ", row_index long")
 
 
 #: Further formats: name -> function(spark, path, columns) that returns the columns and row_index.
