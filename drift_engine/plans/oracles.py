@@ -680,3 +680,4 @@ gmu AS (SELECT sid AS cell_id, sqrt(pow(sum(CASE WHEN sid <> eid THEN n * d * si
 gin AS (SELECT eid AS cell_id, sum(n * sin(radians(arr))) / sum(n) AS s1, sum(n * cos(radians(arr))) / sum(n) AS c1 FROM gl WHERE sid <> eid GROUP BY eid)""",
     f"""SELECT i.cell_id, coalesce(m.nm, 0)::BIGINT AS "N_out_move", round(least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)), 6) AS "R1_out", round({bearing('o.s1', 'o.c1')}, 6) AS theta1_out, round(u.mag, 6) AS mu_out_all_magnitude, round(cos(radians({bearing('o.s1', 'o.c1')} - ({bearing('a.s1', 'a.c1')}))), 6) AS "A_io" FROM gids i LEFT JOIN gmove m ON m.cell_id = i.cell_id LEFT JOIN gout o ON o.cell_id = i.cell_id LEFT JOIN gmu u ON u.cell_id = i.cell_id LEFT JOIN gin a ON a.cell_id = i.cell_id""",
 )
+ORACLES["src_on_map"] = "SELECT event_id, " + r6(lon="value * 9 + 180 - 360 * floor((value * 9 + 180) / 360) - 180", lat="value - 50.0") + " FROM events WHERE event_id % 13 <> 0 AND value IS NOT NULL"

@@ -9,7 +9,7 @@ from drift_engine.functions import angles, geodesy
 from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
 from drift_engine.plans.oracles import GAP, ORACLES
-from drift_engine.sources import naming
+from drift_engine.sources import auxiliary, naming
 
 QUERIES: dict = {}
 
@@ -648,6 +648,14 @@ def plt_dateline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.dateline_parts(lines).groupBy("line", "part").agg(F.count("*").alias("points")).select("line", F.col("part").cast("long"), "points")
 
 
+@query
+def src_on_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lon = F.when(F.pmod("event_id", F.lit(13)) == 0, float("nan")).otherwise(F.col("value") * 9)
+    rows = e.select("event_id", lon.alias("lon"), (F.col("value") - 50.0).alias("lat"))
+    return auxiliary.on_map(rows).select("event_id", *r6("lon", "lat"))
+
+
 NAMES = ("start_x_bin", "x_bin", "core_x", "front_y", "centroid_x", "x_span", "U_out_all_x_rate", "U_out_all_magnitude_rate", "D_out_all_y", "mu_in_x", "distance_from_core_length", "integrated_ridge_strength_area_rate", "drop_slope_rate_per_length", "U_inner", "U_core", "absolute_drop", "absolute_directional_drop", "profile_total_variation_raw", "spearman_flux_loss_vs_abs_G_perp", "abs_G_perp_at_flank", "F_perp_gradient_at_flank", "flank_to_core_abs_G_perp_ratio", "grid_x_scale_length", "S_flux", "refined_core_x", "theta_mu_out", "transverse_left_y")
 
 

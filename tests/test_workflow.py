@@ -11,7 +11,7 @@ import yaml
 from drift_engine.functions.geodesy import Space
 from drift_engine.operators import directional, matrix, ridge
 from drift_engine.plans import config, queries, workflow
-from drift_engine.sources import naming, trajectories
+from drift_engine.sources import auxiliary, naming, trajectories
 from drift_engine.storage import materialise
 from test_tank import tank
 
@@ -142,6 +142,19 @@ def test_arrays_are_read_in_parts(spark, tmp_path, monkeypatch):
         assert rows == [(k, float(k // 5), t[k % 5], float(x.ravel()[k]), float(y.ravel()[k])) for k in range(40)]
 
 
+def test_auxiliary_readers(spark, tmp_path):
+    lat, lon, field = np.arange(3.0), np.array([170.0, 190.0]), np.arange(6.0).reshape(3, 2)
+    line = np.array([179.0, 181.0, np.nan])
+    write_netcdf(tmp_path / "m.nc", {"lat": 3, "lon": 2, "n": 3}, {"lat": (lat, ["lat"]), "lon": (lon, ["lon"]), "temp": (field, ["lat", "lon"]), "LonA": (line, ["n"]), "LatA": (lat, ["n"])})
+    got = sorted((r.lat, r.lon, r.value) for r in auxiliary.gridded_field(spark, str(tmp_path / "m.nc"), "temp").collect())
+    assert got == [(float(i), lon[j], float(2 * i + j)) for i in range(3) for j in range(2)]
+    found = auxiliary.polylines(spark, str(tmp_path / "m.nc"), {"A": ("LonA", "LatA")}).orderBy("place").collect()
+    assert [(r.line, r.lon, r.lat) for r in found] == [("A", 179.0, 0.0), ("A", -179.0, 1.0)]
+    for wrong in (lambda: auxiliary.gridded_field(spark, str(tmp_path / "m.nc"), "salt"), lambda: auxiliary.gridded_field(spark, str(tmp_path / "m.nc"), "LonA"), lambda: auxiliary.polylines(spark, str(tmp_path / "m.nc"), {"B": ("LonB", "LatB")})):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_load_equals_compute(spark, tmp_path):
     spark.createDataFrame(frame(), "track string, t double, X double, Y double").toPandas().to_csv(tmp_path / "t.csv", index=False)
     more = {"run_validation": True, "write_debug_outputs": True, "plotting": {"enabled": True, "vector_stride_cells": 2}, "analysis_version": "v7"}
