@@ -7,7 +7,7 @@ import contextlib
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,9 @@ from drift_engine.session import ship_package
 #: A side is broadcast only when its counted rows stay under this.
 BROADCAST_ROWS = 200_000
 
+#: Rows whose values one window adds up.
+RUN_ROWS = 100_000
+
 #: Rows of texts and bytes that go to a Python worker at once.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -81,6 +84,22 @@ def global_rank(df: DataFrame, order: list, rank: str = "rank", name: str = "ran
     )
 
 
+def running_total(df: DataFrame, key: str, value: str, total: str = "before", name: str = "running") -> DataFrame:
+    """df (one row a key) with `place`, its 0-based position by key, and `total`, the sum of `value` over all rows before it.
+
+    One range shuffle sorts; sums run inside each part, and the driver adds up one sum a part.
+    """
+    ranked = materialise(global_rank(df, [F.col(key)], "place", name).withColumn("_chunk", F.floor(F.col("place") / RUN_ROWS)), name)
+    within = Window.partitionBy("_chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    bases, start = [], 0
+    for r in ranked.groupBy("_chunk").agg(F.sum(value).alias("s")).orderBy("_chunk").collect():
+        bases.append((r["_chunk"], start))
+        start += r["s"] or 0
+    base = df.sparkSession.createDataFrame(bases, "_chunk long, _base long")
+    out = ranked.withColumn(total, F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(base), "_chunk")
+    return out.withColumn(total, F.col(total) + F.col("_base")).drop("_chunk", "_base")
+
+
 def source_key(column="source"):
     """A string that orders as the source by code point, null last."""
     c = F.col(column).cast("string")

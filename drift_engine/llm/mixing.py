@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drift_engine.llm.common import keyed, materialise, small, source_key, with_word_count
+from drift_engine.llm.common import global_rank, keyed, materialise, small, source_key, with_word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -44,10 +44,10 @@ def water_level(sources: DataFrame, budget: float) -> float:
 
 def source_targets(sized: DataFrame, key: str, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """One row per source: source_size, cap, weight, target. Weights repeat over the sources by code point."""
-    table = sized.groupBy(key).agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(key)) - 1) % len(weights)
+    table = global_rank(sized.groupBy(key).agg(F.sum("size").alias("source_size")), [F.col(key)], "_turn", "mix-order")
+    turn = F.col("_turn") % len(weights)
     table = table.withColumn("weight", F.array(*[F.lit(float(w)) for w in weights])[turn.cast("int")])
-    table = materialise(table.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))), "mix-sources")
+    table = materialise(table.drop("_turn").withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))), "mix-sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(table, share * float(total))
     return table.withColumn("target", F.least("cap", F.col("weight") * F.lit(level)))
@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
 
     Null text: size 0, takes nothing. Null source: a source of its own, last. Rows
     repeated with the same doc_id count each for itself. An empty table gives an
-    empty result. Extra columns stay.
+    empty result. Other columns are not read and don't stay: the result has doc_id, _key,
+    _row and the columns named first.
     """
     docs = docs.withColumn("_key", source_key())
     sized = materialise(with_word_count(docs.select("doc_id", "_key", "text")).drop("text").withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
@@ -116,6 +117,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     document is in the partial pass follows from its bucket and its source's row, but
     for the one bucket of each source in which the target falls; that one's documents
     are joined by their key.
+
+    Null and empty texts, and texts without a word, are never taken. Null source: a
+    source of its own. Repeated rows count each for itself. An empty table gives none.
+    Extra columns stay, whatever their names.
     """
 
     @F.pandas_udf(T.StringType())

@@ -219,6 +219,10 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     Texts are read and measured a second time rather than shuffled: the first pass keeps
     two keys and a number a row, and only site sums are joined to the second.
+
+    Rows as assess() keeps them, in every case named there: a null or empty text is
+    assessed by the empty text's features, repeated rows alike, an empty table gives
+    none. Extra columns stay, whatever their names.
     """
     model = fit(docs, labels)
     rows = docs.select(F.struct("*").alias("_doc"), source_key("source").alias("host"), source_key("lang").alias("path"), log_odds(model, F.col("text")).alias("odds"))

@@ -156,6 +156,10 @@ def kept_documents(docs: DataFrame, least_documents: int = LINE_DOCUMENTS, share
     Texts are read a second time rather than shuffled. The frequent lines go to every
     worker where their counted number allows it; else each document's lines of its host
     are joined to it by host and line.
+
+    Rows as judge() keeps them, in every case named there: null and empty texts have too
+    few words and go, repeated rows are judged alike and each stays or goes, an empty
+    table gives none. Extra columns stay, whatever their names.
     """
     frequent = frequent_lines(_line_table(docs), least_documents, share)
     rows = docs.select(F.struct("*").alias("_doc"), source_key().alias("_key"))

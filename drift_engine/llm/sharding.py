@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drift_engine.llm.common import global_rank, materialise, source_key
+from drift_engine.llm.common import global_rank, materialise, running_total, small, source_key
 
 SHARDS = 40
 BITS = 6
-#: More distinct categories than this are quantised by hash instead of by order.
-MOST_CATEGORIES = 50_000
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -61,20 +59,15 @@ def quantised(df: DataFrame, numeric: list[str], bits: int) -> DataFrame:
 def ordered_category(df: DataFrame, key: str, name: str, bits: int) -> DataFrame:
     """df with q_<name>: the key's place by code point, spread by row count over 2 ** bits cells.
 
-    Up to MOST_CATEGORIES keys are broadcast, their number being counted first; beyond
-    that a hash takes the place of the order.
+    Up to 2 ** bits keys each have cells of their own. Places are made by a distributed
+    sort, and joined by broadcast or by shuffle as the counted number of keys allows.
     """
     cells = 1 << bits
-    groups = df.groupBy(key).agg(F.count("*").alias("_n"))
-    kinds = groups.count()
-    if kinds > MOST_CATEGORIES:
-        return df.withColumn(f"q_{name}", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"))
-    upto = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(Window.partitionBy())
-    ordinal = F.row_number().over(Window.orderBy(key)) - 1
-    place = F.floor(F.coalesce(F.sum("_n").over(upto), F.lit(0)) * cells / total) if kinds > cells else ordinal * (cells // max(kinds, 1))
-    groups = groups.withColumn(f"q_{name}", place.cast("int")).drop("_n")
-    return df.join(F.broadcast(groups), key)
+    groups = running_total(df.groupBy(key).agg(F.count("*").alias("_n")), key, "_n", "_before", f"shard-{name}")
+    r = groups.agg(F.count("*").alias("kinds"), F.sum("_n").alias("rows")).first()
+    place = F.floor(F.col("_before") * F.lit(cells) / F.lit(max(r["rows"] or 0, 1))) if r["kinds"] > cells else F.col("place") * (cells // max(r["kinds"], 1))
+    groups = groups.select(key, place.cast("int").alias(f"q_{name}"))
+    return df.join(small(groups, r["kinds"]), key)
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:

@@ -376,6 +376,37 @@ def test_sharding(name, request):
     assert (got.sort_values(["shard", "slot"]).hilbert.diff().fillna(0) >= 0).all()
 
 
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_sharding_quantisation(documents, monkeypatch, broadcast):
+    """The curve's coordinates by plain sorting: text size among 64 quantiles, source and lang by code point over rows."""
+    monkeypatch.setattr("drift_engine.llm.common.BROADCAST_ROWS", broadcast)
+    rows = documents.select("doc_id", "text", "source", "lang").collect()
+    size = {r.doc_id: len((r.text or "").encode()) + 16 for r in rows}
+    ordered = sorted(size.values())
+    cuts = sorted({ordered[max(0, -(-len(ordered) * i // 64) - 1)] for i in range(1, 64)})
+    key = lambda v: (v is None, (v or "").encode())
+
+    def places(values):
+        kinds, counts = sorted(set(values), key=key), Counter(values)
+        if len(kinds) <= 64:
+            return {k: i * (64 // len(kinds)) for i, k in enumerate(kinds)}
+        before = np.cumsum([0, *[counts[k] for k in kinds]])
+        return {k: int(b * 64 // len(values)) for k, b in zip(kinds, before)}
+
+    source, lang = places([r.source for r in rows]), places([r.lang for r in rows])
+    want = {r.doc_id: int(sharding.hilbert_index(np.array([[source[r.source], lang[r.lang], sum(size[r.doc_id] >= c for c in cuts)]]), 6)[0]) for r in rows}
+    assert {r.doc_id: r.hilbert for r in sharding.hilbert_shards(documents).collect()} == want
+
+
+def test_running_total(spark, monkeypatch):
+    monkeypatch.setattr("drift_engine.llm.common.RUN_ROWS", 7)
+    from drift_engine.llm.common import running_total
+
+    df = spark.createDataFrame([(f"k{i:03d}", i * i) for i in range(100)], "key string, n long")
+    got = sorted((r.key, r.place, r.before) for r in running_total(df, "key", "n").collect())
+    assert got == [(f"k{i:03d}", i, sum(k * k for k in range(i))) for i in range(100)]
+
+
 def test_hilbert_curve():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
@@ -558,6 +589,39 @@ def test_quality_shrinkage(spark):
     assert p["0bad"] < 0.2 < 0.4 < p["0rare"] < 0.6 < p["0good"]
 
 
+def test_quality_posterior(spark):
+    """Rates, pseudo-counts and posteriors against plain sums, each document left out of its own site."""
+    rng = np.random.default_rng(4)
+    rows = [(f"0h{h}", f"0p{p}", float(rng.normal(2 * (h % 3) - 2 + 0.5 * (p % 2), 1.5)), i) for i, (h, p) in enumerate((int(rng.integers(0, 9)), int(rng.integers(0, 3))) for _ in range(400))]
+    rows += [("1", "0only", 1.0, 1000)]
+    df = spark.createDataFrame(rows, "host string, path string, odds double, id long")
+    rates = quality_model.site_rates(df)
+    got = {r.id: r for r in quality_model.with_posterior(df, rates).collect()}
+    p = {i: 1 / (1 + np.exp(-o)) for _, _, o, i in rows}
+    prior = (sum(p.values()) + 0.5) / (len(rows) + 1)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, q, _, i in rows:
+        hosts[h].append(p[i])
+        paths[h, q].append(p[i])
+
+    def count(sites):  # (values, parent's rate) of each site
+        many = [(v, m) for v, m in sites if len(v) > 1]
+        spread = sum(len(v) * (np.mean(v) - m) ** 2 for v, m in many)
+        noise = sum(m * (1 - m) for _, m in many)
+        ratio = max(0.0, (spread - noise) / sum((len(v) - 1) * m * (1 - m) for v, m in many))
+        return min(1e6, max(1.0, (1 - ratio) / ratio)) if ratio else 1e6
+
+    a = count([(v, prior) for v in hosts.values()])
+    drawn = {h: (sum(v) + a * prior) / (len(v) + a) for h, v in hosts.items()}
+    b = count([(v, drawn[h]) for (h, _), v in paths.items()])
+    assert (rates.prior, rates.host_count, rates.path_count) == pytest.approx((prior, a, b))
+    for h, q, odds, i in rows:
+        host = (sum(hosts[h]) - p[i] + a * prior) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, q]) - p[i] + b * host) / (len(paths[h, q]) - 1 + b)
+        want = odds + np.log(path / (1 - path)) - np.log(prior / (1 - prior))
+        assert (got[i].p_host, got[i].p_path, got[i].posterior) == pytest.approx((host, path, 1 / (1 + np.exp(-want))))
+
+
 def test_quality_odd(odd, nothing, labels):
     assert quality_model.assess(odd, labels).count() == odd.count()
     assert quality_model.assess(nothing, labels).count() == 0
@@ -628,6 +692,49 @@ def test_quality_rules_count_documents(spark):
     assert left == {d: own(d % 20) if d < 40 else t for d, t, _ in rows}
 
 
+def test_long_varied_texts(spark, labels):
+    """Texts of some megabytes whose words all differ, in one line and in many."""
+    words = [f"w{i:x}y" for i in range(300_000)]
+    rows = [(1, " ".join(words), "en", "a"), (2, "\n".join(" ".join(words[i : i + 10]) for i in range(0, len(words), 10)), "en", "a"), (3, "short text here", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near == {1: (299_996, 1), 2: (299_996, 1), 3: (1, 3)}
+    rules = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality_rules.judge(docs).collect()}
+    assert rules == {1: (300_000, 0, True), 2: (300_000, 0, True), 3: (3, 0, False)}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert got[1].n_chars == len(rows[0][1]) and got[1].near_next > 0.9 and got[1].fingerprint == "".join(f"{x:016x}" for x in plain_fingerprint(rows[0][1]))
+    out = packing.pack(docs).toPandas()
+    assert out.length.max() <= 1024 and set(out.doc_id) == {1, 2, 3}
+    assert toxicity.toxicity(docs, labels.filter("false")).count() == 3 and token_counts.section_counts(docs).count() == 30_002
+
+
+def test_hot_bucket_of_many_groups(spark):
+    """A bucket of one large group and many strangers: each stranger meets all others, the group's rows don't meet each other."""
+    rng = np.random.default_rng(11)
+    nodes, regs = 900, rng.integers(0, 2**15, 256).astype(np.uint16)
+    own = np.tile(regs, (nodes, 1))
+    component = np.where(np.arange(nodes) < 600, 0, np.arange(nodes))
+    for k in range(600, nodes):
+        own[k, rng.choice(256, 40, replace=False)] = rng.integers(0, 2**15, 40)
+    text = lambda k: " ".join(f"w{i}" if k < 600 or i != k % 40 else f"x{k}" for i in range(400))
+    docs = spark.createDataFrame([(k, text(k) + f" end{k}") for k in range(nodes)], "doc_id long, text string")
+    sets = [near_dedup.shingle_set(text(k) + f" end{k}") for k in range(nodes)]
+    table = spark.createDataFrame([(k, k, len(sets[k]), near_dedup._set_key(sets[k]), own[k].tobytes()) for k in range(nodes)], "node long, doc_id long, n_shingles long, set_key binary, registers binary")
+    labels = spark.createDataFrame([(k, 0) for k in range(600)], "node long, component long")
+    rows = spark.createDataFrame([(7, k) for k in range(nodes)], "band long, node long")
+    links = {(r.a, r.b) for r in near_dedup._rest(rows, table, labels, docs, 80).collect()}
+    up = component.tolist()
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert len({root(k) for k in range(nodes)}) == 1 and not any(a < 600 and b < 600 for a, b in links)
+
+
 def test_empty_tables(nothing):
     assert packing.pack(nothing).count() == 0
     assert token_counts.section_counts(nothing).count() == 0

@@ -59,3 +59,24 @@ def test_near_stage_against_its_operator(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = sorted(r.doc_id for r in near_dedup.near_duplicates(docs, percent=80).filter("kept").collect())
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeats, columns with the stages' own names; and no rows at all."""
+    body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and more"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, body, None, None, None), (4, body, "en", "a", 9), (4, body, "en", "a", 9), (5, body + " x\n" + body[::-1], "de", "b", 9), (6, "x", "en", "\U0001f600", 1)]
+    rows += [(20 + i, f"{body} {'abcdefgh'[i % 8] * (3 + i)}", "en", "c", 9) for i in range(9)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, size long, _row long, _file string, component long, host string, part int, `x.y` string"
+    docs = materialise(spark.createDataFrame([(*r, 1, 2, "f", 3, "h", 4, "z") for r in rows], ddl), "odd")
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialise(stage(spark, docs, SF), "test")
+        none = stage(spark, docs.filter("false"), SF)
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert {r["x.y"] for r in out.collect()} <= {"z"}
+        assert out.count() or name in ("quality_classifier", "quality_rules")
+    again = docs.filter("doc_id >= 20")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        again = materialise(stage(spark, again, SF), "test")
+    assert again.count() > 0
