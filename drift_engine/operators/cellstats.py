@@ -240,6 +240,40 @@ def moment_identities(cells: DataFrame) -> DataFrame:
     return cells.filter("N_out_total > 0").agg(residual("x").alias("x_residual"), residual("y").alias("y_residual"), most(retained - p).alias("retained_less_P_move"))
 
 
+def outgoing_summary(cells: DataFrame, primary: int, sensitivity: int | None = None, high_r1: float = 0.8, low_r1: float = 0.5, high_r2: float = 0.8, split_r1: tuple[float, float] = (0.4, 0.85), split_r2: float = 0.3, large: float = 30.0) -> DataFrame:
+    """One row of counters on outgoing statistics, and three rank correlations over supported cells. Raises if no cell has a moving link.
+
+    cells: of cell_statistics() with strong_flags().
+    """
+    sensitivity = primary if sensitivity is None else sensitivity
+    if cells.filter("N_out_move > 0").isEmpty():
+        raise ValueError("no link moves")
+    c = F.col
+    first = c("N_out_move") >= primary
+    strong = c("strong") & first
+    known = {"R1_out": "R1_out", "theta1_out": "theta1_out", "R2_out": "R2_out", "theta2_out": "theta2_out", "entropy": "H_out", "delta_theta_mu1_out": "delta_theta_mu1_out"}
+    flags = {
+        "primary_cells": first,
+        "sensitivity_cells": c("N_out_move") >= sensitivity,
+        "strong_primary": strong,
+        "strong_high_R1": strong & (c("R1_out") >= high_r1),
+        "strong_below_high_R1": strong & (c("R1_out") < high_r1),
+        "strong_large_difference": strong & (c("delta_theta_mu1_out") >= large),
+        "high_R2_low_R1": first & (c("R2_out") >= high_r2) & (c("R1_out") <= low_r1),
+        "candidate_split": first & c("R1_out").between(*split_r1) & (c("R2_out") <= split_r2),
+    }
+    out = cells.agg(*[F.count(v).alias(f"cells_with_{k}") for k, v in known.items()], *[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in flags.items()])
+    for name, a, b in (("spearman_flux_R1", "U_out_all_magnitude_rate", "R1_out"), ("spearman_difference_distance_ratio", "delta_theta_mu1_out", "distance_max_over_mean"), ("spearman_difference_leverage", "delta_theta_mu1_out", "longest_leverage")):
+        out = out.crossJoin(F.broadcast(spearman(cells.filter(first), a, b).select(c("correlation").alias(name))))
+    return out
+
+
+def harmonic_residuals(cells: DataFrame) -> DataFrame:
+    """One row: how far the incoming and outgoing resultants are from the size of their harmonics, which must not be 1e-12 or more."""
+    size = lambda s: F.hypot(f"M1_{s}_real", f"M1_{s}_imag")
+    return cells.agg(*[F.max(F.abs(F.col(f"R1_{s}") - F.least(F.lit(1.0), size(s)))).alias(f"R1_{s}_residual") for s in ("out", "in")])
+
+
 def alignment_summary(cells: DataFrame, primary: int, sensitivity: int | None = None, high_r1: float = 0.8, low_r1: float = 0.5, poor: float = 0.0) -> DataFrame:
     """One row of counters on incoming statistics and alignment, with the rank correlation and spread of both cosines over jointly supported cells.
 

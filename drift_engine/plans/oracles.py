@@ -681,3 +681,42 @@ gin AS (SELECT eid AS cell_id, sum(n * sin(radians(arr))) / sum(n) AS s1, sum(n
     f"""SELECT i.cell_id, coalesce(m.nm, 0)::BIGINT AS "N_out_move", round(least(1, sqrt(o.s1 * o.s1 + o.c1 * o.c1)), 6) AS "R1_out", round({bearing('o.s1', 'o.c1')}, 6) AS theta1_out, round(u.mag, 6) AS mu_out_all_magnitude, round(cos(radians({bearing('o.s1', 'o.c1')} - ({bearing('a.s1', 'a.c1')}))), 6) AS "A_io" FROM gids i LEFT JOIN gmove m ON m.cell_id = i.cell_id LEFT JOIN gout o ON o.cell_id = i.cell_id LEFT JOIN gmu u ON u.cell_id = i.cell_id LEFT JOIN gin a ON a.cell_id = i.cell_id""",
 )
 ORACLES["src_on_map"] = "SELECT event_id, " + r6(lon="value * 9 + 180 - 360 * floor((value * 9 + 180) / 360) - 180", lat="value - 50.0") + " FROM events WHERE event_id % 13 <> 0 AND value IS NOT NULL"
+_R9 = lambda e: f"round({e}, 9)"
+_SUPR = "(SELECT t.*, round(u * 1000, 9) AS u9, round(r1, 9) AS r9, round(dmo, 9) AS d9, round(o.dmax / o.dm, 9) AS x9, round(o.lever / o.dm, 9) AS l9 FROM turned t LEFT JOIN outgoing o ON o.cell_id = t.cell_id WHERE n_move >= 3)"
+_RHO = lambda a, b: f"(SELECT round(corr(ra, rb), 6) FROM (SELECT {_RANK.format(a)} AS ra, {_RANK.format(b)} AS rb FROM {_SUPR} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
+ORACLES["s2_summary"] = text(
+    TURNS,
+    'SELECT count(r1) AS "cells_with_R1_out", count(th) AS cells_with_theta1_out, count(r2) AS "cells_with_R2_out", count(CASE WHEN r2 > 1e-12 THEN 1 END) AS cells_with_theta2_out, count(r1) AS cells_with_entropy, count(dmo) AS cells_with_delta_theta_mu1_out, '
+    + tally(primary_cells="n_move >= 3", sensitivity_cells="n_move >= 5", strong_primary="strong AND n_move >= 3", strong_high_R1="strong AND n_move >= 3 AND r1 >= 0.5", strong_below_high_R1="strong AND n_move >= 3 AND r1 < 0.5", strong_large_difference="strong AND n_move >= 3 AND dmo >= 30", high_R2_low_R1="n_move >= 3 AND r2 >= 0.5 AND r1 <= 0.3", candidate_split="n_move >= 3 AND r1 BETWEEN 0.4 AND 0.85 AND r2 <= 0.3")
+    + f', {_RHO("u9", "r9")} AS "spearman_flux_R1", {_RHO("d9", "x9")} AS spearman_difference_distance_ratio, {_RHO("d9", "l9")} AS spearman_difference_leverage FROM turned',
+)
+ORACLES["s3_residuals"] = 'SELECT 0.0::DOUBLE AS "R1_out_residual", 0.0::DOUBLE AS "R1_in_residual"'
+ORACLES["s3_entropy"] = text(MOVES + f", b AS (SELECT eid, {_BIN} AS b, sum(q) AS q FROM moves GROUP BY ALL)", "SELECT eid AS cell_id, " + r6(H_in="-sum(q * ln(q)) / ln(36)", effective_bins_in="exp(-sum(q * ln(q)))") + ", count(*) AS occupied_bins_in FROM b GROUP BY eid")
+_EVAL = "CASE WHEN lv IS NOT NULL AND rv IS NOT NULL THEN 'two_sided_evaluable' WHEN lv IS NOT NULL THEN 'one_sided_evaluable_left' WHEN rv IS NOT NULL THEN 'one_sided_evaluable_right' ELSE 'no_transverse_side_evaluable' END"
+_LABELS = RIDGE + f""", lab AS (SELECT r.*, s.tm, s.u, s.r1, {apart('s.tm', 's.th')} AS dmo, {_TYPE.format(chr(39) + 'x' + chr(39))} AS t, {_MISS} AS ms, le OR re AS edge, (lv IS NULL AND NOT le) OR (rv IS NULL AND NOT re) AS lost FROM fl_r r JOIN sup s ON s.cell_id = r.cell_id),
+lab2 AS (SELECT *, tm IS NOT NULL AND ms NOT IN ('none', 'left', 'right') AND NOT edge AND NOT lost AS bad, u >= (SELECT quantile_cont(u, 0.9) FROM sup) AS high FROM lab)"""
+ORACLES["rdg_labels"] = text(
+    _LABELS,
+    f"""SELECT cell_id, {_EVAL} AS evaluability, CASE t WHEN 'two_sided' THEN 'two_sided_branch_core' WHEN 'one_sided' THEN 'one_sided_branch_core' ELSE 'not_branch_core' END AS observability, CASE WHEN t = 'two_sided' THEN 'both_sides_observable' WHEN t = 'one_sided' AND ms = 'left' THEN 'left_flank_not_observable' WHEN t = 'one_sided' THEN 'right_flank_not_observable' ELSE 'not_branch_core' END AS flank_observability,
+ CASE WHEN t = 'two_sided' THEN 'two_sided_transverse_ridge_candidate' WHEN t = 'one_sided' THEN 'one_sided_transverse_ridge_candidate' WHEN tm IS NULL THEN 'theta_mu_out_undefined' WHEN edge THEN 'analysis_domain_boundary' WHEN lost THEN 'transverse_sample_unsupported_or_missing' WHEN bad THEN 'interpolation_not_defensible' ELSE 'evaluated_not_transverse_maximum' END AS reason,
+ tm IS NULL AS reason_theta_mu_out_undefined, edge AS reason_transverse_domain_boundary, lost AS reason_transverse_sample_unsupported_or_missing, bad AS reason_interpolation_not_defensible, coalesce(r1 >= 0.8, FALSE) AND coalesce(dmo <= 20, FALSE) AND tm IS NOT NULL AS orientation_reliable, coalesce(r1 < 0.5, FALSE) OR tm IS NULL AS orientation_ambiguous, t <> 'x' AND high AS core, t = 'two_sided' AND high AS core_two_sided, t = 'one_sided' AND high AS core_one_sided, """
+    + r6(C_perp_normalized="(v - (lv + rv) / 2) / v", C_perp_one_sided_normalized="CASE WHEN (lv IS NULL) <> (rv IS NULL) THEN (v - coalesce(lv, rv)) / v END", C_perp="(v - (lv + rv) / 2) * 1000", C_perp_one_sided="CASE WHEN (lv IS NULL) <> (rv IS NULL) THEN (v - coalesce(lv, rv)) * 1000 END")
+    + " FROM lab2",
+)
+_SMOOTH = STATS.replace("sup AS (SELECT * FROM stats WHERE n_move >= 3)", f"sup0 AS (SELECT * FROM stats WHERE n_move >= 3), sup AS (SELECT a.*, (SELECT avg(b.u) FROM sup0 b WHERE {_NEAR}) AS s0 FROM sup0 a)") + _SIDE.format(n="fl", v="s0", t="tm", src="sup", f="s0")
+ORACLES["rdg_smoothed"] = text(
+    _SMOOTH + f", lab AS (SELECT r.*, s.tm, {_TYPE.format(chr(39) + 'not_ridge' + chr(39))} AS t, {_MISS} AS ms, le OR re AS edge, (lv IS NULL AND NOT le) OR (rv IS NULL AND NOT re) AS lost, (SELECT quantile_cont(s0, 0.9) FROM sup) AS cut FROM fl_r r JOIN sup s ON s.cell_id = r.cell_id)",
+    "SELECT cell_id, t AS ridge_type, t = 'two_sided' AS candidate, t = 'two_sided' AND v >= cut AS core, CASE WHEN t = 'two_sided' THEN 'transverse_ridge_candidate' WHEN tm IS NULL THEN 'theta_mu_out_undefined' WHEN edge THEN 'analysis_domain_boundary' WHEN lost THEN 'transverse_sample_unsupported_or_missing' WHEN ms <> 'none' THEN 'interpolation_not_defensible' ELSE 'evaluated_not_transverse_maximum' END AS reason, " + r6(S0_field_rate="v * 1000", threshold="cut * 1000") + " FROM lab",
+)
+_CLASS = "CASE WHEN edge THEN 'missing_because_of_boundary' WHEN u IS NULL THEN 'missing_because_of_support' WHEN i = 0 THEN 'direct_grid_information' ELSE 'interpolated' END"
+_AT_FLUX = {"u": "u", "um": "um", "pm": "pm", "r1": "r1", "r2": "r2", "dmo": "dmo", "n_move": "n_move", "n_in": "n_in_move", "r1i": "r1i"}
+ORACLES["sec_samples"] = text(
+    TURNS.replace("obs AS", "RECURSIVE obs AS", 1) + FPROFILES[FPROFILES.index(", fl AS (") :].replace("WITH ", "") + ", supx AS (SELECT t.*, sqrt(pow(k.sx, 2) + pow(k.sy, 2)) / t.n_move / 86400.0 AS um FROM turned t LEFT JOIN tot k ON k.sid = t.cell_id WHERE t.n_move >= 3), pts_ AS (SELECT cell_id, i, gx, gy FROM seen)" + corners("sam", "pts_", "cell_id, i", "supx", {f"a_{a}": f for a, f in _AT_FLUX.items()}),
+    f"SELECT s.cell_id, s.i::INTEGER AS i, {_CLASS.replace('edge', 's.edge').replace('u IS', 's.u IS').replace('i = 0', 's.i = 0')} AS sample_class, "
+    + r6(at_P_move="a_pm", at_R1_out="a_r1", at_R2_out="a_r2", at_delta_theta_mu1_out="a_dmo", at_N_out_move="a_n_move", at_N_in_move="a_n_in", at_R1_in="a_r1i", at_U_out_all_magnitude_rate="a_u * 1000", at_U_out_move_magnitude_rate="a_um * 1000")
+    + " FROM seen s JOIN sam m ON m.cell_id = s.cell_id AND m.i = s.i",
+)
+ORACLES["dfr_samples"] = text(
+    PROFILES + ", supd AS (SELECT * FROM sup WHERE dxx IS NOT NULL), pts_ AS (SELECT cell_id, i, gx, gy FROM prof)" + corners("sam", "pts_", "cell_id, i", "supd", {"a_dm": "dm", "a_pm": "pm", "a_r1": "r1", "a_n": "n_move"}),
+    f"SELECT s.cell_id, s.i::INTEGER AS i, {_CLASS.replace('edge', 's.edge').replace('u IS', 's.u IS').replace('i = 0', 's.i = 0')} AS sample_class, " + r6(at_D_out_all_magnitude="a_dm", at_P_move="a_pm", at_R1_out="a_r1", at_N_out_move="a_n") + " FROM prof s JOIN sam m ON m.cell_id = s.cell_id AND m.i = s.i",
+)

@@ -160,6 +160,28 @@ def s2_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellstats.spearman(cells, "R1_out", "N_out_move").select("pairs", *r6("correlation"))
 
 
+@query
+def s2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cellstats.strong_flags(P.cells_stored(spark, sf_dir))
+    # Values that differ in their last bits by partitioning are ties.
+    cells = cells.withColumns({k: F.round(k, 9) for k in ("R1_out", "delta_theta_mu1_out", "distance_max_over_mean", "longest_leverage")}).withColumn("U_out_all_magnitude_rate", F.round(F.col("U_out_all_magnitude_rate") * 1000, 9))
+    out = cellstats.outgoing_summary(cells, P.MIN_SUPPORT, 5, 0.5, 0.3, 0.5)
+    ranks = [k for k in out.columns if k.startswith("spearman")]
+    return out.select(*[k for k in out.columns if k not in ranks], *r6(*ranks))
+
+
+@query
+def s3_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cellstats.harmonic_residuals(P.cells_stored(spark, sf_dir))
+    return out.select(*r6(*out.columns))
+
+
+@query
+def s3_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cellstats.entropy(P.links_e(spark, sf_dir), "end_id", "theta_arrival", "in")
+    return e.select("cell_id", *r6("H_in", "effective_bins_in"), "occupied_bins_in")
+
+
 @query
 def s3_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cellstats.incoming_harmonics(P.links_e(spark, sf_dir)).select("cell_id", *r6("R1_in", "R2_in", "theta1_in", "mu_in_x", "mu_in_y", "distance_in_mean", "distance_in_max"))
@@ -238,6 +260,19 @@ def rdg_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cell_id", "ridge_type", "missing_side", "left_status", "right_status", *r6(D_minus=F.col("D_minus") * 1000, D_plus=F.col("D_plus") * 1000))
 
 
+@query
+def rdg_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ridge.flux_ridge(P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT)
+    flags = ["reason_theta_mu_out_undefined", "reason_transverse_domain_boundary", "reason_transverse_sample_unsupported_or_missing", "reason_interpolation_not_defensible", "orientation_reliable", "orientation_ambiguous", "core", "core_two_sided", "core_one_sided"]
+    return found.select("cell_id", "evaluability", "observability", "flank_observability", "reason", *flags, *r6("C_perp_normalized", "C_perp_one_sided_normalized", C_perp=F.col("C_perp") * 1000, C_perp_one_sided=F.col("C_perp_one_sided") * 1000))
+
+
+@query
+def rdg_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ridge.flux_ridge(P.cells_stored(spark, sf_dir), P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, policy="two_sided_only", smoothed=True)
+    return found.select("cell_id", "ridge_type", "candidate", "core", "reason", *r6(S0_field_rate=F.col("S0_field_rate") * 1000, threshold=F.col("threshold") * 1000))
+
+
 @query
 def dcr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.cells_stored(spark, sf_dir)
@@ -404,6 +439,22 @@ def sec_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cell_id", "i", "side", "boundary", "observable", *r6("px", "py", "distance", u=F.col("u") * 1000)).distinct()
 
 
+@query
+def sec_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field read at the samples of a section, and each sample's class."""
+    cells, cores, _ = P.flux_e(spark, sf_dir)
+    rows = flux.flux_sections(cores, cells.filter(F.col("N_out_move") >= P.MIN_SUPPORT), P.GRID_E, P.SPACE_E, P.SECTIONS, extra=flux.SAMPLED)
+    rates = ("U_out_all_magnitude_rate", "U_out_move_magnitude_rate")
+    return rows.select("cell_id", "i", "sample_class", *r6(*[f"at_{c}" for c in flux.SAMPLED if c not in rates], **{f"at_{c}": F.col(f"at_{c}") * 1000 for c in rates})).distinct()
+
+
+@query
+def dfr_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = P.cells_stored(spark, sf_dir)
+    rows = directional.directional_sections(P.directional_cores_e(spark, sf_dir, cells), cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, P.SECTIONS, extra=directional.SAMPLED)
+    return rows.select("cell_id", "i", "sample_class", *r6(*[f"at_{c}" for c in directional.SAMPLED]))
+
+
 @query
 def sec_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.flux_sections_e(spark, sf_dir)

@@ -120,6 +120,9 @@ def analyse(table: DataFrame, cfg: Config) -> Analysis:
     summaries = {
         "matrix": validate.summary(table, grid),
         "support": cellstats.support_summary(cells),
+        "outgoing": cellstats.outgoing_summary(cellstats.strong_flags(cells), least, least, cfg.statistics.high_R1, cfg.statistics.low_R1),
+        "harmonics": cellstats.harmonic_residuals(cells),
+        "moment_identities": cellstats.moment_identities(cells),
         "vector_identities": cellstats.vector_identities(cells, cfg.statistics.direction_zero_tolerance),
         "alignment": cellstats.alignment_summary(cellstats.strong_flags(cells), least, least, cfg.statistics.high_R1, cfg.statistics.low_R1),
     }
