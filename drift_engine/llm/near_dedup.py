@@ -26,8 +26,9 @@ MISSED = 1e-5
 #: A pair with at least this many shingles each is dropped unverified if its estimate is this many deviations under the threshold.
 ESTIMATED_FROM = 512
 DEVIATIONS = 6.0
-#: Rows of a bucket that one task compares with as many others.
+#: Rows of a bucket that are compared with as many others at a time; and rows that one task gets.
 BLOCK = 256
+TILE_ROWS = 16_384
 #: Factor of the expected random collisions of two registers, published with HyperMinHash (fixed value).
 COLLISION = 0.169919487159739093975315012348
 
@@ -265,20 +266,38 @@ def _tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _rest(rows: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) that join components whose members share a bucket.
 
-    Buckets with one component are done. The others are compared within one task each,
-    or block by block where they are larger than BLOCK; a task first drops the rows that
-    registers rule out, then takes whole sets. Only links that join two components come
-    out, so the result has fewer rows than the buckets, whatever the number of pairs.
+    Buckets with one component are done. In the others each pair of different components
+    has a row outside the bucket's largest component (its main one): those rows, in
+    blocks, meet each other and the main rows, so a bucket of one large group costs its
+    rows times the blocks of strangers in it, not their square. A task has two blocks; it
+    first drops the rows that registers rule out, then takes whole sets. Only links that
+    join two components come out, so the result has fewer rows than the buckets,
+    whatever the number of pairs.
     """
     labelled = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "n")
-    labelled = labelled.join(open_, "band").join(nodes.select("node", "n_shingles", "registers", "set_key"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    labelled = labelled.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    # Each row meets every other block once: in the tile (smaller part, larger part).
-    tiles = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
+    # Rows of a hot bucket are counted by component first; the bucket's sums come from those counts.
+    counts = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = F.max(F.struct("n", "component"))
+    open_ = counts.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), main.alias("m")).filter("kinds > 1 and n > 2")
+    # A bucket of no more than BLOCK rows is one block, whose rows meet each other.
+    few = F.col("n") <= BLOCK
+    open_ = open_.select("band", F.when(~few, F.col("m.component")).alias("_main"), F.when(few, F.lit(0)).otherwise(F.ceil(F.col("m.n") / BLOCK)).cast("int").alias("_mains"), F.when(few, F.lit(1)).otherwise(F.ceil((F.col("n") - F.col("m.n")) / BLOCK)).cast("int").alias("_others"), F.col("n"), F.when(few, F.lit(0)).otherwise(F.col("m.n")).alias("_m"))
+    open_ = materialise(open_, "near-open")
+    total = open_.agg(F.sum(F.col("_m") * F.col("_others") + (F.col("n") - F.col("_m")) * (F.col("_others") + F.col("_mains")))).first()[0] or 0
+    labelled = labelled.join(open_.drop("n", "_m"), "band").join(nodes.select("node", "n_shingles", "registers", "set_key"), "node")
+    other = F.col("_main").isNull() | (F.col("component") != F.col("_main"))
+    block = F.pmod(F.xxhash64("node"), F.when(other, F.col("_others")).otherwise(F.col("_mains"))).cast("int")
+    # Blocks of strangers are numbered from 0, those of main rows downwards from -1.
+    labelled = labelled.withColumn("part", F.when(other, block).otherwise(-1 - block))
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    strangers, mains = F.sequence(F.lit(0), F.col("_others") - 1), F.sequence(F.lit(-1), -F.greatest(F.col("_mains"), F.lit(1)), F.lit(-1))
+    among = F.transform(strangers, lambda k: tile(F.least(k, F.col("part")), F.greatest(k, F.col("part"))))
+    with_mains = F.when(F.col("_mains") > 0, F.transform(mains, lambda k: tile(F.col("part"), k))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    tiles = F.when(other, F.concat(among, with_mains)).otherwise(F.transform(strangers, lambda k: tile(k, F.col("part"))))
     tiled = labelled.withColumn("tile", F.explode(tiles)).select("band", "tile.i", "tile.j", "part", "node", "component", "n_shingles", "registers", "set_key")
-    tile = ["band", "i", "j"]
+    tile_key = ["band", "i", "j"]
+    # Comparing takes long for its bytes, so tasks are cut by rows.
+    tiled = tiled.repartition(max(1, -(-total // TILE_ROWS)), *tile_key)
 
     def allowed(pdf: pd.DataFrame) -> pd.DataFrame:
         return _tile_candidates(pdf, percent)
@@ -286,10 +305,10 @@ def _rest(rows: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame,
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         return _tile_links(pdf, percent)
 
-    candidates = tiled.groupBy(tile).applyInPandas(allowed, "band long, i int, j int, part int, node long, component long, set_key binary")
+    candidates = tiled.groupBy(tile_key).applyInPandas(allowed, "band long, i int, j int, part int, node long, component long, set_key binary")
     candidates = materialise(candidates, "near-candidates")
     sets = _whole_sets(candidates.select("set_key").distinct(), nodes, docs)
-    return candidates.join(sets, "set_key").drop("set_key").groupBy(tile).applyInPandas(links, "a long, b long").distinct()
+    return candidates.join(sets, "set_key").drop("set_key").groupBy(tile_key).applyInPandas(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: tuple[str, str] | None = None) -> DataFrame:
@@ -332,7 +351,9 @@ def first_documents(docs: DataFrame, **options) -> DataFrame:
     """docs' own columns, one row of each component: that of the smallest doc_id, and of equal ids one of them. Rows without words all stay.
 
     The other rows' keys are taken out by an anti join; where their counted number is
-    small they go to every task, and texts are not shuffled.
+    small they go to every task, and texts are not shuffled. Null doc_id: last of its
+    component. Repeated rows: one stays. An empty table gives none. Extra columns stay,
+    whatever their names.
     """
     places = keyed(docs)
     found = near_duplicates(places.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_file", "_at"), carry=("_file", "_at"), **options)
