@@ -44,10 +44,11 @@ def mark(spark: SparkSession) -> int:
     return len(_written.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the stored tables written after the mark; nothing that reads them may be used any more."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the stored tables written after the mark, but for the last `keep`; nothing that reads the others may be used any more."""
     written = _written.get(spark.sparkContext.applicationId, [])
-    for path in written[since:]:
+    gone = written[since : len(written) - keep]
+    for path in gone:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    del written[since:]
+    del written[since : since + len(gone)]
