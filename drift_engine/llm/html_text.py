@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.llm.common import materialise, small
+from drift_engine.llm.common import materialise, small, small_batches
 
 #: Words that a passage shared by pages needs, and pages that must share it.
 LEAST_WORDS = 8
@@ -415,6 +415,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     (and are distinct pages to each other). Empty tables give no rows. Extra columns are
     not read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = rows.withColumn("_host", host)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.llm.common import keyed, materialise, small
+from drift_engine.llm.common import keyed, materialise, small, small_batches
 from drift_engine.operators.graph import connected_components
 
 SHINGLE = 5
@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, carry: tuple[str, s
     rows has id null. An empty table gives no rows. Other columns are not read;
     carry: two long columns to carry along.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[(F.col(c) if carry else F.lit(0).cast("long")).alias(f"_carry{k}") for k, c in enumerate(carry or "ab")])
     signed = materialise(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, registers binary, _carry long, _carry2 long").withColumn("_row", F.monotonically_increasing_id()), "near-signed")
     classes = materialise(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("_row").alias("node"), F.min("doc_id").alias("label")), "near-classes")

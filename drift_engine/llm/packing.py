@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.llm import tokenise
-from drift_engine.llm.common import global_rank, materialise
+from drift_engine.llm.common import global_rank, materialise, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     empty table gives no rows. Other columns are not read.
     """
     tokenizer = tokenizer or tokenise.default_path()
+    small_batches(docs.sparkSession)
     table = materialise(pieces(docs, tokenizer, capacity, end_id), "pack-pieces")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in table.groupBy("length").count().collect():

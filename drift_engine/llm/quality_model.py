@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drift_engine.llm.common import materialise, small, source_key
+from drift_engine.llm.common import materialise, small, small_batches, source_key
 
 #: Bound on the labelled rows that the document classifier is fitted on.
 MOST_EXAMPLES = 6000
@@ -119,6 +119,7 @@ def _feature_rows(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, seed: int = SEED) -> Classifier:
     """The document classifier, of at most `most` labelled rows that are not held out, chosen by a hash of doc_id."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most))  # two numbers a row

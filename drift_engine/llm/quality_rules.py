@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.llm.common import BROADCAST_ROWS, keyed, materialise, small, source_key
+from drift_engine.llm.common import BROADCAST_ROWS, keyed, materialise, small, small_batches, source_key
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -106,6 +106,7 @@ def _facts(batches):
 
 def _line_table(docs: DataFrame) -> DataFrame:
     """The stored facts of each row: base counts, a hash of the whole text, and lines."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), source_key().alias("_key"), F.col("text").cast("string"))
     return materialise(rows.mapInArrow(_facts, _FACTS_DDL).withColumn("_row", F.monotonically_increasing_id()), "rules-facts")
 

@@ -82,7 +82,9 @@ def section_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def field_counts(rows: DataFrame, key: str, fields: list[str], tokenizer: str | None = None, separator: str = "\n") -> DataFrame:
     """As section_counts, where a document is the row's fields joined by the separator, and each field with its separator a section.
 
-    Null fields are empty. The result's doc_id is the key, its section the field's name.
+    Null and empty fields are empty sections, whose separators still count. The result's
+    doc_id is the key, its section the field's name. Repeated rows each give their
+    sections. An empty table gives no rows. Other columns are not read.
     """
     tokenizer = tokenizer or tokenise.default_path()
     small_batches(rows.sparkSession)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drift_engine.llm.common import materialise
+from drift_engine.llm.common import materialise, small_batches
 
 #: Bound on the labelled rows that are learnt from: half of them of each label at most.
 MOST_EXAMPLES = 4000
@@ -224,6 +224,7 @@ def frequencies(texts: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, seed: int = SEED) -> Index:
     """The index over at most `most` labelled rows that are not held out, with every term of theirs; document frequencies are of all documents."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
