@@ -39,4 +39,16 @@ coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat
 FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, removed_lines, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
 NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT removed_words > 0.5 * n_words AS kept FROM f""",
+    "op11_exact_block_names": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER same = 1 AS kept, sha256(plain) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY plain ORDER BY n_chars DESC, doc_id)""",
+    "op12_search_maxscore": rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT iid, item_id, term FROM (SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+lens AS (SELECT rid, count(*)::BIGINT AS n FROM d GROUP BY rid),
+sums AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM lens),
+tf AS (SELECT rid, doc_id, term, count(*)::BIGINT AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY rid, doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sums GROUP BY term, nn),
+s AS (SELECT q.iid, q.item_id, tf.rid, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * lens.n * sums.nn) // sums.ll))))::BIGINT AS score
+FROM q JOIN tf USING (term) JOIN w USING (term) JOIN lens ON lens.rid = tf.rid, sums GROUP BY q.iid, q.item_id, tf.rid, tf.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_engine.llm import fingerprint, html_text, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity
+from drift_engine.llm import block_names, fingerprint, html_text, mixing, near_dedup, packing, quality_model, quality_rules, ranked_search, sharding, token_counts, toxicity
 
 from drift_engine.llm.oracles import ORACLES
 
@@ -57,6 +57,15 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_patterns, op2_quality_bayes, op3_tokens_by_section, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines)}
+def op11_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = block_names.exact_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_search_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_patterns, op2_quality_bayes, op3_tokens_by_section, op4_fingerprint_multiset, op5_html_suffix_array, op6_mix_waterfill, op7_shard_hilbert, op8_near_hyperminhash, op9_toxicity_neighbours, op10_quality_lines, op11_exact_block_names, op12_search_maxscore)}
 
 __all__ = ["ORACLES", "QUERIES"]
