@@ -89,10 +89,14 @@ def identities(docs: DataFrame, key_bytes: int = KEY_BYTES, size: int = BLOCK) -
     is left. Pairs met many times are made distinct before they move; the join back is one
     that AQE splits by rows. Null text: empty. Repeated rows each give a row.
     """
-    small_batches(docs.sparkSession)
+    return _identities(keyed(docs), key_bytes, size)
+
+
+def _identities(held: DataFrame, key_bytes: int, size: int) -> DataFrame:
+    small_batches(held.sparkSession)
     doc = F.col("_doc")
     text = F.coalesce(doc["text"].cast("string"), F.lit(""))
-    texts = keyed(docs).select(doc["doc_id"].cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), "_file", "_at", text.alias("text"))
+    texts = held.select(doc["doc_id"].cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), "_file", "_at", text.alias("text"))
     names, width = _block_names(texts, key_bytes, size)
     rows = materialise(texts.mapInArrow(partial(_described, width=width, size=size), _ROWS_DDL).withColumn("n_blocks", F.size("keys")).withColumn("row", F.monotonically_increasing_id()), "blocks-rows")
     most = rows.agg(F.max("n_blocks")).first()[0] or 1
@@ -118,7 +122,10 @@ def exact_duplicates(docs: DataFrame, key_bytes: int = KEY_BYTES, size: int = BL
     last); of rows alike in these too, one stays. A group's row is found by partial
     maxima, so a group of any size meets as one row a task. No documents give no rows.
     """
-    found = identities(docs, key_bytes, size)
+    return _with_first(identities(docs, key_bytes, size))
+
+
+def _with_first(found: DataFrame) -> DataFrame:
     first = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("order"), F.bitwise_not("row").alias("place"), "doc_id", "row")).alias("first")
     groups = found.groupBy("level", "name").agg(F.count("*").alias("group_size"), first)
     groups = groups.select("level", "name", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("_first"))
@@ -127,5 +134,6 @@ def exact_duplicates(docs: DataFrame, key_bytes: int = KEY_BYTES, size: int = BL
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    stay = exact_duplicates(docs).filter("kept").select("_file", "_at")
-    return keyed(docs).join(stay, ["_file", "_at"], "left_semi").select("_doc.*")
+    held = keyed(docs)
+    stay = _with_first(_identities(held, KEY_BYTES, BLOCK)).filter("kept").select("_file", "_at")
+    return held.join(stay, ["_file", "_at"], "left_semi").select("_doc.*")
