@@ -12,6 +12,7 @@ import html
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ MAIN_PAGES = 5
 MAIN_SHARE = 0.5
 #: A page that would lose more than this share of its main text is a copy, and keeps all of it.
 COPY = 0.5
+#: So is a page without main elements that would lose more than this share of its open text: there the limits of main elements hold.
+OPEN_COPY = 0.8
 #: A block in an element of a suspect name goes with fewer words than this, or with this share of them shared.
 SUSPECT_WORDS = 25
 SUSPECT_COVERED = 0.2
@@ -56,7 +59,10 @@ MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post-content|entry-content|arti
 #: A paragraph ends where one of these begins.
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment or declaration, a tag that ends before the next '<', or the '<' of any other tag. No part is read twice, whatever the page.
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|(<)(?=/?[a-zA-Z])", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -91,6 +97,41 @@ def standing(tag: str, attributes: str) -> str:
     return ""
 
 
+class Tags:
+    """Ends of tags that hold a '<', or quotes that don't pair: a quote opens a value after '=' only, and one that never closes opens none.
+
+    What has been looked for is remembered, so a page of any make takes time in proportion
+    to its length.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stop: tuple[int, re.Match | None] = (len(page) + 1, None)
+        self.dead: set[int] = set()
+        self.last = {q: page.rfind(q) for q in ">\"'"}
+
+    def _next(self, at: int) -> re.Match | None:
+        asked, found = self.stop
+        if at < asked or found and found.start() < at:
+            self.stop = at, _STOP.search(self.page, at)
+        return self.stop[1]
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends before `at` has its '>'; -1 if the page has none any more."""
+        if self.last[">"] < at:
+            return -1
+        seen, place = [], at
+        while (m := self._next(place)) and m.start() not in self.dead:
+            if not m[1]:
+                return m.start()
+            seen.append(m.start())
+            if self.last[m[1]] < m.end():
+                break
+            place = self.page.find(m[1], m.end()) + 1
+        self.dead.update(seen)
+        return self.page.find(">", at)
+
+
 def standing_inside(before: str, own: str) -> str:
     """The standing within an element of its `own`, inside one of standing `before`. '!' is '?' inside the main text; furniture and suspects keep what is in them."""
     if before == "-" or own == "-":
@@ -106,6 +147,8 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     """(standing, text) of the page's blocks in order. Inline tags do not end a block, all others do; script, style and the like are left out."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, standing inside)
+    held: Counter[str] = Counter()  # of the stack's tags
+    tags = Tags(page)
     parts: list[str] = []
     now = ""
 
@@ -124,29 +167,36 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        at, closing, tag, attributes = m.end(), m[1], m[2], m[3]
+        if m[4]:
+            m = _NAME.match(page, m.start())
+            end = tags.end(m.end())
+            if end < 0:  # no tag ends from here on
+                parts.append(page[m.start() :])
+                break
+            at, closing, tag, attributes = end + 1, m[1], m[2], page[m.end() : end]
         if not tag:
             continue
         tag = tag.lower()
         if tag in RAW_TEXT:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag in INLINE and (m[1] or not standing(tag, m[3]) == "-") and not (m[1] and stack and stack[-1][0] == tag):
+        if tag in INLINE and (closing or not standing(tag, attributes) == "-") and not (closing and stack and stack[-1][0] == tag):
             continue
         flush()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            stack.append((tag, standing_inside(stack[-1][1] if stack else "", standing(tag, m[3]))))
+        if closing:
+            while held[tag]:
+                gone = stack.pop()[0]
+                held[gone] -= 1
+                if gone == tag:
+                    break
+        elif tag not in VOID and not attributes.endswith("/"):
+            if stack and (tag in CLOSES_P and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li"):
+                held[stack.pop()[0]] -= 1
+            stack.append((tag, standing_inside(stack[-1][1] if stack else "", standing(tag, attributes))))
+            held[tag] += 1
         now = stack[-1][1] if stack else ""
     flush()
     return out
@@ -179,30 +229,32 @@ def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def window_pages(stream: np.ndarray, page: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
-    """For each place the number of distinct pages with the `least` words that begin there; 0 where no such window begins.
+def window_pages(stream: np.ndarray, page: np.ndarray, least: int = LEAST_WORDS, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the number of distinct pages with the `least` words that begin there, and whether such a window begins at all.
 
     Suffixes with the same first words are neighbours in the suffix array; the pages of
-    such a run are counted. page: the page of each word; words of value < 0 end a passage.
+    such a run are counted, those only that `counted` names. page: the page of each word,
+    as its place in `counted`; words of value < 0 end a passage.
     """
     n = len(stream)
-    counts = np.zeros(n, np.int64)
+    counts, whole = np.zeros(n, np.int64), np.zeros(n, bool)
     if n < least:
-        return counts
+        return counts, whole
     order, rank = suffix_array(stream, least)
     ends = np.concatenate([[0], np.cumsum(stream < 0)])
-    whole = np.zeros(n, bool)
     whole[: n - least + 1] = ends[least:] == ends[: n - least + 1]
     order = order[whole[order]]
     if not len(order):
-        return counts
+        return counts, whole
     run = rank[order]
     first = np.concatenate([[True], run[1:] != run[:-1]])
     number = np.cumsum(first) - 1
     # A stable order keeps places ascending in a run, and pages with them.
     fresh = first | np.concatenate([[True], page[order[1:]] != page[order[:-1]]])
+    if counted is not None:
+        fresh = fresh & counted[page[order]]
     counts[order] = np.bincount(number, fresh).astype(np.int64)[number]
-    return counts
+    return counts, whole
 
 
 def cover(enough: np.ndarray, least: int = LEAST_WORDS) -> np.ndarray:
@@ -265,8 +317,8 @@ class Zone:
         self.words = np.frombuffer(words, np.int64)
         self.owner = np.repeat(np.arange(len(parsed)), np.diff([0, *lengths]))
 
-    def pages(self) -> np.ndarray:
-        return window_pages(self.words, self.owner)
+    def pages(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return window_pages(self.words, self.owner, counted=counted)
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Keys of the windows that begin at the places `at`, the same in every group of the host."""
@@ -274,62 +326,78 @@ class Zone:
         return window_keys(hashes[np.maximum(self.words, 0)] if len(hashes) else np.zeros(len(self.words), np.uint64), self.seed)[at]
 
 
-def window_lists(host: str, parsed: list[list[tuple[str, str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct windows of both zones, and the distinct pages that each stands on."""
+def distinct_contents(contents: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Which pages count: the first of each content, if no other group counts it."""
+    first = np.zeros(len(contents), bool)
+    first[np.unique(contents, return_index=True)[1]] = True
+    return first & ~np.isin(contents, elsewhere)
+
+
+def window_lists(host: str, parsed: list[list[tuple[str, str]]], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct windows of both zones, and the distinct contents that this group counts for each."""
     keys, counts = [], []
     for main in (False, True):
         zone = Zone(host, parsed, main)
-        pages = zone.pages()
-        at = np.flatnonzero(pages)
+        pages, whole = zone.pages(counted)
+        at = np.flatnonzero(whole)
         own, first = np.unique(zone.keys(at), return_index=True)
         keys.append(own)
         counts.append(pages[at][first])
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def host_texts(host: str, parsed: list[list[tuple[str, str]]], pages: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int]]:
-    """(main text, words dropped as shared) of each page. pages: those of the whole host; known: keys and page numbers of windows that other groups of the host have too."""
+def host_texts(host: str, parsed: list[list[tuple[str, str]]], counted: np.ndarray, contents: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int]]:
+    """(main text, words dropped as shared) of each page. contents: distinct ones of the whole host; known: keys and contents of windows that other groups of the host have too."""
     flags, begins, upto = {}, {}, {}
-    for main, least in ((False, LEAST_PAGES), (True, max(MAIN_PAGES, MAIN_SHARE * pages))):
+    strict = max(MAIN_PAGES, MAIN_SHARE * contents)
+    for main in (False, True):
         zone = Zone(host, parsed, main)
-        counts = zone.pages()
+        counts, whole = zone.pages(counted)
         if known is not None and len(known[0]):
-            at = np.flatnonzero(counts)
+            at = np.flatnonzero(whole)
             keys = zone.keys(at)
             place = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
             counts[at] = np.where(known[0][place] == keys, known[1][place], counts[at])
-        flags[main] = cover(counts >= least)
-        upto[main] = np.concatenate([[0], np.cumsum(flags[main])]).tolist()
+        # Outside main elements two contents suffice; the strict limit is for pages that are copies.
+        for least in (LEAST_PAGES, strict) if not main else (strict,):
+            flags[main, least == strict] = cover(counts >= least)
         begins[main] = iter(zone.begins)
+    upto = {k: np.concatenate([[0], np.cumsum(v)]).tolist() for k, v in flags.items()}
+    shared = lambda main, hard, a, b: upto[main, hard][b] - upto[main, hard][a]
     out = []
     for blocks in parsed:
-        found = []
+        found, words = [], {True: 0, False: 0}
         for kind, text in blocks:
             main = kind == "+"
             a = next(begins[main])
             b = a + text.count(" ") + 1
-            found.append((kind, text, main, a, b, upto[main][b] - upto[main][a]))
-        own = [(b - a, n) for _, _, main, a, b, n in found if main]
-        a_copy = sum(n for _, n in own) > COPY * sum(words for words, _ in own)
+            found.append((kind, text, main, a, b))
+            words[main] += b - a if main or kind in ("", "?") else 0
+        has_main = any(main for _, _, main, _, _ in found)
+        lost_of = lambda main, hard: sum(shared(main, hard, a, b) for kind, _, m, a, b in found if m == main and (main or kind in ("", "?")))
+        whole_main = has_main and lost_of(True, True) > COPY * words[True]
+        hard = not has_main and lost_of(False, False) > OPEN_COPY * words[False]
+        whole_open = hard and lost_of(False, True) > OPEN_COPY * words[False]
         kept, lost = [], 0
-        for kind, text, main, a, b, n in found:
+        for kind, text, main, a, b in found:
+            n = 0 if whole_open and kind in ("", "?") else shared(main, main or hard, a, b)
             suspect = kind in ("?", "!") and (b - a < SUSPECT_WORDS or n >= SUSPECT_COVERED * (b - a))
-            if main and (not n or a_copy):
+            if main and (not n or whole_main):
                 kept.append(text)
-            elif kind == "-" or suspect or (own and kind in ("", "?")) or n >= COVERED * (b - a):
+            elif kind == "-" or suspect or (has_main and kind in ("", "?")) or n >= COVERED * (b - a):
                 lost += n
             elif not n:
                 kept.append(text)
             else:
-                gone = long_runs(flags[main][a:b])
+                gone = long_runs(flags[main, main or hard][a:b])
                 lost += int(gone.sum())
                 kept.append(" ".join(w for w, c in zip(text.split(" "), gone) if not c))
         out.append((" ".join(t for t in kept if t), lost))
     return out
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("_host", pa.string()), ("_group", pa.int32()), ("_pages", pa.int64()), ("blocks", pa.binary())])
-_PARSED_DDL = "page_id long, url string, _host string, _group int, _pages long, blocks binary"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("_host", pa.string()), ("_group", pa.int32()), ("_pages", pa.int64()), ("_content", pa.int64()), ("blocks", pa.binary())])
+_PARSED_DDL = "page_id long, url string, _host string, _group int, _pages long, _content long, blocks binary"
 _TEXTS_DDL = "page_id long, url string, text string, n_chars long, shared_words long"
 
 
@@ -339,11 +407,19 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in list(_PARSED)[:-1]], pa.array(blocks, pa.binary())], schema=_PARSED)
 
 
+def _group_rows(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """A group's pages, the windows that others told it of, and which of its pages count."""
+    pages, told = group[group["_pages"].notna()], group[group["_pages"].isna()]
+    lists = [np.asarray(c, np.int64) for c in told["_contents"] if c is not None] if "_contents" in told else []
+    elsewhere = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    return pages, told[told["counts"].notna()], distinct_contents(pages["_content"].to_numpy(np.int64), elsewhere)
+
+
 def _texts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a bin's pages, host by host and group by group. Rows without _pages hold windows that the group shares with others."""
+    """Texts of a bin's pages, host by host and group by group. Rows without _pages hold what other groups told."""
     out = []
     for (host, _), group in rows.groupby(["_host", "_group"], sort=False):
-        pages, shared = group[group["_pages"].notna()], group[group["_pages"].isna()]
+        pages, shared, counted = _group_rows(group)
         known = None
         if len(shared):
             keys = np.frombuffer(b"".join(shared["blocks"]), np.uint64)
@@ -351,13 +427,13 @@ def _texts(rows: pd.DataFrame) -> pd.DataFrame:
             order = np.argsort(keys, kind="stable")
             known = keys[order], totals[order]
         if len(pages):
-            found = host_texts(host, [unpacked(x) for x in pages["blocks"]], int(pages["_pages"].iloc[0]), known)
+            found = host_texts(host, [unpacked(x) for x in pages["blocks"]], counted, int(pages["_pages"].iloc[0]), known)
             out.append(pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(), "text": [t for t, _ in found], "n_chars": [len(t) for t, _ in found], "shared_words": [n for _, n in found]}))
     return pd.concat(out) if out else pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": [], "shared_words": []})
 
 
 def _shared_elsewhere(parsed: DataFrame, tasks: int) -> DataFrame:
-    """(_bin, _host, _group, blocks: keys, counts: pages) of the windows that each group has in common with others of its host.
+    """(_bin, _host, _group, blocks: keys, counts: contents) of the windows that each group has in common with others of its host.
 
     A group sends its distinct windows, dealt by key; so a passage that all pages carry
     is one entry a group, not one a page.
@@ -365,14 +441,17 @@ def _shared_elsewhere(parsed: DataFrame, tasks: int) -> DataFrame:
 
     def lists(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (bin_, host, group), pages in rows.groupby(["_bin", "_host", "_group"], sort=False):
-            keys, counts = window_lists(host, [unpacked(x) for x in pages["blocks"]])
+        for (bin_, host, group), own in rows.groupby(["_bin", "_host", "_group"], sort=False):
+            pages, _, counted = _group_rows(own)
+            if not len(pages):
+                continue
+            keys, counts = window_lists(host, [unpacked(x) for x in pages["blocks"]], counted)
             part = (keys % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             for at in np.split(order, cuts):
                 if len(at):
-                    out.append((int(part[at[0]]), bin_, host, group, keys[at].tobytes(), counts[at].tobytes() if (counts[at] > 1).any() else b""))
+                    out.append((int(part[at[0]]), bin_, host, group, keys[at].tobytes(), counts[at].tobytes() if (counts[at] != 1).any() else b""))
         return pd.DataFrame(out, columns=["part", "_bin", "_host", "_group", "blocks", "counts"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -406,20 +485,24 @@ def main_texts(pages: DataFrame) -> DataFrame:
     (promo, related and the like) go if they share or say little. Inside main elements
     a passage goes if MAIN_SHARE of the host's pages, and MAIN_PAGES at least, have it in
     theirs; but a page that would lose more than COPY of its main text is a copy of an
-    article and keeps it.
+    article and keeps it, and so does a page without main elements that would lose more than
+    OPEN_COPY: of it goes what the limits of main elements take, or nothing if that is as
+    much again. Pages alike in their html are one content, counted once, however many rows
+    or addresses it has; each row gets its text.
 
     Pages meet by host, a large host's in groups of some GROUP_BYTES of html by a hash of
     page_id and url, so no task gets a whole hot host. Groups tell each other which
     windows they share (_shared_elsewhere), so results are those of one array over the
-    host. Null html: no text. Null url: one host of its own. Repeated rows each give a row
-    (and are distinct pages to each other). Empty tables give no rows. Extra columns are
-    not read.
+    host. Null html: no text. Null url: one host of its own. Repeated rows each give a row.
+    A tag that never ends is text, and a page of any make is read in time in proportion to
+    its length. Empty tables give no rows. Extra columns are not read.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = rows.withColumn("_host", host)
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("_pages"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
+    rows = rows.withColumn("_content", F.xxhash64(F.coalesce("html", F.lit(""))))
+    sizes = rows.groupBy("_host", "_content").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).groupBy("_host").agg(F.count("*").alias("_pages"), F.sum("bytes").alias("bytes"))
     sizes = materialise(sizes.withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("bytes") / GROUP_BYTES))), "html-hosts")
     total = sizes.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("_groups") > 1, F.col("bytes"))).alias("large"), F.count("*").alias("hosts")).first()
     rows = rows.join(small(sizes.drop("bytes"), total["hosts"]), "_host")
@@ -429,14 +512,19 @@ def main_texts(pages: DataFrame) -> DataFrame:
     placed = F.pmod(F.xxhash64("_host", "_group"), F.lit(bins))
 
     def parsed(part: DataFrame) -> DataFrame:
-        return part.select("page_id", "url", "_host", "_group", "_pages", "html").mapInArrow(_parse, _PARSED_DDL).withColumn("_bin", placed)
+        return part.select("page_id", "url", "_host", "_group", "_pages", "_content", "html").mapInArrow(_parse, _PARSED_DDL).withColumn("_bin", placed)
 
-    whole = parsed(rows.filter("_groups = 1")).withColumn("counts", F.lit(None).cast("binary"))
+    lacking = {"counts": F.lit(None).cast("binary"), "_contents": F.lit(None).cast("array<long>")}
+    whole = parsed(rows.filter("_groups = 1")).withColumns(lacking)
     out = whole.groupBy("_bin").applyInPandas(_texts, _TEXTS_DDL)
     if total["large"]:
-        split = parsed(rows.filter("_groups > 1"))
+        # Of a content that several groups have, all but the first are told not to count it.
+        large = rows.filter("_groups > 1").select("_host", "_content", "_group").distinct()
+        owners = large.groupBy("_host", "_content").agg(F.min("_group").alias("_owner"), F.count("*").alias("_n")).filter("_n > 1")
+        told = large.join(owners, ["_host", "_content"]).filter("_group <> _owner").groupBy("_host", "_group").agg(F.collect_list("_content").alias("_contents"))
+        told = materialise(told.withColumn("_bin", placed), "html-contents")
+        split = parsed(rows.filter("_groups > 1")).withColumns(lacking).unionByName(told, allowMissingColumns=True)
         # Some six bytes of html make a window.
         shared = _shared_elsewhere(split, max(1, total["large"] // (6 * MERGED_WINDOWS)))
-        told = split.withColumn("counts", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
-        out = out.unionByName(told.groupBy("_bin").applyInPandas(_texts, _TEXTS_DDL))
+        out = out.unionByName(split.unionByName(shared, allowMissingColumns=True).groupBy("_bin").applyInPandas(_texts, _TEXTS_DDL))
     return out

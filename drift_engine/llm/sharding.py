@@ -73,15 +73,22 @@ def ordered_category(df: DataFrame, key: str, name: str, bits: int) -> DataFrame
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, hilbert, rank, shard, slot.
 
-    Dimensions: source and lang by code point, and text size. Documents are sorted by
-    curve index, then text_crc32, doc_id and size, and cut into runs whose counts
-    differ by one at most. The text itself is never shuffled. Null text: no bytes,
-    crc 0. Null source or lang: their own category, last. Repeated rows each get a
+    Dimensions: source and lang by code point, and text size. Rows of equal texts stand
+    where the one of smallest doc_id (null last) does, and take its curve index. Documents
+    are sorted by curve index, then by text (text_crc32 and two 64-bit hashes), doc_id and
+    size, and cut into runs whose counts differ by one at most. So a group of equal texts is
+    one run of places; it is parted only where a shard ends inside it, and one larger than a
+    shard fills whole shards in a row. The text itself is never shuffled. Null text: no
+    bytes, crc 0. Null source or lang: their own category, last. Repeated rows each get a
     place; no documents give no rows.
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    meta = docs.select("doc_id", source_key("source").alias("_source"), source_key("lang").alias("_lang"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    meta = docs.select("doc_id", source_key("source").alias("_source"), source_key("lang").alias("_lang"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_one"), F.xxhash64(F.lit(1), raw).alias("_two"))
     meta = materialise(meta, "shard-meta")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_source", "_lang"))
+    copies = meta.groupBy("_one", "_two", "size").agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    meta = meta.join(copies, ["_one", "_two", "size"], "left").withColumns({c: F.coalesce(f"_first.{c}", c) for c in ("_source", "_lang")}).drop("_first")
+    meta = materialise(meta, "shard-first")
     meta = quantised(meta, ["size"], bits)
     meta = ordered_category(meta, "_source", "source", bits)
     meta = ordered_category(meta, "_lang", "lang", bits)
@@ -91,7 +98,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
         return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), bits))
 
     meta = meta.withColumn("hilbert", curve("q_source", "q_lang", "q_size")).drop("_source", "_lang")
-    ranked = global_rank(meta, ["hilbert", "text_crc32", "doc_id", "size"], name="shard-ranked")
+    ranked = global_rank(meta, ["hilbert", "text_crc32", "_one", "_two", "doc_id", "size"], name="shard-ranked").drop("_one", "_two")
     n = ranked.count()
     shard = F.expr(f"(rank * {shards}L) div {max(n, 1)}L")
     first = F.expr(f"({'{}'} * {max(n, 1)}L + {shards - 1}L) div {shards}L".format("_shard"))

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -239,7 +240,9 @@ def test_window_pages():
     for i in range(297):
         windows[tuple(stream[i : i + 4])].add(page[i])
     want = [len(windows[tuple(stream[i : i + 4])]) if i < 297 and min(stream[i : i + 4]) >= 0 else 0 for i in range(300)]
-    assert html_text.window_pages(stream, page, 4).tolist() == want
+    assert html_text.window_pages(stream, page, 4)[0].tolist() == want
+    odd = [len({p for p in windows[tuple(stream[i : i + 4])] if p % 2}) if i < 297 and min(stream[i : i + 4]) >= 0 else 0 for i in range(300)]
+    assert html_text.window_pages(stream, page, 4, np.arange(6) % 2 == 1)[0].tolist() == odd
     words = np.zeros(300, bool)
     for i, n in enumerate(want):
         words[i : i + 4] |= n >= 2
@@ -247,35 +250,45 @@ def test_window_pages():
 
 
 def plain_texts(pages):
-    """Texts and shared words of one host's pages by sets of pages for each window, page by page."""
+    """Texts and shared words of one host's pages by sets of contents for each window, page by page."""
     parsed = [html_text.blocks_of(p or "") for p in pages]
-    found = defaultdict(set)
-    streams = []
+    found, streams = defaultdict(set), []
     for k, blocks in enumerate(parsed):
         for main in (False, True):
             words = [(b, i, w) for b, (kind, text) in enumerate(blocks) if (kind == "+") == main for i, w in enumerate(text.split())]
             streams.append((k, main, words))
             for i in range(len(words) - 7):
-                found[main, tuple(w for _, _, w in words[i : i + 8])].add(k)
-    covered = defaultdict(set)
-    for k, main, words in streams:
-        for i in range(len(words) - 7):
-            if len(found[main, tuple(w for _, _, w in words[i : i + 8])]) >= (max(5, 0.5 * len(pages)) if main else 2):
-                covered[k].update((b, j) for b, j, _ in words[i : i + 8])
+                found[main, tuple(w for _, _, w in words[i : i + 8])].add(pages[k] or "")
+    strict = max(5, 0.5 * len({p or "" for p in pages}))
+
+    def covered(main, least):
+        out = defaultdict(set)
+        for k, zone, words in streams:
+            for i in range(len(words) - 7 if zone == main else 0):
+                if len(found[main, tuple(w for _, _, w in words[i : i + 8])]) >= least:
+                    out[k].update((b, j) for b, j, _ in words[i : i + 8])
+        return out
+
+    inside, outside, common = covered(True, strict), covered(False, 2), covered(False, strict)
     out = []
     for k, blocks in enumerate(parsed):
-        main = [(b, i) for b, (kind, text) in enumerate(blocks) if kind == "+" for i in range(len(text.split()))]
-        copy = bool(main) and sum(x in covered[k] for x in main) > 0.5 * len(main)
+        place = lambda kinds: [(b, i) for b, (kind, text) in enumerate(blocks) if kind in kinds for i in range(len(text.split()))]
+        main, open_ = place(["+"]), place(["", "?"])
+        gone = inside[k] | outside[k]
+        if sum(x in inside[k] for x in main) > 0.5 * len(main):
+            gone -= set(main)
+        if not main and sum(x in outside[k] for x in open_) > 0.8 * len(open_):
+            gone = common[k] - (set(open_) if sum(x in common[k] for x in open_) > 0.8 * len(open_) else set())
         kept, lost = [], 0
         for b, (kind, text) in enumerate(blocks):
             words = text.split()
-            n = sum((b, i) in covered[k] for i in range(len(words)))
-            if kind == "+" and copy:
+            n = sum((b, i) in (gone if kind != "+" else inside[k]) for i in range(len(words)))
+            if kind == "+" and not any((b, i) in gone for i in range(len(words))):
                 kept += words
             elif kind == "-" or kind in "?!" and kind and (len(words) < 25 or n >= 0.2 * len(words)) or main and kind in ("", "?") or 2 * n >= len(words):
                 lost += n
             else:
-                marks = "".join("x" if (b, i) in covered[k] else "." for i in range(len(words)))
+                marks = "".join("x" if (b, i) in gone else "." for i in range(len(words)))
                 marks = re.sub("x+", lambda m: m[0] if len(m[0]) >= 8 else "." * len(m[0]), marks)
                 lost += marks.count("x")
                 kept += [w for w, m in zip(words, marks) if m == "."]
@@ -303,6 +316,10 @@ def test_html_suffix_array_decides(spark, monkeypatch, group_bytes):
         rows.append((i, "http://big.example/" + str(i), "<body><nav>" + said(9) + "</nav>" + "".join(parts) + f"<footer>{licence}</footer></body>"))
     story = f"<article><p>{said(40)}</p></article>"
     rows += [(1000 + i, f"http://copies.example/{i}", story if i % 4 else f"<main>{said(30)}</main>") for i in range(40)]
+    # Pages without main elements: one content at ten addresses, and five mirrors that differ in a word.
+    said_once, mirrored = said(60), said(60)
+    rows += [(3000 + i, f"http://big.example/same/{i}", f"<body><p>{said_once}</p></body>") for i in range(10)]
+    rows += [(3100 + i, f"http://{'big' if i < 3 else 'mirrors'}.example/m/{i}", f"<body><p>{mirrored}</p><p>{word()}</p></body>") for i in range(9)]
     rows += [(2000, None, story), (2001, None, None), (None, "http://big.example/x", story), (2002, "http://empty.example", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     hosts = defaultdict(list)
@@ -317,6 +334,7 @@ def test_html_suffix_array_decides(spark, monkeypatch, group_bytes):
     assert sum(got[k][0] != structure[k] for k in got) > 190
     assert not any(letter in got[i][0] or licence in got[i][0] for i in range(300)) and sum(wire in got[i][0] for i in range(300)) == 5
     assert all(got[1000 + i][0] for i in range(40))
+    assert all(got[3000 + i] == (said_once, 0) for i in range(10)) and all(mirrored in got[3100 + i][0] for i in range(9))
 
 
 def test_html_repeats_and_sizes(spark, monkeypatch):
@@ -325,7 +343,48 @@ def test_html_repeats_and_sizes(spark, monkeypatch):
     long = "<p>" + " ".join(f"w{i}" for i in range(500_000)) + "</p>"
     rows = [(1, "http://a.example/1", f"<article>{long}</article>")] + [(None, "http://a.example/2", "<p>the same words on all of these pages</p><p>and more</p>")] * 3
     got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted((r.page_id or 0, len(r.text.split()), r.shared_words) for r in got) == [(0, 0, 10)] * 3 + [(1, 500_000, 0)]
+    assert sorted((r.page_id or 0, len(r.text.split()), r.shared_words) for r in got) == [(0, 10, 0)] * 3 + [(1, 500_000, 0)]
+    # Repeated rows are one content: they keep their text, each row its own.
+
+
+SOUP = {
+    "open tags": "<a 'x ",
+    "open names": "a <b ",
+    "quotes": "<a \"<b '",
+    "values": "<a b=\"<c d='",
+    "values with ends": "<a b='>\" c=\">' ",
+    "scripts": "<script></script ",
+    "comments": "<!--<!",
+    "depth": "<div>",
+    "depth and strays": "<div><p></b></i></span></x>",
+    "spaces": "<a =      ",
+    "references": "&amp&#x;&#",
+    "attributes": "<a class=class='id=\"",
+}
+
+
+@pytest.mark.parametrize("soup", SOUP)
+def test_html_of_any_make_is_read_in_one_pass(soup):
+    """1 MB of it in a few seconds at most, and not much over twice the time of half of it."""
+    text = SOUP[soup] * (1_000_000 // len(SOUP[soup]))
+    took = []
+    for page in (text[: len(text) // 2], text):
+        start = time.perf_counter()
+        html_text.blocks_of("<p>Words before it.</p>" + page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 6 and took[1] < 4 * took[0] + 0.5
+
+
+def test_html_tags_that_do_not_end():
+    of = lambda page: [t for _, t in html_text.blocks_of(page)]
+    assert of("<p>a < b and b > c</p>") == ["a < b and b > c"]
+    assert of("<p>one</p> two <b three") == ["one", "two <b three"]
+    assert of("<p title='x>y'>in</p>") == ["in"]
+    assert of('<p title="5" tall">in</p><p>on</p>') == ["in", "on"]
+    assert of('<a href="x>text</a> more') == ["text more"]
+    assert of("<p data='<b>'>in</p><p data=\"it's <i> '\">on</p>") == ["in", "on"]
+    assert of("<div><p>a<p>b<ul><li>c<li>d</ul></b></x>e</div>f") == ["a", "b", "c", "d", "e", "f"]
+    assert of("a<script>b</script c>d<style>e") == ["ad"]
 
 
 @pytest.mark.parametrize("name", ["documents", "odd"])
@@ -376,6 +435,22 @@ def test_sharding(name, request):
     assert (got.sort_values(["shard", "slot"]).hilbert.diff().fillna(0) >= 0).all()
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    """Copies of other sources and langs are one run of places: parted at the ends of shards only, in as few shards as their number takes."""
+    rows = [(i, f"own text {i}", f"s{i % 7}", "en" if i % 3 else None) for i in range(300)]
+    rows += [(1000 + 10 * g + i, f"copy {g}", f"s{(g + i) % 9}" if i % 4 else None, "de" if i % 2 else "fr") for g in range(20) for i in range(2 + g % 5)]
+    rows += [(5000 + i, "a large group", f"s{i % 11}", "en") for i in range(150)] + [(None, "a large group", "zz", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = sharding.hilbert_shards(docs).join(docs.select("doc_id", "text").distinct(), "doc_id", "left").toPandas()
+    assert len(got) == len(rows)
+    got["text"] = got["text"].fillna("a large group")
+    for text, rank in got.groupby("text")["rank"]:
+        assert rank.max() - rank.min() == len(rank) - 1
+    assert got[got.text == "a large group"].shard.nunique() <= -(-153 // (len(rows) // 40)) + 1
+    n = got.groupby("shard").size()
+    assert len(n) == 40 and n.max() - n.min() <= 1
+
+
 @pytest.mark.parametrize("broadcast", [200_000, -1])
 def test_sharding_quantisation(documents, monkeypatch, broadcast):
     """The curve's coordinates by plain sorting: text size among 64 quantiles, source and lang by code point over rows."""
@@ -393,8 +468,13 @@ def test_sharding_quantisation(documents, monkeypatch, broadcast):
         before = np.cumsum([0, *[counts[k] for k in kinds]])
         return {k: int(b * 64 // len(values)) for k, b in zip(kinds, before)}
 
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(r.text or "", r)
+    own, rows = {r.doc_id: r.text or "" for r in rows}, [first[r.text or ""] for r in rows]
     source, lang = places([r.source for r in rows]), places([r.lang for r in rows])
-    want = {r.doc_id: int(sharding.hilbert_index(np.array([[source[r.source], lang[r.lang], sum(size[r.doc_id] >= c for c in cuts)]]), 6)[0]) for r in rows}
+    index = {r.text or "": int(sharding.hilbert_index(np.array([[source[r.source], lang[r.lang], sum(size[r.doc_id] >= c for c in cuts)]]), 6)[0]) for r in rows}
+    want = {doc_id: index[text] for doc_id, text in own.items()}
     assert {r.doc_id: r.hilbert for r in sharding.hilbert_shards(documents).collect()} == want
 
 
