@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import ulp
 from drift_engine.functions.geodesy import Grid
+from drift_engine.operators.parts import Crowds, after, before, everywhere, in_part, track_ids as _ids
+from drift_engine.storage import materialise
 
 SNAP_ULPS = 8.0
 LINK_KEYS = ["start_y_bin", "start_x_bin", "end_y_bin", "end_x_bin"]
 
 
-def _ids(df: DataFrame) -> list[str]:
-    return [c for c in ("trajectory", "group_member") if c in df.columns]
-
-
 def _located(t: Column, a: str, b: str, geographic: bool, max_gap: float | None) -> Column:
     """struct(status, x, y) at time t between the observations a and b (structs t, x, y; b may be NULL).
 
@@ -71,18 +69,14 @@ def require_canonical(tracks: DataFrame) -> DataFrame:
 CHUNK = 4096
 
 
-def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None) -> DataFrame:
-    """Segments k: from k * lag to (k + 1) * lag, for as many as the track's duration holds; `copies` segments from k on are alike.
+def _points(rows: DataFrame, lag: float, geographic: bool, max_gap: float | None) -> DataFrame:
+    """The positions at the multiples k of the lag, of brackets a to b of tracks that last until _last.
 
-    Each observation gives the bracket up to the next one, and the multiples of the lag
-    that fall in it come out of the row itself: one sort of each track, no as-of join.
-    A bracket wider than max_gap gives its first and last two multiples, and the number of
-    those between, which all lie in the gap; any other gives them CHUNK by CHUNK.
+    The multiples that fall in a bracket come out of the row itself. A bracket wider than
+    max_gap gives its first and last two multiples, and the number of those between, which
+    all lie in the gap; any other gives them CHUNK by CHUNK.
     """
-    ids = _ids(tracks)
-    w = Window.partitionBy(*ids).orderBy("time")
-    whole = Window.partitionBy(*ids)
-    rows = tracks.withColumn("a", _observation()).withColumn("b", F.lead("a").over(w)).withColumn("_last", F.max("time").over(whole))
+    keys = [*_ids(rows), *(["part"] if "part" in rows.columns else [])]
     q = F.col("_last") / F.lit(lag)
     n = F.floor(F.when(q > 0, q + ulp(q)).otherwise(q)).cast("long")
     rows = rows.withColumn("n", n).filter("n > 0")
@@ -100,37 +94,78 @@ def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = F
     rows = rows.withColumn("_from", F.explode(starts))
     run = F.transform(F.sequence(F.col("_from"), F.greatest(F.col("_from"), F.least(F.col("_from") + CHUNK - 1, hi))), lambda k: one(k, F.lit(1)))
     rows = rows.withColumn("_k", F.explode(F.when(F.col("_from") < 0, ends).otherwise(run)))
-    points = rows.select(*ids, "n", "_k.k", "_k.copies", _located(F.col("_k.k") * F.lit(lag), "a", "b", geographic, max_gap).alias("start"))
-    points = points.withColumn("end", F.lead("start").over(Window.partitionBy(*ids).orderBy("k")))
-    return points.filter("k < n").select(*ids, "k", "start", "end", "copies")
+    return rows.select(*keys, "n", "_k.k", "_k.copies", _located(F.col("_k.k") * F.lit(lag), "a", "b", geographic, max_gap).alias("start"))
+
+
+def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None, crowds: Crowds | None = None) -> DataFrame:
+    """Segments k: from k * lag to (k + 1) * lag, for as many as the track's duration holds; `copies` segments from k on are alike.
+
+    Each observation gives the bracket up to the next one: one sort of each track, no as-of
+    join. The tracks of `crowds` are sorted in parts, and their brackets and segments across
+    a cut end with what the next part hands on.
+    """
+    made = lambda points, end: points.withColumn("end", end).filter("k < n").select(*ids, "k", "start", "end", "copies")
+    ids = _ids(tracks)
+    if crowds:
+        long, tracks = crowds.split(tracks)
+        rows = crowds.cut(long.withColumn("a", _observation()), ["time"], "track-parts")
+        rows = crowds.handed(rows, {"first": F.min("a"), "end": F.max("time")}, {"_next": lambda w: F.lead("first").over(w), "_last": lambda w: F.max("end").over(everywhere(w))})
+        rows = rows.withColumn("b", F.coalesce(F.lead("a").over(in_part(rows, "time")), "_next"))
+        points = materialise(_points(rows, lag, geographic, max_gap), "track-points")
+        points = crowds.handed(points, {"first": F.min(F.struct("k", "start"))}, {"_next": lambda w: F.lead("first").over(w)})
+        parted = made(points, F.coalesce(F.lead("start").over(in_part(points, "k")), "_next.start"))
+    w = Window.partitionBy(*ids).orderBy("time")
+    rows = tracks.withColumn("a", _observation()).withColumn("b", F.lead("a").over(w)).withColumn("_last", F.max("time").over(Window.partitionBy(*ids)))
+    found = made(_points(rows, lag, geographic, max_gap), F.lead("start").over(Window.partitionBy(*ids).orderBy("k")))
+    return found.unionByName(parted) if crowds else found
 
 
-def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None) -> DataFrame:
+def _merged(rows: DataFrame, lag: float) -> DataFrame:
+    """Observations, and the targets one lag after those that are not the track's last, with the order of both in common columns."""
+    ids = _ids(rows)
+    none = F.lit(None).cast("struct<t:double,x:double,y:double>")
+    seen = rows.select(*ids, F.col("time").alias("t"), F.lit(0).alias("_target"), _observation().alias("o"), F.lit(None).cast("long").alias("k"), none.alias("from"))
+    wanted = rows.filter("_more").select(*ids, (F.col("time") + F.lit(lag)).alias("t"), F.lit(1).alias("_target"), none.alias("o"), "k", _observation().alias("from"))
+    return seen.unionByName(wanted)
+
+
+def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None, crowds: Crowds | None = None) -> DataFrame:
     """A segment from each observation but the track's last one to the position one lag later.
 
     Observations and targets are merged in one order per track; the last observation
     before a target and the first one after it are its bracket, read as running values
-    in that order and in its reverse.
+    in that order and in its reverse. The tracks of `crowds` are merged in parts, which
+    hand on the last and the first observation to the parts after and before them.
     """
     ids = _ids(tracks)
+    forth, back = ["t", "_target", F.col("k").asc_nulls_first()], [F.desc("t"), F.desc("_target"), F.col("k").desc_nulls_last()]
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def made(merged: DataFrame) -> DataFrame:
+        start = F.struct(F.lit("exact").alias("status"), F.col("from.x").alias("x"), F.col("from.y").alias("y"))
+        # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
+        end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
+        return merged.filter("_target = 1").select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
+
+    if crowds:
+        long, tracks = crowds.split(tracks)
+        rows = crowds.cut(long, ["time"], "track-parts")
+        rows = crowds.handed(rows, {"n": F.count("*"), "end": F.max("time")}, {"_before": lambda w: F.coalesce(F.sum("n").over(before(w)), F.lit(0)), "_last": lambda w: F.max("end").over(everywhere(w))})
+        rows = rows.withColumn("k", F.col("_before") + F.row_number().over(in_part(rows, "time")) - 1).withColumn("_more", F.col("time") < F.col("_last"))
+        merged = crowds.cut(_merged(rows, lag), forth, "track-merged", times=2)
+        merged = crowds.handed(merged, {"low": F.min("o"), "high": F.max("o")}, {"_a": lambda w: F.last("high", True).over(before(w)), "_b": lambda w: F.first("low", True).over(after(w))}, times=2)
+        merged = merged.withColumn("a", F.coalesce(F.last("o", True).over(running(in_part(merged, *forth))), "_a")).withColumn("b", F.coalesce(F.last("o", True).over(running(in_part(merged, *back))), "_b"))
+        parted = made(merged)
     order = Window.partitionBy(*ids).orderBy("time")
     rows = tracks.withColumn("_more", F.lead("time").over(order).isNotNull()).withColumn("k", F.row_number().over(order).cast("long") - 1)
-    seen = rows.select(*ids, F.col("time").alias("t"), F.lit(0).alias("_target"), _observation().alias("o"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("struct<t:double,x:double,y:double>").alias("from"))
-    wanted = rows.filter("_more").select(*ids, (F.col("time") + F.lit(lag)).alias("t"), F.lit(1).alias("_target"), F.lit(None).cast("struct<t:double,x:double,y:double>").alias("o"), "k", _observation().alias("from"))
-    merged = seen.unionByName(wanted)
-    upto = lambda *by: Window.partitionBy(*ids).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn("a", F.last("o", True).over(upto("t", "_target", F.col("k").asc_nulls_first())))
-    merged = merged.withColumn("b", F.last("o", True).over(upto(F.desc("t"), F.desc("_target"), F.col("k").desc_nulls_last())))
-    merged = merged.filter("_target = 1")
-    start = F.struct(F.lit("exact").alias("status"), F.col("from.x").alias("x"), F.col("from.y").alias("y"))
-    # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
-    end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
-    return merged.select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
-
-
-def segments(tracks: DataFrame, lag: float, mode: str = "non_overlapping", geographic: bool = False, max_gap: float | None = None) -> DataFrame:
+    whole = lambda *by: running(Window.partitionBy(*ids).orderBy(*by))
+    found = made(_merged(rows, lag).withColumn("a", F.last("o", True).over(whole(*forth))).withColumn("b", F.last("o", True).over(whole(*back))))
+    return found.unionByName(parted) if crowds else found
+
+
+def segments(tracks: DataFrame, lag: float, mode: str = "non_overlapping", geographic: bool = False, max_gap: float | None = None, crowds: Crowds | None = None) -> DataFrame:
     make = {"non_overlapping": segments_non_overlapping, "every_observation": segments_every_observation}[mode]
-    return make(tracks, lag, geographic, max_gap)
+    return make(tracks, lag, geographic, max_gap, crowds)
 
 
 def with_fate(segs: DataFrame, grid: Grid) -> DataFrame:
@@ -162,8 +197,14 @@ def matrix_diagnostics(segs: DataFrame, grid: Grid) -> DataFrame:
     return rows.agg(total(F.lit(1)).alias("candidate_segments"), *each, *fates, total(F.col("outside_start").cast("long")).alias("outside_start"), total(F.col("outside_end").cast("long")).alias("outside_end"))
 
 
-def source_timestep(tracks: DataFrame) -> DataFrame:
+def source_timestep(tracks: DataFrame, crowds: Crowds | None = None) -> DataFrame:
     """The commonest gap between observations, the smallest of equals: (timestep, observations)."""
-    w = Window.partitionBy(*_ids(tracks)).orderBy("time")
-    gaps = tracks.select((F.lead("time").over(w) - F.col("time")).alias("timestep")).filter("timestep is not null")
+    step = lambda rows, later: rows.select((later - F.col("time")).alias("timestep"))
+    if crowds:
+        long, tracks = crowds.split(tracks)
+        rows = crowds.cut(long, ["time"], "track-parts")
+        rows = crowds.handed(rows, {"first": F.min("time")}, {"_next": lambda w: F.lead("first").over(w)})
+        parted = step(rows, F.coalesce(F.lead("time").over(in_part(rows, "time")), "_next"))
+    gaps = step(tracks, F.lead("time").over(Window.partitionBy(*_ids(tracks)).orderBy("time")))
+    gaps = (gaps.unionByName(parted) if crowds else gaps).filter("timestep is not null")
     return gaps.groupBy("timestep").agg(F.count("*").alias("observations")).orderBy(F.desc("observations"), "timestep").limit(1)

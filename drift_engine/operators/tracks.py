@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import number
+from drift_engine.operators.parts import Crowds, small, track_ids as _ids
 
 SECONDS = {"s": 1.0, "min": 60.0, "h": 3600.0, "day": 86400.0}
 
@@ -41,36 +42,42 @@ def with_validity(raw: DataFrame, geographic: bool = False) -> DataFrame:
     return raw.withColumn("valid", ok)
 
 
-def _ids(df: DataFrame) -> list[str]:
-    return ["trajectory"] + (["group_member"] if "group_member" in df.columns else [])
+def _canonical(raw: DataFrame, geographic: bool, order: list[str], crowds: Crowds | None = None) -> DataFrame:
+    """Valid rows with their place among those of the same identity and time, the rows the track has left, and its first time.
 
-
-def _canonical(raw: DataFrame, geographic: bool, order: list[str]) -> DataFrame:
-    """Valid rows with their place among those of the same identity and time, and the rows the track has left."""
+    The tracks of `crowds` have these two from a table of sums, not from a window.
+    """
     ids = _ids(raw)
     rows = with_validity(raw, geographic).filter("valid")
     rank = [F.col(c).asc_nulls_last() for c in order if c in raw.columns] or [F.lit(0)]
-    rows = rows.withColumn("_same", F.row_number().over(Window.partitionBy(*ids, "time").orderBy(*rank)))
-    return rows.withColumn("_kept", F.sum(F.when(F.col("_same") == 1, 1).otherwise(0)).over(Window.partitionBy(*ids)))
-
-
-def sanitise(raw: DataFrame, geographic: bool = False, order: tuple[str, ...] = ("obs", "file_rank", "row_index")) -> DataFrame:
+    sums = F.sum(F.when(F.col("_same") == 1, 1).otherwise(0)), F.min("time")
+    numbered = lambda rows: rows.withColumn("_same", F.row_number().over(Window.partitionBy(*ids, "time").orderBy(*rank)))
+    if crowds:
+        long, rows = crowds.split(rows)
+        long = numbered(long)
+        parted = long.join(small(long.groupBy(*ids).agg(sums[0].alias("_kept"), sums[1].alias("_first")), crowds.tracks), ids)
+    rows = numbered(rows)
+    found = rows.select("*", *[c.over(Window.partitionBy(*ids)).alias(n) for n, c in zip(("_kept", "_first"), sums)])
+    return found.unionByName(parted) if crowds else found
+
+
+def sanitise(raw: DataFrame, geographic: bool = False, order: tuple[str, ...] = ("obs", "file_rank", "row_index"), crowds: Crowds | None = None) -> DataFrame:
     """Canonical tracks: first of equal times, tracks of two observations at least, time from the track's first one on.
 
     order: the columns that tell which of equal times came first; those that raw has.
+    crowds: the tracks of raw that are too long for one task.
     """
-    ids = _ids(raw)
-    rows = _canonical(raw, geographic, list(order)).filter("_same = 1 and _kept >= 2")
-    return rows.withColumn("time", F.col("time") - F.min("time").over(Window.partitionBy(*ids))).select(*ids, "time", "x", "y")
+    rows = _canonical(raw, geographic, list(order), crowds).filter("_same = 1 and _kept >= 2")
+    return rows.withColumn("time", F.col("time") - F.col("_first")).select(*_ids(raw), "time", "x", "y")
 
 
-def diagnostics(raw: DataFrame, geographic: bool = False, order: tuple[str, ...] = ("obs", "file_rank", "row_index")) -> DataFrame:
+def diagnostics(raw: DataFrame, geographic: bool = False, order: tuple[str, ...] = ("obs", "file_rank", "row_index"), crowds: Crowds | None = None) -> DataFrame:
     """One row of counters of what sanitise() reads, drops and keeps."""
     ids = F.struct(*_ids(raw))
     known = F.when(F.col("trajectory").isNotNull(), ids)
     flagged = with_validity(raw, geographic)
     read = flagged.agg(F.count("*").alias("source_observations"), F.count_if(~F.col("valid")).alias("invalid_observations"), F.count_distinct(known).alias("source_trajectories"))
-    rows = _canonical(raw, geographic, list(order))
+    rows = _canonical(raw, geographic, list(order), crowds)
     kept = rows.agg(
         F.count_if(F.col("_same") > 1).alias("duplicate_observations"),
         F.count_if((F.col("_same") == 1) & (F.col("_kept") < 2)).alias("short_observations"),

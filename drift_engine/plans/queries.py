@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drift_engine.functions import angles, geodesy
-from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, review, ridge, sections, tracks, validate
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, parts, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
 from drift_engine.plans.oracles import GAP, ORACLES
 from drift_engine.sources import auxiliary, naming
@@ -75,6 +75,38 @@ def mat_source_step_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.source_timestep(P.tracks_o(spark, sf_dir))
 
 
+#: Rows from which these queries take a track in parts: small, so that most tracks of the events are cut.
+PART_ROWS = 64
+
+
+def _parted(spark: SparkSession, sf_dir: str, mode: str = "non_overlapping", max_gap: float | None = None) -> DataFrame:
+    raw = P.events_raw(spark, sf_dir)
+    long = parts.crowds(raw, PART_ROWS)
+    return matrix.segments(tracks.sanitise(raw, crowds=long), P.DAY, mode, False, max_gap, long)
+
+
+@query
+def san_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = P.dirty_raw(spark, sf_dir)
+    return tracks.sanitise(raw, crowds=parts.crowds(raw, PART_ROWS)).select("trajectory", *r6("time", "x", "y"))
+
+
+@query
+def mat_parts_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.transition_matrix(_parted(spark, sf_dir), P.GRID_E).select(*BINS, "transition_count", *r6("start_x_center", "transition_probability"))
+
+
+@query
+def mat_parts_every_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.transition_matrix(_parted(spark, sf_dir, "every_observation"), P.GRID_E).select(*BINS, "transition_count")
+
+
+@query
+def mat_parts_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matrix.matrix_diagnostics(_parted(spark, sf_dir, max_gap=GAP), P.GRID_E)
+    return found.select("candidate_segments", "exact_endpoints", "gap_endpoints", "rejected_gap", "rejected_outside", "retained_segments")
+
+
 @query
 def val_flags_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.matrix_e(spark, sf_dir)

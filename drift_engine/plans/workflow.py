@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from drift_engine import storage
 from drift_engine.functions.geodesy import with_scales
-from drift_engine.operators import cellstats, compare, directional, flux, gradients, matrix, review, sections, tracks, validate
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, matrix, parts, review, sections, tracks, validate
 from drift_engine.plans import config as settings
 from drift_engine.plans import tables
 from drift_engine.plans.config import Config
@@ -83,12 +83,13 @@ def compute_matrix(spark: SparkSession, cfg: Config) -> tuple[DataFrame, dict]:
     """The transition matrix of the configured files, stored, and its counters."""
     geographic = cfg.space.geographic
     raw = materialise(trajectories.read(spark, cfg.input), "observations")
-    canon = matrix.require_canonical(materialise(tracks.sanitise(raw, geographic), "tracks"))
+    long = parts.crowds(raw)
+    canon = matrix.require_canonical(materialise(tracks.sanitise(raw, geographic, crowds=long), "tracks"))
     m = cfg.matrix
-    segs = matrix.segments(canon, cfg.lag, m.segment_mode, geographic, None if m.max_interpolation_gap is None else m.max_interpolation_gap * tracks.SECONDS[m.time_unit])
+    segs = matrix.segments(canon, cfg.lag, m.segment_mode, geographic, None if m.max_interpolation_gap is None else m.max_interpolation_gap * tracks.SECONDS[m.time_unit], long)
     segs = materialise(segs, "segments")
-    counters = tracks.diagnostics(raw, geographic).first().asDict() | matrix.matrix_diagnostics(segs, cfg.engine_grid).first().asDict()
-    step = matrix.source_timestep(canon).first()
+    counters = tracks.diagnostics(raw, geographic, crowds=long).first().asDict() | matrix.matrix_diagnostics(segs, cfg.engine_grid).first().asDict()
+    step = matrix.source_timestep(canon, long).first()
     counters["source_timestep_seconds"] = None if step is None else step["timestep"]
     return materialise(matrix.transition_matrix(segs, cfg.engine_grid), "matrix"), counters
 
