@@ -4,25 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.functions.geodesy import METRES, Grid, Space
-
-#: A table of cells is broadcast if the grid has no more of them than this.
-BROADCAST_CELLS = 1_000_000
-
-
-def _side(cells: DataFrame, grid: Grid) -> DataFrame:
-    return F.broadcast(cells) if grid.nx * grid.ny <= BROADCAST_CELLS else cells
-
+from drift_engine.operators import tiles
 
 def sample(points: DataFrame, keys: list[str], cells: DataFrame, fields: list[str], grid: Grid, tolerance: float = 1e-10) -> DataFrame:
     """Bilinear values of the fields at points (keys, px, py): keys, boundary, and each field.
 
     A field is NULL unless each corner of a weight over the tolerance is in `cells` (the
     supported ones) and has it. Within half a cell of the border, and outside, a point is
-    on the boundary. The corners are joined once for all fields.
+    on the boundary. Points and cells meet by tile, once for all fields.
     """
     gx = (grid.branch(F.col("px")) - F.lit(grid.x_min)) / F.lit(grid.dx) - 0.5
     gy = (F.col("py") - F.lit(grid.y_min)) / F.lit(grid.dy) - 0.5
@@ -31,18 +25,10 @@ def sample(points: DataFrame, keys: list[str], cells: DataFrame, fields: list[st
         out = out | (gx < -tolerance) | (gx > grid.nx - 1 + tolerance)
         gx = F.least(F.greatest(gx, F.lit(0.0)), F.lit(float(grid.nx - 1)))
     gy = F.least(F.greatest(gy, F.lit(0.0)), F.lit(float(grid.ny - 1)))
-    rows = points.withColumns({"_out": F.coalesce(out, F.lit(False)), "_gx": gx, "_gy": gy})
-    fx, fy = F.col("_gx") - F.floor("_gx"), F.col("_gy") - F.floor("_gy")
-    corner = lambda i, j, w: F.struct((F.floor("_gx") + i).cast("long").alias("i"), (F.floor("_gy") + j).cast("long").alias("j"), w.alias("w"))
-    corners = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
-    wanted = F.when(F.col("_out") | F.col("px").isNull() | F.col("py").isNull(), F.array().cast("array<struct<i:bigint,j:bigint,w:double>>")).otherwise(F.filter(corners, lambda c: c["w"] > tolerance))
-    rows = rows.select(*keys, "_out", F.explode_outer(wanted).alias("c"))
-    i = F.pmod(F.col("c.i"), F.lit(grid.nx)) if grid.periodic else F.col("c.i")
-    rows = rows.select(*keys, "_out", F.col("c.w").alias("_w"), grid.cell_id(i, F.col("c.j")).alias("cell_at"))
-    values = cells.select(F.col("cell_id").alias("cell_at"), *[F.col(f).alias(f"_f_{f}") for f in fields])
-    rows = rows.join(_side(values, grid), "cell_at", "left")
-    value = lambda f: F.when((F.count("_w") > 0) & (F.count("_w") == F.count(f"_f_{f}")), F.sum(F.col("_w") * F.col(f"_f_{f}"))).alias(f)
-    return rows.groupBy(*keys).agg(F.max("_out").alias("boundary"), *[value(f) for f in fields])
+    known = ~F.coalesce(out, F.lit(False)) & F.col("px").isNotNull() & F.col("py").isNotNull()
+    rows = points.select(*keys, F.coalesce(out, F.lit(False)).alias("boundary"), F.when(known, gx).alias("_gx"), F.when(known, gy).alias("_gy"))
+    placed = cells.select((F.col("cell_id") % grid.nx).alias("x_bin"), F.expr(f"cell_id div {grid.nx}").alias("y_bin"), *fields)
+    return tiles.sampled(rows, placed, grid, fields, tolerance).drop("_gx", "_gy")
 
 
 def around(cells: DataFrame, grid: Grid, reach: int = 1, centre: bool = True) -> DataFrame:
@@ -96,9 +82,13 @@ def near_cells(points: DataFrame, reach: Column, grid: Grid, space: Space) -> Da
 
 def smooth(cells: DataFrame, field: str, grid: Grid, name: str = "smoothed") -> DataFrame:
     """cells with the mean of the field over the supported cells of their 3 x 3 surroundings. cells: the supported ones."""
-    values = cells.select(F.col("cell_id").alias("near_id"), F.col(field).alias("_v"))
-    means = around(cells.filter(F.col(field).isNotNull()), grid).join(_side(values, grid), "near_id").groupBy("cell_id").agg(F.avg("_v").alias(name))
-    return cells.join(means, "cell_id", "left")
+
+    def means(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        near = np.array([tile.own(tile.values[field], *step) for step in tile.around()])
+        found = ~np.isnan(near)
+        return {name: np.where(np.isnan(tile.own(tile.values[field])), np.nan, np.where(found, near, 0.0).sum(0) / np.maximum(found.sum(0), 1))}
+
+    return tiles.stencil(cells, grid, [field], means, f"`{name}` double")
 
 
 def consistency(cells: DataFrame, theta: str, grid: Grid, support: str | None = None, least: int = 0) -> DataFrame:
@@ -106,39 +96,41 @@ def consistency(cells: DataFrame, theta: str, grid: Grid, support: str | None =
     rows = cells.filter(F.col(theta).isNotNull())
     if support:
         rows = rows.filter(F.col(support) >= least)
-    own = rows.select("cell_id", F.col(theta).alias("_a"))
-    near = rows.select(F.col("cell_id").alias("near_id"), F.col(theta).alias("_b"))
-    pairs = around(rows, grid, centre=False).join(_side(near, grid), "near_id").join(_side(own, grid), "cell_id")
-    return pairs.groupBy("cell_id").agg(F.avg(F.cos(F.radians(F.col("_a") - F.col("_b")))).alias("consistency"), F.count("*").alias("neighbours"))
+
+    def cosines(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        own = tile.own(tile.values[theta])
+        apart = np.array([own - tile.own(tile.values[theta], *step) for step in tile.around(centre=False)])
+        found = ~np.isnan(apart)
+        n = found.sum(0)
+        return {"consistency": np.where(n > 0, np.where(found, np.cos(np.radians(np.where(found, apart, 0.0))), 0.0).sum(0) / np.maximum(n, 1), np.nan), "neighbours": n}
+
+    found = tiles.stencil(rows.select("cell_id", "x_bin", "y_bin", theta), grid, [theta], cosines, "consistency double, neighbours long")
+    return found.filter("neighbours > 0").select("cell_id", "consistency", "neighbours")
 
 
 def gradient(cells: DataFrame, field: str, grid: Grid, space: Space) -> DataFrame:
     """cells with the field's east and north derivatives per length, centred, or one-sided where a neighbour lacks it, and how each was made.
 
-    Four neighbour lookups by cell id; distances come from the coordinates.
+    Differences and distances are worked out tile by tile; distances come from the coordinates.
     """
-    values = cells.filter(F.col(field).isNotNull()).select(F.col("cell_id").alias("_id"), F.col(field).alias("_v"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    out = cells
-    for side, i, j in (("e", 1, 0), ("w", -1, 0), ("n", 0, 1), ("s", 0, -1)):
-        x, y = F.col("x_bin") + i, F.col("y_bin") + j
-        inside = y.between(0, grid.ny - 1)
-        if grid.periodic:
-            x = F.pmod(x, F.lit(grid.nx))
-        else:
-            inside &= x.between(0, grid.nx - 1)
-        one = values.select(F.col("_id").alias(f"_id_{side}"), F.col("_v").alias(f"_v_{side}"), F.struct("_x", "_y").alias(f"_p_{side}"))
-        out = out.withColumn(f"_id_{side}", F.when(inside, grid.cell_id(x, y))).join(_side(one, grid), f"_id_{side}", "left")
-    for axis, up, down in (("east", "e", "w"), ("north", "n", "s")):
-        here = F.struct(F.col("x").alias("_x"), F.col("y").alias("_y"))
-        has_up, has_down = F.col(f"_v_{up}").isNotNull(), F.col(f"_v_{down}").isNotNull()
-        a = F.when(has_down, F.col(f"_p_{down}")).otherwise(here)
-        b = F.when(has_up, F.col(f"_p_{up}")).otherwise(here)
-        va, vb = F.coalesce(f"_v_{down}", field), F.coalesce(f"_v_{up}", field)
-        length = space.inverse(a["_x"], a["_y"], b["_x"], b["_y"])["distance"]
-        known = F.col(field).isNotNull() & (has_up | has_down)
-        out = out.withColumn(f"gradient_{axis}", F.when(known, (vb - va) / length))
-        out = out.withColumn(f"gradient_{axis}_method", F.when(~known, "undefined").when(has_up & has_down, "centred").otherwise("one_sided"))
-    return out.drop(*[c for c in out.columns if c[:4] in ("_id_", "_v_e", "_v_w", "_v_n", "_v_s", "_p_e", "_p_w", "_p_n", "_p_s")])
+
+    def derivatives(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        at = lambda name, *step: tile.own(tile.values[name], *step)
+        out, here = {}, at(field)
+        for axis, step in (("east", (0, 1)), ("north", (1, 0))):
+            back = (-step[0], -step[1])
+            up, down = ~np.isnan(at(field, *step)), ~np.isnan(at(field, *back))
+            known = ~np.isnan(here) & (up | down)
+            a = [np.where(down, at(c, *back), at(c)) for c in ("x", "y", field)]
+            b = [np.where(up, at(c, *step), at(c)) for c in ("x", "y", field)]
+            with np.errstate(all="ignore"):
+                length = space.metres(a[0], a[1], b[0], b[1])
+                out[f"gradient_{axis}"] = np.where(known, (b[2] - a[2]) / length, np.nan)
+            out[f"gradient_{axis}_method"] = np.where(~known, "undefined", np.where(up & down, "centred", "one_sided"))
+        return out
+
+    made = "gradient_east double, gradient_east_method string, gradient_north double, gradient_north_method string"
+    return tiles.stencil(cells, grid, ["x", "y", field], derivatives, made)
 
 
 def along_across(cells: DataFrame, theta: str, tolerance: float = 1e-12) -> DataFrame:
