@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -64,10 +65,14 @@ _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_SPACE = re.compile(r"\s+")
 
 
 def standing(tag: str, attributes: str) -> str:
+    """As _standing(), which is remembered for attributes of usual length."""
+    return _usual(tag, attributes) if len(attributes) < 200 else _standing(tag, attributes)
+
+
+def _standing(tag: str, attributes: str) -> str:
     """'-' if the element is furniture, '+' if it holds the main text, '?' if its name makes it suspect, '' if none of these."""
     if tag in FURNITURE:
         return "-"
@@ -97,6 +102,9 @@ def standing(tag: str, attributes: str) -> str:
     return ""
 
 
+_usual = lru_cache(20_000)(_standing)
+
+
 class Tags:
     """Ends of tags that hold a '<', or quotes that don't pair: a quote opens a value after '=' only, and one that never closes opens none.
 
@@ -148,13 +156,13 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, standing inside)
     held: Counter[str] = Counter()  # of the stack's tags
-    tags = Tags(page)
+    tags: Tags | None = None
     parts: list[str] = []
     now = ""
 
     def flush():
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 out.append((now, text))
@@ -167,8 +175,10 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at, closing, tag, attributes = m.end(), m[1], m[2], m[3]
-        if m[4]:
+        at = m.end()
+        closing, tag, attributes, other = m.groups()
+        if other:
+            tags = tags or Tags(page)
             m = _NAME.match(page, m.start())
             end = tags.end(m.end())
             if end < 0:  # no tag ends from here on
@@ -348,7 +358,7 @@ def window_lists(host: str, parsed: list[list[tuple[str, str]]], counted: np.nda
 
 def host_texts(host: str, parsed: list[list[tuple[str, str]]], counted: np.ndarray, contents: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int]]:
     """(main text, words dropped as shared) of each page. contents: distinct ones of the whole host; known: keys and contents of windows that other groups of the host have too."""
-    flags, begins, upto = {}, {}, {}
+    flags, begins = {}, {}
     strict = max(MAIN_PAGES, MAIN_SHARE * contents)
     for main in (False, True):
         zone = Zone(host, parsed, main)
@@ -361,26 +371,37 @@ def host_texts(host: str, parsed: list[list[tuple[str, str]]], counted: np.ndarr
         # Outside main elements two contents suffice; the strict limit is for pages that are copies.
         for least in (LEAST_PAGES, strict) if not main else (strict,):
             flags[main, least == strict] = cover(counts >= least)
-        begins[main] = iter(zone.begins)
-    upto = {k: np.concatenate([[0], np.cumsum(v)]).tolist() for k, v in flags.items()}
-    shared = lambda main, hard, a, b: upto[main, hard][b] - upto[main, hard][a]
+        begins[main] = zone.begins
+    # Words and shared words of each block, zone by zone.
+    sizes, shared = {}, {}
+    for main in (False, True):
+        start = np.asarray(begins[main], np.int64)
+        end = start + np.array([text.count(" ") + 1 for blocks in parsed for kind, text in blocks if (kind == "+") == main], np.int64)
+        sizes[main] = zip(begins[main], end.tolist())
+        for hard in (False, True):
+            if (main, hard) in flags:
+                upto = np.concatenate([[0], np.cumsum(flags[main, hard])])
+                shared[main, hard] = iter((upto[end] - upto[start]).tolist())
     out = []
     for blocks in parsed:
-        found, words = [], {True: 0, False: 0}
+        found, words, soft_lost, hard_lost = [], [0, 0], [0, 0], [0, 0]
         for kind, text in blocks:
             main = kind == "+"
-            a = next(begins[main])
-            b = a + text.count(" ") + 1
-            found.append((kind, text, main, a, b))
-            words[main] += b - a if main or kind in ("", "?") else 0
-        has_main = any(main for _, _, main, _, _ in found)
-        lost_of = lambda main, hard: sum(shared(main, hard, a, b) for kind, _, m, a, b in found if m == main and (main or kind in ("", "?")))
-        whole_main = has_main and lost_of(True, True) > COPY * words[True]
-        hard = not has_main and lost_of(False, False) > OPEN_COPY * words[False]
-        whole_open = hard and lost_of(False, True) > OPEN_COPY * words[False]
+            a, b = next(sizes[main])
+            strictly = next(shared[main, True])
+            usually = strictly if main else next(shared[False, False])
+            found.append((kind, text, main, a, b, usually, strictly))
+            if main or kind in ("", "?"):
+                words[main] += b - a
+                soft_lost[main] += usually
+                hard_lost[main] += strictly
+        has_main = any(kind == "+" for kind, _ in blocks)
+        whole_main = has_main and hard_lost[True] > COPY * words[True]
+        hard = not has_main and soft_lost[False] > OPEN_COPY * words[False]
+        whole_open = hard and hard_lost[False] > OPEN_COPY * words[False]
         kept, lost = [], 0
-        for kind, text, main, a, b in found:
-            n = 0 if whole_open and kind in ("", "?") else shared(main, main or hard, a, b)
+        for kind, text, main, a, b, usually, strictly in found:
+            n = 0 if whole_open and kind in ("", "?") else strictly if hard else usually
             suspect = kind in ("?", "!") and (b - a < SUSPECT_WORDS or n >= SUSPECT_COVERED * (b - a))
             if main and (not n or whole_main):
                 kept.append(text)
