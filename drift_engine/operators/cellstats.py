@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import apart, bearing_of, difference, ratio, wrap360
 from drift_engine.functions.geodesy import Grid, Space
+from drift_engine.operators.ranks import quantiles, tied
+from drift_engine.storage import materialise
 
 
 def enriched_links(table: DataFrame, grid: Grid, space: Space) -> DataFrame:
@@ -73,7 +75,8 @@ def coverage(cells: DataFrame, grid: Grid, thresholds=(1, 5, 10, 30)) -> DataFra
 
 
 def support_summary(cells: DataFrame) -> DataFrame:
-    return cells.agg(F.count("*").alias("cells"), F.count("P_stay").alias("source_cells"), F.avg("P_stay").alias("mean_P_stay"), F.expr("percentile(P_stay, 0.5)").alias("median_P_stay"), F.expr("percentile(P_stay, 0.05)").alias("q05_P_stay"), F.expr("percentile(P_stay, 0.95)").alias("q95_P_stay"))
+    counts = cells.agg(F.count("*").alias("cells"), F.count("P_stay").alias("source_cells"), F.avg("P_stay").alias("mean_P_stay"))
+    return counts.crossJoin(F.broadcast(quantiles(cells, {n: (F.col("P_stay"), q) for n, q in (("median_P_stay", 0.5), ("q05_P_stay", 0.05), ("q95_P_stay", 0.95))})))
 
 
 def outgoing_moments(links: DataFrame, timestep: float, tolerance: float = 1e-12) -> DataFrame:
@@ -104,7 +107,7 @@ def distance_quantiles(links: DataFrame, levels=(0.25, 0.5, 0.75, 0.95)) -> Data
 
 def strong_flags(cells: DataFrame, field: str = "U_out_all_magnitude_rate") -> DataFrame:
     """cells with flags for the field at or above its 95 and 99 per cent quantiles over cells that move."""
-    limits = cells.filter("N_out_move > 0").agg(F.percentile(field, F.lit(0.95)).alias("_q95"), F.percentile(field, F.lit(0.99)).alias("_q99"))
+    limits = quantiles(cells.filter("N_out_move > 0"), {"_q95": (F.col(field), 0.95), "_q99": (F.col(field), 0.99)})
     flag = lambda q: F.coalesce((F.col("N_out_move") > 0) & (F.col(field) >= F.col(q)), F.lit(False))
     return cells.crossJoin(F.broadcast(limits)).withColumn("strong", flag("_q95")).withColumn("top", flag("_q99")).drop("_q95", "_q99")
 
@@ -169,16 +172,11 @@ def entropy(links: DataFrame, by: str, theta: str, side: str, bins: int = 36) ->
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's correlation of two columns over rows that have both: average ranks, then Pearson; one row (pairs, correlation, NULL where one never varies).
 
-    Ranks come from value counts, of which there are no more than distinct values.
+    Ranks are those of pairs of values, which are counted first.
     """
-    rows = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def ranks(c: str, name: str) -> DataFrame:
-        n = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return n.select(c, (upto - (F.col("_n") - 1) / 2.0).alias(name))
-
-    ranked = rows.join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b)
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("a is not null and b is not null")
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rank-rows")
+    ranked = tied(rows, ["_row"], {"_ra": "a", "_rb": "b"}, least=False, descending=False)
     return ranked.agg(F.count("*").alias("pairs"), ratio(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("correlation"))
 
 

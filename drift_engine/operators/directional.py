@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drift_engine.functions.angles import apart, axial_mismatch, longitude_span, mean_bearing
 from drift_engine.functions.geodesy import Grid, Space
 from drift_engine.operators import graph, ridge, sections
+from drift_engine.operators.ranks import numbered, tied
 from drift_engine.storage import materialise
 
 
@@ -33,11 +34,11 @@ def compatible_edges(cells: DataFrame, grid: Grid, space: Space, difference: flo
     return rows.select("a", "b", "edge_length", "direction_difference", "mismatch_a", "mismatch_b", F.greatest("mismatch_a", "mismatch_b").alias("largest_mismatch"), F.cos(F.radians("direction_difference")).alias("compatibility"))
 
 
-def candidates(cells: DataFrame, grid: Grid, space: Space, min_support: int, difference: float = 45.0, mismatch: float = 45.0, **limits) -> DataFrame:
-    """Candidate cells with the components of their compatible graph, degrees and classes."""
+def candidates(cells: DataFrame, grid: Grid, space: Space, min_support: int, difference: float = 45.0, mismatch: float = 45.0, in_rounds: bool = False, **limits) -> DataFrame:
+    """Candidate cells with the components of their compatible graph, degrees and classes. in_rounds: components are found as on large grids."""
     found = cells.filter(ridge.directional_candidates(cells, min_support, **limits))
     edges = compatible_edges(found, grid, space, difference, mismatch)
-    return graph.degrees(graph.labelled(found, edges, grid.nx * grid.ny), edges)
+    return graph.degrees(graph.labelled(found, edges, None if in_rounds else grid.nx * grid.ny), edges)
 
 
 def raw_ridges(cells: DataFrame, candidate_cells: DataFrame, grid: Grid, space: Space, min_support: int, **options) -> DataFrame:
@@ -86,7 +87,7 @@ def connected_cores(thinned: DataFrame, grid: Grid, space: Space, difference: fl
 def large_enough(connected: DataFrame, least_cells: int = 3) -> DataFrame:
     """The cores: cells of connected_cores() in components of enough cells, numbered anew."""
     rows = materialise(connected.filter(F.col("component_cells") >= least_cells).drop("component_number"), "directional-cores")
-    numbers = rows.select("component").distinct().withColumn("component_number", F.row_number().over(Window.orderBy("component")))
+    numbers = numbered(rows.select("component").distinct(), [F.col("component")], "component_number")
     return rows.join(numbers, "component").withColumn("component_id", F.format_string("directional_core_component_%04d", "component_number"))
 
 
@@ -164,8 +165,8 @@ def component_statistics(members: DataFrame, edges: DataFrame, space: Space | No
         *kinds,
     )
     g = g.join(inner, "component", "left").fillna(0, ["edges", "edge_length"])
-    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())).cast("long")
-    return g.withColumns({"rank_cells": rank("cells"), "rank_strength": rank("strength"), "rank_length": rank("edge_length"), "rank_median_strength": rank("median_strength")})
+    g = materialise(g, "component-statistics")
+    return g.join(tied(g, ["component"], {"rank_cells": "cells", "rank_strength": "strength", "rank_length": "edge_length", "rank_median_strength": "median_strength"}), "component")
 
 
 def _quantiles(column: str, name: str, when=None) -> list:

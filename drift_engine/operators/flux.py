@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drift_engine.functions.angles import apart, longitude_span, mean_bearing
 from drift_engine.functions.geodesy import Grid, Space
 from drift_engine.operators import graph, ridge, sections
+from drift_engine.operators.ranks import tied
 from drift_engine.storage import materialise
 
 
@@ -18,13 +19,14 @@ def cores(cells: DataFrame, grid: Grid, space: Space, min_support: int, level: f
     return graph.degrees(graph.labelled(found, edges, grid.nx * grid.ny), edges).withColumn("component_id", F.format_string("component_%04d", "component_number"))
 
 
-def oriented_segments(core_cells: DataFrame, grid: Grid, space: Space) -> DataFrame:
+def oriented_segments(core_cells: DataFrame, grid: Grid, space: Space, in_rounds: bool = False) -> DataFrame:
     """Members of ordered segments, turned to run with theta_mu_out: sequence, tangent, mismatch, edge_length to the next.
 
     A segment's direction is that with the larger sum of cosines between theta and the
-    path's tangent; tangents are central differences, one-sided at open ends.
+    path's tangent; tangents are central differences, one-sided at open ends. in_rounds:
+    paths are found as on large grids.
     """
-    walked = graph.ordered_segments(core_cells, graph.neighbour_pairs(core_cells, grid))
+    walked = graph.ordered_segments(core_cells, graph.neighbour_pairs(core_cells, grid), None if in_rounds else grid.nx * grid.ny)
     rows = walked.join(core_cells.select("cell_id", "x", "y", "theta_mu_out", F.col("S0_field_rate").alias("_s")), "cell_id")
     key = ["component", "segment"]
     whole = Window.partitionBy(*key)
@@ -113,7 +115,8 @@ def component_statistics(core_cells: DataFrame, members: DataFrame, broken: Data
     paths = segment_statistics(members, abrupt=abrupt).groupBy("component").agg(F.count("*").alias("segments"), F.sum("length").alias("length"), F.sum("integrated_strength").alias("integrated_strength"), F.sum("total_turn").alias("total_turn"), F.max("largest_turn").alias("largest_turn"))
     out = own.join(paths, "component").join(members.groupBy("component").agg(*_mismatches(abrupt)), "component")
     ranked = {"rank_length": "length", "rank_median_flux": "median_U_out_all_magnitude_rate", "rank_integrated_strength": "integrated_strength", "rank_median_contrast": "median_C_perp", "rank_minimum_support": "minimum_N_out_move"}
-    return out.withColumns({k: F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())).cast("long") for k, c in ranked.items()})
+    out = materialise(out, "component-statistics")
+    return out.join(tied(out, ["component"], ranked), "component")
 
 
 def interruptions(core_cells: DataFrame, supported: DataFrame, grid: Grid) -> DataFrame:

@@ -11,6 +11,7 @@ from drift_engine.functions.angles import ratio
 from drift_engine.functions.geodesy import Grid, Space, with_scales
 from drift_engine.operators.cellstats import spearman
 from drift_engine.operators.gridops import along_across, gradient, near_cells, sample
+from drift_engine.operators.ranks import numbered
 from drift_engine.storage import materialise
 
 #: Fields of a cell's gradient that are read elsewhere (fixed values).
@@ -105,9 +106,8 @@ def segment_comparison(flanks: DataFrame, gradients: DataFrame, grid: Grid, spac
     )
     checks = ((~there, "gradient_not_observable"), (F.coalesce("boundary_front", F.lit(False)), "gradient_sample_boundary"), (F.coalesce("unsupported_front", F.lit(False)), "gradient_sample_missing_support"), (F.col("abs_across_at_core").isNull(), "core_gradient_not_observable"), (F.col("core_ratio_unstable"), "core_gradient_ratio_unstable"))
     flags = F.concat_ws(";", F.when(F.col("quality_flags") != "", F.col("quality_flags")), *[F.when(c, F.lit(n)) for c, n in checks])
-    # One row for each front; there are no more of them than sides of core cells on segments.
-    number = F.row_number().over(Window.orderBy("component_number", "section", "side")) - 1
-    return out.withColumn("quality_flags", flags).withColumn("comparison_record_id", F.format_string("segment_flank_%05d", number))
+    out = numbered(out.withColumn("quality_flags", flags), [F.col(c) for c in ("component_number", "section", "side")], "_number", 0)
+    return out.withColumn("comparison_record_id", F.format_string("segment_flank_%05d", "_number")).drop("_number")
 
 
 #: What a cell side has the median of, over its sections (fixed values).

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drift_engine.functions.geodesy import Grid
+from drift_engine.operators.ranks import numbered
 from drift_engine.storage import materialise
 
 #: On a grid of up to so many cells components are found in one task.
-SMALL_CELLS = 250_000
+SMALL_CELLS = 4096
 AROUND = [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i, j) != (0, 0)]
 
 
@@ -98,7 +99,7 @@ def labelled(vertices: DataFrame, edges: DataFrame, cells: int | None = None) ->
         return materialise(vertices.join(_small_components(rows).withColumnRenamed("node", "cell_id"), "cell_id"), "labelled")
     found = connected_components(edges).withColumnRenamed("node", "cell_id")
     out = materialise(vertices.join(found, "cell_id", "left").withColumn("component", F.coalesce("component", "cell_id")), "components")
-    numbers = out.select("component").distinct().withColumn("component_number", F.row_number().over(Window.orderBy("component")).cast("long"))
+    numbers = numbered(out.select("component").distinct(), [F.col("component")], "component_number")
     return materialise(out.join(numbers, "component"), "labelled")
 
 
@@ -153,8 +154,62 @@ def walk_segments(edges: list[tuple[int, int]], nodes: list[int]) -> list[tuple[
     return out
 
 
-def ordered_segments(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, segment, sequence, cell_id, closed): each component walked in one task; a component has no more cells than the grid."""
+def _ranked_arcs(arcs: DataFrame) -> DataFrame:
+    """arcs (a, b: an edge in one direction; na, nb: the arc that follows, NULL at an end) with la, lb, the last arc of its path, and `ahead`, the arcs after it.
+
+    Pointer jumping: each round every arc points to what the arc it points to pointed to,
+    so a path takes the logarithm of its length in rounds. An arc at its path's end is
+    done; the others each point to an arc of their own, so no key is hot.
+    """
+    last = F.col("nb").isNull()
+    state = materialise(arcs.select("a", "b", F.coalesce("na", "a").alias("la"), F.coalesce("nb", "b").alias("lb"), F.when(last, 0).otherwise(1).cast("long").alias("ahead"), last.alias("done")), "arcs")
+    while not state.filter("not done").isEmpty():
+        next_ = state.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("la").alias("_la"), F.col("lb").alias("_lb"), F.col("ahead").alias("_ahead"), F.col("done").alias("_done"))
+        moved = state.filter("not done").join(next_, ["la", "lb"]).select("a", "b", F.col("_la").alias("la"), F.col("_lb").alias("lb"), (F.col("ahead") + F.col("_ahead")).alias("ahead"), F.col("_done").alias("done"))
+        state = materialise(state.filter("done").unionByName(moved), "arcs")
+    return state.drop("done")
+
+
+def _ranked_segments(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """ordered_segments() by list ranking, for components of any size.
+
+    An edge is two arcs. An arc is followed by the one that goes on at a cell of degree 2;
+    a component of such cells only is a loop, cut at its smallest cell. The arcs before an
+    arc are those after its reverse, so both ends of its path are known. A path runs from
+    its smaller end, one that comes back to its start by the smaller neighbour.
+    """
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "arcs-both")
+    degree = both.groupBy("a").agg(F.count("*").alias("degree"), F.sum("b").alias("both"))
+    # Whether all of a component's cells have degree 2, and its smallest cell.
+    own = members.select(F.col("cell_id").alias("a"), "component").join(degree, "a", "left")
+    loops = own.groupBy("component").agg((F.min(F.coalesce("degree", F.lit(0))) == 2).alias("_low"), (F.max(F.coalesce("degree", F.lit(0))) == 2).alias("_high"), F.min("a").alias("_cut"))
+    nodes = own.join(loops, "component").withColumn("closed", F.col("_low") & F.col("_high"))
+    nodes = materialise(nodes.select("a", "component", "closed", "both", ((F.col("degree") != 2) | F.col("degree").isNull() | (F.col("closed") & (F.col("a") == F.col("_cut")))).alias("end")), "arc-nodes")
+    at = nodes.select(F.col("a").alias("b"), F.col("end").alias("_end"), F.col("both").alias("_both"))
+    arcs = both.join(at, "b").select("a", "b", F.when(~F.col("_end"), F.col("b")).alias("na"), F.when(~F.col("_end"), F.col("_both") - F.col("a")).alias("nb"))
+    ranked = _ranked_arcs(arcs)
+    reverse = ranked.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("lb").alias("start"), F.col("la").alias("first"), F.col("ahead").alias("place"))
+    rows = ranked.join(reverse, ["a", "b"]).withColumn("_turn", F.when(F.col("start") == F.col("lb"), F.col("first") < F.col("la")).otherwise(F.col("start") < F.col("lb"))).filter("_turn")
+    rows = materialise(rows.join(nodes.select("a", "component", "closed"), "a").select("component", "closed", "start", "first", "place", "a", "b", "ahead"), "arc-paths")
+    firsts = numbered(rows.filter("place = 0").select("component", "start", "first"), [F.col(c) for c in ("component", "start", "first")], "_number")
+    zero = firsts.groupBy("component").agg(F.min("_number").alias("_zero"))
+    firsts = firsts.join(zero, "component").select("component", "start", "first", (F.col("_number") - F.col("_zero")).cast("int").alias("segment"))
+    rows = rows.join(firsts, ["component", "start", "first"])
+    heads = rows.filter("place = 0").select("component", "segment", F.lit(0).alias("sequence"), F.col("a").alias("cell_id"), "closed")
+    # A loop's last arc comes back to the cell that it began with.
+    tails = rows.filter("not closed or ahead > 0").select("component", "segment", (F.col("place") + 1).cast("int").alias("sequence"), F.col("b").alias("cell_id"), "closed")
+    lone = members.join(degree.select(F.col("a").alias("cell_id")), "cell_id", "left_anti").select("component", F.lit(0).alias("segment"), F.lit(0).alias("sequence"), "cell_id", F.lit(False).alias("closed"))
+    return materialise(heads.unionByName(tails).unionByName(lone), "ranked-segments")
+
+
+def ordered_segments(members: DataFrame, edges: DataFrame, cells: int | None = None) -> DataFrame:
+    """(component, segment, sequence, cell_id, closed): a component's edges as paths between cells of a degree other than 2, and loops, in the order of walk_segments().
+
+    cells: of the grid. On a grid of SMALL_CELLS or fewer a component is walked in one
+    task; on others, or without that bound, paths are ranked round by round.
+    """
+    if cells is None or cells > SMALL_CELLS:
+        return _ranked_segments(members, edges)
     tagged = edges.join(members.select(F.col("cell_id").alias("a"), "component"), "a").select("component", "a", "b")
     rows = tagged.unionByName(members.select("component", F.col("cell_id").alias("a"), F.lit(None).cast("long").alias("b")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drift_engine.functions.angles import ratio
 from drift_engine.functions.geodesy import Grid, Space, with_scales
 from drift_engine.operators.gridops import sample, smooth
+from drift_engine.operators.ranks import quantiles
 from drift_engine.storage import materialise
 
 SIDES = (("left", -90.0), ("right", 90.0))
@@ -62,9 +63,9 @@ def transverse_ridge(cells: DataFrame, supported: DataFrame, theta: str, field:
     )
 
 
-def threshold(cells: DataFrame, field: str, level: float) -> DataFrame:
-    """One row: the linear quantile of the field over the cells that have it."""
-    return cells.agg(F.percentile(field, F.lit(level)).alias("threshold"))
+def threshold(cells: DataFrame, field: str, level: float, bound: int | None = None) -> DataFrame:
+    """One row: the linear quantile of the field over the cells that have it. bound: of the cells' number, if known."""
+    return quantiles(cells, {"threshold": (F.col(field), level)}, bound)
 
 
 def source_field(cells: DataFrame, grid: Grid, min_support: int, smoothed: bool = False) -> DataFrame:
@@ -88,7 +89,7 @@ def flux_ridge(cells: DataFrame, grid: Grid, space: Space, min_support: int, lev
     ridge = transverse_ridge(supported, supported, "theta_mu_out", field, grid, space, scale, tie, tolerance)
     two, one = F.col("ridge_type") == "two_sided", F.col("ridge_type") == "one_sided"
     candidate = two if policy == "two_sided_only" else two | one
-    out = ridge.crossJoin(F.broadcast(threshold(supported, field, level))).withColumn("candidate", candidate)
+    out = ridge.crossJoin(F.broadcast(threshold(supported, field, level, grid.nx * grid.ny))).withColumn("candidate", candidate)
     out = out.withColumn("core", F.col("candidate") & (F.col(field) >= F.col("threshold")))
     out = out.withColumns({"core_two_sided": F.col("core") & two, "core_one_sided": F.col("core") & one})
     flank = F.when(two, "both_sides_observable").when(one & (F.col("missing_side") == "left"), "left_flank_not_observable").when(one, "right_flank_not_observable").otherwise("not_branch_core")

@@ -721,6 +721,6 @@ ORACLES["dfr_samples"] = text(
     f"SELECT s.cell_id, s.i::INTEGER AS i, {_CLASS.replace('edge', 's.edge').replace('u IS', 's.u IS').replace('i = 0', 's.i = 0')} AS sample_class, " + r6(at_D_out_all_magnitude="a_dm", at_P_move="a_pm", at_R1_out="a_r1", at_N_out_move="a_n") + " FROM prof s JOIN sam m ON m.cell_id = s.cell_id AND m.i = s.i",
 )
 
-# Long tracks in parts: what they give is what whole tracks give.
-for _part, _whole in (("san_parts", "san_sanitise"), ("mat_parts_nonoverlap", "mat_links_nonoverlap"), ("mat_parts_every_obs", "mat_links_every_obs"), ("mat_parts_gaps", "mat_gap_rejects")):
+# Long tracks in parts, and graphs in rounds, give what whole tracks and graphs in one task give.
+for _part, _whole in (("san_parts", "san_sanitise"), ("mat_parts_nonoverlap", "mat_links_nonoverlap"), ("mat_parts_every_obs", "mat_links_every_obs"), ("mat_parts_gaps", "mat_gap_rejects"), ("grf_components_rounds", "grf_components"), ("grf_segments_ranked", "grf_segments")):
     ORACLES[_part] = ORACLES[_whole]

@@ -325,6 +325,14 @@ def grf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cell_id", "component", F.col("component_number").cast("long"), F.col("component_cells").cast("long"))
 
 
+@query
+def grf_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components as on grids too large for one task."""
+    cells = P.cells_stored(spark, sf_dir)
+    found = directional.candidates(cells, P.GRID_E, P.SPACE_E, P.MIN_SUPPORT, in_rounds=True, **P.LIMITS)
+    return found.select("cell_id", "component", "component_number", F.col("component_cells").cast("long"))
+
+
 @query
 def grf_degree_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = P.cells_stored(spark, sf_dir)
@@ -431,6 +439,13 @@ def dfr_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell_id", "side", "observable", "front_detected", "front_status", *r6("front_x", "front_y", "distance_from_core", "loss", "relative_loss"))
 
 
+@query
+def grf_segments_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered segments as on grids too large for one task."""
+    members = flux.oriented_segments(P.flux_cores_e(spark, sf_dir), P.GRID_E, P.SPACE_E, in_rounds=True)
+    return members.select("component", "segment", "sequence", "cell_id", "closed", *r6("tangent", "mismatch", "edge_length"))
+
+
 @query
 def grf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = flux.oriented_segments(P.flux_cores_e(spark, sf_dir), P.GRID_E, P.SPACE_E)
