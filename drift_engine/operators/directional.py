@@ -131,7 +131,7 @@ def directional_fronts(core_cells: DataFrame, rows: DataFrame, cfg: sections.Sec
     return sections.fronts(core_cells, sections.zones(rows, sections.DIRECTIONAL, cfg), sections.DIRECTIONAL)
 
 
-def component_statistics(members: DataFrame, edges: DataFrame, space: Space | None = None) -> DataFrame:
+def component_statistics(members: DataFrame, edges: DataFrame, space: Space | None = None, periodic: bool | None = None) -> DataFrame:
     """Per component of a labelled graph: cells, edges, ends, spans and centroid (on a sphere around the seam), means and medians, length and angles of edges, and ranks by length and by median strength, and by cells and summed strength."""
     geographic = space is not None and space.geographic
     inner = edges.join(members.select(F.col("cell_id").alias("a"), "component"), "a").groupBy("component").agg(
@@ -158,7 +158,7 @@ def component_statistics(members: DataFrame, edges: DataFrame, space: Space | No
         F.hypot(F.avg(F.sin(r)), F.avg(F.cos(r))).alias("direction_concentration"),
         F.count_if("endpoint").alias("endpoints"),
         F.count_if("junction").alias("junctions"),
-        (longitude_span(F.col("x")) if geographic else F.max("x") - F.min("x")).alias("x_span"),
+        (longitude_span(F.col("x")) if (geographic if periodic is None else periodic) else F.max("x") - F.min("x")).alias("x_span"),
         (F.max("y") - F.min("y")).alias("y_span"),
         (mean_bearing(F.col("x")) if geographic else F.avg("x")).alias("centroid_x"),
         F.avg("y").alias("centroid_y"),

@@ -55,14 +55,15 @@ MEANS = ("U_out_all_magnitude_rate", "C_perp", "C_perp_normalized", "R1_out", "R
 MEDIANS = ("U_out_all_magnitude_rate", "C_perp", "R1_out", "C_perp_one_sided")
 
 
-def cell_summaries(space: Space) -> list:
-    """Aggregates over the cells of a segment or component."""
-    span = longitude_span(F.col("x")) if space.geographic else F.max("x") - F.min("x")
+def cell_summaries(periodic: bool, neighbours: bool = False) -> list:
+    """Aggregates over the cells of a segment or component. periodic: of the grid, on which a span may lie across the seam; neighbours: with C_neigh_out, the consistency of directions."""
+    span = longitude_span(F.col("x")) if periodic else F.max("x") - F.min("x")
+    means = [*MEANS, *(["C_neigh_out"] if neighbours else [])]
     return [
         F.count_distinct("cell_id").alias("cells"),
         span.alias("x_span"),
         (F.max("y") - F.min("y")).alias("y_span"),
-        *[F.avg(c).alias(f"mean_{c}") for c in MEANS],
+        *[F.avg(c).alias(f"mean_{c}") for c in means],
         *[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in MEDIANS],
         F.max("U_out_all_magnitude_rate").alias("maximum_U_out_all_magnitude_rate"),
         F.min("N_out_move").alias("minimum_N_out_move"),
@@ -78,8 +79,11 @@ def _mismatches(abrupt: float) -> list:
     return [F.avg(m).alias("mean_mismatch"), F.percentile(m, F.lit(0.5)).alias("median_mismatch"), F.max(m).alias("largest_mismatch"), F.count_if(m >= abrupt).alias("abrupt_mismatches")]
 
 
-def segment_statistics(members: DataFrame, core_cells: DataFrame | None = None, space: Space | None = None, abrupt: float = 45.0) -> DataFrame:
-    """Per segment: cells, length, integrated strength, total and largest turn of the tangent, mismatches; and with core_cells what cell_summaries() has, and its ends."""
+def segment_statistics(members: DataFrame, core_cells: DataFrame | None = None, space: Space | None = None, abrupt: float = 45.0, periodic: bool | None = None) -> DataFrame:
+    """Per segment: cells, length, integrated strength, total and largest turn of the tangent, mismatches; and with core_cells what cell_summaries() has, and its ends.
+
+    periodic: of the grid; that of a geographic space, if it is not given.
+    """
     w = Window.partitionBy("component", "segment").orderBy("sequence")
     following = F.coalesce(F.lead("tangent").over(w), F.when(F.col("closed"), F.first("tangent").over(w)))
     rows = members.withColumn("_turn", apart(following, F.col("tangent")))
@@ -91,19 +95,19 @@ def segment_statistics(members: DataFrame, core_cells: DataFrame | None = None,
     end = (F.col("sequence") == 0) | (F.col("sequence") == F.col("_last"))
     rows = rows.withColumn("_last", F.max("sequence").over(Window.partitionBy("component", "segment")))
     ends = [F.when(F.max("closed"), 0).otherwise(F.least(F.lit(2), F.count("*"))).cast("long").alias("endpoints"), F.count_if(end & F.col("junction")).alias("junction_endpoints")]
-    return rows.groupBy("component", "component_number", "segment").agg(*cell_summaries(space), *sums, *ends)
+    return rows.groupBy("component", "component_number", "segment").agg(*cell_summaries(space.geographic if periodic is None else periodic, "C_neigh_out" in core_cells.columns), *sums, *ends)
 
 
-def component_statistics(core_cells: DataFrame, members: DataFrame, broken: DataFrame, space: Space, abrupt: float = 45.0) -> DataFrame:
+def component_statistics(core_cells: DataFrame, members: DataFrame, broken: DataFrame, space: Space, abrupt: float = 45.0, periodic: bool | None = None) -> DataFrame:
     """Per component: its cells' summaries, graph, lengths and turns over its segments, mismatches over their members, centroid, and five ranks.
 
     members: of oriented_segments(); broken: the cells of interruptions(). Ranks are 1 for
-    the largest, equals alike, unknown last.
+    the largest, equals alike, unknown last. periodic: as in segment_statistics().
     """
     centre = mean_bearing(F.col("x")) if space.geographic else F.avg("x")
     cells = core_cells.join(broken.select("cell_id", F.lit(True).alias("_broken")), "cell_id", "left")
     own = cells.groupBy("component", "component_number").agg(
-        *cell_summaries(space),
+        *cell_summaries(space.geographic if periodic is None else periodic, "C_neigh_out" in core_cells.columns),
         F.first("component_class").alias("component_class"),
         F.count_if("endpoint").alias("endpoints"),
         F.count_if("junction").alias("junctions"),

@@ -367,37 +367,8 @@ ORACLES["mat_guard"] = text(
     _DIRTY,
     "SELECT count(*) FILTER (WHERE trajectory IS NULL) AS null_identities, count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS not_finite, (SELECT sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM raw GROUP BY trajectory, t)) AS repeated_times, (SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY trajectory HAVING count(*) < 2)) AS short_tracks FROM raw",
 )
-_PUBLIC = {  # inner name: (Cartesian in m and s, geographic in km and day), fixed values
-    "start_x_bin": ("start_x_bin", "start_lon_bin"),
-    "x_bin": ("x_bin", "lon_bin"),
-    "core_x": ("core_x", "core_lon"),
-    "front_y": ("front_y", "front_lat"),
-    "centroid_x": ("centroid_x", "centroid_lon_circular"),
-    "x_span": ("x_span", "longitude_span_degrees"),
-    "U_out_all_x_rate": ("U_out_all_x_m_s", "U_out_all_east_km_day"),
-    "U_out_all_magnitude_rate": ("U_out_all_magnitude_m_s", "U_out_all_magnitude_km_day"),
-    "D_out_all_y": ("D_out_all_y", "D_out_all_north"),
-    "mu_in_x": ("mu_in_x", "mu_in_east"),
-    "distance_from_core_length": ("distance_from_core_m", "distance_from_core_km"),
-    "integrated_ridge_strength_area_rate": ("integrated_ridge_strength_m2_s", "integrated_ridge_strength_km2_day"),
-    "drop_slope_rate_per_length": ("drop_slope_m_s_per_m", "drop_slope_km_day_per_km"),
-    "U_inner": ("U_inner_m_s", "U_inner_km_day"),
-    "U_core": ("U_core_m_s", "U_core_km_day"),
-    "absolute_drop": ("absolute_drop_m_s", "absolute_drop_km_day"),
-    "absolute_directional_drop": ("absolute_directional_drop", "absolute_directional_drop"),
-    "profile_total_variation_raw": ("profile_total_variation_raw_m_s", "profile_total_variation_raw_km_day"),
-    "spearman_flux_loss_vs_abs_G_perp": ("spearman_flux_loss_vs_abs_G_perp", "spearman_flux_loss_vs_abs_G_perp"),
-    "abs_G_perp_at_flank": ("abs_G_perp_at_flank_m_s_per_m", "abs_G_perp_at_flank_km_day_per_km"),
-    "F_perp_gradient_at_flank": ("F_perp_gradient_at_flank", "F_perp_gradient_at_flank"),
-    "flank_to_core_abs_G_perp_ratio": ("flank_to_core_abs_G_perp_ratio", "flank_to_core_abs_G_perp_ratio"),
-    "grid_x_scale_length": ("grid_x_scale_m", "grid_zonal_scale_km"),
-    "S_flux": ("S_flux_m_s", "S_flux_km_day"),
-    "refined_core_x": ("refined_core_x", "refined_core_lon"),
-    "theta_mu_out": ("theta_mu_out", "theta_mu_out"),
-    "transverse_left_y": ("transverse_left_y", "transverse_left_lat"),
-}
-ORACLES["snk_public_names"] = 'SELECT * FROM (VALUES ' + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _PUBLIC.items()) + ') v(inner_, cartesian, geographic)'
-ORACLES["snk_public_names"] = ORACLES["snk_public_names"].replace("SELECT *", 'SELECT inner_ AS "inner", cartesian, geographic')
+ORACLES["snk_public_names"] = "WITH c AS (" + ORACLES["cell_statistics"] + """) SELECT cell_id, x_bin AS start_lon_bin, y_bin AS start_lat_bin, x AS lon, y AS lat, "N_out_move", P_move, R1_out, R1_in, D_out_all_x AS D_out_all_east, D_out_all_y AS D_out_all_north,
+ theta1_in AS theta1_in_motion_destination, U_out_all_magnitude_rate AS U_out_all_magnitude_km_day FROM c"""
 ORACLES["ang_longitudes"] = text(
     TRACKS + """, g AS (SELECT DISTINCT trajectory, (round(x * 3.0 - 360 * floor(x * 3.0 / 360) - 180, 3) + 360) % 360 AS lon FROM tracks), n AS (SELECT trajectory, lon, lead(lon) OVER (PARTITION BY trajectory ORDER BY lon) AS nxt, min(lon) OVER (PARTITION BY trajectory) + 360 AS wrap FROM g),
 spans AS (SELECT trajectory, 360 - max(coalesce(nxt, wrap) - lon) AS span FROM n GROUP BY trajectory), m AS (SELECT trajectory, degrees(atan2(avg(sin(radians(l))), avg(cos(radians(l))))) AS mean FROM (SELECT trajectory, round(x * 3.0 - 360 * floor(x * 3.0 / 360) - 180, 3) AS l FROM tracks) GROUP BY trajectory)""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drift_engine.functions import angles, geodesy
 from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, parts, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
+from drift_engine.plans import tables
 from drift_engine.plans.oracles import GAP, ORACLES
 from drift_engine.sources import auxiliary, naming
 
@@ -754,13 +755,12 @@ def src_on_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auxiliary.on_map(rows).select("event_id", *r6("lon", "lat"))
 
 
-NAMES = ("start_x_bin", "x_bin", "core_x", "front_y", "centroid_x", "x_span", "U_out_all_x_rate", "U_out_all_magnitude_rate", "D_out_all_y", "mu_in_x", "distance_from_core_length", "integrated_ridge_strength_area_rate", "drop_slope_rate_per_length", "U_inner", "U_core", "absolute_drop", "absolute_directional_drop", "profile_total_variation_raw", "spearman_flux_loss_vs_abs_G_perp", "abs_G_perp_at_flank", "F_perp_gradient_at_flank", "flank_to_core_abs_G_perp_ratio", "grid_x_scale_length", "S_flux", "refined_core_x", "theta_mu_out", "transverse_left_y")
-
-
 @query
 def snk_public_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, naming.public_name(n, geodesy.Space(unit="m"), "s"), naming.public_name(n, geodesy.Space(True, "km"), "day")) for n in NAMES]
-    return spark.createDataFrame(rows, "inner string, cartesian string, geographic string")
+    """The cell table of a run as it is written, of a geographic run with kilometres and days."""
+    out = naming.public(tables.cells(P.cells_e(spark, sf_dir)), geodesy.Space(True, "km"), "day")
+    places, rest = ["cell_id", "start_lon_bin", "start_lat_bin", "N_out_move"], ["lon", "lat", "P_move", "R1_out", "R1_in", "D_out_all_east", "D_out_all_north", "theta1_in_motion_destination"]
+    return out.select(*places, *r6(*rest, U_out_all_magnitude_km_day=F.col("U_out_all_magnitude_km_day") * 1000))
 
 
 __all__ = ["ORACLES", "QUERIES"]

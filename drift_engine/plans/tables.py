@@ -19,15 +19,12 @@ def _same(*names: str) -> dict[str, str]:
     return {n: n for n in names}
 
 
-def shaped(df: DataFrame, schema: dict) -> DataFrame:
-    """df's columns as the schema names them; columns that df does not have are left out."""
-    out = []
-    for name, source in schema.items():
-        if isinstance(source, Column):
-            out.append(source.alias(name))
-        elif source in df.columns:
-            out.append(F.col(source).alias(name))
-    return df.select(*out)
+def shaped(df: DataFrame, schema: dict, optional: tuple[str, ...] = ()) -> DataFrame:
+    """df's columns as the schema names them. Only `optional` ones may be lacking, and are left out then; ValueError for others."""
+    lacking = {source for source in schema.values() if not isinstance(source, Column) and source not in df.columns}
+    if wrong := sorted(lacking - set(optional)):
+        raise ValueError(f"the table lacks {wrong}")
+    return df.select(*[source.alias(name) if isinstance(source, Column) else F.col(source).alias(name) for name, source in schema.items() if isinstance(source, Column) or source not in lacking])
 
 
 CELLS = BINS | _same("N_out_move", "N_in_move", "P_stay", "P_move", "U_out_all_x_rate", "U_out_all_y_rate", "U_out_all_magnitude_rate", "theta_mu_out", "theta1_out", "R1_out", "R2_out") | {"angular_entropy_out": "H_out"} | _same("D_out_move_x", "D_out_move_y", "D_out_move_magnitude", "D_out_all_x", "D_out_all_y", "D_out_all_magnitude", "R1_in", "R2_in") | {"theta1_in_motion_destination": "theta1_in", "theta_mu_in_motion_destination": "theta_mu_in", "delta_theta_mu1_in": "delta_theta_mu1_in", "delta_theta_io": "delta_theta_io_1"}
@@ -87,16 +84,17 @@ def gradient_validation(df: DataFrame) -> DataFrame:
     return shaped(df, schema | _same("duplicate_flank_disagreement", "comparison_record_ids", "component_ids", "segment_ids", "section_ids", "quality_flags"))
 
 
-def drop_zones(df: DataFrame, directional: bool = False) -> DataFrame:
+def drop_zones(df: DataFrame, directional: bool = False, best: bool = False) -> DataFrame:
+    """Zones; best: those of flank_points(), which have flags."""
     core, level = ("core_cell_id", "D_parallel") if directional else ("cell_id", "U")
     schema = {"section_id": "section", core: "cell_id", "side": "side", "candidate_distance_length": "distance", "candidate_x": "front_x", "candidate_y": "front_y"}
     if directional:
         schema |= {f"{level}_axis": "core_u", f"{level}_inner": "inner", f"{level}_outer": "outer", "absolute_directional_drop": "drop", "relative_directional_drop": "relative_drop", "directional_drop_per_length": -F.col("slope"), "drop_width_length": "width", "along_core_persistence": "persistent"}
     else:
         schema |= {f"{level}_core": "core_u", f"{level}_inner": "inner", f"{level}_outer": "outer", "absolute_drop": "drop", "relative_drop": "relative_drop", "drop_slope_rate_per_length": "slope", "drop_width_length": "width", "number_supporting_samples": "supporting_samples", "outer_recovery": "recovery", "along_branch_persistence": "persistent"}
-    schema |= {"n_sections_with_outward_decline": "n_decline", "fraction_sections_with_outward_decline": "fraction_decline", "n_neighbor_sections": "n_neighbours"} | _same("minimum_N_out_move", "minimum_N_in_move", "profile_used")
-    more = {} if directional else _same("multiple_candidate_drops", "strong_recovery", "nearby_branch_contamination")
-    return shaped(df, schema | {"candidate_eligible": "eligible", "drop_rank": "rank"} | more | _same("quality_flags"))
+    schema |= {"n_sections_with_outward_decline": "n_decline", "fraction_sections_with_outward_decline": "fraction_decline", "n_neighbor_sections": "n_neighbours"} | _same("minimum_N_out_move", *([] if directional else ["minimum_N_in_move"]), "profile_used")
+    more = _same("multiple_candidate_drops", "strong_recovery", "nearby_branch_contamination", "quality_flags") if best else {}
+    return shaped(df, schema | {"candidate_eligible": "eligible", "drop_rank": "rank"} | more)
 
 
 def cross_sections(df: DataFrame, directional: bool = False) -> DataFrame:
@@ -125,8 +123,8 @@ def flux_components(df: DataFrame) -> DataFrame:
     schema = {"component_id": F.format_string("component_%04d", "component_number"), "component_geometry": "component_class", "n_cells": "cells", "physical_length_length": "length", "integrated_ridge_strength_area_rate": "integrated_strength", "number_segments": "segments", "number_endpoints": "endpoints", "number_junctions": "junctions", "number_unsupported_interruptions": "unsupported_interruptions"}
     schema |= {"mean_abs_delta_theta_ridge_mu": "mean_mismatch", "median_abs_delta_theta_ridge_mu": "median_mismatch", "maximum_abs_delta_theta_ridge_mu": "largest_mismatch", "n_abrupt_tangent_mismatch_diagnostic": "abrupt_mismatches", "cumulative_abs_tangent_turn_degrees": "total_turn", "maximum_local_tangent_turn_degrees": "largest_turn", "centroid_x": "centroid_x", "centroid_y": "centroid_y", "x_span": "x_span", "y_span": "y_span"}
     schema |= {"mean_U_out_all_rate": "mean_U_out_all_magnitude_rate", "median_U_out_all_rate": "median_U_out_all_magnitude_rate", "maximum_U_out_all_rate": "maximum_U_out_all_magnitude_rate", "mean_C_perp_rate": "mean_C_perp", "median_C_perp_rate": "median_C_perp", "mean_C_perp_normalized": "mean_C_perp_normalized", "mean_C_perp_one_sided_rate": "mean_C_perp_one_sided", "median_C_perp_one_sided_rate": "median_C_perp_one_sided"}
-    schema |= {**_same("mean_R1_out", "median_R1_out", "mean_R2_out", "mean_delta_theta_mu1_out", "mean_N_out_move", "minimum_N_out_move", "mean_R1_in", "mean_N_in_move", "mean_abs_delta_theta_io_1", "mean_abs_delta_theta_io_mu"), "n_orientation_reliable_diagnostic": "orientation_reliable_cells", "n_orientation_ambiguous_diagnostic": "orientation_ambiguous_cells", "n_two_sided_ridge_cells": "two_sided_cells", "n_one_sided_ridge_cells": "one_sided_cells"}
-    return shaped(df, schema | {"rank_physical_length": "rank_length", "rank_median_flux": "rank_median_flux", "rank_integrated_ridge_strength": "rank_integrated_strength", "rank_median_ridge_contrast": "rank_median_contrast", "rank_minimum_support": "rank_minimum_support"})
+    schema |= {**_same("mean_R1_out", "median_R1_out", "mean_R2_out", "mean_delta_theta_mu1_out", "mean_N_out_move", "minimum_N_out_move", "mean_C_neigh_out", "mean_R1_in", "mean_N_in_move", "mean_abs_delta_theta_io_1", "mean_abs_delta_theta_io_mu"), "n_orientation_reliable_diagnostic": "orientation_reliable_cells", "n_orientation_ambiguous_diagnostic": "orientation_ambiguous_cells", "n_two_sided_ridge_cells": "two_sided_cells", "n_one_sided_ridge_cells": "one_sided_cells"}
+    return shaped(df, schema | {"rank_physical_length": "rank_length", "rank_median_flux": "rank_median_flux", "rank_integrated_ridge_strength": "rank_integrated_strength", "rank_median_ridge_contrast": "rank_median_contrast", "rank_minimum_support": "rank_minimum_support"}, ("mean_C_neigh_out",))
 
 
 def directional_components(df: DataFrame, core: bool) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from drift_engine import storage
 from drift_engine.functions.geodesy import with_scales
-from drift_engine.operators import cellstats, compare, directional, flux, gradients, matrix, parts, review, sections, tracks, validate
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, gridops, matrix, parts, review, sections, tracks, validate
 from drift_engine.plans import config as settings
 from drift_engine.plans import tables
 from drift_engine.plans.config import Config
@@ -94,18 +94,29 @@ def compute_matrix(spark: SparkSession, cfg: Config) -> tuple[DataFrame, dict]:
     return materialise(matrix.transition_matrix(segs, cfg.engine_grid), "matrix"), counters
 
 
+#: Version of matrix_summary.yaml (fixed value).
+SUMMARY_VERSION = 1
+
+
+def described(cfg: Config) -> dict:
+    """What a summary has to say of the run that a matrix is of."""
+    own = settings.as_dict(cfg)
+    return {"coordinate_system": cfg.geometry.coordinate_system, "geometry": own["geometry"], "grid": own["grid"], "elapsed_seconds": cfg.lag}
+
+
 def load_matrix(spark: SparkSession, cfg: Config) -> DataFrame:
-    """The matrix at matrix.path. A summary beside it must agree on grid, geometry, lag and, if it has one, the digest."""
+    """The matrix at matrix.path. A summary beside it must be of version 1, have the matrix's digest, and agree on coordinate system, geometry, grid and lag."""
     path = Path(cfg.matrix.path)
     side = path.parent / "matrix_summary.yaml"
     if side.exists():
         told = yaml.safe_load(side.read_text())
-        mine = {"grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "length_unit": cfg.geometry.length_unit, "ellipsoid": cfg.space.ellipsoid if cfg.space.geographic else None, "elapsed_seconds": cfg.lag}
-        for k, v in mine.items():
-            if k in told and told[k] != v:
-                raise validate.MatrixError(f"{side}: {k} is {told[k]}, not {v}")
-        if "sha256" in told and told["sha256"] != digest(path):
-            raise validate.MatrixError(f"{side}: another digest")
+        if not isinstance(told, dict) or told.get("summary_version") != SUMMARY_VERSION:
+            raise validate.MatrixError(f"{side}: not a summary of version {SUMMARY_VERSION}")
+        if told.get("matrix_sha256") != digest(spark, path):
+            raise validate.MatrixError(f"{side}: the digest is not that of the matrix")
+        for k, v in described(cfg).items():
+            if told.get(k) != v:
+                raise validate.MatrixError(f"{side}: {k} is {told.get(k)}, not {v}")
     return materialise(_public_to_inner(spark.read.parquet(str(path))), "matrix")
 
 
@@ -181,18 +192,19 @@ def analyse(table: DataFrame, cfg: Config) -> Analysis:
             dspans = spans(drows, directional.neighbours_by_hops(dcores, grid, space, cut, *graph_limits))
             edges = lambda t: directional.compatible_edges(t, grid, space, *graph_limits)
             broken = flux.interruptions(fcores, supported, grid)
+            near = gridops.consistency(cells, "theta1_out", grid, "N_out_move", least).select("cell_id", F.col("consistency").alias("C_neigh_out"))
             debug |= {
                 "candidate_drop_zones": tables.drop_zones(fzones),
                 "raw_cross_sections": tables.cross_sections(frows),
                 "section_composites": tables.section_composites(fsections.join(fspans, "section")),
-                "component_graph_details": tables.flux_components(flux.component_statistics(fcores, members, broken, space, f.abrupt_tangent_mismatch_degrees)),
-                "segment_front_candidates": tables.drop_zones(flanks),
+                "component_graph_details": tables.flux_components(flux.component_statistics(fcores.join(near, "cell_id", "left"), members, broken, space, f.abrupt_tangent_mismatch_degrees, grid.periodic)),
+                "segment_front_candidates": tables.drop_zones(flanks, best=True),
                 "directional_candidate_drop_zones": tables.drop_zones(dzones, True),
                 "directional_raw_cross_sections": tables.cross_sections(drows, True),
                 "directional_section_composites": tables.section_composites(dsections.join(dspans, "section"), True),
-                "directional_corridor_components": tables.directional_components(directional.component_statistics(corridors, edges(corridors), space), False),
+                "directional_corridor_components": tables.directional_components(directional.component_statistics(corridors, edges(corridors), space, grid.periodic), False),
                 "directional_corridor_graph_edges": tables.graph_edges(edges(corridors)),
-                "directional_core_components": tables.directional_components(directional.component_statistics(dcores, edges(dcores), space), True),
+                "directional_core_components": tables.directional_components(directional.component_statistics(dcores, edges(dcores), space, grid.periodic), True),
                 "directional_core_graph_edges": tables.graph_edges(edges(dcores)),
             }
     named = lambda t, cores: t.join(cores.select("cell_id", "component_id"), "cell_id")
@@ -223,16 +235,25 @@ def figure_data(cells: DataFrame, cfg: Config, out: Path) -> None:
     (out / "figures.yaml").write_text(yaml.safe_dump(_finite({"limits": limits, "settings": look}), sort_keys=False))
 
 
-def digest(path: Path) -> str:
-    """SHA-256 of a file, or of a directory's names, sizes and bytes."""
-    h = hashlib.sha256()
-    for f in sorted(p for p in path.rglob("*") if p.is_file()) if path.is_dir() else [path]:
-        if path.is_dir():
-            h.update(f"{f.relative_to(path).as_posix()}\0{f.stat().st_size}\0".encode())
-        with f.open("rb") as data:
+def digest(spark: SparkSession, path: Path) -> str:
+    """SHA-256 of a matrix: of a single file's bytes, or of the rows of a folder that Spark wrote.
+
+    The rows' is that of their number and the sums of their own digests' four quarters, so
+    it doesn't depend on files, order or tasks, and executors add it up. A row's digest is
+    of its values as text, column by column in the order of names.
+    """
+    if not path.is_dir():
+        h = hashlib.sha256()
+        with path.open("rb") as data:
             while block := data.read(1 << 20):
                 h.update(block)
-    return h.hexdigest()
+        return h.hexdigest()
+    table = spark.read.parquet(str(path))
+    text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(table.columns)])
+    own = F.sha2(text, 256)
+    quarters = [F.sum(F.conv(F.substring(own, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    found = table.agg(F.count("*").cast("string"), *quarters).first()
+    return hashlib.sha256("|".join(v or "0" for v in found).encode()).hexdigest()
 
 
 def _finite(v):
@@ -259,12 +280,13 @@ def run(spark: SparkSession, cfg: Config) -> Path:
     manifest = {"run_name": cfg.output.run_name, "status": "running", "analysis_version": cfg.analysis_version, "versions": {p: importlib.metadata.version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}, "git": _git()}
     try:
         (out / "resolved_config.yaml").write_text(yaml.safe_dump(settings.as_dict(cfg), sort_keys=False))
-        summary = {"summary_version": 1, "mode": "computed" if cfg.matrix.compute else "loaded", "grid": settings.as_dict(cfg)["grid"], "coordinate_system": cfg.geometry.coordinate_system, "length_unit": cfg.geometry.length_unit, "ellipsoid": cfg.space.ellipsoid if cfg.space.geographic else None, "elapsed_seconds": cfg.lag, "segment_mode": cfg.matrix.segment_mode}
+        summary = {"summary_version": SUMMARY_VERSION, "mode": "computed" if cfg.matrix.compute else "loaded"} | described(cfg) | {"segment_mode": cfg.matrix.segment_mode}
         (out / "matrix").mkdir()
         if cfg.matrix.compute:
             table, counters = compute_matrix(spark, cfg)
-            table.repartition(1).sortWithinPartitions(*matrix.LINK_KEYS).write.parquet(str(out / "matrix" / "transition_matrix.parquet"))
-            summary |= counters | {"sha256": digest(out / "matrix" / "transition_matrix.parquet")}
+            # Ranges of links, a file each: in the order of file names the matrix is sorted.
+            table.repartitionByRange(*matrix.LINK_KEYS).sortWithinPartitions(*matrix.LINK_KEYS).write.parquet(str(out / "matrix" / "transition_matrix.parquet"))
+            summary |= counters | {"matrix_sha256": digest(spark, out / "matrix" / "transition_matrix.parquet")}
         else:
             table = load_matrix(spark, cfg)
         (out / "matrix" / "matrix_summary.yaml").write_text(yaml.safe_dump(_finite(summary), sort_keys=False))
