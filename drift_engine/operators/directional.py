@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import apart, axial_mismatch, longitude_span, mean_bearing
@@ -48,6 +50,30 @@ def raw_ridges(cells: DataFrame, candidate_cells: DataFrame, grid: Grid, space:
     return out.withColumn("ridge_type", F.when(F.col("missing_side") == "left_and_right", "not_evaluable").otherwise(F.col("ridge_type"))).withColumn("raw_ridge", F.col("ridge_type").isin("two_sided", "one_sided"))
 
 
+def medoid(x: np.ndarray, y: np.ndarray, space: Space, tie: float = 1e-12) -> int:
+    """The first point whose sum of distances to all is within `tie` of the least.
+
+    By the triangle inequality the sum of one point bounds those of all others: a point at
+    distance d of one with sum s has |s - n d| at least. Points are taken in the order of
+    their bounds, from one near the middle, until the others' are too large; so of n
+    points some root of n are measured against all, not all of them.
+    """
+    n = len(x)
+    bound, sums = np.zeros(n), np.full(n, np.inf)
+    at = int(np.argmin(space.metres(x, y, np.full(n, np.median(x)), np.full(n, np.median(y)))))
+    best = np.inf
+    while True:
+        away = space.metres(np.full(n, x[at]), np.full(n, y[at]), x, y)
+        sums[at] = away.sum()
+        best = min(best, sums[at])
+        # Less what rounding may have added to a bound.
+        bound = np.maximum(bound, np.abs(sums[at] - n * away) * (1 - 1e-12))
+        bound[at] = np.inf
+        at = int(np.argmin(bound))
+        if not bound[at] <= best + tie:
+            return int(np.argmax(sums <= best + tie))
+
+
 def plateaus(ridges: DataFrame, grid: Grid, space: Space, tie: float = 1e-12, mismatch: float = 45.0) -> DataFrame:
     """Raw ridges with their plateau: neighbours of equal strength across the stream; its representative is the medoid.
 
@@ -57,22 +83,23 @@ def plateaus(ridges: DataFrame, grid: Grid, space: Space, tie: float = 1e-12, mi
     pairs = _pairs(rows, grid, space, "D_out_all_magnitude")
     flat = pairs.filter((F.abs(F.col("D_out_all_magnitude_a") - F.col("D_out_all_magnitude_b")) <= tie) & (F.col("mismatch_a") > mismatch) & (F.col("mismatch_b") > mismatch)).select("a", "b")
     rows = graph.labelled(rows, flat, grid.nx * grid.ny)
-    own = rows.select("component", "cell_id", "x", "y")
-    other = own.select("component", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    # A plateau has the few cells that lie across one stream.
-    sums = own.join(other, "component").withColumn("_d", space.inverse(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))["distance"]).groupBy("cell_id").agg(F.sum("_d").alias("distance_sum"))
-    w = Window.partitionBy("component")
-    rows = rows.join(sums, "cell_id").withColumn("_close", F.col("distance_sum") <= F.min("distance_sum").over(w) + 1e-12)
-    order = w.orderBy(F.desc("_close"), F.desc("N_out_move"), "cell_id")
-    rows = rows.withColumns({"plateau_size": F.count("*").over(w), "representative": F.first("cell_id").over(order), "plateau_id": F.format_string("directional_plateau_%05d", "component_number")})
-    return rows.withColumn("is_representative", F.col("cell_id") == F.col("representative")).drop("_close", "component", "component_number")
+
+    def found(plateau: pd.DataFrame) -> pd.DataFrame:
+        ordered = plateau.sort_values(["N_out_move", "cell_id"], ascending=[False, True])
+        place = medoid(ordered["x"].to_numpy(), ordered["y"].to_numpy(), space)
+        return pd.DataFrame({"component": [int(plateau["component"].iloc[0])], "plateau_size": [len(plateau)], "representative": [int(ordered["cell_id"].iloc[place])]})
+
+    own = rows.select("component", "cell_id", "x", "y", F.col("N_out_move").cast("double").alias("N_out_move"))
+    chosen = own.groupBy("component").applyInPandas(found, "component long, plateau_size long, representative long")
+    rows = rows.join(chosen, "component").withColumn("plateau_id", F.format_string("directional_plateau_%05d", "component_number"))
+    return rows.withColumn("is_representative", F.col("cell_id") == F.col("representative")).drop("component", "component_number")
 
 
 def thinned_ridges(cells: DataFrame, grid: Grid, space: Space, min_support: int, scale: float = 1.0, tie: float = 1e-12, plateau_tie: float = 1e-12, tolerance: float = 1e-10, **limits) -> DataFrame:
     """All candidates with ridge labels, and raw ridges with their plateaus: the diagnostics that cores are chosen from, stored."""
     found = cells.filter(ridge.directional_candidates(cells, min_support, **limits))
     rows = materialise(raw_ridges(cells, found, grid, space, min_support, scale=scale, tie=tie, tolerance=tolerance), "raw-ridges")
-    flat = plateaus(rows, grid, space, plateau_tie).select("cell_id", "plateau_id", "plateau_size", "representative", "is_representative", "distance_sum")
+    flat = plateaus(rows, grid, space, plateau_tie).select("cell_id", "plateau_id", "plateau_size", "representative", "is_representative")
     out = rows.join(flat, "cell_id", "left").withColumn("is_representative", F.coalesce("is_representative", F.lit(False)))
     return materialise(out.withColumn("plateau_size", F.coalesce("plateau_size", F.lit(0))), "thinned-ridges")
 

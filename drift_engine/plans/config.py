@@ -350,6 +350,11 @@ def from_dict(values: dict, base: Path | None = None) -> Config:
     return c
 
 
+def input_of(values: dict) -> Input:
+    """The settings of a run's input alone."""
+    return _read(Input, values, "input")
+
+
 def load(path: str | Path) -> Config:
     path = Path(path)
     values = yaml.safe_load(path.read_text())

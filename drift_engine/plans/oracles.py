@@ -695,3 +695,14 @@ ORACLES["dfr_samples"] = text(
 # Long tracks in parts, and graphs in rounds, give what whole tracks and graphs in one task give.
 for _part, _whole in (("san_parts", "san_sanitise"), ("mat_parts_nonoverlap", "mat_links_nonoverlap"), ("mat_parts_every_obs", "mat_links_every_obs"), ("mat_parts_gaps", "mat_gap_rejects"), ("grf_components_rounds", "grf_components"), ("grf_segments_ranked", "grf_segments")):
     ORACLES[_part] = ORACLES[_whole]
+
+_R = 6370.997
+ORACLES["geo_direct"] = f"""WITH e AS (SELECT event_id, radians(value * 0.5 - 40.0) AS lon, radians(value - 60 * floor(value / 60) - 30.0) AS lat, radians(event_id * 37 % 360) AS b, (event_id % 5000 + 0.5) / {_R} AS d FROM events),
+p AS (SELECT event_id, degrees(lon + atan2(sin(b) * sin(d) * cos(lat), cos(d) - sin(lat) * (sin(lat) * cos(d) + cos(lat) * sin(d) * cos(b)))) + 180 AS lon, degrees(asin(sin(lat) * cos(d) + cos(lat) * sin(d) * cos(b))) AS lat FROM e)
+SELECT event_id, round(lon - 360 * floor(lon / 360) - 180, 6) AS lon, round(lat, 6) AS lat FROM p"""
+ORACLES["src_csv"] = """SELECT user_id::VARCHAR AS trajectory, count(*) AS observations, round(sum(epoch_us(ts) / 1e6) / count(*), 3) AS mean_time, round(avg(value), 6) AS x, round(avg(json_extract(props, '$.k')::DOUBLE), 6) AS y FROM events GROUP BY user_id"""
+ORACLES["src_parquet"] = """SELECT count(*) AS observations, round(min(value)::DOUBLE, 6) AS least_x, round(max(json_extract(props, '$.k')::DOUBLE), 6) AS greatest_y FROM events GROUP BY user_id % 2"""
+_TYPES = {"tracks": "string,double,double,double", "segments": "string,bigint,struct<status:string,x:double,y:double>,struct<status:string,x:double,y:double>,bigint", "matrix": ",".join(["bigint"] * 4 + ["double"] * 4 + ["bigint", "double"])}
+_ROWS = {"tracks": "(SELECT count(*) FROM tracks)", "segments": "(SELECT count(*) FROM segs)", "matrix": "(SELECT count(*) FROM links)"}
+ORACLES["san_typed"] = text(LINKS, " UNION ALL ".join(f"SELECT '{given}' AS given, '{made}' AS made, '{types}' AS types, {_ROWS[made] if given == 'all' else '0::BIGINT'} AS n_rows" for given in ("none", "all") for made, types in _TYPES.items()))
+ORACLES["val_schema"] = text(LINKS, """SELECT start_x_bin, start_y_bin, end_x_bin, end_y_bin, v.case_name, v.errors FROM links, (VALUES ('good', ''), ('lacking', 'missing_columns:end_y_bin,start_x_center'), ('types', 'invalid_dtype:end_x_bin;invalid_dtype:transition_count')) v(case_name, errors)""")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drift_engine import storage
 from drift_engine.functions import angles, geodesy
 from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, parts, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
-from drift_engine.plans import tables
+from drift_engine.plans import config, tables
 from drift_engine.plans.oracles import GAP, ORACLES
-from drift_engine.sources import auxiliary, naming
+from drift_engine.sources import auxiliary, naming, trajectories
 
 QUERIES: dict = {}
 
@@ -663,6 +666,70 @@ def geo_geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(*BINS, *r6("distance", "theta_out", "theta_in_source"))
 
 
+@query
+def geo_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places reached from the events' positions on a sphere, by bearings and distances of the events."""
+    space = geodesy.Space(True, "km", "sphere")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("value") * 0.5 - 40.0).alias("x"), (F.pmod(F.col("value"), F.lit(60.0)) - 30.0).alias("y"), F.pmod(F.col("event_id") * 37, F.lit(360)).cast("double").alias("bearing"), (F.col("event_id") % 5000 + 0.5).alias("distance"))
+    rows = rows.withColumn("p", space.forward(F.col("x"), F.col("y"), F.col("bearing"), F.col("distance")))
+    return rows.select("event_id", *r6(lon=F.col("p.x"), lat=F.col("p.y")))
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
+    """The events as two folders of a kind, by user, in the shared folder: their paths."""
+    out = []
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("a"), F.get_json_object("props", "$.k").cast("double").alias("b"), "event_type")
+    for part in (0, 1):
+        out.append(f"{storage.shared_dir(spark)}/source-{uuid.uuid4().hex}.{kind}")
+        events.filter(F.pmod("who", F.lit(2)) == part).write.format(kind).option("header", True).save(out[-1])
+    return out
+
+
+def _read_back(spark: SparkSession, sf_dir: str, kind: str, identity: dict) -> DataFrame:
+    columns = {"time": "us", "x": "a", "y": "b"} | ({"trajectory": "who"} if identity["mode"] == "column" else {})
+    given = {"paths": _written(spark, sf_dir, kind), "columns": columns, "trajectory_id": identity, "time": {"kind": "numeric", "unit": "s"}}
+    return trajectories.read(spark, config.input_of(given))
+
+
+@query
+def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of CSV files, tracks known by a column that holds for all files."""
+    rows = _read_back(spark, sf_dir, "csv", {"mode": "column", "scope": "global"})
+    return rows.groupBy("trajectory").agg(F.count("*").alias("observations"), F.round(F.sum(F.col("time") / 1e6) / F.count("*"), 3).alias("mean_time"), *[F.round(F.avg(c), 6).alias(c) for c in "xy"])
+
+
+@query
+def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of Parquet files, each path a track."""
+    rows = _read_back(spark, sf_dir, "parquet", {"mode": "filename"})
+    out = rows.groupBy("trajectory").agg(F.count("*").alias("observations"), F.min("x").alias("least_x"), F.max("y").alias("greatest_y"))
+    return out.select("observations", *r6("least_x", "greatest_y"))
+
+
+@query
+def san_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks, segments and matrix of no observations, and of all: their columns' types, and how many rows."""
+    raw = P.events_raw(spark, sf_dir)
+    out = None
+    for rows, name in ((raw.filter("x < -1e9"), "none"), (raw, "all")):
+        tracked = tracks.sanitise(rows)
+        segs = matrix.segments(tracked, P.DAY)
+        for what, table in (("tracks", tracked), ("segments", segs), ("matrix", matrix.transition_matrix(segs, P.GRID_E))):
+            one = table.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("given"), F.lit(what).alias("made"), F.lit(",".join(t for _, t in table.dtypes)).alias("types"), "n_rows")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def val_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check of columns and types says of the matrix, and of it with columns lacking or of other types, for each of its links."""
+    table = P.matrix_e(spark, sf_dir)
+    text = table.withColumn("transition_count", F.col("transition_count").cast("string")).withColumn("end_x_bin", F.col("end_x_bin").cast("double"))
+    cases = {"good": table, "lacking": table.drop("end_y_bin", "start_x_center"), "types": text}
+    found = [F.struct(F.lit(k).alias("case_name"), F.lit(";".join(validate.schema_errors(t))).alias("errors")) for k, t in cases.items()]
+    return table.select("start_x_bin", "start_y_bin", "end_x_bin", "end_y_bin", F.explode(F.array(*found)).alias("c")).select("start_x_bin", "start_y_bin", "end_x_bin", "end_y_bin", "c.case_name", "c.errors")
+
+
 @query
 def geo_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = cellstats.enriched_links(P.matrix_g(spark, sf_dir), P.GRID_G, P.SPACE_G)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drift_engine.operators import cellstats, graph, ranks
+from drift_engine.functions.geodesy import Space
+from drift_engine.operators import cellstats, directional, graph, ranks
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +115,24 @@ def test_a_long_path_takes_few_rounds(spark, monkeypatch):
     turned = found.join(cells, "cell_id")
     assert turned.count() == n and turned.select("segment").distinct().count() == 1
     assert turned.filter("sequence <> place").isEmpty() or turned.filter(F.col("sequence") != n - 1 - F.col("place")).isEmpty()
+
+
+@pytest.mark.parametrize("geographic", [False, True])
+def test_medoid_is_the_exhaustive_one(geographic):
+    """Random clouds, grids full of ties, repeated points and single ones, against all pairs."""
+    space, rng = Space(geographic, "km"), np.random.default_rng(3)
+    clouds = [rng.normal(size=(n, 2)) * 5 for n in (1, 2, 3, 7, 60, 150)] + [np.array([(i, j) for i in range(6) for j in range(5)], float), np.zeros((4, 2)), np.array([(0, 0), (0, 0), (1, 0), (1, 0)], float)]
+    for cloud in clouds:
+        x, y = cloud[:, 0], cloud[:, 1]
+        sums = np.array([space.metres(np.full(len(x), a), np.full(len(x), b), x, y).sum() for a, b in cloud])
+        assert directional.medoid(x, y, space) == int(np.argmax(sums <= sums.min() + 1e-12))
+
+
+def test_medoid_of_a_large_plateau_measures_few(monkeypatch):
+    """100,000 cells: a few hundred of them are measured against all."""
+    calls = []
+    plain = Space.metres
+    monkeypatch.setattr(Space, "metres", lambda self, *a: calls.append(1) or plain(self, *a))
+    x, y = (v.ravel().astype(float) for v in np.meshgrid(np.arange(400), np.arange(250)))
+    at = directional.medoid(x, y, Space())
+    assert abs(x[at] - 199.5) <= 1 and abs(y[at] - 124.5) <= 1 and len(calls) < 2000
