@@ -1,6 +1,8 @@
 """The jobs on copies that grow, arrive out of order, are run again after a failure, and hold odd rows; against whole runs and plain counts."""
 
 import json
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -185,3 +187,19 @@ def test_markov_of_no_rows_and_bad_lags(spark, tmp_path):
     with pytest.raises(ValueError, match="whole seconds"):
         markov_check.run(spark, source, str(tmp_path / "bad"), settings | {"lags": [0.5]})
     assert markov_check.run(spark, source, str(tmp_path / "out"), settings).count() == 0
+
+
+@pytest.mark.parametrize("job, table, out", [("conversation_flow", "conversations*.parquet", "matrix"), ("markov_check", "events.parquet", "cells")])
+def test_command_line(spark, tmp_path, job, table, out):
+    """The command line writes what the function does, with a config file of its own."""
+    own = {"conversation_flow": {"buckets": 2}, "markov_check": {"lags": [86400.0]}}[job]
+    (tmp_path / "own.json").write_text(json.dumps(own))
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--source", f"{SF}/{table}", "--target", str(tmp_path / "cli"), "--config", str(tmp_path / "own.json")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "wrote" in done.stderr
+    run = {"conversation_flow": conversation_flow, "markov_check": markov_check}[job].run
+    want = run(spark, f"{SF}/{table}", str(tmp_path / "here"), config(job, str(tmp_path / "own.json")))
+    columns = sorted(want.columns)
+    got = spark.read.schema(want.schema).parquet(str(tmp_path / "cli" / out))
+    near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(columns).collect())
+    assert near(got) == near(want)
