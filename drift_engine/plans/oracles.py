@@ -701,6 +701,10 @@ ORACLES["geo_direct"] = f"""WITH e AS (SELECT event_id, radians(value * 0.5 - 40
 p AS (SELECT event_id, degrees(lon + atan2(sin(b) * sin(d) * cos(lat), cos(d) - sin(lat) * (sin(lat) * cos(d) + cos(lat) * sin(d) * cos(b)))) + 180 AS lon, degrees(asin(sin(lat) * cos(d) + cos(lat) * sin(d) * cos(b))) AS lat FROM e)
 SELECT event_id, round(lon - 360 * floor(lon / 360) - 180, 6) AS lon, round(lat, 6) AS lat FROM p"""
 ORACLES["src_csv"] = """SELECT user_id::VARCHAR AS trajectory, count(*) AS observations, round(sum(epoch_us(ts) / 1e6) / count(*), 3) AS mean_time, round(avg(value), 6) AS x, round(avg(json_extract(props, '$.k')::DOUBLE), 6) AS y FROM events GROUP BY user_id"""
+_ARRAYS = """SELECT user_id::DOUBLE AS trajectory, count(*) AS observations, sum(place % 1000)::BIGINT AS places, round(sum(epoch_us(ts) / 1e6) / count(*), 3) AS mean_time, round(sum(value), 3) AS sum_x, round(sum(k), 3) AS sum_y
+FROM (SELECT *, json_extract(props, '$.k')::DOUBLE AS k, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) {} GROUP BY user_id"""
+ORACLES["src_zarr"] = _ARRAYS.format("WHERE value BETWEEN 5 AND 60 AND k <= 75")
+ORACLES["src_netcdf"] = _ARRAYS.format("")
 ORACLES["src_parquet"] = """SELECT count(*) AS observations, round(min(value)::DOUBLE, 6) AS least_x, round(max(json_extract(props, '$.k')::DOUBLE), 6) AS greatest_y FROM events GROUP BY user_id % 2"""
 _TYPES = {"tracks": "string,double,double,double", "segments": "string,bigint,struct<status:string,x:double,y:double>,struct<status:string,x:double,y:double>,bigint", "matrix": ",".join(["bigint"] * 4 + ["double"] * 4 + ["bigint", "double"])}
 _ROWS = {"tracks": "(SELECT count(*) FROM tracks)", "segments": "(SELECT count(*) FROM segs)", "matrix": "(SELECT count(*) FROM links)"}

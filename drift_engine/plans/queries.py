@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import urllib.parse
 import uuid
+import zlib
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drift_engine import storage
 from drift_engine.functions import angles, geodesy
-from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, parts, review, ridge, sections, tracks, validate
+from drift_engine.operators import cellstats, compare, directional, flux, gradients, graph, gridops, matrix, parts, ranks, review, ridge, sections, tracks, validate
 from drift_engine.plans import presets as P
 from drift_engine.plans import config, tables
 from drift_engine.plans.oracles import GAP, ORACLES
@@ -706,6 +713,77 @@ def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("observations", *r6("least_x", "greatest_y"))
 
 
+#: Places of an array that are stored together.
+CHUNK_PLACES = 4096
+
+
+def _as_arrays(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The events as one-dimensional arrays in the order of their ids, in a Zarr directory or a classic NetCDF file of the shared folder: its path.
+
+    Executors write a chunk each, so that folder must be one that all can open as files; others raise.
+    """
+    place = urllib.parse.urlparse(f"{storage.shared_dir(spark)}/arrays-{uuid.uuid4().hex}.{'nc' if kind == 'netcdf' else kind}")
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"{place.geturl()}: arrays are written to a file system that all executors can open")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("double").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("value").cast("double").alias("a"), F.get_json_object("props", "$.k").cast("double").alias("b"))
+    rows = ranks.numbered(events, [F.col("event_id")], "place", 0)
+    n, names = events.count(), ["who", "us", "a", "b"]
+    if kind == "zarr":
+        for name in names:
+            folder = Path(place.path, name)
+            folder.mkdir(parents=True)
+            (folder / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [n], "chunks": [CHUNK_PLACES], "dtype": "<f8", "compressor": {"id": "zlib"}, "fill_value": "NaN", "order": "C", "filters": None}))
+            (folder / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": ["obs"]}))
+        starts = {}
+    else:
+        text = lambda t: struct.pack(">i", len(t)) + t.encode() + b"\0" * (-len(t) % 4)
+        before = b"CDF\x02" + struct.pack(">iii", 0, 10, 1) + text("obs") + struct.pack(">iiiii", n, 0, 0, 11, len(names))
+        size = len(before) + sum(len(text(v)) + 36 for v in names)
+        starts = {v: size + 8 * n * i for i, v in enumerate(names)}
+        header = before + b"".join(text(v) + struct.pack(">iiiiiiq", 1, 0, 0, 0, 6, 8 * n, starts[v]) for v in names)
+        with open(place.path, "wb") as f:
+            f.write(header)
+            f.truncate(size + 8 * n * len(names))
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        chunk, first = int(frame["place"].iloc[0]) // CHUNK_PLACES, int(frame["place"].iloc[0])
+        for name in names:
+            values = frame[name].to_numpy(float)
+            if kind == "zarr":
+                whole = np.full(CHUNK_PLACES, np.nan)
+                whole[: len(values)] = values
+                Path(place.path, name, str(chunk)).write_bytes(zlib.compress(whole.astype("<f8").tobytes()))
+            else:
+                with open(place.path, "r+b") as f:
+                    f.seek(starts[name] + 8 * first)
+                    f.write(values.astype(">f8").tobytes())
+        return pd.DataFrame({"n": [len(frame)]})
+
+    written = rows.groupBy(F.floor(F.col("place") / CHUNK_PLACES)).applyInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    assert written == n
+    return place.path
+
+
+def _array_tracks(spark: SparkSession, sf_dir: str, kind: str, within: dict) -> DataFrame:
+    given = {"paths": [_as_arrays(spark, sf_dir, kind)], "columns": {"trajectory": "who", "time": "us", "x": "a", "y": "b"}, "trajectory_id": {"mode": "column", "scope": "global"}, "time": {"kind": "numeric", "unit": "s"}}
+    rows = trajectories.read(spark, config.input_of(given), within)
+    out = rows.groupBy("trajectory").agg(F.count("*").alias("observations"), F.sum(F.col("row_index") % 1000).alias("places"), F.round(F.sum(F.col("time") / 1e6) / F.count("*"), 3).alias("mean_time"), *[F.round(F.sum(c), 3).alias(f"sum_{c}") for c in "xy"])
+    return out.withColumn("trajectory", F.col("trajectory").cast("double"))
+
+
+@query
+def src_zarr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of a chunked Zarr directory, those in a box of both coordinates."""
+    return _array_tracks(spark, sf_dir, "zarr", {"a": (5.0, 60.0), "b": (None, 75.0)})
+
+
+@query
+def src_netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations of a classic NetCDF file."""
+    return _array_tracks(spark, sf_dir, "netcdf", {})
+
+
 @query
 def san_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks, segments and matrix of no observations, and of all: their columns' types, and how many rows."""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import number
-from drift_engine.sources.trajectories import _array_variables, _read_array, format_of
+from drift_engine.sources import array_source
+from drift_engine.sources.arrays import array_variables, format_of
 
 
 def wrapped(lon: Column) -> Column:
@@ -25,12 +26,12 @@ def on_map(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
 def gridded_field(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(lat, lon, value) of a field on (lat, lon) of a NetCDF or Zarr file, read part by part. Other dimensions, or a field that is not there, raise."""
     kind = format_of(path)
-    variables = _array_variables(path, kind)
+    variables = array_variables(path, kind)
     if field not in variables:
         raise ValueError(f"{path}: no field {field}; there are {sorted(variables)}")
     if set(variables[field].dims) != {"lat", "lon"}:
         raise ValueError(f"{field}: dimensions lat and lon expected, not {variables[field].dims}")
-    rows = _read_array(spark, path, ["lat", "lon", field], kind, field, field)
+    rows = array_source.load(spark, path, ["lat", "lon", field], field, field, kind)
     return rows.select("lat", "lon", number(F.col(f"`{field}`")).alias("value"))
 
 
@@ -44,7 +45,7 @@ def core_points(spark: SparkSession, path: str) -> DataFrame:
 
 def polylines(spark: SparkSession, path: str, names: dict[str, tuple[str, str]]) -> DataFrame:
     """(line, place, lon, lat) of the named lines, each two variables of a NetCDF or Zarr file; points without a position are left out."""
-    variables = _array_variables(path, format_of(path))
+    variables = array_variables(path, format_of(path))
     frames = []
     for line, (x, y) in names.items():
         if x not in variables or y not in variables:

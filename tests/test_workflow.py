@@ -11,7 +11,7 @@ import yaml
 from drift_engine.functions.geodesy import Space
 from drift_engine.operators import directional, matrix, ridge
 from drift_engine.plans import config, queries, workflow
-from drift_engine.sources import auxiliary, naming, trajectories
+from drift_engine.sources import array_source, arrays, auxiliary, naming, trajectories
 from drift_engine.storage import materialise
 from test_tank import tank
 
@@ -113,14 +113,14 @@ def test_readers_agree(spark, tmp_path):
     assert {r.trajectory for r in trajectories.read(spark, config.from_dict(changed(("input", "paths"), [str(tmp_path / "t.csv")])).input).collect()} >= {'["t.csv", "001"]'}
     with pytest.raises(FileNotFoundError):
         trajectories.resolve((str(tmp_path / "none*.csv"),))
-    flat = lambda *dims: trajectories.Variable(list(dims), (2,) * len(dims), np.dtype(float), {}, lambda a, b: np.zeros((2,) * len(dims))[a:b])
+    flat = lambda *dims: arrays.Variable(list(dims), (2,) * len(dims), np.dtype(float), {}, lambda a, b: np.zeros((2,) * len(dims))[a:b])
     with pytest.raises(ValueError):
-        trajectories.flattened({"X": flat("a"), "Y": flat("b")}, ["X", "Y"], "X", "Y")
+        arrays.flattened({"X": flat("a"), "Y": flat("b")}, ["X", "Y"], "X", "Y")
 
 
 def test_arrays_are_read_in_parts(spark, tmp_path, monkeypatch):
     """Parts of a few rows, of chunked Zarr and of NetCDF, give the rows of the whole, in their order."""
-    monkeypatch.setattr(trajectories, "SLAB_VALUES", 15)
+    monkeypatch.setattr(arrays, "SLAB_VALUES", 15)
     x, y, t = np.arange(40.0).reshape(8, 5), np.arange(40.0).reshape(8, 5) / 7, np.arange(5) * 2.0
     d = tmp_path / "c.zarr" / "X"
     write_zarr(tmp_path / "c.zarr", "Y", y, ["track", "obs"], True)
@@ -136,7 +136,7 @@ def test_arrays_are_read_in_parts(spark, tmp_path, monkeypatch):
             (d / f"{i}.{j}").write_bytes(block.tobytes())
     write_netcdf(tmp_path / "c.nc", {"track": 8, "obs": 5}, {"X": (x, ["track", "obs"]), "Y": (y, ["track", "obs"]), "t": (t, ["obs"])})
     for name in ("c.zarr", "c.nc"):
-        found = trajectories._read_array(spark, str(tmp_path / name), ["track", "t", "X", "Y"], name[2:].replace("nc", "netcdf"), "X", "Y")
+        found = array_source.load(spark, str(tmp_path / name), ["track", "t", "X", "Y"], "X", "Y")
         assert found.rdd.getNumPartitions() >= (1 if name == "c.zarr" else 2)
         rows = sorted((r.row_index, r.track, r.t, r.X, r.Y) for r in found.collect())
         assert rows == [(k, float(k // 5), t[k % 5], float(x.ravel()[k]), float(y.ravel()[k])) for k in range(40)]
