@@ -19,6 +19,8 @@ from drift_engine.storage import materialise
 
 #: Rows of a track that one task orders.
 PART_ROWS = 1_000_000
+#: Rows for which a cut takes another task, where parts are shorter: a task then holds many parts.
+RANGE_ROWS = 100_000
 #: A side is broadcast only when its counted rows stay under this.
 BROADCAST_ROWS = 200_000
 
@@ -47,18 +49,24 @@ class Crowds:
         those = small(self.ids, self.tracks)
         return df.join(those, own, "left_semi"), df.join(those, own, "left_anti")
 
+    def ranges(self, times: int = 1) -> int:
+        """The tasks of a cut: as many as its rows ask for, however short the parts."""
+        return max(1, ceil(times * self.rows / max(self.part_rows, RANGE_ROWS)))
+
     def cut(self, df: DataFrame, order: list, name: str, times: int = 1) -> DataFrame:
-        """df, of `times` rows for each of these tracks' at most, stored in ranges of (track, order) with `part`, the range of each row."""
-        n = max(1, ceil(times * self.rows / self.part_rows))
-        return materialise(df.repartitionByRange(n, *track_ids(df), *order).withColumn("part", F.spark_partition_id()), name)
+        """df, of `times` rows for each of these tracks' at most, stored with `part`: runs of part_rows rows at most in the order of (track, order), each within one task."""
+        by = [*track_ids(df), *order]
+        ranged = df.repartitionByRange(self.ranges(times), *by).sortWithinPartitions(*by)
+        # This id counts the rows of a partition in their order, and rises from partition to partition.
+        return materialise(ranged.withColumn("part", F.expr(f"monotonically_increasing_id() div {self.part_rows}")), name)
 
     def handed(self, df: DataFrame, sums: dict[str, Column], over: dict[str, Callable[[WindowSpec], Column]], times: int = 1) -> DataFrame:
         """df with the columns `over`: each a function of the window that holds, in order, one row of `sums` for each part of a track."""
         ids = track_ids(df)
         w = Window.partitionBy(*ids).orderBy("part")
         borders = df.groupBy(*ids, "part").agg(*[c.alias(n) for n, c in sums.items()]).select(*ids, "part", *[f(w).alias(n) for n, f in over.items()])
-        # A range that ends in a track and begins another gives a row for each.
-        return df.join(small(borders, self.tracks + ceil(times * self.rows / self.part_rows)), [*ids, "part"])
+        # A part that ends in a track and begins another gives a row for each; the first and the last part of a task may be short.
+        return df.join(small(borders, self.tracks + ceil(times * self.rows / self.part_rows) + 2 * self.ranges(times)), [*ids, "part"])
 
 
 def crowds(rows: DataFrame, part_rows: int = PART_ROWS) -> Crowds | None:

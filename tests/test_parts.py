@@ -50,6 +50,18 @@ def test_a_long_track_is_spread_over_tasks(spark):
         assert rows_of(matrix.segments(raw, 1.0, mode, False, None, long).groupBy("start", "end").count()) == rows_of(matrix.segments(raw, 1.0, mode).groupBy("start", "end").count())
 
 
+def test_short_parts_share_tasks(spark):
+    """The tasks of a cut, and the files it stores, come from its rows, not from how short the parts are."""
+    raw = spark.range(8_000).select((F.col("id") % 40).cast("string").alias("trajectory"), (F.col("id") * 0.5).alias("time"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y")).repartition(3)
+    cut = parts.crowds(raw, 16).cut(raw, ["time"], "test-short")
+    assert cut.select(F.input_file_name()).distinct().count() <= 2
+    per = cut.groupBy("part").count().collect()
+    assert 500 <= len(per) <= 504 and max(r["count"] for r in per) <= 16
+    held = cut.groupBy("trajectory", "part").agg(F.min("time").alias("a"), F.max("time").alias("b")).collect()
+    held = sorted((r.trajectory, r.part, r.a, r.b) for r in held)
+    assert all(one[3] < two[2] for one, two in zip(held, held[1:]) if one[0] == two[0])
+
+
 def test_no_long_tracks(spark):
     assert parts.crowds(walks(spark)) is None
     assert parts.crowds(walks(spark).filter("trajectory is null"), 0) is None
