@@ -28,8 +28,9 @@ def _located(t: Column, a: str, b: str, geographic: bool, max_gap: float | None)
     share = (t - at) / (bt - at)
     step = bx - ax
     if geographic:
-        step = F.pmod(step + 180.0, F.lit(360.0)) - 180.0
-        step = F.when((step == -180.0) & (bx - ax > 0), 180.0).otherwise(step)
+        # A remainder loses no bits, so that what is just over half a turn goes the other way.
+        turn = step % F.lit(360.0)
+        step = F.when(turn > 180.0, turn - 360.0).when(turn < -180.0, turn + 360.0).otherwise(turn)
     between = at.isNotNull() & bt.isNotNull() & (at <= t) & (t <= bt)
     gap = (bt - at > max_gap) if max_gap is not None else F.lit(False)
     status = F.when(exact, "exact").when(~between | between.isNull(), "missing").when(gap, "gap").otherwise("interpolated")

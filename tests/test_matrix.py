@@ -56,6 +56,14 @@ def test_seam(spark, xs):
     assert sum(r.transition_count for r in got) == 2
 
 
+def test_half_a_turn(spark):
+    """Half a turn keeps its direction; one spacing of doubles more, and the other way is shorter."""
+    over = 180.00000000000003
+    for xs, middle in (([-85.0, 95.0], 5.0), ([95.0, -85.0], 5.0), ([0.0, over], -90.0), ([0.0, -over], 90.0), ([10.0, 370.0 + 40.0], 30.0), ([0.0, 540.0], 90.0)):
+        end = matrix.segments(track(spark, xs, [0, 2]), 1.0, geographic=True).orderBy("k").first().end
+        assert abs((end.x - middle + 180) % 360 - 180) < 1e-9, (xs, end.x)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(1, 7), min_size=2, max_size=12), st.integers(1, 5))
 def test_modes_reconcile(spark, steps, lag):
