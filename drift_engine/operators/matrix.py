@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drift_engine.functions.angles import ulp
 from drift_engine.functions.geodesy import Grid
-from drift_engine.operators.parts import Crowds, after, before, everywhere, in_part, track_ids as _ids
+from drift_engine.operators.parts import Crowds, before, everywhere, in_part, track_ids as _ids
 from drift_engine.storage import materialise
 
 SNAP_ULPS = 8.0
@@ -122,45 +122,46 @@ def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = F
 
 
 def _merged(rows: DataFrame, lag: float) -> DataFrame:
-    """Observations, and the targets one lag after those that are not the track's last, with the order of both in common columns."""
-    ids = _ids(rows)
-    none = F.lit(None).cast("struct<t:double,x:double,y:double>")
-    seen = rows.select(*ids, F.col("time").alias("t"), F.lit(0).alias("_target"), _observation().alias("o"), F.lit(None).cast("long").alias("k"), none.alias("from"))
-    wanted = rows.filter("_more").select(*ids, (F.col("time") + F.lit(lag)).alias("t"), F.lit(1).alias("_target"), none.alias("o"), "k", _observation().alias("from"))
-    return seen.unionByName(wanted)
+    """Observations, each with the bracket o from it to its successor, and the targets one lag after those that have one, in common columns: one pass over rows (time, x, y, k, b)."""
+    t, x, y = F.col("time"), F.col("x"), F.col("y")
+    row = lambda t, k, x, y, o: F.struct(t.alias("t"), k.cast("long").alias("k"), x.cast("double").alias("x"), y.cast("double").alias("y"), o.alias("o"))
+    bracket = F.struct(t.alias("at"), x.alias("ax"), y.alias("ay"), F.col("b.t").alias("bt"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    none = F.lit(None)
+    seen = row(t, none, none, none, bracket)
+    wanted = row(t + F.lit(lag), F.col("k"), x, y, none.cast("struct<at:double,ax:double,ay:double,bt:double,bx:double,by:double>"))
+    return rows.select(*_ids(rows), F.explode(F.when(F.col("b").isNotNull(), F.array(seen, wanted)).otherwise(F.array(seen))).alias("_row")).select(*_ids(rows), "_row.*")
 
 
 def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None, crowds: Crowds | None = None) -> DataFrame:
     """A segment from each observation but the track's last one to the position one lag later.
 
     Observations and targets are merged in one order per track; the last observation
-    before a target and the first one after it are its bracket, read as running values
-    in that order and in its reverse. The tracks of `crowds` are merged in parts, which
-    hand on the last and the first observation to the parts after and before them.
+    before a target and that one's successor are its bracket, read as one running value.
+    The tracks of `crowds` are merged in parts, which hand on the last observation to the
+    parts after them.
     """
     ids = _ids(tracks)
-    forth, back = ["t", "_target", F.col("k").asc_nulls_first()], [F.desc("t"), F.desc("_target"), F.col("k").desc_nulls_last()]
-    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    merging = ["t", F.col("k").asc_nulls_first()]
+    last = lambda w: F.last("o", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
     def made(merged: DataFrame) -> DataFrame:
-        start = F.struct(F.lit("exact").alias("status"), F.col("from.x").alias("x"), F.col("from.y").alias("y"))
+        start = F.struct(F.lit("exact").alias("status"), "x", "y")
+        bracket = {e: F.struct(*[F.col(f"o.{e}{c}").alias(c) for c in "txy"]) for e in "ab"}
         # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
         end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
-        return merged.filter("_target = 1").select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
+        return merged.filter("k is not null").withColumns(bracket).select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
 
     if crowds:
         long, tracks = crowds.split(tracks)
-        rows = crowds.cut(long, ["time"], "track-parts")
-        rows = crowds.handed(rows, {"n": F.count("*"), "end": F.max("time")}, {"_before": lambda w: F.coalesce(F.sum("n").over(before(w)), F.lit(0)), "_last": lambda w: F.max("end").over(everywhere(w))})
-        rows = rows.withColumn("k", F.col("_before") + F.row_number().over(in_part(rows, "time")) - 1).withColumn("_more", F.col("time") < F.col("_last"))
-        merged = crowds.cut(_merged(rows, lag), forth, "track-merged", times=2)
-        merged = crowds.handed(merged, {"low": F.min("o"), "high": F.max("o")}, {"_a": lambda w: F.last("high", True).over(before(w)), "_b": lambda w: F.first("low", True).over(after(w))}, times=2)
-        merged = merged.withColumn("a", F.coalesce(F.last("o", True).over(running(in_part(merged, *forth))), "_a")).withColumn("b", F.coalesce(F.last("o", True).over(running(in_part(merged, *back))), "_b"))
-        parted = made(merged)
+        rows = crowds.cut(long.withColumn("a", _observation()), ["time"], "track-parts")
+        rows = crowds.handed(rows, {"n": F.count("*"), "first": F.min("a")}, {"_before": lambda w: F.coalesce(F.sum("n").over(before(w)), F.lit(0)), "_next": lambda w: F.lead("first").over(w)})
+        rows = rows.withColumn("k", F.col("_before") + F.row_number().over(in_part(rows, "time")) - 1).withColumn("b", F.coalesce(F.lead("a").over(in_part(rows, "time")), "_next"))
+        merged = crowds.cut(_merged(rows, lag), merging, "track-merged", times=2)
+        merged = crowds.handed(merged, {"high": F.max("o")}, {"_o": lambda w: F.last("high", True).over(before(w))}, times=2)
+        parted = made(merged.withColumn("o", F.coalesce(last(in_part(merged, *merging)), "_o")))
     order = Window.partitionBy(*ids).orderBy("time")
-    rows = tracks.withColumn("_more", F.lead("time").over(order).isNotNull()).withColumn("k", F.row_number().over(order).cast("long") - 1)
-    whole = lambda *by: running(Window.partitionBy(*ids).orderBy(*by))
-    found = made(_merged(rows, lag).withColumn("a", F.last("o", True).over(whole(*forth))).withColumn("b", F.last("o", True).over(whole(*back))))
+    rows = tracks.withColumn("b", F.lead(_observation()).over(order)).withColumn("k", F.row_number().over(order).cast("long") - 1)
+    found = made(_merged(rows, lag).withColumn("o", last(Window.partitionBy(*ids).orderBy(*merging))))
     return found.unionByName(parted) if crowds else found
 
 

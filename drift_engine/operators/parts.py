@@ -87,10 +87,5 @@ def before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def after(w: WindowSpec) -> WindowSpec:
-    """All later parts."""
-    return w.rowsBetween(1, Window.unboundedFollowing)
-
-
 def everywhere(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

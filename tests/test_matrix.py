@@ -64,6 +64,14 @@ def test_half_a_turn(spark):
         assert abs((end.x - middle + 180) % 360 - 180) < 1e-9, (xs, end.x)
 
 
+def test_every_observation_sorts_twice(spark):
+    """A task holds the sorted track and the sorted merge of it with its targets, and no more copies."""
+    segs = matrix.segments(track(spark, [0.2, 0.3, 1.2, 1.3, 2.2]), 2.0, "every_observation")
+    plan = segs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and "Union" not in plan
+    assert [(r.k, r.end.status, r.end.x) for r in segs.orderBy("k").collect()] == [(0, "exact", 1.2), (1, "exact", 1.3), (2, "exact", 2.2), (3, "missing", None)]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(1, 7), min_size=2, max_size=12), st.integers(1, 5))
 def test_modes_reconcile(spark, steps, lag):
