@@ -5,8 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from drift_engine.functions.geodesy import Grid
-from drift_engine.operators import matrix, tracks, validate
+from drift_engine.functions.geodesy import Grid, Space
+from drift_engine.operators import cellstats, matrix, tracks, validate
 
 GRID = Grid(0, 4, 0, 4, 1, 1)
 
@@ -64,6 +64,16 @@ def test_half_a_turn(spark):
         assert abs((end.x - middle + 180) % 360 - 180) < 1e-9, (xs, end.x)
 
 
+def test_cells_of_half_a_turn(spark):
+    """The cells of a track just over half a turn long lie on its shorter way."""
+    grid = Grid(-180, 180, -90, 90, 10, 10, True)
+    segs = matrix.segments(track(spark, [0.0, 180.00000000000003], [0, 2]), 1.0, geographic=True)
+    links = cellstats.enriched_links(matrix.transition_matrix(segs, grid), grid, Space(True, "km"))
+    cells = cellstats.cell_statistics(links, grid, 1.0)
+    # From the cell of 0 by that of -90 to that of the seam; the other way leads by that of +90.
+    assert sorted(r.cell_id % 36 for r in cells.collect()) == [0, 9, 18]
+
+
 def test_every_observation_sorts_twice(spark):
     """A task holds the sorted track and the sorted merge of it with its targets, and no more copies."""
     segs = matrix.segments(track(spark, [0.2, 0.3, 1.2, 1.3, 2.2]), 2.0, "every_observation")
