@@ -91,9 +91,10 @@ PART_ROWS = 64
 
 
 def _parted(spark: SparkSession, sf_dir: str, mode: str = "non_overlapping", max_gap: float | None = None) -> DataFrame:
-    raw = P.events_raw(spark, sf_dir)
+    # Several passes read the rows and the tracks: each is made once.
+    raw = storage.materialise(P.events_raw(spark, sf_dir), "parts-rows")
     long = parts.crowds(raw, PART_ROWS)
-    return matrix.segments(tracks.sanitise(raw, crowds=long), P.DAY, mode, False, max_gap, long)
+    return matrix.segments(storage.materialise(tracks.sanitise(raw, crowds=long), "parts-tracks"), P.DAY, mode, False, max_gap, long)
 
 
 @query

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drift_engine.operators import matrix, parts, tracks
+from drift_engine.plans import presets, queries
 
 
 def walks(spark, member=False):
@@ -62,6 +63,26 @@ def test_short_parts_share_tasks(spark):
     assert all(one[3] < two[2] for one, two in zip(held, held[1:]) if one[0] == two[0])
 
 
+@pytest.mark.parametrize("name", ["mat_parts_nonoverlap", "mat_parts_every_obs", "mat_parts_gaps"])
+def test_rows_are_made_once(spark, monkeypatch, name):
+    """However many passes a parted query takes, it works its rows out once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = walks(spark).withColumn("time", F.col("time") * 40_000.0)
+    monkeypatch.setattr(presets, "events_raw", lambda *_: rows.withColumn("x", counted("x")))
+    found = queries.QUERIES[name](spark, "").collect()
+    assert found and made.value == rows.count()
+    segs = matrix.segments(tracks.sanitise(rows), presets.DAY, "every_observation" if name == "mat_parts_every_obs" else "non_overlapping", False, queries.GAP if name == "mat_parts_gaps" else None)
+    whole = matrix.matrix_diagnostics(segs, presets.GRID_E) if name == "mat_parts_gaps" else matrix.transition_matrix(segs, presets.GRID_E)
+    shared = [c for c in found[0].asDict() if c != "transition_probability"]
+    assert sorted(tuple(r[c] for c in shared) for r in found) == sorted(tuple(r) for r in whole.select(*shared).collect())
+
+
 def test_no_long_tracks(spark):
     assert parts.crowds(walks(spark)) is None
     assert parts.crowds(walks(spark).filter("trajectory is null"), 0) is None
