@@ -14,27 +14,37 @@ SNAP_ULPS = 8.0
 LINK_KEYS = ["start_y_bin", "start_x_bin", "end_y_bin", "end_x_bin"]
 
 
-def _located(t: Column, a: str, b: str, geographic: bool, max_gap: float | None) -> Column:
-    """struct(status, x, y) at time t between the observations a and b (structs t, x, y; b may be NULL).
+def _status(t: Column, a: str, b: str, max_gap: float | None) -> Column:
+    """How the position at time t comes from the observations a and b (structs t, x, y; b may be NULL): exact, interpolated, or not: missing, gap."""
+    at, bt = F.col(f"{a}.t"), F.col(f"{b}.t")
+    nt = F.when(at.isNull(), bt).when(_first(t, a, b), at).otherwise(bt)
+    exact = F.abs(nt - t) <= SNAP_ULPS * ulp(F.greatest(F.abs(t), F.abs(nt)))
+    between = at.isNotNull() & bt.isNotNull() & (at <= t) & (t <= bt)
+    gap = (bt - at > max_gap) if max_gap is not None else F.lit(False)
+    return F.when(exact, "exact").when(~between | between.isNull(), "missing").when(gap, "gap").otherwise("interpolated")
+
+
+def _first(t: Column, a: str, b: str) -> Column:
+    """Whether a is nearer to time t than b."""
+    at, bt = F.col(f"{a}.t"), F.col(f"{b}.t")
+    return bt.isNull() | (F.abs(t - at) < F.abs(bt - t))
+
+
+def _located(t: Column, a: str, b: str, geographic: bool, status: Column) -> Column:
+    """struct(status, x, y) at time t between the observations a and b, of that status.
 
     The nearer observation is taken if it is within some spacings of doubles; else the
     position lies on the line between both, along the shorter arc of longitude.
     """
     at, ax, ay = (F.col(f"{a}.{c}") for c in ("t", "x", "y"))
     bt, bx, by = (F.col(f"{b}.{c}") for c in ("t", "x", "y"))
-    first = bt.isNull() | (F.abs(t - at) < F.abs(bt - t))
-    nt = F.when(at.isNull(), bt).when(first, at).otherwise(bt)
-    exact = F.abs(nt - t) <= SNAP_ULPS * ulp(F.greatest(F.abs(t), F.abs(nt)))
     share = (t - at) / (bt - at)
     step = bx - ax
     if geographic:
         # A remainder loses no bits, so that what is just over half a turn goes the other way.
         turn = step % F.lit(360.0)
         step = F.when(turn > 180.0, turn - 360.0).when(turn < -180.0, turn + 360.0).otherwise(turn)
-    between = at.isNotNull() & bt.isNotNull() & (at <= t) & (t <= bt)
-    gap = (bt - at > max_gap) if max_gap is not None else F.lit(False)
-    status = F.when(exact, "exact").when(~between | between.isNull(), "missing").when(gap, "gap").otherwise("interpolated")
-    use_a = F.coalesce(first, F.lit(True)) & at.isNotNull()
+    use_a = F.coalesce(_first(t, a, b), F.lit(True)) & at.isNotNull()
     x = F.when(status == "exact", F.when(use_a, ax).otherwise(bx)).when(status == "interpolated", ax + share * step)
     y = F.when(status == "exact", F.when(use_a, ay).otherwise(by)).when(status == "interpolated", ay + share * (by - ay))
     return F.struct(status.alias("status"), x.alias("x"), y.alias("y"))
@@ -80,22 +90,25 @@ def _points(rows: DataFrame, lag: float, geographic: bool, max_gap: float | None
     keys = [*_ids(rows), *(["part"] if "part" in rows.columns else [])]
     q = F.col("_last") / F.lit(lag)
     n = F.floor(F.when(q > 0, q + ulp(q)).otherwise(q)).cast("long")
-    rows = rows.withColumn("n", n).filter("n > 0")
+    rows = rows.withColumn("n", n)
     low = F.ceil(F.col("a.t") / F.lit(lag)).cast("long")
     high = F.when(F.col("b").isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.ceil(F.col("b.t") / F.lit(lag)).cast("long") - 1))
-    # ceil() may step over a multiple by rounding: one more on each side is looked at.
-    inside = lambda k: (k >= 0) & (k * F.lit(lag) >= F.col("a.t")) & (k <= F.col("n")) & (F.col("b").isNull() | (k * F.lit(lag) < F.col("b.t")))
-    about = lambda k: F.filter(F.array(k - 1, k, k + 1), inside)
-    rows = rows.withColumn("_lo", F.array_min(about(low))).withColumn("_hi", F.greatest(F.array_max(about(high)), F.col("_lo"))).filter("_lo is not null")
-    wide = (F.col("_hi") - F.col("_lo") > 4) & F.coalesce(F.col("b.t") - F.col("a.t") > max_gap, F.lit(False)) if max_gap is not None else F.lit(False)
-    one = lambda k, copies: F.struct(k.alias("k"), copies.cast("long").alias("copies"))
+    rows = rows.withColumns({"_lo": low, "_hi": high})
+    inside = lambda k: (F.col("n") > 0) & (k >= 0) & (k * F.lit(lag) >= F.col("a.t")) & (k <= F.col("n")) & (F.col("b").isNull() | (k * F.lit(lag) < F.col("b.t")))
+    # Plain columns, no functions of arrays, and no filter, which would work all this out once more: explode() drops a row without multiples.
+    found = lambda *ks: F.coalesce(*[F.when(inside(k), k) for k in ks])
     lo, hi = F.col("_lo"), F.col("_hi")
-    ends = F.array(one(lo, F.lit(1)), one(lo + 1, hi - lo - 2), one(hi - 1, F.lit(1)), one(hi, F.lit(1)))
-    starts = F.when(wide, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(lo, hi, F.lit(CHUNK).cast("long")))
+    # ceil() may step over a multiple by rounding: one more on each side is looked at.
+    rows = rows.withColumns({"_lo": found(lo - 1, lo, lo + 1), "_hi": found(hi + 1, hi, hi - 1)}).withColumn("_hi", F.greatest(hi, lo))
+    wide = (hi - lo > 4) & F.coalesce(F.col("b.t") - F.col("a.t") > max_gap, F.lit(False)) if max_gap is not None else F.lit(False)
+    starts = F.when(wide, F.array(F.lit(-1).cast("long"))).when(lo.isNotNull(), F.sequence(lo, hi, F.lit(CHUNK).cast("long")))
     rows = rows.withColumn("_from", F.explode(starts))
-    run = F.transform(F.sequence(F.col("_from"), F.greatest(F.col("_from"), F.least(F.col("_from") + CHUNK - 1, hi))), lambda k: one(k, F.lit(1)))
-    rows = rows.withColumn("_k", F.explode(F.when(F.col("_from") < 0, ends).otherwise(run)))
-    return rows.select(*keys, "n", "_k.k", "_k.copies", _located(F.col("_k.k") * F.lit(lag), "a", "b", geographic, max_gap).alias("start"))
+    run = F.sequence(F.col("_from"), F.greatest(F.col("_from"), F.least(F.col("_from") + CHUNK - 1, hi)))
+    rows = rows.withColumn("k", F.explode(F.when(F.col("_from") < 0, F.array(lo, lo + 1, hi - 1, hi)).otherwise(run)))
+    copies = F.when((F.col("_from") < 0) & (F.col("k") == lo + 1), hi - lo - 2).otherwise(1).cast("long")
+    t = F.col("k") * F.lit(lag)
+    rows = rows.withColumn("_status", _status(t, "a", "b", max_gap))
+    return rows.select(*keys, "n", "k", copies.alias("copies"), _located(t, "a", "b", geographic, F.col("_status")).alias("start"))
 
 
 def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = False, max_gap: float | None = None, crowds: Crowds | None = None) -> DataFrame:
@@ -116,7 +129,7 @@ def segments_non_overlapping(tracks: DataFrame, lag: float, geographic: bool = F
         points = crowds.handed(points, {"first": F.min(F.struct("k", "start"))}, {"_next": lambda w: F.lead("first").over(w)})
         parted = made(points, F.coalesce(F.lead("start").over(in_part(points, "k")), "_next.start"))
     w = Window.partitionBy(*ids).orderBy("time")
-    rows = tracks.withColumn("a", _observation()).withColumn("b", F.lead("a").over(w)).withColumn("_last", F.max("time").over(Window.partitionBy(*ids)))
+    rows = tracks.withColumn("a", _observation()).select("*", F.lead("a").over(w).alias("b"), F.max("time").over(everywhere(w)).alias("_last"))
     found = made(_points(rows, lag, geographic, max_gap), F.lead("start").over(Window.partitionBy(*ids).orderBy("k")))
     return found.unionByName(parted) if crowds else found
 
@@ -148,7 +161,7 @@ def segments_every_observation(tracks: DataFrame, lag: float, geographic: bool =
         start = F.struct(F.lit("exact").alias("status"), "x", "y")
         bracket = {e: F.struct(*[F.col(f"o.{e}{c}").alias(c) for c in "txy"]) for e in "ab"}
         # As a generated row the position is worked out once; as a projection it would be copied into each filter above.
-        end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, max_gap)))
+        end = F.explode(F.array(_located(F.col("t"), "a", "b", geographic, _status(F.col("t"), "a", "b", max_gap))))
         return merged.filter("k is not null").withColumns(bracket).select(*ids, "k", start.alias("start"), end.alias("end"), F.lit(1).cast("long").alias("copies"))
 
     if crowds:

@@ -43,21 +43,19 @@ def with_validity(raw: DataFrame, geographic: bool = False) -> DataFrame:
 
 
 def _canonical(raw: DataFrame, geographic: bool, order: list[str], crowds: Crowds | None = None) -> DataFrame:
-    """Valid rows with their place among those of the same identity and time, the rows the track has left, and its first time.
+    """Valid rows with their place among those of the same identity and time, and the first and the last time of the track: two observations are left where these differ.
 
-    The tracks of `crowds` have these two from a table of sums, not from a window.
+    The track's window comes first, as its shuffle serves both. The tracks of `crowds` have their times from a table of partial sums, not from a window.
     """
     ids = _ids(raw)
     rows = with_validity(raw, geographic).filter("valid")
     rank = [F.col(c).asc_nulls_last() for c in order if c in raw.columns] or [F.lit(0)]
-    sums = F.sum(F.when(F.col("_same") == 1, 1).otherwise(0)), F.min("time")
+    ends = {"_first": F.min("time"), "_end": F.max("time")}
     numbered = lambda rows: rows.withColumn("_same", F.row_number().over(Window.partitionBy(*ids, "time").orderBy(*rank)))
     if crowds:
         long, rows = crowds.split(rows)
-        long = numbered(long)
-        parted = long.join(small(long.groupBy(*ids).agg(sums[0].alias("_kept"), sums[1].alias("_first")), crowds.tracks), ids)
-    rows = numbered(rows)
-    found = rows.select("*", *[c.over(Window.partitionBy(*ids)).alias(n) for n, c in zip(("_kept", "_first"), sums)])
+        parted = numbered(long).join(small(long.groupBy(*ids).agg(*[c.alias(n) for n, c in ends.items()]), crowds.tracks), ids)
+    found = numbered(rows.select("*", *[c.over(Window.partitionBy(*ids)).alias(n) for n, c in ends.items()]))
     return found.unionByName(parted) if crowds else found
 
 
@@ -67,7 +65,7 @@ def sanitise(raw: DataFrame, geographic: bool = False, order: tuple[str, ...] =
     order: the columns that tell which of equal times came first; those that raw has.
     crowds: the tracks of raw that are too long for one task.
     """
-    rows = _canonical(raw, geographic, list(order), crowds).filter("_same = 1 and _kept >= 2")
+    rows = _canonical(raw, geographic, list(order), crowds).filter("_same = 1 and _first < _end")
     return rows.withColumn("time", F.col("time") - F.col("_first")).select(*_ids(raw), "time", "x", "y")
 
 
@@ -78,12 +76,13 @@ def diagnostics(raw: DataFrame, geographic: bool = False, order: tuple[str, ...]
     flagged = with_validity(raw, geographic)
     read = flagged.agg(F.count("*").alias("source_observations"), F.count_if(~F.col("valid")).alias("invalid_observations"), F.count_distinct(known).alias("source_trajectories"))
     rows = _canonical(raw, geographic, list(order), crowds)
+    lone = F.col("_first") == F.col("_end")
     kept = rows.agg(
         F.count_if(F.col("_same") > 1).alias("duplicate_observations"),
-        F.count_if((F.col("_same") == 1) & (F.col("_kept") < 2)).alias("short_observations"),
-        F.count_if((F.col("_same") == 1) & (F.col("_kept") >= 2)).alias("retained_observations"),
-        F.count_distinct(F.when(F.col("_kept") < 2, ids)).alias("short_trajectories"),
-        F.count_distinct(F.when(F.col("_kept") >= 2, ids)).alias("retained_trajectories"),
+        F.count_if((F.col("_same") == 1) & lone).alias("short_observations"),
+        F.count_if((F.col("_same") == 1) & ~lone).alias("retained_observations"),
+        F.count_distinct(F.when(lone, ids)).alias("short_trajectories"),
+        F.count_distinct(F.when(~lone, ids)).alias("retained_trajectories"),
     )
     empty = F.col("source_trajectories") - F.col("short_trajectories") - F.col("retained_trajectories")
     return read.crossJoin(kept).withColumn("discarded_empty_trajectories", empty)

@@ -83,6 +83,32 @@ def test_rows_are_made_once(spark, monkeypatch, name):
     assert sorted(tuple(r[c] for c in shared) for r in found) == sorted(tuple(r) for r in whole.select(*shared).collect())
 
 
+def test_a_track_is_shuffled_once(spark):
+    """Equal times with the track's first and last one, and brackets with the track's end, take one shuffle each."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    raw = walks(spark)
+    assert plan(tracks.sanitise(raw)).count("Exchange hashpartitioning") == 1
+    points = plan(matrix.segments(raw, 0.5, "non_overlapping", True, 2.0))
+    assert points.count("Exchange hashpartitioning") == 1 and points.count(" Window [") == 2
+    # Functions of arrays are worked row by row outside the generated code.
+    assert "lambda" not in points
+
+
+@pytest.mark.parametrize("lag, gap", [(0.1, None), (0.1, 0.7), (0.3, 2.0), (1 / 3, None), (1e6, None)])
+def test_multiples_are_those_of_plain_loops(spark, lag, gap):
+    """Each multiple of the lag up to the track's end is found once, in steps that rounding may shift."""
+    rng = np.random.default_rng(5)
+    times = {f"t{i}": [0.0, *np.cumsum(rng.choice([0.1, 0.3, 0.05, 1 / 3, 2.5], 60)).tolist()] for i in range(4)} | {"even": [k * lag for k in range(20)], "two": [0.0, 0.25]}
+    rows = spark.createDataFrame([(k, float(t), float(t), 0.0) for k, ts in times.items() for t in ts], "trajectory string, time double, x double, y double")
+    found = matrix.segments(rows, lag, "non_overlapping", False, gap).collect()
+    counts = {k: int(np.floor(ts[-1] / lag + np.spacing(ts[-1] / lag))) for k, ts in times.items()}
+    for k, n in counts.items():
+        own = sorted((r.k, r.copies) for r in found if r.trajectory == k)
+        assert [j for a, copies in own for j in range(a, a + copies)] == list(range(n))
+        if gap is None:
+            assert all(r.start.x == pytest.approx(r.k * lag, abs=1e-9) and r.end.x == pytest.approx((r.k + 1) * lag, abs=1e-9) for r in found if r.trajectory == k)
+
+
 def test_no_long_tracks(spark):
     assert parts.crowds(walks(spark)) is None
     assert parts.crowds(walks(spark).filter("trajectory is null"), 0) is None
